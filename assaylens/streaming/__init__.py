@@ -1,0 +1 @@
+"""Nothing streams: every operator is a batch job over bounded tables."""
