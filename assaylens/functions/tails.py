@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # fixed values: the exact rank-sum law is used up to this class size, without ties
 EXACT_CLASS = 8
@@ -86,7 +87,7 @@ def student_two_sided(t: float, df: int) -> float:
     return max(0.0, 1.0 - 2.0 / math.pi * (angle + sine * math.sqrt(cos2) * total))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rank_sum_p_value(u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series) -> pd.Series:
     """Column form of :func:`rank_sum_p`; missing where the statistic is missing."""
     return pd.Series(
@@ -98,7 +99,7 @@ def rank_sum_p_value(u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation of *n* pairs from the t distribution with n-2 degrees."""
 

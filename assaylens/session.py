@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +64,18 @@ def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFr
     if len(rows) > DIMENSION_ROWS:
         raise ValueError(f"{len(rows)} rows are too many for a dimension; write a table")
     return F.broadcast(spark.createDataFrame(list(rows), schema))
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="assaylens-ship-")
+    archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)

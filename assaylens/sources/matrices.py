@@ -60,7 +60,7 @@ def to_flag(column: str):
     """Dirty text or number as an int: unusable text is 0, fractions are cut toward zero."""
     number = F.col(column).try_cast("double")
     usable = F.when(~F.isnan(number), number)
-    return F.coalesce(usable, F.lit(0.0)).cast("int")
+    return F.coalesce(usable.try_cast("int"), F.lit(0))
 
 
 def merge_matrices(left: DataFrame, right: DataFrame, context: DataFrame | None = None) -> DataFrame:
