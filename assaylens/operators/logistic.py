@@ -167,15 +167,24 @@ def plan_fits(
 
 
 def coefficient_table(spark, fits: Sequence[Fit]) -> DataFrame:
-    """Fitted models as ``(response, held_out, c, intercept, coefficients)``.
+    """Fitted models as ``(response, held_out, c, intercept, coefficients, scaled)``.
 
-    Coefficients are for the unscaled features, so predictions need no scaling step.
+    ``coefficients`` are for the features as they are, so predictions need no scaling step;
+    ``scaled`` are for the features divided by their scale.
     """
     rows = [
-        (f.response, f.held_out, f.c, float(f.beta[0]), [float(b) for b in f.beta[1:] / f.scale[1:]])
+        (
+            f.response,
+            f.held_out,
+            f.c,
+            float(f.beta[0]),
+            [float(b) for b in f.beta[1:] / f.scale[1:]],
+            [float(b) for b in f.beta[1:]],
+        )
         for f in fits
     ]
-    return dimension(spark, rows, "response string, held_out int, c double, intercept double, coefficients array<double>")
+    schema = "response string, held_out int, c double, intercept double, coefficients array<double>, scaled array<double>"
+    return dimension(spark, rows, schema)
 
 
 def predict(rows: DataFrame, models: DataFrame, split: str | None, x: str = "x") -> DataFrame:
@@ -187,7 +196,7 @@ def predict(rows: DataFrame, models: DataFrame, split: str | None, x: str = "x")
     margin = F.col("intercept") + F.aggregate(
         F.zip_with(x, "coefficients", lambda a, b: a * b), F.lit(0.0), lambda total, part: total + part
     )
-    return paired.withColumn("prob", 1.0 / (1.0 + F.exp(-margin))).drop("intercept", "coefficients")
+    return paired.withColumn("prob", 1.0 / (1.0 + F.exp(-margin))).drop("intercept", "coefficients", "scaled")
 
 
 def inner_cv(patterns: DataFrame, split: str, width: int, cs: Sequence[float]) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaylens.config import BoostingParams
 from assaylens.operators import association as assoc
 from assaylens.operators import attribution, boosting, folds, labels, logistic, metrics, panels, report
 from assaylens.plans import roles
-from assaylens.session import dimension, materialise, new_path
+from assaylens.session import materialise, new_path
 from assaylens.sources import matrices, results
 
 Q = {}
@@ -72,7 +73,7 @@ def missing_source_default(spark: SparkSession, d: str) -> DataFrame:
 @query
 def merged_matrix(spark: SparkSession, d: str) -> DataFrame:
     order = {r: f"r{i}" for i, r in enumerate(roles.RESPONSES, 1)}
-    left = roles.response_matrix(spark, d).withColumnsRenamed({**order})
+    left = roles.response_matrix(spark, d).withColumnsRenamed(order)
     right = roles.flags(spark, d).select("entity_id", *[F.col(f"`{b}`").alias(f"r{i}") for i, b in enumerate(roles.HR[:5], 1)])
     context = roles.entities(spark, d).select("entity_id", "context", F.lit(1).alias("r1_mut"))
     merged = matrices.merge_matrices(left, right, context)
@@ -318,7 +319,7 @@ def pr_auc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _panel_models(spark: SparkSession, d: str) -> DataFrame:
-    """Two fixed models, share of a panel that is hit, scored on every labelled row."""
+    """Two simple models, a panel score over a constant, scored on every labelled row."""
     scores = roles.scores(spark, d)
     probs = scores.select(
         "entity_id",
@@ -493,8 +494,8 @@ def attribution_best_response(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def importance_fallback(spark: SparkSession, d: str) -> DataFrame:
-    _, _, models = _lr(spark, d)
-    table = attribution.coefficient_importance(attribution.long_coefficients(models, roles.FEATURES))
+    _, _, models = _scaled_cv(_quartile_design(spark, d), roles.HR)
+    table = attribution.coefficient_importance(attribution.long_coefficients(models, roles.HR, "scaled"))
     return rounded(table, 6, "mean_abs_shap")
 
 
@@ -508,8 +509,6 @@ def biomarker_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def top_biomarkers(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     place = Window.partitionBy("response").orderBy("composite_rank", "feature")
     return (
         biomarker_summary(spark, d)
@@ -540,8 +539,6 @@ def _boosted(spark: SparkSession, d: str):
 
 @query
 def tree_attribution(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     table, models = _boosted(spark, d)
     patterns = table.groupBy("response", vector_to_array("features").alias("x")).agg(F.count(F.lit(1)).alias("n"))
     vectors = attribution.tree_attribution_vectors(patterns, models, roles.FEATURES)
