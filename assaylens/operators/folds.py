@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 HASH_PREFIX = 3
 
 
-def stratified_folds(labelled: DataFrame, k: int, seed: int, out: str = "fold") -> DataFrame:
-    """Deal the rows of every (response, label) to *k* folds in the order of a seeded hash.
+def stratified_folds(labelled: DataFrame, splits: dict[str, int], seed: int) -> DataFrame:
+    """Deal the rows of every (response, label) to folds in the order of a seeded hash.
 
-    Numbering a class in one window would put it into one task. The hash is uniform, so its
-    first digits make equal ranges; rows are numbered inside a range, and the sizes of the
-    ranges before it are added.
+    *splits* maps an output column to its number of folds; all share one ordering. Numbering a
+    class in one window would put it into one task. The hash is uniform, so its first digits
+    make equal ranges; rows are numbered inside a range, and the sizes of the ranges before it
+    are added. *labelled* is read twice and should be a materialised table.
     """
     group = ["response", "label", "_range"]
     hashed = labelled.withColumn(
@@ -31,10 +32,11 @@ def stratified_folds(labelled: DataFrame, k: int, seed: int, out: str = "fold")
         .drop("_n")
     )
     inside = Window.partitionBy(*group).orderBy("_hash", "entity_id")
+    place = F.col("_before") + F.col("_place") - 1
     return (
         hashed.withColumn("_place", F.row_number().over(inside))
         .join(before, group)
-        .withColumn(out, ((F.col("_before") + F.col("_place") - 1) % k).cast("int"))
+        .withColumns({out: (place % k).cast("int") for out, k in splits.items()})
         .drop("_hash", "_range", "_place", "_before")
     )
 

@@ -32,7 +32,10 @@ def response_quantiles(responses: DataFrame, fractions: dict[str, float]) -> Dat
 
 
 def quantile_labels(responses: DataFrame, fraction: float = 0.25) -> DataFrame:
-    """1 at or below the response's quantile; missing responses are dropped."""
+    """1 at or below the response's quantile; missing responses are dropped.
+
+    *responses* is read twice and should be a materialised table.
+    """
     cut = response_quantiles(responses, {"cut": fraction})
     return (
         drop_missing(responses)
@@ -42,7 +45,10 @@ def quantile_labels(responses: DataFrame, fraction: float = 0.25) -> DataFrame:
 
 
 def extreme_labels(responses: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:
-    """1 at or below the low quantile, 0 at or above the high one, the middle dropped."""
+    """1 at or below the low quantile, 0 at or above the high one, the middle dropped.
+
+    *responses* is read twice and should be a materialised table.
+    """
     cuts = response_quantiles(responses, {"low": low, "high": high})
     label = F.when(F.col("y") <= F.col("low"), 1).when(F.col("y") >= F.col("high"), 0)
     return (
@@ -93,7 +99,9 @@ def response_status(responses: DataFrame, entities: DataFrame, plan: DataFrame)
     the table, nothing joined, too few rows, too few of one class, usable (empty note).
     """
     listed = responses.select("response").distinct().withColumn("listed", F.lit(True))
-    joined = drop_missing(responses).join(entities.select("entity_id"), "entity_id", "left_semi")
+    joined = materialise(
+        drop_missing(responses).join(entities.select("entity_id"), "entity_id", "left_semi"), "joined"
+    )
     sizes = quantile_labels(joined).groupBy("response").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_low")
     )

@@ -17,12 +17,6 @@ from assaylens.session import dimension
 Panels = dict[str, Sequence[str]]
 
 
-def panel_table(spark, panels: Panels) -> DataFrame:
-    """Panels as a broadcast ``(panel, feature)`` dimension."""
-    rows = [(name, feature) for name, features in panels.items() for feature in features]
-    return dimension(spark, rows, "panel string, feature string")
-
-
 def select_panel(features: DataFrame, panel: Sequence[str]) -> DataFrame:
     """Long rows of the panel's features; names the data lacks are ignored."""
     return features.filter(F.col("feature").isin(list(panel)))
@@ -36,14 +30,13 @@ def select_panel_columns(wide: DataFrame, panel: Sequence[str]) -> DataFrame:
 def composite_scores(entities: DataFrame, hits: DataFrame, panels: Panels, flags: Sequence[str] = ()) -> DataFrame:
     """One column for each panel: the sum of its features, or any-non-zero for *flags*.
 
-    All panels come from a single aggregation; entities without a hit score 0.
+    All panels come from a single aggregation by entity; entities without a hit score 0.
     """
-    spark = hits.sparkSession
-    sums = (
-        hits.join(panel_table(spark, panels), "feature")
-        .groupBy("entity_id")
-        .pivot("panel", list(panels))
-        .agg(F.sum("v"))
+    sums = hits.groupBy("entity_id").agg(
+        *[
+            F.sum(F.when(F.col("feature").isin(list(panel)), F.col("v"))).alias(name)
+            for name, panel in panels.items()
+        ]
     )
     columns: list[Column] = []
     for name in panels:
@@ -66,22 +59,16 @@ def add_scores(wide: DataFrame, panels: Panels, flags: Sequence[str] = ()) -> Da
     return wide.withColumns(added)
 
 
-def scores_as_features(scores: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Composite scores as sparse long features."""
-    return (
-        scores.unpivot("entity_id", list(names), "feature", "v")
-        .filter("v <> 0")
-        .select("entity_id", "feature", F.col("v").cast("double").alias("v"))
-    )
+def sparse_features(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The non-zero cells of a wide matrix as long rows."""
+    cells = wide.select("entity_id", *[F.col(f"`{name}`").cast("double").alias(name) for name in names])
+    return cells.unpivot("entity_id", list(names), "feature", "v").filter("v <> 0")
 
 
 def flag_matrix(entities: DataFrame, hits: DataFrame, panel: Sequence[str]) -> DataFrame:
-    """Wide integer matrix of the panel: one column for each feature, 0 where nothing is stored."""
-    wide = (
-        hits.filter(F.col("feature").isin(list(panel)))
-        .groupBy("entity_id")
-        .pivot("feature", list(panel))
-        .agg(F.max("v"))
+    """Wide integer matrix of long hits: one column for each panel feature, 0 where none is stored."""
+    wide = hits.filter(F.col("feature").isin(list(panel))).groupBy("entity_id").agg(
+        *[F.max(F.when(F.col("feature") == name, F.col("v"))).alias(name) for name in panel]
     )
     filled = [F.coalesce(F.col(f"`{name}`"), F.lit(0)).cast("int").alias(name) for name in panel]
     return entities.join(wide, "entity_id", "left").select(*[entities[c] for c in entities.columns], *filled)
@@ -93,8 +80,7 @@ def interactions(hits: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     Each hit looks up the pairs it opens and then the partner hit of the same entity, so only
     listed pairs are ever formed. Pairs with an unknown feature yield nothing.
     """
-    spark = hits.sparkSession
-    wanted = dimension(spark, list(pairs), "feature string, partner string")
+    wanted = dimension(hits.sparkSession, list(pairs), "feature string, partner string")
     left = hits.join(wanted, "feature").select("entity_id", "feature", "partner", "v")
     right = hits.select("entity_id", F.col("feature").alias("partner"), F.col("v").alias("v_partner"))
     return left.join(right, ["entity_id", "partner"]).select(

@@ -96,7 +96,7 @@ def panel_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def panel_scores_wide(spark: SparkSession, d: str) -> DataFrame:
-    wide = panels.add_scores(roles.flags(spark, d), roles.PANELS, flags=("msi_status",))
+    wide = roles.scored_flags(spark, d)
     return panels.select_panel_columns(wide, ["Brand#1", "Brand#99", *roles.SCORES])
 
 
@@ -130,6 +130,11 @@ def interaction_hits(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- labels
 
 
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """Responses written once, for the operators that read them more than once."""
+    return materialise(roles.responses(spark, d), "responses")
+
+
 @query
 def label_threshold(spark: SparkSession, d: str) -> DataFrame:
     return labels.threshold_labels(roles.responses(spark, d), roles.CONFIG.threshold).select("response", "entity_id", "label")
@@ -137,12 +142,12 @@ def label_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def label_quantile(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(labels.quantile_labels(roles.responses(spark, d)).select("response", "entity_id", "cut", "label"), 9, "cut")
+    return rounded(labels.quantile_labels(_responses(spark, d)).select("response", "entity_id", "cut", "label"), 9, "cut")
 
 
 @query
 def label_extreme_quartiles(spark: SparkSession, d: str) -> DataFrame:
-    return labels.extreme_labels(roles.responses(spark, d)).select("response", "entity_id", "label")
+    return labels.extreme_labels(_responses(spark, d)).select("response", "entity_id", "label")
 
 
 @query
@@ -162,7 +167,7 @@ def class_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def response_status(spark: SparkSession, d: str) -> DataFrame:
-    present = roles.present_responses(spark, d)
+    present = materialise(roles.present_responses(spark, d), "responses")
     return labels.response_status(present, roles.hits(spark, d).select("entity_id").distinct(), roles.plan(spark))
 
 
@@ -170,7 +175,7 @@ def response_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hrd(spark: SparkSession, d: str) -> DataFrame:
-    return roles.scores(spark, d).select("entity_id", F.col("hrd_score").alias("score"))
+    return roles.scored_flags(spark, d).select("entity_id", F.col("hrd_score").alias("score"))
 
 
 @query
@@ -235,8 +240,8 @@ def cohens_d(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spearman(spark: SparkSession, d: str, score: str = "hrd_score") -> DataFrame:
-    scores = roles.scores(spark, d).select("entity_id", F.col(score).alias("score"))
-    return assoc.planned_spearman(roles.responses(spark, d), scores, roles.plan(spark))
+    scores = roles.scored_flags(spark, d).select("entity_id", F.col(score).alias("score"))
+    return assoc.planned_spearman(_responses(spark, d), scores, roles.plan(spark))
 
 
 @query
@@ -252,7 +257,7 @@ def spearman_scatter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def subgroup_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    groups = roles.scores(spark, d).select("entity_id", F.col("msi_status").alias("flag"))
+    groups = roles.scored_flags(spark, d).select("entity_id", F.col("msi_status").alias("flag"))
     table = assoc.subgroup_sensitivity(roles.responses(spark, d), groups)
     return rounded(table, 9, "median_member", "median_other", "p_value")
 
@@ -271,8 +276,7 @@ def association_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
-    rows = roles.labelled(spark, d).select("response", "entity_id", "label")
-    return folds.stratified_folds(rows, roles.CONFIG.folds, roles.CONFIG.seed)
+    return roles.folded(spark, d)
 
 
 @query
@@ -320,7 +324,7 @@ def pr_auc(spark: SparkSession, d: str) -> DataFrame:
 
 def _panel_models(spark: SparkSession, d: str) -> DataFrame:
     """Two simple models, a panel score over a constant, scored on every labelled row."""
-    scores = roles.scores(spark, d)
+    scores = roles.scored_flags(spark, d)
     probs = scores.select(
         "entity_id",
         F.explode(
@@ -411,14 +415,6 @@ def lr_cv(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.mean_metrics(per_fold, ["response"]), 6, *metrics.METRICS)
 
 
-def _quartile_design(spark: SparkSession, d: str) -> DataFrame:
-    """Quantile labels with folds, HR flags and the context one-hots."""
-    rows = labels.quantile_labels(roles.responses(spark, d)).select("response", "entity_id", "label")
-    rows = folds.stratified_folds(rows, roles.CONFIG.folds, roles.CONFIG.seed)
-    context = report.context_onehot(roles.entities(spark, d), roles.CONTEXTS)
-    return rows.join(roles.flags(spark, d), "entity_id").join(context, "entity_id")
-
-
 def _scaled_cv(design: DataFrame, features) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fold AUCs, patterns and models of the scaled C=1 regression."""
     patterns = logistic.training_patterns(design, features)
@@ -454,7 +450,7 @@ def _planned_cv(spark: SparkSession, fold_auc: DataFrame, patterns: DataFrame) -
 
 @query
 def per_response_cv_auc(spark: SparkSession, d: str) -> DataFrame:
-    fold_auc, patterns, _ = _scaled_cv(_quartile_design(spark, d), roles.HR)
+    fold_auc, patterns, _ = _scaled_cv(roles.quartile_design(spark, d), roles.HR)
     return rounded(_planned_cv(spark, fold_auc, patterns).drop("response"), 6, "cv_auc_mean", "cv_auc_std")
 
 
@@ -479,7 +475,7 @@ def attribution_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def attribution_best_response(spark: SparkSession, d: str) -> DataFrame:
-    design = materialise(_quartile_design(spark, d), "design")
+    design = roles.quartile_design(spark, d)
     fold_auc, patterns, models = _scaled_cv(design, roles.HR)
     long = design.unpivot(["response", "entity_id", "label"], list(roles.HR), "feature", "v")
     counts = assoc.contrast_counts(
@@ -494,7 +490,7 @@ def attribution_best_response(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def importance_fallback(spark: SparkSession, d: str) -> DataFrame:
-    _, _, models = _scaled_cv(_quartile_design(spark, d), roles.HR)
+    _, _, models = _scaled_cv(roles.quartile_design(spark, d), roles.HR)
     table = attribution.coefficient_importance(attribution.long_coefficients(models, roles.HR, "scaled"))
     return rounded(table, 6, "mean_abs_shap")
 
@@ -563,7 +559,7 @@ BASE_SET, FULL_SET = "flags", "flags + context"
 
 
 def _ablation(spark: SparkSession, d: str) -> DataFrame:
-    design = materialise(_quartile_design(spark, d), "design")
+    design = roles.quartile_design(spark, d)
     context = tuple(f"context_{c}" for c in roles.CONTEXTS)
     runs = []
     for name, features in ((BASE_SET, roles.FULL), (FULL_SET, (*roles.FULL, *context))):

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylens.config import StudyConfig
-from assaylens.operators import folds, labels, panels
-from assaylens.session import dimension
+from assaylens.operators import folds, labels, panels, report
+from assaylens.session import dimension, materialise
 from assaylens.sources import matrices
 
 OFFSET = 12.4
@@ -58,8 +58,12 @@ def response_matrix(spark: SparkSession, folder: str) -> DataFrame:
     prices = (
         table(spark, folder, "orders")
         .groupBy(F.col("o_custkey").alias("entity_id"))
-        .pivot("o_orderpriority", list(RESPONSES))
-        .agg(F.ln(F.avg("o_totalprice")) - OFFSET)
+        .agg(
+            *[
+                (F.ln(F.avg(F.when(F.col("o_orderpriority") == r, F.col("o_totalprice")))) - OFFSET).alias(r)
+                for r in RESPONSES
+            ]
+        )
     )
     return entities(spark, folder).select("entity_id").join(prices, "entity_id", "left")
 
@@ -69,60 +73,78 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     return matrices.to_long(response_matrix(spark, folder), "response", "y", RESPONSES)
 
 
-def hits(spark: SparkSession, folder: str, brands=FULL) -> DataFrame:
-    """Sparse long features: one row for each (entity, brand) hit."""
+def brand_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Wide flags of the entities with at least one line item of a panel brand.
+
+    One aggregation by entity: its partial counts collapse hot entities before the shuffle.
+    """
     part = (
         table(spark, folder, "part")
-        .filter(F.col("p_brand").isin(list(brands)))
+        .filter(F.col("p_brand").isin(list(FULL)))
         .select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     )
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return (
         lines.join(orders, "l_orderkey")
-        .groupBy(F.col("o_custkey").alias("entity_id"), F.col("p_brand").alias("feature"))
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .filter(F.col("lines") >= LINES_FOR_HIT)
-        .select("entity_id", "feature", F.lit(1).alias("v"))
+        .groupBy(F.col("o_custkey").alias("entity_id"))
+        .agg(
+            *[
+                (F.count_if(F.col("p_brand") == brand) >= LINES_FOR_HIT).cast("int").alias(brand)
+                for brand in FULL
+            ]
+        )
     )
 
 
+def hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse long features: one row for each (entity, brand) hit."""
+    cells = matrices.to_long(brand_matrix(spark, folder), "feature", "v", FULL)
+    return cells.filter("v <> 0")
+
+
 def flags(spark: SparkSession, folder: str) -> DataFrame:
     """Dense wide flag matrix of the full panel."""
-    return panels.flag_matrix(entities(spark, folder).select("entity_id"), hits(spark, folder), FULL)
+    everyone = entities(spark, folder).select("entity_id")
+    return everyone.join(brand_matrix(spark, folder), "entity_id", "left").fillna(0, list(FULL))
 
 
-def scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Composite scores of all entities, from the sparse hits."""
-    return panels.composite_scores(
-        entities(spark, folder), hits(spark, folder), PANELS, flags=("msi_status",)
-    )
+def scored_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags and composite scores of all entities."""
+    return panels.add_scores(flags(spark, folder), PANELS, flags=("msi_status",))
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
-    """Sparse long features of the model: flags and composite scores."""
-    flag_rows = hits(spark, folder)
-    composites = panels.composite_scores(
-        flag_rows.select("entity_id").distinct(), flag_rows, PANELS, flags=("msi_status",)
-    )
-    return flag_rows.select("entity_id", "feature", F.col("v").cast("double").alias("v")).unionByName(
-        panels.scores_as_features(composites, SCORES)
-    )
+    """Sparse long features of the model: flags and composite scores, from one aggregation."""
+    scored = panels.add_scores(brand_matrix(spark, folder), PANELS, flags=("msi_status",))
+    return panels.sparse_features(scored, FEATURES)
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """All (entity, response) rows with the fixed-threshold label, gated by class size."""
+    """All (entity, response) rows with the fixed-threshold label, gated by class size; materialised."""
     rows = labels.threshold_labels(responses(spark, folder), CONFIG.threshold)
+    rows = materialise(rows.select("response", "entity_id", "label"), "labels")
     return labels.gate(rows, CONFIG.min_class)
 
 
+def folded(spark: SparkSession, folder: str, splits: dict[str, int] | None = None) -> DataFrame:
+    """Labelled rows with their folds."""
+    return folds.stratified_folds(labelled(spark, folder), splits or {"fold": CONFIG.folds}, CONFIG.seed)
+
+
 def design(spark: SparkSession, folder: str) -> DataFrame:
     """Wide modelling table: labels, outer and inner folds, flags and composite scores."""
-    rows = labelled(spark, folder).select("response", "entity_id", "label")
-    rows = folds.stratified_folds(rows, CONFIG.folds, CONFIG.seed)
-    rows = folds.stratified_folds(rows, CONFIG.inner_folds, CONFIG.seed, "inner_fold")
-    wide = panels.add_scores(flags(spark, folder), PANELS, flags=("msi_status",))
-    return rows.join(wide, "entity_id")
+    rows = folded(spark, folder, {"fold": CONFIG.folds, "inner_fold": CONFIG.inner_folds})
+    return rows.join(scored_flags(spark, folder), "entity_id")
+
+
+def quartile_design(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantile labels with folds, flags and the context one-hots; materialised."""
+    present = materialise(labels.drop_missing(responses(spark, folder)), "responses")
+    rows = materialise(labels.quantile_labels(present).select("response", "entity_id", "label"), "labels")
+    rows = folds.stratified_folds(rows, {"fold": CONFIG.folds}, CONFIG.seed)
+    context = report.context_onehot(entities(spark, folder), CONTEXTS)
+    return materialise(rows.join(flags(spark, folder), "entity_id").join(context, "entity_id"), "design")
 
 
 def plan(spark: SparkSession) -> DataFrame:
