@@ -184,7 +184,7 @@ def spearman(pairs: DataFrame) -> DataFrame:
     counts = materialise(
         pairs.groupBy("response", "score", "y").agg(F.count(F.lit(1)).cast("double").alias("n")), "pairs"
     )
-    margin = counts.groupBy("response", "score").agg(F.sum("n").alias("n"))
+    margin = materialise(counts.groupBy("response", "score").agg(F.sum("n").alias("n")), "score-counts")
     scores = materialise(mid_ranks(margin, ["response"], "score", "n", "score_rank"), "score-ranks")
     by_y = materialise(
         counts.join(scores.select("response", "score", "score_rank"), ["response", "score"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from assaylens.config import BoostingParams
 from assaylens.operators import association as assoc
 from assaylens.operators import attribution, boosting, folds, labels, logistic, metrics, panels, report
-from assaylens.plans import roles
+from assaylens.plans import roles, screen
 from assaylens.session import materialise, new_path
 from assaylens.sources import matrices, results
 
@@ -424,34 +426,15 @@ def _scaled_cv(design: DataFrame, features) -> tuple[DataFrame, DataFrame, DataF
     return metrics.roc_auc(metrics.score_counts(oof, keys, "prob", n="n"), keys), patterns, models
 
 
-def _sizes(patterns: DataFrame) -> DataFrame:
-    return patterns.groupBy("response").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).cast("bigint").alias("n_sensitive")
-    )
-
-
-def _planned_cv(spark: SparkSession, fold_auc: DataFrame, patterns: DataFrame) -> DataFrame:
-    return (
-        roles.plan(spark)
-        .join(_sizes(patterns), "response", "left")
-        .join(metrics.auc_summary(fold_auc, ["response"]), "response", "left")
-        .select(
-            "response_id",
-            "response",
-            "response_name",
-            F.coalesce("n", F.lit(0)).alias("n"),
-            F.coalesce("n_sensitive", F.lit(0)).alias("n_sensitive"),
-            "cv_auc_mean",
-            "cv_auc_std",
-            F.when(F.col("n").isNull(), "response absent").otherwise("").alias("note"),
-        )
+def _score_study(spark: SparkSession, d: str) -> screen.ScoreStudy:
+    return screen.run_score_study(
+        roles.responses(spark, d), roles.flags(spark, d), roles.plan(spark), roles.HR, roles.CONFIG.seed
     )
 
 
 @query
 def per_response_cv_auc(spark: SparkSession, d: str) -> DataFrame:
-    fold_auc, patterns, _ = _scaled_cv(roles.quartile_design(spark, d), roles.HR)
-    return rounded(_planned_cv(spark, fold_auc, patterns).drop("response"), 6, "cv_auc_mean", "cv_auc_std")
+    return rounded(_score_study(spark, d).cv.drop("response"), 6, "cv_auc_mean", "cv_auc_std")
 
 
 # ---------------------------------------------------------------- attribution
@@ -475,17 +458,7 @@ def attribution_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def attribution_best_response(spark: SparkSession, d: str) -> DataFrame:
-    design = roles.quartile_design(spark, d)
-    fold_auc, patterns, models = _scaled_cv(design, roles.HR)
-    long = design.unpivot(["response", "entity_id", "label"], list(roles.HR), "feature", "v")
-    counts = assoc.contrast_counts(
-        design.select("response", "entity_id", "label"),
-        long.filter("v <> 0").select("entity_id", "feature", "v").distinct(),
-        roles.HR,
-    )
-    table = attribution.linear_attribution(counts, attribution.long_coefficients(models, roles.HR))
-    best = attribution.attribution_on_best(_planned_cv(spark, fold_auc, patterns), table)
-    return rounded(best, 6, "mean_abs_shap", "mean_signed_shap")
+    return rounded(_score_study(spark, d).attribution, 6, "mean_abs_shap", "mean_signed_shap")
 
 
 @query
@@ -547,6 +520,17 @@ def tree_importance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(attribution.tree_importance(spark, models, roles.FEATURES), 6, "mean_abs_shap")
 
 
+def _screen(spark: SparkSession, d: str) -> screen.Screen:
+    config = replace(roles.CONFIG, boosting=CONTRACT_TREES)
+    return screen.run_screen(roles.responses(spark, d), roles.flags(spark, d), config)
+
+
+@query
+def screen_summary(spark: SparkSession, d: str) -> DataFrame:
+    table = _screen(spark, d).summary
+    return rounded(table, 6, "mean_abs_shap", "p_value", "p_adjusted", "cohens_d", "abs_cohens_d")
+
+
 # ---------------------------------------------------------------- context and reports
 
 
@@ -560,13 +544,14 @@ BASE_SET, FULL_SET = "flags", "flags + context"
 
 def _ablation(spark: SparkSession, d: str) -> DataFrame:
     design = roles.quartile_design(spark, d)
+    sizes = labels.class_balance(design).select("response", "n", "n_sensitive").join(roles.plan(spark), "response")
     context = tuple(f"context_{c}" for c in roles.CONTEXTS)
     runs = []
     for name, features in ((BASE_SET, roles.FULL), (FULL_SET, (*roles.FULL, *context))):
-        fold_auc, patterns, _ = _scaled_cv(design, features)
-        runs.append(_planned_cv(spark, fold_auc, patterns).withColumn("feature_set", F.lit(name)))
+        fold_auc, _, _ = _scaled_cv(design, features)
+        runs.append(metrics.auc_summary(fold_auc, ["response"]).withColumn("feature_set", F.lit(name)))
     keys = ["response_id", "response_name", "n", "n_sensitive"]
-    return report.ablation(runs[0].unionByName(runs[1]).filter("note = ''"), keys, BASE_SET, FULL_SET)
+    return report.ablation(runs[0].unionByName(runs[1]).join(sizes, "response"), keys, BASE_SET, FULL_SET)
 
 
 @query

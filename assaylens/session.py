@@ -60,10 +60,12 @@ def drop_materialised(spark: SparkSession) -> None:
 
 
 def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A broadcast dimension made of *rows*, refused above ``DIMENSION_ROWS`` rows."""
-    if len(rows) > DIMENSION_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many for a dimension; write a table")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """A small table made of *rows*, broadcast up to ``DIMENSION_ROWS`` rows.
+
+    Above that there is no hint, and the join is planned by size as any other.
+    """
+    table = spark.createDataFrame(list(rows), schema)
+    return F.broadcast(table) if len(rows) <= DIMENSION_ROWS else table
 
 
 _shipped: set[str] = set()
