@@ -92,17 +92,21 @@ def require_responses(responses: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"responses not found: {', '.join(unknown)}")
 
 
-def response_status(responses: DataFrame, entities: DataFrame, plan: DataFrame) -> DataFrame:
+def joined_responses(responses: DataFrame, entities: DataFrame) -> DataFrame:
+    """Present responses of the entities that the features know; materialised."""
+    known = entities.select("entity_id")
+    return materialise(drop_missing(responses).join(known, "entity_id", "left_semi"), "joined")
+
+
+def response_status(responses: DataFrame, labelled: DataFrame, plan: DataFrame) -> DataFrame:
     """One row for every planned response, with the reason why it cannot be analysed.
 
-    *plan* is ``(response_id, response, response_name)``. The note follows the order: not in
-    the table, nothing joined, too few rows, too few of one class, usable (empty note).
+    *plan* is ``(response_id, response, response_name)`` and *labelled* the quantile labels of
+    the joined responses. The note follows the order: not in the table, nothing joined, too
+    few rows, too few of one class, usable (empty note).
     """
     listed = responses.select("response").distinct().withColumn("listed", F.lit(True))
-    joined = materialise(
-        drop_missing(responses).join(entities.select("entity_id"), "entity_id", "left_semi"), "joined"
-    )
-    sizes = quantile_labels(joined).groupBy("response").agg(
+    sizes = labelled.groupBy("response").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_low")
     )
     n, low = F.coalesce("n", F.lit(0)), F.coalesce("n_low", F.lit(0))
@@ -119,6 +123,7 @@ def response_status(responses: DataFrame, entities: DataFrame, plan: DataFrame)
         .join(sizes, "response", "left")
         .select(
             "response_id",
+            "response",
             "response_name",
             n.cast("bigint").alias("n"),
             F.when(enough, low).otherwise(F.lit(0)).cast("bigint").alias("n_sensitive"),

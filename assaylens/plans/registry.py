@@ -170,7 +170,9 @@ def class_gate(spark: SparkSession, d: str) -> DataFrame:
 @query
 def response_status(spark: SparkSession, d: str) -> DataFrame:
     present = materialise(roles.present_responses(spark, d), "responses")
-    return labels.response_status(present, roles.hits(spark, d).select("entity_id").distinct(), roles.plan(spark))
+    joined = labels.joined_responses(present, roles.hits(spark, d))
+    rows = labels.quantile_labels(joined)
+    return labels.response_status(present, rows, roles.plan(spark)).drop("response")
 
 
 # ---------------------------------------------------------------- scores
@@ -417,24 +419,14 @@ def lr_cv(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.mean_metrics(per_fold, ["response"]), 6, *metrics.METRICS)
 
 
-def _scaled_cv(design: DataFrame, features) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fold AUCs, patterns and models of the scaled C=1 regression."""
-    patterns = logistic.training_patterns(design, features)
-    scales = logistic.scale_vectors(patterns, features)
-    oof, models = logistic.cross_validate(patterns, len(features) + 1, [1.0], scales)
-    keys = ["response", "fold"]
-    return metrics.roc_auc(metrics.score_counts(oof, keys, "prob", n="n"), keys), patterns, models
-
-
-def _score_study(spark: SparkSession, d: str) -> screen.ScoreStudy:
-    return screen.run_score_study(
-        roles.responses(spark, d), roles.flags(spark, d), roles.plan(spark), roles.HR, roles.CONFIG.seed
-    )
+def _panel_cv(spark: SparkSession, d: str) -> tuple[screen.PanelCv, DataFrame]:
+    flags = materialise(roles.flags(spark, d), "flags")
+    return screen.cross_validate_panel(_responses(spark, d), flags, roles.plan(spark), roles.HR, roles.CONFIG.seed), flags
 
 
 @query
 def per_response_cv_auc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_score_study(spark, d).cv.drop("response"), 6, "cv_auc_mean", "cv_auc_std")
+    return rounded(_panel_cv(spark, d)[0].cv.drop("response"), 6, "cv_auc_mean", "cv_auc_std")
 
 
 # ---------------------------------------------------------------- attribution
@@ -458,12 +450,13 @@ def attribution_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def attribution_best_response(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_score_study(spark, d).attribution, 6, "mean_abs_shap", "mean_signed_shap")
+    study, flags = _panel_cv(spark, d)
+    return rounded(screen.attribute_best(study, flags, roles.HR), 6, "mean_abs_shap", "mean_signed_shap")
 
 
 @query
 def importance_fallback(spark: SparkSession, d: str) -> DataFrame:
-    _, _, models = _scaled_cv(roles.quartile_design(spark, d), roles.HR)
+    _, models = screen.scaled_cv(roles.quartile_design(spark, d), roles.HR)
     table = attribution.coefficient_importance(attribution.long_coefficients(models, roles.HR, "scaled"))
     return rounded(table, 6, "mean_abs_shap")
 
@@ -521,7 +514,7 @@ def tree_importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _screen(spark: SparkSession, d: str) -> screen.Screen:
-    config = replace(roles.CONFIG, boosting=CONTRACT_TREES)
+    config = replace(roles.CONFIG, boosting=BoostingParams(trees=10))
     return screen.run_screen(roles.responses(spark, d), roles.flags(spark, d), config)
 
 
@@ -548,7 +541,7 @@ def _ablation(spark: SparkSession, d: str) -> DataFrame:
     context = tuple(f"context_{c}" for c in roles.CONTEXTS)
     runs = []
     for name, features in ((BASE_SET, roles.FULL), (FULL_SET, (*roles.FULL, *context))):
-        fold_auc, _, _ = _scaled_cv(design, features)
+        fold_auc, _ = screen.scaled_cv(design, features)
         runs.append(metrics.auc_summary(fold_auc, ["response"]).withColumn("feature_set", F.lit(name)))
     keys = ["response_id", "response_name", "n", "n_sensitive"]
     return report.ablation(runs[0].unionByName(runs[1]).join(sizes, "response"), keys, BASE_SET, FULL_SET)

@@ -148,6 +148,52 @@ def evaluate_results(spark, folder: str) -> dict[str, DataFrame]:
     }
 
 
+@dataclass(frozen=True)
+class PanelCv:
+    """Quartile-label cross-validation of a flag panel."""
+
+    cv: DataFrame
+    design: DataFrame
+    models: DataFrame
+
+
+def cross_validate_panel(
+    responses: DataFrame, flags: DataFrame, plan: DataFrame, panel: Sequence[str], seed: int = 42, k: int = 5
+) -> PanelCv:
+    """Fold AUCs of the scaled regression on the panel for every planned response.
+
+    Responses without enough rows or classes keep a status row and are not modelled.
+    *responses* and *flags* are materialised.
+    """
+    joined = labels.joined_responses(responses, flags)
+    rows = materialise(labels.quantile_labels(joined).select("response", "entity_id", "label"), "labels")
+    status = materialise(labels.response_status(responses, rows, plan), "status")
+    usable = rows.join(status.filter("note = ''").select("response"), "response", "left_semi")
+    folded = folds.stratified_folds(usable, {"fold": k}, seed)
+    design = materialise(folded.join(flags.select("entity_id", *panel), "entity_id"), "design")
+    fold_auc, models = scaled_cv(design, panel)
+    cv = status.join(metrics.auc_summary(fold_auc, ["response"]), "response", "left").select(
+        "response_id", "response", "response_name", "n", "n_sensitive", "cv_auc_mean", "cv_auc_std", "note"
+    )
+    return PanelCv(cv, design, models)
+
+
+def scaled_cv(design: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Fold AUCs and models of the C=1 regression, features scaled inside each training fold."""
+    patterns = logistic.training_patterns(design, features)
+    scales = logistic.scale_vectors(patterns, features)
+    oof, models = logistic.cross_validate(patterns, len(features) + 1, [1.0], scales)
+    keys = ["response", "fold"]
+    return metrics.roc_auc(metrics.score_counts(oof, keys, "prob", n="n"), keys), models
+
+
+def attribute_best(study: PanelCv, flags: DataFrame, panel: Sequence[str]) -> DataFrame:
+    """Linear attributions of the response with the highest mean AUC."""
+    counts = assoc.contrast_counts(study.design, panels.sparse_features(flags, panel), panel)
+    linear = attribution.linear_attribution(counts, attribution.long_coefficients(study.models, panel))
+    return attribution.attribution_on_best(study.cv, linear)
+
+
 @dataclass(frozen=True)
 class ScoreStudy:
     """Results of the panel-score study."""
@@ -160,54 +206,25 @@ class ScoreStudy:
     lines: DataFrame
 
 
-def planned_cv(plan: DataFrame, responses: DataFrame, fold_auc: DataFrame, status: DataFrame) -> DataFrame:
-    """Mean and spread of the fold AUCs for every planned response, with its status note."""
-    return (
-        status.join(plan.select("response_id", "response"), "response_id")
-        .join(metrics.auc_summary(fold_auc, ["response"]), "response", "left")
-        .select(
-            "response_id", "response", "response_name", "n", "n_sensitive", "cv_auc_mean", "cv_auc_std", "note"
-        )
-    )
-
-
 def run_score_study(
     responses: DataFrame, flags: DataFrame, plan: DataFrame, panel: Sequence[str], seed: int = 42, k: int = 5
 ) -> ScoreStudy:
     """Panel score against response: correlations, quartile-label CV and attribution on the best.
 
-    *plan* is ``(response_id, response, response_name)``; responses without enough rows keep a
-    status row and are not modelled.
+    *plan* is ``(response_id, response, response_name)``. Panel features that the flag matrix
+    lacks are listed and left out.
     """
     present = [f for f in panel if f in flags.columns]
-    flags = materialise(flags.select("entity_id", *[F.col(f"`{f}`") for f in present]), "flags")
+    flags = materialise(panels.select_panel_columns(flags, present), "flags")
     responses = materialise(responses, "responses")
-    hits = panels.sparse_features(flags, present)
     scores = panels.add_scores(flags, {"score": present}).select("entity_id", "score")
     correlations = materialise(assoc.planned_spearman(responses, scores, plan), "correlations")
-    status = materialise(labels.response_status(responses, flags, plan), "status")
-    usable = status.filter("note = ''").join(plan.select("response_id", "response"), "response_id").select("response")
-    joined = materialise(
-        labels.drop_missing(responses)
-        .join(flags.select("entity_id"), "entity_id", "left_semi")
-        .join(usable, "response", "left_semi"),
-        "joined",
-    )
-    rows = materialise(labels.quantile_labels(joined).select("response", "entity_id", "label"), "labels")
-    design = materialise(folds.stratified_folds(rows, {"fold": k}, seed).join(flags, "entity_id"), "design")
-    patterns = logistic.training_patterns(design, present)
-    scales = logistic.scale_vectors(patterns, present)
-    oof, models = logistic.cross_validate(patterns, len(present) + 1, [1.0], scales)
-    keys = ["response", "fold"]
-    fold_auc = metrics.roc_auc(metrics.score_counts(oof, keys, "prob", n="n"), keys)
-    cv = materialise(planned_cv(plan, responses, fold_auc, status), "cv")
-    counts = assoc.contrast_counts(design, hits, present)
-    linear = attribution.linear_attribution(counts, attribution.long_coefficients(models, present))
+    study = cross_validate_panel(responses, flags, plan, present, seed, k)
     return ScoreStudy(
-        missing=panels.missing_features(hits, panel),
+        missing=panels.missing_features(panels.sparse_features(flags, present), panel),
         correlations=correlations,
         scatter=labels.drop_missing(responses).join(scores, "entity_id").select("response", "entity_id", "score", "y"),
-        cv=cv,
-        attribution=attribution.attribution_on_best(cv, linear),
+        cv=study.cv,
+        attribution=attribute_best(study, flags, present),
         lines=report.score_lines(scores, correlations.filter("note = ''")),
     )
