@@ -48,10 +48,11 @@ def running(
 
     *df* holds one row for each (keys, order) and should be a materialised table, since it
     is read more than once. *aggs* maps an output column to (sum | min | max, column).
+    *largest* is an upper bound of the group size, when one is known.
     """
     keys = list(keys)
     limit = group_rows(df.sparkSession)
-    if largest is None:
+    if largest is None or largest > limit:
         largest = largest_group(df, keys)
     by = F.col(order).desc() if descending else F.col(order).asc()
     if largest <= limit:
@@ -127,9 +128,10 @@ def average_rank(
 ) -> DataFrame:
     """Average-tie rank of every row of the materialised *df* within its group."""
     keys = list(keys)
-    if largest is None:
+    limit = group_rows(df.sparkSession)
+    if largest is None or largest > limit:
         largest = largest_group(df, keys)
-    if largest <= group_rows(df.sparkSession):
+    if largest <= limit:
         by = F.col(value).desc() if descending else F.col(value).asc()
         first = F.rank().over(Window.partitionBy(*keys).orderBy(by))
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))

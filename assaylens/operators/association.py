@@ -16,7 +16,7 @@ from assaylens.functions.ordered import (
 )
 from assaylens.functions.tails import correlation_p_value, rank_sum_p_value
 from assaylens.operators.labels import drop_missing
-from assaylens.session import materialise
+from assaylens.session import materialise, materialise_counted
 
 PAIR = ["response", "feature"]
 
@@ -58,7 +58,22 @@ def contrast_counts(labelled: DataFrame, features: DataFrame, panel: Sequence[st
     return materialise(stored.unionByName(zeros), "contrast")
 
 
-def rank_sum(counts: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+def counts_from_patterns(patterns: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The same counts from collapsed ``(response, label, n, x)`` rows; materialised."""
+    names = F.array(*[F.lit(f) for f in features])
+    cells = patterns.select(
+        "response", "label", "n", F.explode(F.arrays_zip(names.alias("feature"), F.col("x").alias("v"))).alias("e")
+    )
+    return materialise(
+        cells.groupBy("response", F.col("e.feature").alias("feature"), F.col("e.v").alias("v")).agg(
+            F.sum(F.col("n") * F.col("label")).cast("double").alias("n1"),
+            F.sum(F.col("n") * (1 - F.col("label"))).cast("double").alias("n0"),
+        ),
+        "contrast",
+    )
+
+
+def rank_sum(counts: DataFrame, keys: Sequence[str], value: str = "v", largest: int | None = None) -> DataFrame:
     """Two-sided Mann-Whitney test of class 1 against class 0 for each group of *keys*.
 
     *counts* is materialised with one row for each (keys, value) and the class sizes ``n1``
@@ -66,7 +81,7 @@ def rank_sum(counts: DataFrame, keys: Sequence[str], value: str = "v") -> DataFr
     """
     keys = list(keys)
     sized = counts.withColumn("t", F.col("n1") + F.col("n0"))
-    ranked = mid_ranks(sized, keys, value, "t", "rank")
+    ranked = mid_ranks(sized, keys, value, "t", "rank", largest=largest)
     sums = ranked.groupBy(*keys).agg(
         F.sum("n1").alias("size1"),
         F.sum("n0").alias("size0"),
@@ -90,7 +105,9 @@ def rank_sum(counts: DataFrame, keys: Sequence[str], value: str = "v") -> DataFr
     )
 
 
-def adjust_fdr(tests: DataFrame, family: Sequence[str] = ("response",), p: str = "p_value") -> DataFrame:
+def adjust_fdr(
+    tests: DataFrame, family: Sequence[str] = ("response",), p: str = "p_value", largest: int | None = None
+) -> DataFrame:
     """Benjamini-Hochberg ``p_adjusted`` within each family of the materialised *tests*.
 
     Equal p-values share one adjusted value, so the ordering runs over distinct p-values; a
@@ -99,7 +116,8 @@ def adjust_fdr(tests: DataFrame, family: Sequence[str] = ("response",), p: str =
     family = list(family)
     counts = tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
     sizes = tests.groupBy(*family).agg(F.count(F.lit(1)).alias("_size"))
-    largest = largest_group(counts, family)
+    if largest is None:
+        largest = largest_group(counts, family)
     upto = running(counts, family, p, {"_cum": ("sum", "_n")}, largest=largest)
     raw = upto.join(sizes, family).withColumn(
         "_raw", F.least(F.lit(1.0), F.col(p) * F.col("_size") / F.col("_cum"))
@@ -114,8 +132,8 @@ def statistical_tests(labelled: DataFrame, features: DataFrame, panel: Sequence[
 
 
 def tests_from_counts(counts: DataFrame) -> DataFrame:
-    tests = materialise(rank_sum(counts, PAIR), "tests")
-    return adjust_fdr(tests).select(*PAIR, "u_statistic", "p_value", "p_adjusted")
+    tests, rows = materialise_counted(rank_sum(counts, PAIR), "tests")
+    return adjust_fdr(tests, largest=rows).select(*PAIR, "u_statistic", "p_value", "p_adjusted")
 
 
 def significant_counts(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -184,15 +202,17 @@ def spearman(pairs: DataFrame) -> DataFrame:
     counts = materialise(
         pairs.groupBy("response", "score", "y").agg(F.count(F.lit(1)).cast("double").alias("n")), "pairs"
     )
-    margin = materialise(counts.groupBy("response", "score").agg(F.sum("n").alias("n")), "score-counts")
-    scores = materialise(mid_ranks(margin, ["response"], "score", "n", "score_rank"), "score-ranks")
-    by_y = materialise(
+    margin, levels = materialise_counted(
+        counts.groupBy("response", "score").agg(F.sum("n").alias("n")), "score-counts"
+    )
+    scores = materialise(mid_ranks(margin, ["response"], "score", "n", "score_rank", largest=levels), "score-ranks")
+    by_y, values = materialise_counted(
         counts.join(scores.select("response", "score", "score_rank"), ["response", "score"])
         .groupBy("response", "y")
         .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score_rank")).alias("score_ranks")),
         "y-ranks",
     )
-    ranked = mid_ranks(by_y, ["response"], "y", "n", "y_rank")
+    ranked = mid_ranks(by_y, ["response"], "y", "n", "y_rank", largest=values)
     sides = (
         ranked.groupBy("response")
         .agg(
@@ -244,7 +264,7 @@ def subgroup_sensitivity(responses: DataFrame, groups: DataFrame) -> DataFrame:
 
     *groups* is ``(entity_id, flag)``. Gives both sizes, both medians and the rank-sum p.
     """
-    counts = materialise(
+    counts, rows = materialise_counted(
         drop_missing(responses)
         .join(groups.select("entity_id", "flag"), "entity_id")
         .groupBy("response", "y")
@@ -257,7 +277,7 @@ def subgroup_sensitivity(responses: DataFrame, groups: DataFrame) -> DataFrame:
     sides = materialise(
         counts.unpivot(["response", "y"], ["n1", "n0"], "side", "n").filter("n > 0"), "sides"
     )
-    medians = quantiles(sides, ["response", "side"], "y", "n", {"median": 0.5})
+    medians = quantiles(sides, ["response", "side"], "y", "n", {"median": 0.5}, rows)
     sizes = sides.groupBy("response", "side").agg(F.sum("n").alias("n"))
     wide = (
         medians.join(sizes, ["response", "side"])
@@ -273,7 +293,7 @@ def subgroup_sensitivity(responses: DataFrame, groups: DataFrame) -> DataFrame:
             ],
         )
     )
-    tests = rank_sum(counts, ["response"], "y").select("response", "u_statistic", "p_value")
+    tests = rank_sum(counts, ["response"], "y", rows).select("response", "u_statistic", "p_value")
     return wide.join(tests, "response")
 
 
@@ -285,8 +305,7 @@ def biomarker_summary(attribution: DataFrame, tests: DataFrame, effects: DataFra
         .join(effects.select(*PAIR, "cohens_d", "abs_cohens_d"), PAIR, "full_outer")
         .fillna({"mean_abs_shap": 0.0, "p_adjusted": 1.0, "abs_cohens_d": 0.0})
     )
-    evidence = materialise(merged, "evidence")
-    largest = largest_group(evidence, ["response"])
+    evidence, largest = materialise_counted(merged, "evidence")
     ranked = average_rank(evidence, ["response"], "mean_abs_shap", "shap_rank", True, largest)
     ranked = average_rank(ranked, ["response"], "p_adjusted", "pval_rank", False, largest)
     ranked = average_rank(ranked, ["response"], "abs_cohens_d", "effect_rank", True, largest)

@@ -41,15 +41,10 @@ def stratified_folds(labelled: DataFrame, splits: dict[str, int], seed: int) ->
     )
 
 
-def class_counts(folded: DataFrame, fold: str = "fold", n: str | None = None) -> DataFrame:
+def class_counts(folded: DataFrame, fold: str = "fold") -> DataFrame:
     """Training-set class sizes for every held-out fold, from one small aggregation."""
-    size = F.count(F.lit(1)) if n is None else F.sum(n)
     cells = folded.groupBy("response", fold).agg(
-        *[
-            F.sum(F.when(F.col("label") == c, F.lit(1) if n is None else F.col(n)).otherwise(0)).alias(f"c{c}")
-            for c in (0, 1)
-        ],
-        size.alias("c"),
+        *[F.count_if(F.col("label") == c).alias(f"c{c}") for c in (0, 1)], F.count(F.lit(1)).alias("c")
     )
     whole = Window.partitionBy("response")
     return cells.select(
@@ -77,20 +72,19 @@ def balanced_weights(folded: DataFrame) -> DataFrame:
     )
 
 
-def fold_scales(design: DataFrame, features: Sequence[str], n: str | None = None) -> DataFrame:
+def fold_scales(design: DataFrame, features: Sequence[str]) -> DataFrame:
     """Population standard deviation of each feature over the training rows of each fold.
 
     Sums are kept for the held-out parts only and subtracted from the totals; a constant
     feature gets scale 1.
     """
-    weight = F.lit(1.0) if n is None else F.col(n).cast("double")
-    long = design.select("response", "fold", weight.alias("w"), *[F.col(f).cast("double") for f in features]).unpivot(
-        ["response", "fold", "w"], list(features), "feature", "v"
+    long = design.select("response", "fold", *[F.col(f"`{f}`").cast("double").alias(f) for f in features]).unpivot(
+        ["response", "fold"], list(features), "feature", "v"
     )
     cells = long.groupBy("response", "fold", "feature").agg(
-        F.sum("w").alias("n"),
-        F.sum(F.col("w") * F.col("v")).alias("s"),
-        F.sum(F.col("w") * F.col("v") * F.col("v")).alias("ss"),
+        F.count("v").alias("n"),
+        F.sum("v").alias("s"),
+        F.sum(F.col("v") * F.col("v")).alias("ss"),
     )
     whole = Window.partitionBy("response", "feature")
     rest = cells.select(
@@ -109,5 +103,5 @@ def fold_scales(design: DataFrame, features: Sequence[str], n: str | None = None
         "fold",
         "feature",
         scale.alias("scale"),
-        (F.try_divide("held_s", "held_n") / scale).alias("mean_scaled_held_out"),
+        (F.col("held_s") / F.col("held_n") / scale).alias("mean_scaled_held_out"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylens.functions.ordered import quantiles
-from assaylens.session import dimension, materialise
+from assaylens.session import dimension, materialise, materialise_counted
 
 ENOUGH_ROWS = 40
 ENOUGH_OF_CLASS = 5
@@ -27,8 +27,10 @@ def threshold_labels(responses: DataFrame, threshold: float) -> DataFrame:
 def response_quantiles(responses: DataFrame, fractions: dict[str, float]) -> DataFrame:
     """Exact quantiles of each response's present values."""
     present = drop_missing(responses)
-    counts = materialise(present.groupBy("response", "y").agg(F.count(F.lit(1)).alias("n")), "y-counts")
-    return quantiles(counts, ["response"], "y", "n", fractions)
+    counts, rows = materialise_counted(
+        present.groupBy("response", "y").agg(F.count(F.lit(1)).alias("n")), "y-counts"
+    )
+    return quantiles(counts, ["response"], "y", "n", fractions, rows)
 
 
 def quantile_labels(responses: DataFrame, fraction: float = 0.25) -> DataFrame:

@@ -10,14 +10,13 @@ Objective: 1/2 |beta|^2 + C * sum(weight * log-loss), the intercept not penalise
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylens.operators.folds import fold_scales
 from assaylens.operators.metrics import roc_auc, score_counts
 from assaylens.session import dimension, materialise
 
@@ -43,7 +42,6 @@ class Fit:
     previous: np.ndarray | None = None
     loss: float = float("inf")
     done: bool = False
-    key: dict = field(default_factory=dict)
 
 
 def training_patterns(design: DataFrame, features: Sequence[str], splits: Sequence[str] = ("fold",)) -> DataFrame:
@@ -127,15 +125,18 @@ def _pass_over(state, splits: list[str], width: int):
     return run
 
 
-def _class_sizes(patterns: DataFrame, split: str) -> dict[str, dict[int, np.ndarray]]:
-    cells = patterns.groupBy("response", split).agg(
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"),
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"),
-    )
-    sizes: dict[str, dict[int, np.ndarray]] = {}
-    for row in cells.collect():
-        sizes.setdefault(row.response, {})[row[split]] = np.array([row.n0, row.n1], dtype=float)
-    return sizes
+def _fold_moments(patterns: DataFrame, split: str, width: int, scaled: bool) -> dict[str, dict[int, np.ndarray]]:
+    """Class sizes of each (response, fold) and, if *scaled*, sums and squares of each feature."""
+    parts = [
+        F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).cast("double").alias(f"n{c}") for c in (0, 1)
+    ]
+    for j in range(width - 1 if scaled else 0):
+        x = F.col("x")[j]
+        parts += [F.sum(F.col("n") * x).alias(f"s{j}"), F.sum(F.col("n") * x * x).alias(f"q{j}")]
+    moments: dict[str, dict[int, np.ndarray]] = {}
+    for response, fold, *values in patterns.groupBy("response", split).agg(*parts).collect():
+        moments.setdefault(response, {})[fold] = np.array(values, dtype=float)
+    return moments
 
 
 def _balanced(sizes: np.ndarray) -> tuple[float, float]:
@@ -143,27 +144,39 @@ def _balanced(sizes: np.ndarray) -> tuple[float, float]:
     return tuple(total / (2 * c) if c > 0 else 0.0 for c in sizes)
 
 
+def _scales(train: np.ndarray, width: int) -> np.ndarray:
+    """Population standard deviations, 1 for the intercept and for constant features."""
+    scale = np.ones(width)
+    if len(train) > 2:
+        n = train[0] + train[1]
+        variance = train[3::2] / n - (train[2::2] / n) ** 2
+        scale[1:] = np.where(variance > 0, np.sqrt(np.maximum(variance, 0.0)), 1.0)
+    return scale
+
+
 def plan_fits(
     patterns: DataFrame,
     split: str,
     width: int,
     cs: Sequence[float] | dict[str, float],
     whole: bool = False,
-    scales: dict[tuple[str, int], np.ndarray] | None = None,
+    scaled: bool = False,
 ) -> list[Fit]:
     """One fit for each response, C and held-out fold; with *whole* also one on all rows.
 
-    *cs* is the grid, or the chosen C of each response.
+    *cs* is the grid, or the chosen C of each response. With *scaled* the features are divided
+    by their standard deviation over the training rows.
     """
     fits = []
-    for response, folds in sorted(_class_sizes(patterns, split).items()):
+    for response, folds in sorted(_fold_moments(patterns, split, width, scaled).items()):
         total = sum(folds.values())
         grid = [cs[response]] if isinstance(cs, dict) else list(cs)
         for c in grid:
             for held_out in [*sorted(folds), *([ALL_ROWS] if whole else [])]:
                 train = total if held_out == ALL_ROWS else total - folds[held_out]
-                scale = np.ones(width) if scales is None else scales[(response, held_out)]
-                fits.append(Fit(response, split, held_out, c, _balanced(train), scale, np.zeros(width)))
+                fits.append(
+                    Fit(response, split, held_out, c, _balanced(train[:2]), _scales(train, width), np.zeros(width))
+                )
     return fits
 
 
@@ -219,32 +232,12 @@ def select_c(grid_auc: DataFrame) -> DataFrame:
 
 
 def cross_validate(
-    patterns: DataFrame,
-    width: int,
-    cs: Sequence[float] | dict[str, float],
-    scales: dict[tuple[str, int], np.ndarray] | None = None,
+    patterns: DataFrame, width: int, cs: Sequence[float] | dict[str, float], scaled: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Fit all held-out folds and the whole data.
 
     Returns the held-out predictions on the patterns and the coefficient table.
     """
-    fits = fit_many(patterns, ["fold"], plan_fits(patterns, "fold", width, cs, True, scales), width)
+    fits = fit_many(patterns, ["fold"], plan_fits(patterns, "fold", width, cs, True, scaled), width)
     models = coefficient_table(patterns.sparkSession, fits)
     return predict(patterns, models, "fold"), models
-
-
-def scale_vectors(patterns: DataFrame, features: Sequence[str]) -> dict[tuple[str, int], np.ndarray]:
-    """Training-fold scales as vectors by (response, held-out fold), with the whole data too."""
-    spread = patterns.select(
-        "response", "fold", "n", *[F.col("x")[i].alias(f) for i, f in enumerate(features)]
-    )
-    # a held-out fold that holds nothing stands for the fit on all rows
-    whole = spread.select(
-        "response", F.lit(ALL_ROWS).alias("fold"), F.lit(0).alias("n"), *[F.col(f"`{f}`") for f in features]
-    ).dropDuplicates(["response"])
-    table = fold_scales(spread.unionByName(whole), features, n="n").select("response", "fold", "feature", "scale")
-    place = {f: i + 1 for i, f in enumerate(features)}
-    vectors: dict[tuple[str, int], np.ndarray] = {}
-    for row in table.collect():
-        vectors.setdefault((row.response, row.fold), np.ones(len(place) + 1))[place[row.feature]] = row.scale
-    return vectors

@@ -419,14 +419,15 @@ def lr_cv(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.mean_metrics(per_fold, ["response"]), 6, *metrics.METRICS)
 
 
-def _panel_cv(spark: SparkSession, d: str) -> tuple[screen.PanelCv, DataFrame]:
-    flags = materialise(roles.flags(spark, d), "flags")
-    return screen.cross_validate_panel(_responses(spark, d), flags, roles.plan(spark), roles.HR, roles.CONFIG.seed), flags
+def _panel_cv(spark: SparkSession, d: str) -> screen.PanelCv:
+    return screen.cross_validate_panel(
+        _responses(spark, d), materialise(roles.flags(spark, d), "flags"), roles.plan(spark), roles.HR, roles.CONFIG.seed
+    )
 
 
 @query
 def per_response_cv_auc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_panel_cv(spark, d)[0].cv.drop("response"), 6, "cv_auc_mean", "cv_auc_std")
+    return rounded(_panel_cv(spark, d).cv.drop("response"), 6, "cv_auc_mean", "cv_auc_std")
 
 
 # ---------------------------------------------------------------- attribution
@@ -450,13 +451,12 @@ def attribution_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def attribution_best_response(spark: SparkSession, d: str) -> DataFrame:
-    study, flags = _panel_cv(spark, d)
-    return rounded(screen.attribute_best(study, flags, roles.HR), 6, "mean_abs_shap", "mean_signed_shap")
+    return rounded(screen.attribute_best(_panel_cv(spark, d), roles.HR), 6, "mean_abs_shap", "mean_signed_shap")
 
 
 @query
 def importance_fallback(spark: SparkSession, d: str) -> DataFrame:
-    _, models = screen.scaled_cv(roles.quartile_design(spark, d), roles.HR)
+    _, _, models = screen.scaled_cv(roles.quartile_design(spark, d), roles.HR)
     table = attribution.coefficient_importance(attribution.long_coefficients(models, roles.HR, "scaled"))
     return rounded(table, 6, "mean_abs_shap")
 
@@ -541,7 +541,7 @@ def _ablation(spark: SparkSession, d: str) -> DataFrame:
     context = tuple(f"context_{c}" for c in roles.CONTEXTS)
     runs = []
     for name, features in ((BASE_SET, roles.FULL), (FULL_SET, (*roles.FULL, *context))):
-        fold_auc, _ = screen.scaled_cv(design, features)
+        fold_auc, _, _ = screen.scaled_cv(design, features)
         runs.append(metrics.auc_summary(fold_auc, ["response"]).withColumn("feature_set", F.lit(name)))
     keys = ["response_id", "response_name", "n", "n_sensitive"]
     return report.ablation(runs[0].unionByName(runs[1]).join(sizes, "response"), keys, BASE_SET, FULL_SET)

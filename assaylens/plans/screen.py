@@ -71,8 +71,7 @@ def run_screen(
     width = len(features) + 1
     held_out, attributions, refit = [], [], []
     keep = ["response", "model", "entity_id", "fold", "label", "prob"]
-    long = panels.sparse_features(design.dropDuplicates(["entity_id"]), features)
-    counts = assoc.contrast_counts(design, long, features)
+    counts = assoc.counts_from_patterns(patterns, features)
 
     if LR in models:
         grid = logistic.inner_cv(patterns, "inner_fold", width, config.c_values)
@@ -153,7 +152,7 @@ class PanelCv:
     """Quartile-label cross-validation of a flag panel."""
 
     cv: DataFrame
-    design: DataFrame
+    patterns: DataFrame
     models: DataFrame
 
 
@@ -167,29 +166,27 @@ def cross_validate_panel(
     """
     joined = labels.joined_responses(responses, flags)
     rows = materialise(labels.quantile_labels(joined).select("response", "entity_id", "label"), "labels")
-    status = materialise(labels.response_status(responses, rows, plan), "status")
+    status = labels.response_status(responses, rows, plan)
     usable = rows.join(status.filter("note = ''").select("response"), "response", "left_semi")
     folded = folds.stratified_folds(usable, {"fold": k}, seed)
-    design = materialise(folded.join(flags.select("entity_id", *panel), "entity_id"), "design")
-    fold_auc, models = scaled_cv(design, panel)
+    fold_auc, patterns, models = scaled_cv(folded.join(flags.select("entity_id", *panel), "entity_id"), panel)
     cv = status.join(metrics.auc_summary(fold_auc, ["response"]), "response", "left").select(
         "response_id", "response", "response_name", "n", "n_sensitive", "cv_auc_mean", "cv_auc_std", "note"
     )
-    return PanelCv(cv, design, models)
+    return PanelCv(cv, patterns, models)
 
 
-def scaled_cv(design: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Fold AUCs and models of the C=1 regression, features scaled inside each training fold."""
+def scaled_cv(design: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fold AUCs, patterns and models of the C=1 regression, features scaled in each training fold."""
     patterns = logistic.training_patterns(design, features)
-    scales = logistic.scale_vectors(patterns, features)
-    oof, models = logistic.cross_validate(patterns, len(features) + 1, [1.0], scales)
+    oof, models = logistic.cross_validate(patterns, len(features) + 1, [1.0], scaled=True)
     keys = ["response", "fold"]
-    return metrics.roc_auc(metrics.score_counts(oof, keys, "prob", n="n"), keys), models
+    return metrics.roc_auc(metrics.score_counts(oof, keys, "prob", n="n"), keys), patterns, models
 
 
-def attribute_best(study: PanelCv, flags: DataFrame, panel: Sequence[str]) -> DataFrame:
+def attribute_best(study: PanelCv, panel: Sequence[str]) -> DataFrame:
     """Linear attributions of the response with the highest mean AUC."""
-    counts = assoc.contrast_counts(study.design, panels.sparse_features(flags, panel), panel)
+    counts = assoc.counts_from_patterns(study.patterns, panel)
     linear = attribution.linear_attribution(counts, attribution.long_coefficients(study.models, panel))
     return attribution.attribution_on_best(study.cv, linear)
 
@@ -225,6 +222,6 @@ def run_score_study(
         correlations=correlations,
         scatter=labels.drop_missing(responses).join(scores, "entity_id").select("response", "entity_id", "score", "y"),
         cv=study.cv,
-        attribution=attribute_best(study, flags, present),
+        attribution=attribute_best(study, present),
         lines=report.score_lines(scores, correlations.filter("note = ''")),
     )

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 DIMENSION_ROWS = 100_000
@@ -44,10 +44,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage at a point that survives lost executors; the file sizes also give the
     optimizer real statistics for the joins that follow.
     """
+    return materialise_counted(df, tag)[0]
+
+
+def materialise_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """The written table and its row count, observed while it is written."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
 def drop_materialised(spark: SparkSession) -> None:
