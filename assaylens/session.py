@@ -17,7 +17,8 @@ DIMENSION_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting; it then gets a new temporary folder.
+    Only a local master may go without the setting; it then gets a new temporary folder as its
+    checkpoint folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -27,9 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="assaylens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="assaylens-"))
+    return context.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
