@@ -14,7 +14,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaylens.session import materialise
+from assaylens.session import lookup, materialise
 
 GROUP_ROWS = 1_000_000
 MOST_RANGES = 512
@@ -151,10 +151,11 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row for each group.
 
-    *counts* is a materialised value-count table without missing values.
+    *counts* is a materialised value-count table without missing values, *largest* an upper
+    bound of its groups when one is known.
     """
     keys = list(keys)
-    totals = counts.groupBy(*keys).agg(F.sum(n).alias("_total"))
+    totals = lookup(counts.groupBy(*keys).agg(F.sum(n).alias("_total")), "totals", largest)
     placed = running(counts, keys, value, {"_cum": ("sum", n)}, largest=largest).join(totals, keys)
 
     def at(position: Column) -> Column:

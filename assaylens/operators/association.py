@@ -16,7 +16,7 @@ from assaylens.functions.ordered import (
 )
 from assaylens.functions.tails import correlation_p_value, rank_sum_p_value
 from assaylens.operators.labels import drop_missing
-from assaylens.session import materialise, materialise_counted
+from assaylens.session import lookup, materialise, materialise_counted
 
 PAIR = ["response", "feature"]
 
@@ -115,9 +115,9 @@ def adjust_fdr(
     """
     family = list(family)
     counts = tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = tests.groupBy(*family).agg(F.count(F.lit(1)).alias("_size"))
     if largest is None:
         largest = largest_group(counts, family)
+    sizes = lookup(tests.groupBy(*family).agg(F.count(F.lit(1)).alias("_size")), "families", largest)
     upto = running(counts, family, p, {"_cum": ("sum", "_n")}, largest=largest)
     raw = upto.join(sizes, family).withColumn(
         "_raw", F.least(F.lit(1.0), F.col(p) * F.col("_size") / F.col("_cum"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylens.functions.ordered import quantiles
-from assaylens.session import dimension, materialise, materialise_counted
+from assaylens.session import dimension, lookup, materialise, materialise_counted
 
 ENOUGH_ROWS = 40
 ENOUGH_OF_CLASS = 5
@@ -30,7 +30,7 @@ def response_quantiles(responses: DataFrame, fractions: dict[str, float]) -> Dat
     counts, rows = materialise_counted(
         present.groupBy("response", "y").agg(F.count(F.lit(1)).alias("n")), "y-counts"
     )
-    return quantiles(counts, ["response"], "y", "n", fractions, rows)
+    return lookup(quantiles(counts, ["response"], "y", "n", fractions, rows), "cuts", rows)
 
 
 def quantile_labels(responses: DataFrame, fraction: float = 0.25) -> DataFrame:
@@ -77,12 +77,15 @@ def class_balance(labelled: DataFrame) -> DataFrame:
     )
 
 
-def gate(labelled: DataFrame, min_class: int) -> DataFrame:
-    """Keep the responses whose two classes both reach *min_class*."""
+def gate(labelled: DataFrame, min_class: int, rows: int | None = None) -> DataFrame:
+    """Keep the responses whose two classes both reach *min_class*.
+
+    *labelled* is read twice and should be materialised; *rows* is its size when known.
+    """
     passed = class_balance(labelled).filter(
         (F.col("n_sensitive") >= min_class) & (F.col("n_resistant") >= min_class)
     )
-    return labelled.join(passed.select("response"), "response", "left_semi")
+    return labelled.join(lookup(passed.select("response"), "passed", rows), "response", "left_semi")
 
 
 def require_responses(responses: DataFrame, names: Sequence[str]) -> None:

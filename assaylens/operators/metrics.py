@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylens.config import METRICS
-from assaylens.functions.ordered import running
-from assaylens.session import materialise
+from assaylens.functions.ordered import largest_group, running
+from assaylens.session import lookup, materialise
 
 
 def score_counts(scored: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", n: str | None = None) -> DataFrame:
@@ -30,10 +30,12 @@ def score_counts(scored: DataFrame, keys: Sequence[str], score: str = "score", l
 
 def _cumulative(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return running(
-        counts, keys, "score", {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, descending=True
-    ).join(totals, keys)
+    largest = largest_group(counts, keys)
+    totals = lookup(
+        counts.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")), "totals", largest
+    )
+    sums = {"tp": ("sum", "pos"), "fp": ("sum", "neg")}
+    return running(counts, keys, "score", sums, descending=True, largest=largest).join(totals, keys)
 
 
 def roc_points(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from assaylens.config import BoostingParams
 from assaylens.operators import association as assoc
 from assaylens.operators import attribution, boosting, folds, labels, logistic, metrics, panels, report
 from assaylens.plans import roles, screen
-from assaylens.session import materialise, new_path
+from assaylens.session import materialise, materialise_counted, new_path
 from assaylens.sources import matrices, results
 
 Q = {}
@@ -162,7 +162,8 @@ def class_balance(spark: SparkSession, d: str) -> DataFrame:
 def class_gate(spark: SparkSession, d: str) -> DataFrame:
     rows = labels.threshold_labels(roles.responses(spark, d), -0.5)
     rows = rows.withColumn("response", F.concat_ws("/", "response", F.floor(F.col("entity_id") % 7).cast("string")))
-    return labels.gate(rows, roles.CONFIG.min_class).groupBy("response").agg(
+    rows, size = materialise_counted(rows, "labels")
+    return labels.gate(rows, roles.CONFIG.min_class, size).groupBy("response").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_sensitive")
     )
 

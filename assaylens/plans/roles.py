@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assaylens.config import StudyConfig
 from assaylens.operators import folds, labels, panels, report
-from assaylens.session import dimension, materialise
+from assaylens.session import dimension, materialise, materialise_counted
 from assaylens.sources import matrices
 
 OFFSET = 12.4
@@ -123,8 +123,8 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """All (entity, response) rows with the fixed-threshold label, gated by class size; materialised."""
     rows = labels.threshold_labels(responses(spark, folder), CONFIG.threshold)
-    rows = materialise(rows.select("response", "entity_id", "label"), "labels")
-    return labels.gate(rows, CONFIG.min_class)
+    rows, size = materialise_counted(rows.select("response", "entity_id", "label"), "labels")
+    return labels.gate(rows, CONFIG.min_class, size)
 
 
 def folded(spark: SparkSession, folder: str, splits: dict[str, int] | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from assaylens.config import StudyConfig
 from assaylens.operators import association as assoc
 from assaylens.operators import attribution, boosting, folds, labels, logistic, metrics, panels, report
-from assaylens.session import materialise
+from assaylens.session import lookup, materialise, materialise_counted
 from assaylens.sources import results
 
 LR, GBM = "LR", "GBM"
@@ -51,9 +51,9 @@ def modelling_table(
     cut = config.threshold if threshold is None else threshold
     rows = labels.threshold_labels(responses.filter(F.col("response").isin(list(config.responses))), cut)
     shared = rows.join(flags.select("entity_id"), "entity_id", "left_semi")
-    rows = materialise(shared.select("response", "entity_id", "label"), "labels")
+    rows, size = materialise_counted(shared.select("response", "entity_id", "label"), "labels")
     splits = {"fold": config.folds, "inner_fold": min(config.inner_folds, config.folds)}
-    rows = folds.stratified_folds(labels.gate(rows, config.min_class), splits, config.seed)
+    rows = folds.stratified_folds(labels.gate(rows, config.min_class, size), splits, config.seed)
     return materialise(rows.join(wide.select("entity_id", *features), "entity_id"), "design"), features
 
 
@@ -165,8 +165,10 @@ def cross_validate_panel(
     *responses* and *flags* are materialised.
     """
     joined = labels.joined_responses(responses, flags)
-    rows = materialise(labels.quantile_labels(joined).select("response", "entity_id", "label"), "labels")
-    status = labels.response_status(responses, rows, plan)
+    rows, size = materialise_counted(
+        labels.quantile_labels(joined).select("response", "entity_id", "label"), "labels"
+    )
+    status = lookup(labels.response_status(responses, rows, plan), "status", size)
     usable = rows.join(status.filter("note = ''").select("response"), "response", "left_semi")
     folded = folds.stratified_folds(usable, {"fold": k}, seed)
     fold_auc, patterns, models = scaled_cv(folded.join(flags.select("entity_id", *panel), "entity_id"), panel)

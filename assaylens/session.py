@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 DIMENSION_ROWS = 100_000
+LOOKUP_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,18 @@ def materialise_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+def lookup(df: DataFrame, tag: str, partner_rows: int | None = None) -> DataFrame:
+    """The small side of a join with a large table, written so that its size is known.
+
+    A small aggregate looks large to the optimizer before it has run; the join would then
+    shuffle its large partner by a key as coarse as the response. Once written, its file size
+    decides. For a partner of few rows the write is left out.
+    """
+    if partner_rows is not None and partner_rows <= LOOKUP_ROWS:
+        return df
+    return materialise(df, tag)
+
+
 def drop_materialised(spark: SparkSession) -> None:
     """Delete everything this application has materialised."""
     app = spark.sparkContext.applicationId
