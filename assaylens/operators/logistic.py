@@ -216,12 +216,13 @@ def predict(rows: DataFrame, models: DataFrame, split: str | None, x: str = "x")
 def inner_cv(patterns: DataFrame, split: str, width: int, cs: Sequence[float]) -> DataFrame:
     """Mean held-out AUC of each C on the inner folds, for each response.
 
-    Folds with one class only are left out; without any valid fold the mean is 0.
+    Folds with one class only are left out; without any valid fold the mean is 0. Means are
+    rounded at twelve digits, so that the order of a sum cannot decide between equal ones.
     """
     fits = fit_many(patterns, [split], plan_fits(patterns, split, width, cs), width)
     scored = predict(patterns, coefficient_table(patterns.sparkSession, fits), split)
     per_fold = roc_auc(score_counts(scored, ["response", "c", split], "prob", n="n"), ["response", "c", split])
-    return per_fold.groupBy("response", "c").agg(F.coalesce(F.avg("auc"), F.lit(0.0)).alias("auc"))
+    return per_fold.groupBy("response", "c").agg(F.round(F.coalesce(F.avg("auc"), F.lit(0.0)), 12).alias("auc"))
 
 
 def select_c(grid_auc: DataFrame) -> DataFrame:

@@ -300,6 +300,111 @@ q_auc AS (
 q_cv AS (SELECT response, avg(auc) AS m, stddev_pop(auc) AS s FROM q_auc GROUP BY 1),
 hr(feature, j) AS (VALUES {_values([(b, i + 2) for i, b in enumerate(roles.HR)])})"""
 
+# The 16-feature regressions: a fixed bound of the curvature (a quarter of the weighted squares)
+# gives the step, its linear system is solved by conjugate gradients inside a list fold.
+_ALL = ", ".join(f"max(CASE WHEN f.feature = '{b}' THEN f.v ELSE 0 END)::DOUBLE" for b in roles.FEATURES)
+_P = len(roles.FEATURES) + 1
+_CG = """
+list_reduce(list_transform(range(0, 61), lambda q: [list_transform(g, lambda v: 0.0::DOUBLE), g, g]), lambda s, y:
+  list_transform([list_transform(hh, lambda line: list_dot_product(line, s[3]))], lambda ap:
+    list_transform([coalesce(list_dot_product(s[2], s[2]) / nullif(list_dot_product(s[3], ap), 0), 0)], lambda a:
+      list_transform([list_transform(s[2], lambda v, i: v - a * ap[i])], lambda r:
+        [list_transform(s[1], lambda v, i: v + a * s[3][i]), r,
+         list_transform(r, lambda v, i: v + coalesce(list_dot_product(r, r) / nullif(list_dot_product(s[2], s[2]), 0), 0) * s[3][i])]
+      )[1])[1])[1])[1]"""
+
+
+def bounded(
+    name: str, split: str, grid: str, steps: int = 15, rows: str = "dealt", vec: str = "vec16", at: str = "at17", scaled: bool = False
+) -> str:
+    """Penalised fits of (response, held-out fold of *split*, c) as CTE *name*, c taken from *grid*.
+
+    With *scaled* the penalty of a coefficient is weighted by the training variance of its feature.
+    """
+    mean = "sum(t.n * t.x[a.i]) / sum(t.n)"
+    variance = f"sum(t.n * t.x[a.i] * t.x[a.i]) / sum(t.n) - pow({mean}, 2)"
+    weight = f"CASE WHEN {variance} > 0 THEN {variance} ELSE 1 END" if scaled else "1"
+    return f"""
+{name}_train AS (
+  SELECT q.response, h.held, q.label, v.x, count(*)::DOUBLE AS n
+  FROM {rows} q JOIN {vec} v USING (entity_id) JOIN (SELECT DISTINCT {split} AS held FROM {rows}) h ON q.{split} <> h.held
+  GROUP BY 1, 2, 3, 4),
+{name}_cls AS (
+  SELECT response, held, label, sum(n) AS c, sum(sum(n)) OVER (PARTITION BY response, held) AS t FROM {name}_train GROUP BY 1, 2, 3),
+{name}_tr AS (
+  SELECT t.response, t.held, t.label, t.x, t.n * k.t / (2 * k.c) AS w
+  FROM {name}_train t JOIN {name}_cls k USING (response, held, label)),
+{name}_pen AS (
+  SELECT t.response, t.held, a.i, CASE WHEN a.i = 1 THEN 0.0 ELSE {weight} END AS pen
+  FROM {name}_train t CROSS JOIN {at} a GROUP BY 1, 2, 3),
+{name}_pens AS (SELECT response, held, list(pen ORDER BY i) AS pens FROM {name}_pen GROUP BY 1, 2),
+{name}_cell AS (
+  SELECT t.response, t.held, a.i, b.i AS j, sum(t.w * t.x[a.i] * t.x[b.i]) / 4 AS s
+  FROM {name}_tr t CROSS JOIN {at} a CROSS JOIN {at} b GROUP BY 1, 2, 3, 4),
+{name}_line AS (
+  SELECT m.response, m.held, g.c, m.i,
+         list(g.c * m.s + CASE WHEN m.i = m.j THEN p.pen ELSE 0 END ORDER BY m.j) AS line
+  FROM {name}_cell m JOIN {grid} g ON g.response = m.response
+  JOIN {name}_pen p ON p.response = m.response AND p.held = m.held AND p.i = m.i GROUP BY 1, 2, 3, 4),
+{name}_h AS (SELECT response, held, c, list(line ORDER BY i) AS hh FROM {name}_line GROUP BY 1, 2, 3),
+{name}_it AS (
+  SELECT response, held, c, hh, pens, 0 AS k, list_transform(pens, lambda q: 0.0::DOUBLE) AS b
+  FROM {name}_h JOIN {name}_pens USING (response, held)
+  UNION ALL
+  SELECT response, held, c, hh, pens, k + 1, list_transform(b, lambda v, i: v - step[i])
+  FROM (SELECT response, held, c, hh, pens, k, b, {_CG} AS step FROM (
+    SELECT response, held, c, any_value(hh) AS hh, any_value(pens) AS pens, k, any_value(b) AS b,
+           list(c * s + pens[i] * b[i] ORDER BY i) AS g
+    FROM (
+      SELECT f.response, f.held, f.c, any_value(f.hh) AS hh, any_value(f.pens) AS pens, f.k, any_value(f.b) AS b, a.i,
+             sum(t.w * (1 / (1 + exp(-list_dot_product(t.x, f.b))) - t.label) * t.x[a.i]) AS s
+      FROM {name}_it f JOIN {name}_tr t ON t.response = f.response AND t.held = f.held CROSS JOIN {at} a
+      WHERE f.k < {steps} GROUP BY f.response, f.held, f.c, f.k, a.i)
+    GROUP BY response, held, c, k))),
+{name} AS (SELECT response, held, c, b FROM {name}_it WHERE k = {steps}),
+{name}_z AS (
+  SELECT q.response, q.{split} AS held, m.c, q.label, list_dot_product(v.x, m.b) AS z
+  FROM {rows} q JOIN {vec} v USING (entity_id) JOIN {name} m ON m.response = q.response AND m.held = q.{split}),
+{name}_auc AS (
+  SELECT a.response, a.held, a.c, avg(CASE WHEN a.z > b.z THEN 1.0 WHEN a.z = b.z THEN 0.5 ELSE 0.0 END) AS auc
+  FROM {name}_z a JOIN {name}_z b ON a.response = b.response AND a.held = b.held AND a.c = b.c AND a.label = 1 AND b.label = 0
+  GROUP BY 1, 2, 3)"""
+
+
+SELECT_C = f"""
+dealt AS (
+  SELECT response, label, entity_id, fold, CAST((rn - 1) % 3 AS INTEGER) AS inner_fold
+  FROM (SELECT *, row_number() OVER (PARTITION BY response, label ORDER BY md5('42#' || entity_id), entity_id) AS rn FROM fold)),
+vec16 AS (SELECT f.entity_id, [1.0::DOUBLE, {_ALL}] AS x FROM feat f GROUP BY 1),
+at17(i) AS (SELECT unnest(range(1, {_P + 1}))),
+cgrid AS (SELECT DISTINCT response, c FROM lab CROSS JOIN (VALUES (0.01::DOUBLE), (0.1), (1.0), (10.0)) g(c)),""" + bounded(
+    "inn", "inner_fold", "cgrid"
+) + """,
+chosen AS (
+  SELECT response, c, auc FROM (SELECT response, c, round(avg(auc), 12) AS auc FROM inn_auc GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY response ORDER BY auc DESC, c) = 1)"""
+LR_CV = SELECT_C + "," + bounded("outr", "fold", "chosen") + """,
+lr_hit AS (
+  SELECT response, held,
+         count(*) FILTER (WHERE label = 1 AND z > 0)::DOUBLE AS tp, count(*) FILTER (WHERE label = 0 AND z > 0)::DOUBLE AS fp,
+         count(*) FILTER (WHERE label = 1 AND z <= 0)::DOUBLE AS fn, count(*) FILTER (WHERE label = 0 AND z <= 0)::DOUBLE AS tn
+  FROM outr_z GROUP BY 1, 2)"""
+
+_FLAGS = ", ".join(f"max(CASE WHEN f.feature = '{b}' THEN f.v ELSE 0 END)::DOUBLE" for b in roles.FULL)
+_CONTEXT = ", ".join(f"max(CASE WHEN e.context = '{c}' THEN 1 ELSE 0 END)::DOUBLE" for c in roles.CONTEXTS)
+SETS = f"""
+qfold AS (
+  SELECT response, label, entity_id,
+         CAST((row_number() OVER (PARTITION BY response, label
+           ORDER BY md5('42#' || entity_id), entity_id) - 1) % 5 AS INTEGER) AS fold FROM quart),
+vec13 AS (SELECT f.entity_id, [1.0::DOUBLE, {_FLAGS}] AS x FROM flag f GROUP BY 1),
+vec18 AS (SELECT f.entity_id, [1.0::DOUBLE, {_FLAGS}, {_CONTEXT}] AS x FROM flag f JOIN ent e USING (entity_id) GROUP BY 1),
+at14(i) AS (SELECT unnest(range(1, 15))),
+at19(i) AS (SELECT unnest(range(1, 20))),
+unit AS (SELECT DISTINCT response, 1.0::DOUBLE AS c FROM quart),""" + bounded(
+    "base", "fold", "unit", 15, "qfold", "vec13", "at14", True
+) + "," + bounded("wide", "fold", "unit", 15, "qfold", "vec18", "at19", True)
+
 _wide_resp = ", ".join(f"round(max(y) FILTER (WHERE response = '{r}'), 9) AS {{{i}}}" for i, r in enumerate(roles.RESPONSES))
 
 ORACLES["response_long"] = sql("SELECT entity_id, response, round(y, 9) AS y FROM resp")
@@ -522,6 +627,24 @@ ORACLES["importance_fallback"] = sql(
     DESCENT,
     recursive=True,
 )
+ORACLES["lr_select_c"] = sql("SELECT response, c, round(auc, 6) AS auc FROM chosen", SELECT_C, recursive=True)
+ORACLES["lr_cv"] = sql(
+    "SELECT response, round(avg(auc), 6) AS auc, round(avg((tp + tn) / (tp + fp + fn + tn)), 6) AS accuracy, "
+    "round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 6) AS precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 6) AS recall, "
+    "round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS f1 "
+    "FROM lr_hit JOIN outr_auc USING (response, held) GROUP BY 1",
+    LR_CV,
+    recursive=True,
+)
+ORACLES["feature_set_ablation"] = sql(
+    "SELECT CAST(response_id AS INTEGER) AS response_id, response_name, n, n_sensitive, round(m1, 6) AS auc_base, round(s1, 6) AS std_base, "
+    "round(m2, 6) AS auc_full, round(s2, 6) AS std_full, round(m2 - m1, 6) AS delta FROM planned "
+    "JOIN (SELECT response, avg(auc) AS m1, stddev_pop(auc) AS s1 FROM base_auc GROUP BY 1) USING (response) "
+    "JOIN (SELECT response, avg(auc) AS m2, stddev_pop(auc) AS s2 FROM wide_auc GROUP BY 1) USING (response) "
+    "JOIN (SELECT response, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_sensitive FROM quart GROUP BY 1) USING (response)",
+    SETS,
+    recursive=True,
+)
 ORACLES["context_onehot"] = sql(
     "SELECT entity_id, " + ", ".join(f"CAST(context = '{c}' AS INTEGER) AS \"context_{c}\"" for c in roles.CONTEXTS) + " FROM ent"
 )

@@ -33,8 +33,9 @@ def spark():
 
 
 @pytest.fixture
-def tiny_groups(spark):
-    """Force the range-cutting path: at most four rows in one ordered window."""
+def tiny_groups(spark, monkeypatch):
+    """Force the paths for large tables: four rows to an ordered window, small join sides written."""
+    monkeypatch.setattr("assaylens.session.LOOKUP_ROWS", 0)
     spark.conf.set("assaylens.groupRows", "4")
     yield
     spark.conf.unset("assaylens.groupRows")
