@@ -409,8 +409,9 @@ _wide_resp = ", ".join(f"round(max(y) FILTER (WHERE response = '{r}'), 9) AS {{{
 
 ORACLES["response_long"] = sql("SELECT entity_id, response, round(y, 9) AS y FROM resp")
 ORACLES["feature_long"] = sql("SELECT entity_id, feature, v FROM flag")
-ORACLES["dirty_numeric_flags"] = """
-SELECT event_id, props[7:8] AS raw, CAST(coalesce(trunc(try_cast(props[7:8] AS DOUBLE)), 0) AS INTEGER) AS k FROM events"""
+ORACLES["dirty_numeric_flags"] = r"""
+SELECT event_id, raw, CAST(coalesce(trunc(try_cast(raw AS DOUBLE)), 0) AS INTEGER) AS k
+FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN props ELSE regexp_extract(props, '(\d+)', 1) END AS raw FROM events)"""
 ORACLES["response_keys"] = sql("SELECT CAST(response_id AS INTEGER) AS response_id, count(*) AS n FROM pres JOIN dims USING (response) GROUP BY 1")
 ORACLES["csv_roundtrip"] = sql(f"SELECT entity_id, {_wide_resp.format(*'abcde')} FROM resp GROUP BY 1")
 ORACLES["missing_source_default"] = sql("SELECT entity_id, context FROM ent")
@@ -462,9 +463,9 @@ ORACLES["class_balance"] = sql(
     "round(100.0::DOUBLE * sum(1 - label) / count(*), 6) AS pct_resistant FROM lab_all GROUP BY 1"
 )
 ORACLES["class_gate"] = sql(
-    "SELECT response || '/' || (entity_id % 7) AS response, count(*) AS n, "
-    "CAST(sum(CASE WHEN y < -0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_sensitive FROM resp GROUP BY 1 "
-    "HAVING sum(CASE WHEN y < -0.5 THEN 1 ELSE 0 END) >= 15 AND sum(CASE WHEN y < -0.5 THEN 0 ELSE 1 END) >= 15"
+    "SELECT response || '/' || context AS response, count(*) AS n, "
+    "CAST(sum(CASE WHEN y < -1.2 THEN 1 ELSE 0 END) AS BIGINT) AS n_sensitive FROM resp JOIN ent USING (entity_id) GROUP BY 1 "
+    "HAVING sum(CASE WHEN y < -1.2 THEN 1 ELSE 0 END) >= 15 AND sum(CASE WHEN y < -1.2 THEN 0 ELSE 1 END) >= 15"
 )
 ORACLES["response_status"] = sql(
     """SELECT CAST(response_id AS INTEGER) AS response_id, response_name, coalesce(n, 0) AS n,

@@ -44,7 +44,9 @@ def feature_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dirty_numeric_flags(spark: SparkSession, d: str) -> DataFrame:
-    events = roles.table(spark, d, "events").select("event_id", F.substring("props", 7, 2).alias("raw"))
+    digits = F.regexp_extract("props", r"(\d+)", 1)
+    raw = F.when(F.col("event_type") == "error", F.col("props")).otherwise(digits)
+    events = roles.table(spark, d, "events").select("event_id", raw.alias("raw"))
     return events.select("event_id", "raw", matrices.to_flag("raw").alias("k"))
 
 
@@ -160,8 +162,8 @@ def class_balance(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def class_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = labels.threshold_labels(roles.responses(spark, d), -0.5)
-    rows = rows.withColumn("response", F.concat_ws("/", "response", F.floor(F.col("entity_id") % 7).cast("string")))
+    rows = labels.threshold_labels(roles.responses(spark, d), -1.2).join(roles.entities(spark, d), "entity_id")
+    rows = rows.select("entity_id", F.concat_ws("/", "response", "context").alias("response"), "label")
     rows, size = materialise_counted(rows, "labels")
     return labels.gate(rows, roles.CONFIG.min_class, size).groupBy("response").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_sensitive")
