@@ -402,8 +402,8 @@ vec18 AS (SELECT f.entity_id, [1.0::DOUBLE, {_FLAGS}, {_CONTEXT}] AS x FROM flag
 at14(i) AS (SELECT unnest(range(1, 15))),
 at19(i) AS (SELECT unnest(range(1, 20))),
 unit AS (SELECT DISTINCT response, 1.0::DOUBLE AS c FROM quart),""" + bounded(
-    "base", "fold", "unit", 15, "qfold", "vec13", "at14", True
-) + "," + bounded("wide", "fold", "unit", 15, "qfold", "vec18", "at19", True)
+    "base", "fold", "unit", 40, "qfold", "vec13", "at14", True
+) + "," + bounded("wide", "fold", "unit", 80, "qfold", "vec18", "at19", True)
 
 _wide_resp = ", ".join(f"round(max(y) FILTER (WHERE response = '{r}'), 9) AS {{{i}}}" for i, r in enumerate(roles.RESPONSES))
 
