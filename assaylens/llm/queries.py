@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import language
+from assaylens.llm import exact, language
 from assaylens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,23 @@ def op1_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     model = language.learn(language.training_rows(docs))
     rows = language.identify(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", language.held_out().alias("held_out"), "_mixture.lang_pred", "_mixture.score", "_mixture.background", "_mixture.languages")
+
+
+@query
+def op3_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of equal texts of every document, by chunk recipes."""
+    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    return exact.duplicates(rows).drop("_row")
+
+
+ORACLES["op3_chunk_recipes"] = r"""
+WITH n AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n_code,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+g AS (
+  SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, struct_pack(a := -n_code, b := doc_id)) AS keep_id
+  FROM n GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+FROM n JOIN g USING (text_sha256)
+"""
