@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import exact, language
+from assaylens.llm import exact, jaccard, language
 from assaylens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,36 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM n JOIN g USING (text_sha256)
 """
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document: sets of four-word shingles, similarity 0.85 or more."""
+    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    return jaccard.classes(rows, jaccard.Rule(words=4, percent=85)).drop("_row", "first_row")
+
+
+ORACLES["op10_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, md5(s::VARCHAR) AS h FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+  FROM h a JOIN h b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * o >= 85 * (x.n + y.n - o)),
+pair AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (
+  SELECT doc_id AS d, doc_id AS r FROM documents
+  UNION
+  SELECT pair.b, reach.r FROM reach JOIN pair ON pair.a = reach.d WHERE reach.r < pair.b)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = reach.d GROUP BY d
+"""
