@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import exact, jaccard, language
+from assaylens.llm import exact, jaccard, language, private
 from assaylens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ reach AS (
 SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
 FROM reach LEFT JOIN n ON n.doc_id = reach.d GROUP BY d
 """
+
+
+@query
+def op2_context_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text: base forms, and what confident contexts add."""
+    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    return private.report(private.spans(rows))
