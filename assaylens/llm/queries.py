@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import exact, jaccard, language, private
+from assaylens.llm import exact, jaccard, language, packing, private
 from assaylens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,10 @@ def op2_context_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text: base forms, and what confident contexts add."""
     rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
     return private.report(private.spans(rows))
+
+
+@query
+def op9_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of at most 2048 tokens for every document."""
+    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    return packing.pack(rows, "word_bpe_49k.json")
