@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import exact, jaccard, language, packing, private
+from assaylens.llm import exact, jaccard, language, packing, private, shards
 from assaylens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op9_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of at most 2048 tokens for every document."""
     rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
     return packing.pack(rows, "word_bpe_49k.json")
+
+
+@query
+def op8_prefix_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen contiguous shards of near-equal bytes."""
+    return shards.assign(exact.with_row(documents(spark, folder).select("doc_id", "text")))
