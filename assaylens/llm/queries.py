@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import exact, jaccard, language, packing, private, shards
+from assaylens.llm import bpe, counting, exact, jaccard, language, packing, private, shards
 from assaylens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,16 @@ def op9_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_prefix_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen contiguous shards of near-equal bytes."""
     return shards.assign(exact.with_row(documents(spark, folder).select("doc_id", "text")))
+
+
+@query
+def op6_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text and the text they decode to, as digests."""
+    return bpe.digests(documents(spark, folder), "byte_bpe_50k.json")
+
+
+@query
+def op7_digest_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every text through a cache that starts empty."""
+    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    return counting.counts(rows, "piece_bpe_32k.model")
