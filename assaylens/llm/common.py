@@ -77,3 +77,15 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
             if after.groupBy("u").count().where("count > 1").take(1) == []:
                 return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
         now = after
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects its garbage; after a large shuffle whose outcome
+    has been written this is worth a call.
+    """
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

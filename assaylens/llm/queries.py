@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import bpe, counting, exact, jaccard, language, packing, private, shards
+from assaylens.llm import bpe, counting, exact, jaccard, language, packing, private, repeats, shards
 from assaylens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,11 @@ def op7_digest_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every text through a cache that starts empty."""
     rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
     return counting.counts(rows, "piece_bpe_32k.model")
+
+
+@query
+def op5_bounded_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text without the bytes that strings of smaller documents cover."""
+    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    cut = repeats.without_repeats(rows)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
