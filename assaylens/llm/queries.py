@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import bpe, counting, exact, jaccard, language, packing, private, repeats, shards
+from assaylens.llm import bpe, counting, exact, jaccard, language, packing, private, repeats, search, shards
 from assaylens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,30 @@ def op5_bounded_expansion(spark: SparkSession, folder: str) -> DataFrame:
     rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
     cut = repeats.without_repeats(rows)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_block_max_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every document whose doc_id is divisible by 20."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top(docs, asked)
+
+
+ORACLES["op4_block_max_search"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t
+  FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(n) AS size FROM f GROUP BY doc_id),
+s AS (SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n, (SELECT sum(size) FROM l) AS words),
+d AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+p AS (
+  SELECT q.doc_id AS query_id, f.doc_id,
+         round(sum(q.n * ln(1 + (s.n - df + 0.5) / (df + 0.5)) * f.n * 2.2
+             / (f.n + 1.2 * (0.25 + 0.75 * size / (s.words / s.n)))), 6) AS score
+  FROM f q JOIN d USING (t) JOIN f ON f.t = q.t JOIN l ON l.doc_id = f.doc_id, s
+  WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
