@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: White space as the tokenizers' patterns know it; Python's adds \x1c to \x1f.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-CACHED = 400_000  # words a worker remembers; it then starts anew
+CACHED = 800_000  # words in each of the two generations that a worker remembers
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def path(name: str) -> str:
@@ -34,21 +34,48 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _plain(self, word: str) -> tuple[str, str]:
+        """Lower-cased word and the marks at its end, which are a token or more of their own."""
+        if "<|" in word:
+            return word, ""  # perhaps a special token
+        core = word.rstrip(_MARKS)
+        if not core or not core[-1].lower().isalnum():
+            core = word
+        return (core.lower() if core.isascii() else core), word[len(core) :]
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [self._plain(w) for w in words]
+        wanted = {p for pair in plain for p in pair if p and p not in self.young}
+        fresh = []
+        for part in wanted:
+            if part in self.old:
+                self.young[part] = self.old[part]
+            else:
+                fresh.append(part)
+        for i in range(0, len(fresh), 20_000):
+            some = fresh[i : i + 20_000]
+            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.young[part] = array("I", got.ids).tobytes()
+        for word, (core, marks) in zip(words, plain, strict=True):
+            self.young[word] = self.young[core] + self.young[marks] if marks else self.young[core]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added."""
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
         parts = [[w for w in _SPLIT.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
-        found = set().union(*parts)
-        missing = [w for w in found if w not in self.known]
-        if len(self.known) + len(missing) > CACHED:
-            self.known.clear()
-            missing = list(found)
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in parts]
+        found = [list(map(self.young.get, words)) for words in parts]
+        gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
+        missing = {words[i] for words, gap in zip(parts, gaps, strict=True) for i in gap}
+        self.young.update((w, self.old[w]) for w in missing if w in self.old)
+        self._learn([w for w in missing if w not in self.young])
+        for words, got, gap in zip(parts, found, gaps, strict=True):
+            for i in gap:
+                got[i] = self.young[words[i]]
+        return [b"".join(got) for got in found]
 
 
 @lru_cache(maxsize=2)
