@@ -22,6 +22,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """*name*, with underscores before it until no column of *df* has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def numbered(df: DataFrame, order: list[Column], tag: str, measures: dict[str, Column]) -> DataFrame:
     """Running totals of *measures* before each row, over the whole table in *order*.
 

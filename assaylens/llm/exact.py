@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylens.llm.common import fresh
 from assaylens.session import materialise, materialise_counted
 
 LEAST, MOST = 256, 4096  # characters of a chunk; the last one may be shorter
@@ -23,12 +24,23 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def with_row(docs: DataFrame) -> DataFrame:
+def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
     """*docs* with ``_row``, the place of the row in the table that is scanned.
 
     It tells repeated rows apart. *docs* must be a table scan, so that every scan counts alike.
     """
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def without(docs: DataFrame, found, tag: str) -> DataFrame:
+    """*docs* without the rows that ``found(rows)`` names by ``_row``; same columns.
+
+    *found* gets ``_row, doc_id, text``. Columns of *docs* may have any other names.
+    """
+    row = fresh(docs, "_row")
+    rows = with_row(docs, row)
+    gone = materialise(found(rows.select(F.col(row).alias("_row"), "doc_id", "text")), tag)
+    return rows.join(gone.select(F.col("_row").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def recipes(rows: DataFrame, digest=F.xxhash64) -> DataFrame:
@@ -86,6 +98,4 @@ def duplicates(rows: DataFrame, digest=F.xxhash64) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts; same columns. *docs* must be a table scan."""
-    rows = with_row(docs)
-    gone = materialise(duplicates(rows.select("_row", "doc_id", "text")).where("not kept").select("_row"), "copies")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return without(docs, lambda rows: duplicates(rows).where("not kept"), "copies")

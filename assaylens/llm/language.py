@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylens.llm.common import fresh
+
 UNDETERMINED = "und"
 FEATURES = 1 << 14  # trigram buckets
 MOST_LANGUAGES = 500  # a model of 500 languages is 32 MB; more is an error
@@ -187,8 +189,8 @@ def mixture(text: Column, model: LanguageModel) -> Column:
     return run(text)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """*docs* with ``lang_pred, score, background, languages`` in the struct ``_mixture``.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", name: str = "_mixture") -> DataFrame:
+    """*docs* with ``lang_pred, score, background, languages`` in the struct *name*.
 
     ``languages`` maps the languages of the text to their proportions, ``background`` is the
     proportion that no learned language explains, ``score`` the proportion of ``lang_pred``. A text
@@ -196,7 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     text under a model of no language. Texts are read whole, whatever their length; equal texts get
     equal answers; other columns, null or not, pass through untouched.
     """
-    return docs.withColumn("_mixture", mixture(F.col(text), model))
+    return docs.withColumn(name, mixture(F.col(text), model))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -210,6 +212,7 @@ def held_out() -> Column:
 
 def keep_identified(docs: DataFrame, model: LanguageModel, most_background: float = 0.5) -> DataFrame:
     """Documents in a learned language: neither undetermined nor mostly background; same columns."""
-    rows = identify(docs, model)
-    kept = rows.where((F.col("_mixture.lang_pred") != UNDETERMINED) & (F.col("_mixture.background") <= most_background))
+    found = fresh(docs, "_mixture")
+    rows = identify(docs, model, name=found)
+    kept = rows.where((F.col(found)["lang_pred"] != UNDETERMINED) & (F.col(found)["background"] <= most_background))
     return kept.select(*docs.columns)

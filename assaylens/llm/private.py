@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylens.llm.common import fresh
 from assaylens.llm.exact import with_row
 from assaylens.session import materialise
 
@@ -197,7 +198,8 @@ def _sorted(base: Column, added: Column) -> Column:
 
 def report(found: DataFrame) -> DataFrame:
     """Counts and digests of :func:`spans`: the n_ columns count base spans, n_added the others."""
-    counts = [F.size(F.filter("base", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    orders = F.transform("base", lambda s: s["ord"])
+    counts = [(F.size(orders) - F.size(F.array_remove(orders, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,
@@ -213,10 +215,11 @@ def mask(docs: DataFrame) -> DataFrame:
     Overlapping spans become one mark, of the first kind. Where there is a column n_chars and a
     mark was set, it gets the new length; texts without a span stay as they are, null too.
     """
-    rows = with_row(docs)
-    found = spans(rows.select("_row", "doc_id", "text"))
-    hit = materialise(found.select("_row", _sorted(F.col("base"), F.col("added")).alias("_spans")).where(F.size("_spans") > 0), "hits")
-    joined = rows.join(hit, "_row", "left")
+    row, held = fresh(docs, "_row"), fresh(docs, "_spans")
+    rows = with_row(docs, row)
+    found = spans(rows.select(F.col(row).alias("_row"), "doc_id", "text"))
+    hit = found.select(F.col("_row").alias(row), _sorted(F.col("base"), F.col("added")).alias(held))
+    joined = rows.join(materialise(hit.where(F.size(held) > 0), "hits"), row, "left")
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
 
@@ -225,9 +228,9 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    masked = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(cut))
+    cut = F.aggregate(held, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    masked = joined.withColumn("text", F.when(F.col(held).isNull(), text).otherwise(cut))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
-        masked = masked.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(length))
+        masked = masked.withColumn("n_chars", F.when(F.col(held).isNull(), F.col("n_chars")).otherwise(length))
     return masked.select(*docs.columns)
