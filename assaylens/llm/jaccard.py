@@ -2,9 +2,10 @@
 
 Equal sets are one class first. Two different sets A, B can only link if they differ in at most k
 elements, with k given by the size band. A set is dealt into k + 1 and some parts by hash; of its
-non-empty parts at most k can differ, so two linked sets share a whole part. A part's hash, with
-its tile (the size band of the smaller set), is a key. Sets joined by keys are a block of
-candidates, compared inside by bitmaps, whose bit counts bound the intersection from above, and
+non-empty parts at most k can differ, so two linked sets share whole parts, as many as there are
+beyond k. A part's hash, with its tile (the size band of the smaller set), is a key. A set that
+shares fewer of its keys with others than that links with none. The rest, joined by keys, are blocks
+of candidates, compared inside by bitmaps, whose bit counts bound the intersection from above, and
 then by intersecting the sorted arrays. Links inside a component that is already joined add
 nothing and are skipped.
 """
@@ -17,16 +18,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylens.llm.common import components, numbered
+from assaylens.llm.common import components, numbered, release
+from assaylens.llm.exact import without
 from assaylens.llm.shingles import mixed, shingle_sets
 from assaylens.session import materialise
 
 CHARS = 2_000_000  # characters shingled at once; a longer text is worked on alone
 SEEN = 1_000_000  # set ids a task remembers, not to send the keys of equal sets again
-BLOCK = 2_000_000  # shingles compared in one task: 16 MB for each side of a tile
+GROUP = 200_000  # shingles of small components that share a task
+BLOCK = 2_000_000  # shingles of a component compared at once: 16 MB for each side of a tile
 
 
 @dataclass(frozen=True)
@@ -54,25 +57,26 @@ class Rule:
             low = high + 1
 
 
-def keys(items: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of a set: any different set that links with it shares one at least."""
-    n, out = len(items), []
+def keys(items: np.ndarray, rule: Rule) -> tuple[np.ndarray, int]:
+    """Keys of a set, and how many of them any different set that links with it shares at least."""
+    n, out, need = len(items), [], len(items)
     own = mixed(items + np.uint64(0x51ED270B))
     for tile, high in rule.bands(n):
         most = rule.differing(high)
-        parts = most + 3 + (most + 12) // 12
+        parts = most + 3 + (most + 3) // 4
         where = ((own >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
         total = np.zeros(parts, np.uint64)
         np.add.at(total, where.astype(np.int64), own)
         full = np.flatnonzero(np.bincount(where.astype(np.int64), minlength=parts))
         salt = mixed(np.uint64(tile) * np.uint64(1_000_003) + full.astype(np.uint64))
         out.append(mixed(total[full] + salt))
+        need = min(need, max(1, len(full) - most))
         if len(full) <= most:
             # too few parts to be sure of a shared one: of two such sets, the smallest elements,
             # as many as may differ and one, have an element in common
             prefix = items[: n - (rule.percent * n + 99) // 100 + 1]
             out.append(mixed(prefix ^ mixed(np.array([tile + (1 << 40)], np.uint64))))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return (np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)), need
 
 
 def _parts(batch: pa.RecordBatch, *names: str) -> Iterator[list[list]]:
@@ -95,7 +99,7 @@ def _set_id(items: np.ndarray) -> tuple[int, int]:
     return int(mixed(total).view(np.int64)[0]), int(mixed(other).view(np.int64)[0])
 
 
-PROFILE = "_row long, doc_id long, n_shingles long, set_id long, proof long, keys array<long>"
+PROFILE = "_row long, doc_id long, n_shingles long, set_id long, proof long, need long, keys array<long>"
 
 
 def profiles(rows: DataFrame, rule: Rule, seed: int) -> DataFrame:
@@ -105,14 +109,16 @@ def profiles(rows: DataFrame, rule: Rule, seed: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for row, doc, texts in _parts(batch, "_row", "doc_id"):
-                ids, proofs, sizes, lists = [], [], [], []
+                ids, proofs, sizes, needs, lists = [], [], [], [], []
                 for items in shingle_sets(texts, rule.words, seed):
                     sizes.append(len(items))
                     known, proof = _set_id(items) if len(items) else (None, None)
                     ids.append(known)
                     proofs.append(proof)
                     new = known is not None and known not in seen
-                    lists.append(keys(items, rule).view(np.int64) if new else np.zeros(0, np.int64))
+                    own, need = keys(items, rule) if new else (np.zeros(0, np.uint64), None)
+                    lists.append(own.view(np.int64))
+                    needs.append(need)
                     if new:
                         if len(seen) >= SEEN:
                             seen.clear()
@@ -120,8 +126,8 @@ def profiles(rows: DataFrame, rule: Rule, seed: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, lists)])
                 flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                columns = [pa.array(c, pa.int64()) for c in (row, doc, sizes, ids, proofs)]
-                yield pa.RecordBatch.from_arrays([*columns, listed], ["_row", "doc_id", "n_shingles", "set_id", "proof", "keys"])
+                columns = [pa.array(c, pa.int64()) for c in (row, doc, sizes, ids, proofs, needs)]
+                yield pa.RecordBatch.from_arrays([*columns, listed], ["_row", "doc_id", "n_shingles", "set_id", "proof", "need", "keys"])
 
     return rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
 
@@ -181,11 +187,18 @@ def _verify(rule: Rule):
     return run
 
 
+def _met(dealt: DataFrame) -> DataFrame:
+    """``(set_id, key)`` with ``hub``, the smallest set of the key, and whether it ``met`` another."""
+    of = Window.partitionBy("key")
+    least, most = F.min("set_id").over(of), F.max("set_id").over(of)
+    return dealt.select("set_id", "key", least.alias("hub"), (least < most).alias("met"))
+
+
 def _tiles(candidates: DataFrame, rule: Rule) -> DataFrame:
     """``(grp, i, j, block_of, block, set_id, rep)``: where each candidate set is compared.
 
     ``candidates(block_of, set_id, n, rep)`` are numbered in the order of their component and size.
-    Small components share a group of about BLOCK shingles. A larger one is cut into blocks of its
+    Small components share a group of about GROUP shingles. A larger one is cut into blocks of its
     size order, and every two blocks whose sizes may link are a tile.
     """
     order = [F.col("block_of"), F.col("n"), F.col("set_id")]
@@ -195,7 +208,7 @@ def _tiles(candidates: DataFrame, rule: Rule) -> DataFrame:
     large = F.col("end") - F.col("start") > BLOCK
     fields = ["block_of", "block", "set_id", "rep"]
     small = placed.where(~large).withColumn("block", F.lit(0).cast("long"))
-    small = small.select((F.col("start") / BLOCK).cast("long").alias("grp"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), *fields)
+    small = small.select((F.col("start") / GROUP).cast("long").alias("grp"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), *fields)
     cut = placed.where(large).withColumn("block", ((F.col("all_before") - F.col("start")) / BLOCK).cast("long"))
     blocks = cut.groupBy("block_of", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left = blocks.select("block_of", F.col("block").alias("i"), F.col("most").alias("most_i"))
@@ -225,6 +238,7 @@ def classes(rows: DataFrame, rule: Rule) -> DataFrame:
             known.groupBy("set_id").agg(
                 F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_row")).alias("first"),
                 F.max("n_shingles").alias("n"),
+                F.max("need").alias("need"),
                 F.min("proof").alias("proof"),
                 F.max("proof").alias("proof_too"),
             ),
@@ -233,11 +247,12 @@ def classes(rows: DataFrame, rule: Rule) -> DataFrame:
         if not sets.where("proof <> proof_too").take(1):
             break
         seed += 1  # two sets with one id: number the shingles anew
-    from pyspark.sql import Window
-
     dealt = known.select("set_id", F.explode("keys").alias("key"))
-    hub = F.min("set_id").over(Window.partitionBy("key"))
-    stars = materialise(dealt.select("set_id", hub.alias("hub")).where("set_id <> hub").distinct(), "stars")
+    shared = materialise(_met(dealt).where("met").select("set_id", "key"), "shared")
+    release(rows.sparkSession)
+    enough = shared.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).join(sets.select("set_id", "need"), "set_id").where("n >= need")
+    again = _met(shared.join(materialise(enough.select("set_id"), "enough"), "set_id", "left_semi")).where("met")
+    stars = materialise(again.where("set_id <> hub").select("set_id", "hub").distinct(), "stars")
     near = components(stars.select(F.col("set_id").alias("a"), F.col("hub").alias("b")), "candidates")
     near = near.union(near.select(F.col("component").alias("node"), "component").distinct())
     candidates = near.select(F.col("component").alias("block_of"), F.col("node").alias("set_id")).join(
@@ -253,7 +268,8 @@ def classes(rows: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(items, pa.binary())], [*names, "items"])
 
     texts = rows.select(F.col("_row").alias("rep"), "text")
-    sent = tiles.join(texts, "rep").drop("rep").mapInArrow(payload, "grp long, i long, j long, block_of long, block long, set_id long, items binary")
+    # the candidates grow with the table, so neither side is broadcast
+    sent = tiles.hint("merge").join(texts, "rep").drop("rep").mapInArrow(payload, "grp long, i long, j long, block_of long, block long, set_id long, items binary")
     links = materialise(sent.groupBy("grp", "i", "j").applyInPandas(_verify(rule), "a long, b long"), "links")
     roots = components(links, "components")
     root = F.coalesce("component", "set_id")
@@ -274,9 +290,4 @@ def classes(rows: DataFrame, rule: Rule) -> DataFrame:
 
 def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """One document of each component, that of smallest doc_id; same columns. A table scan."""
-    from assaylens.llm.exact import with_row
-
-    rows = with_row(docs)
-    found = classes(rows.select("_row", "doc_id", "text"), rule or Rule())
-    gone = materialise(found.where("_row <> first_row").select("_row"), "near")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return without(docs, lambda rows: classes(rows, rule or Rule()).where("_row <> first_row"), "near")
