@@ -69,7 +69,3 @@ class StudyConfig:
             raise ValueError("seed must not be negative")
         if not self.responses:
             raise ValueError("responses must not be empty")
-
-    def regularisation_grid(self) -> list[dict[str, object]]:
-        """One logistic parameter set for each C."""
-        return [{"C": c, "penalty": "l2", "class_weight": "balanced"} for c in self.c_values]

@@ -3,7 +3,8 @@
 Everything here works on *value counts*: tables with one row for each (keys, value). Ties
 collapse to a single row before any ordering happens. A group that still has more distinct
 values than ``assaylens.groupRows`` is cut into value ranges; each range is a window of its
-own and the totals of the ranges before it are added afterwards.
+own and the totals of the ranges before it are added afterwards. Missing keys and values are kept:
+missing keys form a group, and a missing value comes before the others.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from assaylens.session import lookup, materialise
 
 GROUP_ROWS = 1_000_000
-MOST_RANGES = 512
 
 _COMBINE = {
     "sum": (F.sum, lambda own, before: own + F.coalesce(before, F.lit(0))),
@@ -61,18 +61,10 @@ def running(
             "*", *[_COMBINE[kind][0](col).over(upto).alias(out) for out, (kind, col) in aggs.items()]
         )
 
-    ranges = min(MOST_RANGES, 2 * ceil(largest / limit))
-    cuts = materialise(
-        df.groupBy(*keys).agg(
-            F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts")
-        ),
-        "cuts",
-    )
-    placed = (
-        df.join(cuts, keys)
-        .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(order))))
-        .drop("_cuts")
-    )
+    # dealt by range of (keys, order): as many ranges as the rows need, whatever the group
+    parts = max(2, ceil(2 * df.count() / limit))
+    placed = df.repartitionByRange(parts, *keys, order).withColumn("_range", F.spark_partition_id())
+    placed = materialise(placed, "ranges")
     totals = placed.groupBy(*keys, "_range").agg(
         *[_COMBINE[kind][0](col).alias(f"_t_{out}") for out, (kind, col) in aggs.items()]
     )
@@ -87,7 +79,7 @@ def running(
     own = placed.select(
         "*", *[_COMBINE[kind][0](col).over(inside).alias(f"_o_{out}") for out, (kind, col) in aggs.items()]
     )
-    return own.join(before, [*keys, "_range"]).select(
+    return null_safe_join(own, before, [*keys, "_range"]).select(
         *df.columns,
         *[
             _COMBINE[kind][1](F.col(f"_o_{out}"), F.col(f"_b_{out}")).alias(out)
@@ -96,6 +88,13 @@ def running(
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on *keys* in which missing keys equal each other; the keys come from *left*."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _upto(keys: Sequence[str], by: Column):
     return (
         Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -138,7 +137,7 @@ def average_rank(
         return df.withColumn(out, first + (ties - 1) / 2)
     counts = materialise(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "ties")
     ranks = mid_ranks(counts, keys, value, "_n", out, descending).drop("_n")
-    return df.join(ranks, [*keys, value])
+    return null_safe_join(df, ranks, [*keys, value])
 
 
 def quantiles(
@@ -156,7 +155,7 @@ def quantiles(
     """
     keys = list(keys)
     totals = lookup(counts.groupBy(*keys).agg(F.sum(n).alias("_total")), "totals", largest)
-    placed = running(counts, keys, value, {"_cum": ("sum", n)}, largest=largest).join(totals, keys)
+    placed = null_safe_join(running(counts, keys, value, {"_cum": ("sum", n)}, largest=largest), totals, keys)
 
     def at(position: Column) -> Column:
         covers = (F.col("_cum") - F.col(n) <= position) & (position < F.col("_cum"))

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 # fixed values: the exact rank-sum law is used up to this class size, without ties
 EXACT_CLASS = 8
-# above this many possible statistics the normal approximation is used instead
-EXACT_STATES = 5_000_000
+PERIOD = math.lcm(*range(1, EXACT_CLASS + 1))
 
 
 def normal_two_sided(z: float) -> float:
@@ -20,31 +20,48 @@ def normal_two_sided(z: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2.0)))
 
 
+@lru_cache(maxsize=EXACT_CLASS)
+def _numerator(few: int) -> tuple[int, ...]:
+    """Coefficients of (1 - q^PERIOD)^(few + 1) / ((1 - q) (1 - q)(1 - q^2)...(1 - q^few))."""
+    top = [0] * (PERIOD * (few + 1) + 1)
+    for j in range(few + 2):
+        top[PERIOD * j] = (-1) ** j * math.comb(few + 1, j)
+    for i in (1, *range(1, few + 1)):
+        for n in range(i, len(top)):
+            top[n] += top[n - i]
+    while top and top[-1] == 0:
+        top.pop()
+    return tuple(top)
+
+
+def _at_most(few: int, n: int) -> int:
+    """Multisets of parts from 1 to *few* with a sum of at most *n*: a coefficient in closed form."""
+    if n < 0:
+        return 0
+    numbers = _numerator(few)
+    return sum(numbers[j] * math.comb((n - j) // PERIOD + few, few) for j in range(n % PERIOD, min(n, len(numbers) - 1) + 1, PERIOD))
+
+
 def rank_sum_exact(u: float, n1: int, n0: int) -> float:
     """Two-sided p of U under the exact permutation law without ties.
 
-    The counts are the coefficients of the Gaussian binomial [n1+n0 choose n1], built in
-    exact integers by multiplying with (1 - q^(m+i)) and dividing by (1 - q^i).
+    The arrangements with a statistic of at most t are a coefficient of the product of
+    (1 - q^(m+i)) / (1 - q^i) over i up to the smaller class, divided by (1 - q). The numerator has
+    at most 2^8 terms and the rest a closed form, so the cost does not grow with the classes; all
+    counts are exact integers.
     """
     few, many = min(n1, n0), max(n1, n0)
-    size = few * many + 1
-    ways = np.zeros(size, dtype=object)
-    ways[0] = 1
-    for i in range(1, few + 1):
-        if many + i < size:
-            shifted = ways.copy()
-            shifted[many + i :] -= ways[: size - many - i]
-            ways = shifted
-        for start in range(min(i, size)):
-            ways[start::i] = np.cumsum(ways[start::i])
-    upper = int(math.ceil(max(u, n1 * n0 - u)))
-    tail = int(sum(ways[upper:]))
-    return min(1.0, 2.0 * (tail / math.comb(n1 + n0, few)))
+    most = n1 * n0 - math.ceil(max(u, n1 * n0 - u))
+    tail = 0
+    for taken in range(few + 1):
+        for parts in combinations(range(many + 1, many + few + 1), taken):
+            tail += (-1) ** taken * _at_most(few, most - sum(parts))
+    return min(1.0, 2 * tail / math.comb(n1 + n0, few))
 
 
 def rank_sum_p(u: float, n1: float, n0: float, ties: float) -> float:
     """Two-sided p of a rank-sum statistic; *ties* is the sum of t^3 - t over tied groups."""
-    if min(n1, n0) <= EXACT_CLASS and ties == 0 and n1 * n0 < EXACT_STATES:
+    if min(n1, n0) <= EXACT_CLASS and ties == 0:
         return rank_sum_exact(u, int(n1), int(n0))
     n = n1 + n0
     variance = n1 * n0 / 12.0 * ((n + 1.0) - ties / (n * (n - 1.0)))
@@ -55,36 +72,56 @@ def rank_sum_p(u: float, n1: float, n0: float, ties: float) -> float:
     return normal_two_sided(z)
 
 
-def student_two_sided(t: float, df: int) -> float:
-    """P(|T| >= |t|) for an integer number of degrees of freedom.
+def _half_step(a: float) -> float:
+    """log(gamma(a + 1/2) / gamma(a)), without subtracting large logarithms."""
+    shift = 0.0
+    while a < 40:
+        shift += math.log1p(0.5 / a)
+        a += 1
+    r = 1 / (a * a)
+    return 0.5 * math.log(a) - (1 / 8 - r * (1 / 192 - r * (1 / 640 - r * 17 / 14336))) / a - shift
 
-    Up to 1000 degrees the finite trigonometric sum is used; above, a normal deviate
-    corrected in powers of 1/df, whose error is then below double precision.
+
+def student_two_sided(t: float, df: float) -> float:
+    """P(|T| >= |t|), with the same relative accuracy for all degrees of freedom.
+
+    The incomplete beta function of df / (df + t^2) at (df/2, 1/2), or the complement of its mirror
+    image, whichever continued fraction converges fast.
     """
     t = abs(t)
     if math.isinf(t):
         return 0.0
-    if df > 1000:
-        a = df - 0.5
-        b = 48.0 * a * a
-        y = a * math.log1p(t * t / df)
-        series = ((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b
-        return math.erfc(math.sqrt(y) * (series + 1.0) / math.sqrt(2.0))
-    cos2 = df / (df + t * t)
-    sine = t / math.sqrt(df + t * t)
-    term = total = 1.0
-    if df % 2 == 0:
-        for k in range(1, df // 2):
-            term *= cos2 * (2 * k - 1) / (2 * k)
-            total += term
-        return max(0.0, 1.0 - sine * total)
-    angle = math.atan(t / math.sqrt(df))
-    if df == 1:
-        return max(0.0, 1.0 - 2.0 * angle / math.pi)
-    for k in range(1, (df - 1) // 2):
-        term *= cos2 * (2 * k) / (2 * k + 1)
-        total += term
-    return max(0.0, 1.0 - 2.0 / math.pi * (angle + sine * math.sqrt(cos2) * total))
+    if t == 0:
+        return 1.0
+    a, b = df / 2, 0.5
+    x, y = df / (df + t * t), t * t / (df + t * t)
+    front = math.exp(-a * math.log1p(t * t / df) + b * math.log(y) + _half_step(a)) / math.sqrt(math.pi)
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, front / (a * _fraction(a, b, x)))
+    return max(0.0, 1.0 - front / (b * _fraction(b, a, y)))
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, evaluated until it no longer moves."""
+    tiny = 1e-300
+    f = c = 1.0
+    d, k = 0.0, 0
+    while True:
+        m = k // 2
+        if k == 0:
+            term = 1.0
+        elif k % 2:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        if k:
+            d = 1 / ((1 + term * d) or tiny)
+            c = (1 + term / c) or tiny
+            step = c * d
+            f *= step
+            if abs(step - 1) < 1e-15:
+                return f
+        k += 1
 
 
 @F.pandas_udf(DoubleType())

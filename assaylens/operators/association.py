@@ -11,6 +11,7 @@ from assaylens.functions.ordered import (
     average_rank,
     largest_group,
     mid_ranks,
+    null_safe_join,
     quantiles,
     running,
 )
@@ -111,24 +112,21 @@ def adjust_fdr(
     """Benjamini-Hochberg ``p_adjusted`` within each family of the materialised *tests*.
 
     Equal p-values share one adjusted value, so the ordering runs over distinct p-values; a
-    family too large for one window is cut into ranges by :func:`running`.
+    family too large for one window is cut into ranges by :func:`running`. A test without a p stays,
+    without an adjusted one, and is no member of its family; a missing family is one of its own.
     """
     family = list(family)
-    counts = tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
+    having = tests.where(F.col(p).isNotNull())
+    counts = materialise(having.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n")), "p-values")
     if largest is None:
         largest = largest_group(counts, family)
-    sizes = lookup(tests.groupBy(*family).agg(F.count(F.lit(1)).alias("_size")), "families", largest)
+    sizes = lookup(counts.groupBy(*family).agg(F.sum("_n").alias("_size")), "families", largest)
     upto = running(counts, family, p, {"_cum": ("sum", "_n")}, largest=largest)
-    raw = upto.join(sizes, family).withColumn(
+    raw = null_safe_join(upto, sizes, family).withColumn(
         "_raw", F.least(F.lit(1.0), F.col(p) * F.col("_size") / F.col("_cum"))
     )
     adjusted = running(raw, family, p, {"p_adjusted": ("min", "_raw")}, descending=True, largest=largest)
-    return tests.join(adjusted.select(*family, p, "p_adjusted"), [*family, p])
-
-
-def statistical_tests(labelled: DataFrame, features: DataFrame, panel: Sequence[str] | None = None) -> DataFrame:
-    """Rank-sum test and adjusted p of every feature for every response."""
-    return tests_from_counts(contrast_counts(labelled, features, panel))
+    return null_safe_join(tests, adjusted.select(*family, p, "p_adjusted"), [*family, p], "left")
 
 
 def tests_from_counts(counts: DataFrame) -> DataFrame:
@@ -172,6 +170,7 @@ def effect_sizes(counts: DataFrame) -> DataFrame:
             "mean0": F.try_divide("total0", "size0"),
         }
     )
+    means = materialise(means, "means")
     spread = (
         counts.join(means, PAIR)
         .groupBy(*PAIR, "size1", "size0", "mean1", "mean0")
@@ -193,6 +192,11 @@ def effect_sizes(counts: DataFrame) -> DataFrame:
     )
 
 
+def _centred(ranked: DataFrame, sizes: DataFrame, out: str) -> DataFrame:
+    """Ranks less the middle one of their response, so that products of large ranks don't cancel."""
+    return ranked.join(sizes, "response").withColumn(out, F.col("rank") - F.col("middle")).drop("rank", "middle")
+
+
 def spearman(pairs: DataFrame) -> DataFrame:
     """Rank correlation of ``score`` with ``y`` for each response of ``(response, score, y)``.
 
@@ -205,31 +209,36 @@ def spearman(pairs: DataFrame) -> DataFrame:
     margin, levels = materialise_counted(
         counts.groupBy("response", "score").agg(F.sum("n").alias("n")), "score-counts"
     )
-    scores = materialise(mid_ranks(margin, ["response"], "score", "n", "score_rank", largest=levels), "score-ranks")
+    sizes = lookup(margin.groupBy("response").agg(((F.sum("n") + 1) / 2).alias("middle")), "sizes", levels)
+    scores = materialise(
+        _centred(mid_ranks(margin, ["response"], "score", "n", "rank", largest=levels), sizes, "score_rank"), "score-ranks"
+    )
     by_y, values = materialise_counted(
         counts.join(scores.select("response", "score", "score_rank"), ["response", "score"])
         .groupBy("response", "y")
         .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score_rank")).alias("score_ranks")),
         "y-ranks",
     )
-    ranked = mid_ranks(by_y, ["response"], "y", "n", "y_rank", largest=values)
+    ranked = _centred(mid_ranks(by_y, ["response"], "y", "n", "rank", largest=values), sizes, "y_rank")
     sides = (
         ranked.groupBy("response")
         .agg(
             F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("y_levels"),
             F.sum(F.col("score_ranks") * F.col("y_rank")).alias("xy"),
             F.sum(F.col("n") * F.col("y_rank") * F.col("y_rank")).alias("yy"),
         )
         .join(
             scores.groupBy("response").agg(
-                F.sum(F.col("n") * F.col("score_rank") * F.col("score_rank")).alias("xx")
+                F.count(F.lit(1)).alias("score_levels"),
+                F.sum(F.col("n") * F.col("score_rank") * F.col("score_rank")).alias("xx"),
             ),
             "response",
         )
     )
-    centre = F.col("n") * ((F.col("n") + 1) / 2) ** 2
-    spread = F.sqrt(F.col("xx") - centre) * F.sqrt(F.col("yy") - centre)
-    rho = F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("xy") - centre) / spread)))
+    varied = (F.col("y_levels") > 1) & (F.col("score_levels") > 1)
+    quotient = F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))
+    rho = F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), quotient)))
     return (
         sides.select("response", F.col("n").cast("bigint").alias("n"), rho.alias("spearman_rho"))
         .withColumn("p_value", correlation_p_value("spearman_rho", F.col("n").cast("double")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylens.operators.logistic import ALL_ROWS
-from assaylens.session import dimension, new_path
+from assaylens.session import dimension, materialise, new_path
 
 PAIR = ["response", "feature"]
 
@@ -54,7 +54,7 @@ def linear_attribution(counts: DataFrame, coefficients: DataFrame) -> DataFrame:
     means = counts.groupBy(*PAIR).agg((F.sum(size * F.col("v")) / F.sum(size)).alias("mean_v"))
     phi = F.col("coefficient") * (F.col("v") - F.col("mean_v"))
     return (
-        counts.join(means, PAIR)
+        counts.join(materialise(means, "means"), PAIR)
         .join(coefficients.select(*PAIR, "coefficient"), PAIR)
         .filter("coefficient IS NOT NULL")
         .groupBy(*PAIR)

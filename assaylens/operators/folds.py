@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_PREFIX = 3
+from assaylens.functions.ordered import group_rows
 
 
 def stratified_folds(labelled: DataFrame, splits: dict[str, int], seed: int) -> DataFrame:
@@ -15,13 +15,16 @@ def stratified_folds(labelled: DataFrame, splits: dict[str, int], seed: int) ->
 
     *splits* maps an output column to its number of folds; all share one ordering. Numbering a
     class in one window would put it into one task. The hash is uniform, so its first digits
-    make equal ranges; rows are numbered inside a range, and the sizes of the ranges before it
-    are added. *labelled* is read twice and should be a materialised table.
+    make equal ranges, as many digits as the rows need; rows are numbered inside a range, and the
+    sizes of the ranges before it are added. *labelled* is read twice and should be a materialised table.
     """
     group = ["response", "label", "_range"]
+    rows, limit, digits = labelled.count(), group_rows(labelled.sparkSession), 1
+    while rows > limit * 16**digits:
+        digits += 1
     hashed = labelled.withColumn(
         "_hash", F.md5(F.concat_ws("#", F.lit(str(seed)), F.col("entity_id").cast("string")).cast("binary"))
-    ).withColumn("_range", F.substring("_hash", 1, HASH_PREFIX))
+    ).withColumn("_range", F.substring("_hash", 1, digits))
     earlier = (
         Window.partitionBy("response", "label").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -75,33 +78,34 @@ def balanced_weights(folded: DataFrame) -> DataFrame:
 def fold_scales(design: DataFrame, features: Sequence[str]) -> DataFrame:
     """Population standard deviation of each feature over the training rows of each fold.
 
-    Sums are kept for the held-out parts only and subtracted from the totals; a constant
-    feature gets scale 1.
+    Means and centred squares are kept for each held-out part and combined over the others, so
+    that a large offset doesn't cancel; a constant feature gets scale 1.
     """
     long = design.select("response", "fold", *[F.col(f"`{f}`").cast("double").alias(f) for f in features]).unpivot(
         ["response", "fold"], list(features), "feature", "v"
     )
     cells = long.groupBy("response", "fold", "feature").agg(
-        F.count("v").alias("n"),
-        F.sum("v").alias("s"),
-        F.sum(F.col("v") * F.col("v")).alias("ss"),
+        F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("square")
     )
-    whole = Window.partitionBy("response", "feature")
-    rest = cells.select(
-        "response",
-        "fold",
-        "feature",
-        *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in ("n", "s", "ss")],
-        F.col("n").alias("held_n"),
-        F.col("s").alias("held_s"),
+    # one entry for each fold
+    others = F.filter(
+        F.collect_list(F.struct("fold", "n", "mean", "square")).over(Window.partitionBy("response", "feature")),
+        lambda c: (c["fold"] != F.col("fold")) & (c["n"] > 0),
     )
-    mean = F.col("s") / F.col("n")
-    variance = F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)
+
+    def total(parts, of):
+        return F.aggregate(parts, F.lit(0.0), lambda acc, c: acc + of(c))
+
+    rest = cells.withColumn("_rest", others)
+    rest = rest.withColumn("_n", total(F.col("_rest"), lambda c: c["n"]))
+    rest = rest.withColumn("_mean", total(F.col("_rest"), lambda c: c["n"] * c["mean"]) / F.col("_n"))
+    # squares about the cell means, and those of the cell means about the common one
+    variance = total(F.col("_rest"), lambda c: c["square"] + c["n"] * (c["mean"] - F.col("_mean")) ** 2) / F.col("_n")
     scale = F.when(variance > 0, F.sqrt(variance)).otherwise(1.0)
     return rest.select(
         "response",
         "fold",
         "feature",
         scale.alias("scale"),
-        (F.col("held_s") / F.col("held_n") / scale).alias("mean_scaled_held_out"),
+        (F.col("mean") / scale).alias("mean_scaled_held_out"),
     )

@@ -96,6 +96,9 @@ def _newton(patterns: DataFrame, splits: list[str], fits: list[Fit], width: int)
             f.previous, f.loss = f.beta, loss
             f.done = float(np.max(np.abs(move))) < TOLERANCE
             f.beta = f.beta - move
+    late = sorted({f.response for f in fits if not f.done})
+    if late:
+        raise ArithmeticError(f"no convergence in {PASSES} passes: {', '.join(late)}")
 
 
 def _pass_over(state, splits: list[str], width: int):
@@ -130,8 +133,11 @@ def _fold_moments(patterns: DataFrame, split: str, width: int, scaled: bool) ->
     parts = [
         F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).cast("double").alias(f"n{c}") for c in (0, 1)
     ]
-    for j in range(width - 1 if scaled else 0):
-        x = F.col("x")[j]
+    features = range(width - 1 if scaled else 0)
+    # squares are taken from the least value of each feature, so that an offset doesn't cancel
+    least = patterns.agg(*[F.min(F.col("x")[j]) for j in features]).first() if features else ()
+    for j in features:
+        x = F.col("x")[j] - F.lit(least[j])
         parts += [F.sum(F.col("n") * x).alias(f"s{j}"), F.sum(F.col("n") * x * x).alias(f"q{j}")]
     moments: dict[str, dict[int, np.ndarray]] = {}
     for response, fold, *values in patterns.groupBy("response", split).agg(*parts).collect():

@@ -96,11 +96,10 @@ def add_interaction_columns(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -
     return wide.withColumns({f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in known})
 
 
-def missing_features(hits: DataFrame, requested: Sequence[str]) -> DataFrame:
-    """Requested features that the data does not have."""
-    wanted = dimension(hits.sparkSession, [(name,) for name in requested], "feature string")
-    present = hits.filter(F.col("feature").isin(list(requested))).select("feature").distinct()
-    return wanted.join(present, "feature", "left_anti")
+def missing_features(spark: SparkSession, available: Sequence[str], requested: Sequence[str]) -> DataFrame:
+    """Requested features that the matrix has no column of; an all-zero column is there."""
+    known = set(available)
+    return dimension(spark, [(name,) for name in requested if name not in known], "feature string")
 
 
 def panel_violations(panels: DataFrame, whole: str) -> DataFrame:

@@ -410,8 +410,12 @@ _wide_resp = ", ".join(f"round(max(y) FILTER (WHERE response = '{r}'), 9) AS {{{
 ORACLES["response_long"] = sql("SELECT entity_id, response, round(y, 9) AS y FROM resp")
 ORACLES["feature_long"] = sql("SELECT entity_id, feature, v FROM flag")
 ORACLES["dirty_numeric_flags"] = r"""
-SELECT event_id, raw, CAST(coalesce(trunc(try_cast(raw AS DOUBLE)), 0) AS INTEGER) AS k
-FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN props ELSE regexp_extract(props, '(\d+)', 1) END AS raw FROM events)"""
+SELECT event_id, raw,
+       CASE WHEN regexp_full_match(raw, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*')
+            THEN coalesce(try_cast(trunc(try_cast(trim(raw) AS DOUBLE)) AS BIGINT), 0) ELSE 0 END AS k
+FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN props
+        ELSE (CASE WHEN event_id % 4 = 0 THEN '-' ELSE '' END) || event_id
+             || ['', 'd', 'F', '000000000', '.75', 'e2', ' ', 'x', '.'][event_id % 9 + 1] END AS raw FROM events)"""
 ORACLES["response_keys"] = sql("SELECT CAST(response_id AS INTEGER) AS response_id, count(*) AS n FROM pres JOIN dims USING (response) GROUP BY 1")
 ORACLES["csv_roundtrip"] = sql(f"SELECT entity_id, {_wide_resp.format(*'abcde')} FROM resp GROUP BY 1")
 ORACLES["missing_source_default"] = sql("SELECT entity_id, context FROM ent")
@@ -422,7 +426,7 @@ ORACLES["merged_matrix"] = sql(
     + ", ".join(f"max(v) FILTER (WHERE feature = '{b}') AS r{i}_mut" for i, b in enumerate(roles.HR[:5], 1))
     + " FROM flag GROUP BY 1) f USING (entity_id) JOIN ent e USING (entity_id)"
 )
-ORACLES["shared_entities"] = sql("SELECT entity_id FROM pres INTERSECT SELECT entity_id FROM hits")
+ORACLES["shared_entities"] = sql("SELECT entity_id FROM pres INTERSECT SELECT entity_id FROM flag")
 ORACLES["panel_scores"] = sql(
     "SELECT s.*, n.narrow, n.broad FROM score s JOIN (SELECT entity_id, "
     f"CAST(sum(v) FILTER (WHERE feature IN ({_list(roles.NARROW)})) AS INTEGER) AS narrow, "
@@ -433,7 +437,7 @@ ORACLES["panel_scores_wide"] = sql(
 )
 ORACLES["panel_missing"] = sql(
     f"SELECT feature FROM (VALUES {_values([(b,) for b in (*roles.HR, 'Brand#98', 'Brand#99')])}) r(feature) "
-    "WHERE feature NOT IN (SELECT feature FROM hits)"
+    "WHERE feature NOT IN (SELECT feature FROM flag)"
 )
 ORACLES["panel_subset_violations"] = f"""
 SELECT DISTINCT 'size ' || p_size AS panel, p_brand AS feature FROM part WHERE p_brand NOT IN ({_FULL})"""
@@ -475,7 +479,7 @@ ORACLES["response_status"] = sql(
        FROM planned LEFT JOIN (
          SELECT response, count(*) AS n, count(*) FILTER (WHERE y <= q) AS k
          FROM jp JOIN (SELECT response, quantile_cont(y, 0.25) AS q FROM jp GROUP BY 1) USING (response) GROUP BY 1) USING (response)""",
-    "\njp AS (SELECT * FROM pres WHERE entity_id IN (SELECT entity_id FROM hits))",
+    "\njp AS (SELECT * FROM pres WHERE entity_id IN (SELECT entity_id FROM flag))",
 )
 ORACLES["score_histogram"] = sql("SELECT hrd_score AS score, count(*) AS n FROM score GROUP BY 1")
 ORACLES["score_stats"] = sql(
@@ -573,7 +577,12 @@ ORACLES["classification_metrics"] = sql(
 )
 ORACLES["model_comparison"] = sql("SELECT * FROM compared", MODELS)
 ORACLES["best_model"] = sql(
-    "SELECT * FROM compared QUALIFY row_number() OVER (PARTITION BY response ORDER BY auc DESC, model = 'burden') = 1", MODELS
+    "SELECT response, model, "
+    + ", ".join(f"round({m}, 9) AS {m}" for m in ("auc", "accuracy", "precision", "recall", "f1"))
+    + " FROM (SELECT response, model, "
+    + ", ".join(f"avg({m}) AS {m}" for m in ("auc", "accuracy", "precision", "recall", "f1"))
+    + " FROM per_fold GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY response ORDER BY auc DESC, model = 'burden') = 1",
+    MODELS,
 )
 ORACLES["comparison_long"] = sql(
     " UNION ALL ".join(
@@ -655,20 +664,23 @@ ORACLES["score_ablation"] = sql(
     ABLATION,
 )
 ORACLES["benchmark_report"] = sql(
-    """SELECT CAST(response_id + 2 AS INTEGER) AS line_no, printf('| %s | %d | %d | %.3f ± %.3f | %.3f ± %.3f | %+.3f |',
+    """SELECT 1 AS section, CAST(response_id AS BIGINT) AS key, printf('| %s | %d | %d | %.3f ± %.3f | %.3f ± %.3f | %+.3f |',
          response_name, n, n_sensitive, auc_base, std_base, auc_full, std_full, delta) AS line FROM abl
-       UNION ALL SELECT 0, '| Response | n | n_sens | AUC (HR) | AUC (burden) | Δ AUC |'
-       UNION ALL SELECT 1, '| --- | ---: | ---: | ---: | ---: | ---: |'
-       UNION ALL SELECT 1000000, printf('**Mean AUC (HR): %.3f**', avg(auc_base)) FROM abl
-       UNION ALL SELECT 1000001, printf('**Mean AUC (burden): %.3f**', avg(auc_full)) FROM abl
-       UNION ALL SELECT 1000002, printf('**Mean Δ: %+.3f AUC**', avg(auc_full) - avg(auc_base)) FROM abl""",
+       UNION ALL SELECT 0, 0, '| Response | n | n_sens | AUC (HR) | AUC (burden) | Δ AUC |'
+       UNION ALL SELECT 0, 1, '| --- | ---: | ---: | ---: | ---: | ---: |'
+       UNION ALL SELECT 2, 2, printf('**Mean AUC (HR): %.3f**', avg(auc_base)) FROM abl
+       UNION ALL SELECT 2, 3, printf('**Mean AUC (burden): %.3f**', avg(auc_full)) FROM abl
+       UNION ALL SELECT 2, 4, printf('**Mean Δ: %+.3f AUC**', avg(auc_full) - avg(auc_base)) FROM abl""",
     ABLATION,
 )
 ORACLES["score_report"] = sql(
-    """SELECT printf('1-%06d', hrd_score) AS section, printf('  score=%d: n=%d', hrd_score, count(*)) AS line FROM score GROUP BY hrd_score
-       UNION ALL SELECT '2', printf('  mean=%.3f  std=%.3f  max=%d', avg(hrd_score), stddev_samp(hrd_score), max(hrd_score)) FROM score
-       UNION ALL SELECT printf('3-%06d', response_id), printf('  %-12s (Drug %d): n=%4d  rho=%+.3f  p=%.3f  %s',
-         response_name, response_id, n, rho, p, '') FROM tailed JOIN planned USING (response)""",
+    f"""SELECT 0 AS section, CAST(0 AS BIGINT) AS key, printf('Entities analysed (N): %d', count(DISTINCT entity_id)) AS line FROM score
+       UNION ALL SELECT 0, 1, '  available: {', '.join(roles.HR)}' UNION ALL SELECT 0, 2, '  missing: Brand#98'
+       UNION ALL SELECT 1, CAST(hrd_score AS BIGINT), printf('  score=%d: n=%d', hrd_score, count(*)) FROM score GROUP BY hrd_score
+       UNION ALL SELECT 2, 0, printf('  mean=%.3f  std=%.3f  max=%d', avg(hrd_score), stddev_samp(hrd_score), max(hrd_score)) FROM score
+       UNION ALL SELECT 3, CAST(response_id AS BIGINT), printf('  %-12s (Drug %d): n=%4d', response_name, response_id, coalesce(n, 0))
+         || '  rho=' || coalesce(printf('%+.3f', rho), '+nan') || '  p=' || coalesce(printf('%.3g', p), 'nan') || '  '
+         || CASE WHEN n IS NULL THEN 'response absent' ELSE '' END FROM planned LEFT JOIN tailed USING (response)""",
     corr_cte("hrd_score"),
 )
 ORACLES["results_persist"] = sql(

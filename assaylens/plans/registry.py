@@ -44,9 +44,12 @@ def feature_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dirty_numeric_flags(spark: SparkSession, d: str) -> DataFrame:
-    digits = F.regexp_extract("props", r"(\d+)", 1)
-    raw = F.when(F.col("event_type") == "error", F.col("props")).otherwise(digits)
-    events = roles.table(spark, d, "events").select("event_id", raw.alias("raw"))
+    # raw JSON, and numbers as they come in dirty files
+    forms = ["", "d", "F", "000000000", ".75", "e2", " ", "x", "."]
+    number = F.when(F.col("event_type") == "error", F.col("props")).otherwise(
+        F.concat(F.when(F.col("event_id") % 4 == 0, "-").otherwise(""), F.col("event_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("event_id") % len(forms) + 1).cast("int")))
+    )
+    events = roles.table(spark, d, "events").select("event_id", number.alias("raw"))
     return events.select("event_id", "raw", matrices.to_flag("raw").alias("k"))
 
 
@@ -86,7 +89,7 @@ def merged_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def shared_entities(spark: SparkSession, d: str) -> DataFrame:
-    return matrices.require_overlap(roles.present_responses(spark, d), roles.hits(spark, d))
+    return matrices.require_overlap(roles.present_responses(spark, d), roles.flags(spark, d))
 
 
 # ---------------------------------------------------------------- panels
@@ -106,7 +109,7 @@ def panel_scores_wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def panel_missing(spark: SparkSession, d: str) -> DataFrame:
-    return panels.missing_features(roles.hits(spark, d), [*roles.HR, "Brand#98", "Brand#99"])
+    return panels.missing_features(spark, roles.flags(spark, d).columns, [*roles.HR, "Brand#98", "Brand#99"])
 
 
 @query
@@ -173,7 +176,7 @@ def class_gate(spark: SparkSession, d: str) -> DataFrame:
 @query
 def response_status(spark: SparkSession, d: str) -> DataFrame:
     present = materialise(roles.present_responses(spark, d), "responses")
-    joined = labels.joined_responses(present, roles.hits(spark, d))
+    joined = labels.joined_responses(present, roles.flags(spark, d))
     rows = labels.quantile_labels(joined)
     return labels.response_status(present, rows, roles.plan(spark)).drop("response")
 
@@ -373,7 +376,9 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def best_model(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.best_model(_panel_comparison(spark, d), {"HR": 0, "burden": 1})
+    per_fold = metrics.classification_metrics(_panel_models(spark, d), ["response", "model", "fold"])
+    means = metrics.mean_metrics(per_fold, ["response", "model"])
+    return rounded(metrics.best_model(means, {"HR": 0, "burden": 1}), 9, *metrics.METRICS)
 
 
 @query
@@ -578,7 +583,7 @@ def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def score_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.score_lines(_hrd(spark, d), _spearman(spark, d).filter("note = ''"))
+    return report.score_lines(_hrd(spark, d), _spearman(spark, d), roles.HR, ["Brand#98"])
 
 
 @query

@@ -220,10 +220,12 @@ def run_score_study(
     correlations = materialise(assoc.planned_spearman(responses, scores, plan), "correlations")
     study = cross_validate_panel(responses, flags, plan, present, seed, k)
     return ScoreStudy(
-        missing=panels.missing_features(panels.sparse_features(flags, present), panel),
+        missing=panels.missing_features(flags.sparkSession, flags.columns, panel),
         correlations=correlations,
         scatter=labels.drop_missing(responses).join(scores, "entity_id").select("response", "entity_id", "score", "y"),
         cv=study.cv,
         attribution=attribute_best(study, present),
-        lines=report.score_lines(scores, correlations.filter("note = ''")),
+        lines=report.score_lines(
+            scores, correlations, present, [f for f in panel if f not in present], study.cv, study.cv.orderBy(F.col("cv_auc_mean").desc_nulls_last(), "response_id").limit(1).filter("cv_auc_mean IS NOT NULL")
+        ),
     )

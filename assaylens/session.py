@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-DIMENSION_ROWS = 100_000
+DIMENSION_BYTES = 8_000_000
 LOOKUP_ROWS = 1_000_000
 
 
@@ -79,12 +79,17 @@ def drop_materialised(spark: SparkSession) -> None:
 
 
 def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small table made of *rows*, broadcast up to ``DIMENSION_ROWS`` rows.
+    """A small table made of *rows*, broadcast up to ``DIMENSION_BYTES`` of their values as text.
 
     Above that there is no hint, and the join is planned by size as any other.
     """
     table = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(table) if len(rows) <= DIMENSION_ROWS else table
+    size = 0
+    for row in rows:
+        size += sum(len(repr(value)) for value in row)
+        if size > DIMENSION_BYTES:
+            return table
+    return F.broadcast(table)
 
 
 _shipped: set[str] = set()

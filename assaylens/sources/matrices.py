@@ -57,10 +57,15 @@ def response_key(long: DataFrame, out: str = "response_id") -> DataFrame:
 
 
 def to_flag(column: str):
-    """Dirty text or number as an int: unusable text is 0, fractions are cut toward zero."""
-    number = F.col(column).try_cast("double")
-    usable = F.when(~F.isnan(number), number)
-    return F.coalesce(usable.try_cast("int"), F.lit(0))
+    """Dirty text or number as a bigint: unusable text is 0, fractions are cut toward zero.
+
+    Only plain numbers are usable, not what Java would also read (``1d``, ``7F``, ``NaN``); a
+    number beyond 64 bits is 0.
+    """
+    text = F.col(column).cast("string")
+    plain = text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+    number = F.when(plain, F.trim(text).try_cast("double"))
+    return F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def merge_matrices(left: DataFrame, right: DataFrame, context: DataFrame | None = None) -> DataFrame:

@@ -34,8 +34,8 @@ def spark():
 
 @pytest.fixture
 def tiny_groups(spark, monkeypatch):
-    """Force the paths for large tables: four rows to an ordered window, small join sides written."""
+    """Force the paths for large tables: twenty rows to an ordered window, small join sides written."""
     monkeypatch.setattr("assaylens.session.LOOKUP_ROWS", 0)
-    spark.conf.set("assaylens.groupRows", "4")
+    spark.conf.set("assaylens.groupRows", "20")
     yield
     spark.conf.unset("assaylens.groupRows")

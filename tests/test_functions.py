@@ -121,3 +121,33 @@ def test_student_tail_is_continuous_where_the_method_changes():
     assert tails.student_two_sided(1.0, 1) == pytest.approx(0.5)
     assert tails.student_two_sided(2.0, 2) == pytest.approx(1 - 2 / math.sqrt(6))
     assert tails.student_two_sided(1.5, 3) == pytest.approx(1 - 2 / math.pi * (math.atan(1.5 / math.sqrt(3)) + 1.5 / math.sqrt(3) / (1 + 0.75)))
+
+
+def test_missing_keys_and_values_survive_the_cut(spark, tiny_groups):
+    rows = [("a", float(i % 30)) for i in range(90)] + [("a", None)] * 3 + [(None, 1.0), (None, 2.0), (None, None)]
+    df = materialise(spark.createDataFrame(rows, "k string, v double"), "rows")
+
+    def ranks():
+        return sorted(((r.k, r.v, r.rank) for r in ordered.average_rank(df, ["k"], "v", "rank").collect()), key=str)
+
+    cut = ranks()
+    spark.conf.set("assaylens.groupRows", "1000")
+    assert len(cut) == len(rows) and cut == ranks()
+
+
+def test_exact_law_of_large_classes():
+    # without ties and with one in the smaller class every place is equally likely
+    assert tails.rank_sum_exact(0, 1, 8_000_000) == pytest.approx(2 / 8_000_001, rel=1e-12)
+    # U at most 1 of two among m: the least sums 0 and 1
+    assert tails.rank_sum_exact(1, 2, 4_000_000) == pytest.approx(2 * 2 / math.comb(4_000_002, 2), rel=1e-12)
+
+
+@pytest.mark.parametrize("df", [999, 1000, 1001])
+def test_student_tail_is_relative(df):
+    # by the density, integrated far out
+    steps = np.linspace(12, 60, 2_000_001)
+    log_c = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+    dense = np.exp(log_c - (df + 1) / 2 * np.log1p(steps**2 / df))
+    h = steps[1] - steps[0]
+    simpson = h / 3 * (dense[0] + dense[-1] + 4 * dense[1:-1:2].sum() + 2 * dense[2:-1:2].sum())
+    assert tails.student_two_sided(12, df) == pytest.approx(2 * simpson, rel=1e-9)

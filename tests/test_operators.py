@@ -116,7 +116,6 @@ def test_config_checks():
     ):
         with pytest.raises(ValueError):
             StudyConfig(**bad).validate()
-    assert [g["C"] for g in StudyConfig().regularisation_grid()] == [0.01, 0.1, 1.0, 10.0]
 
 
 # ---- panels
@@ -129,7 +128,7 @@ def test_scores_ignore_unknown_genes_and_missing_flags(spark):
     hits = panels.sparse_features(wide.fillna(0), ["A", "B"])
     long = panels.composite_scores(wide, hits, {"s": ["A", "B", "X"], "m": ["B"]}, flags=("m",))
     assert [(r.s, r.m) for r in long.orderBy("entity_id").collect()] == [(2, 1), (1, 1), (0, 0)]
-    assert panels.missing_features(hits, ["A", "X"]).collect()[0].feature == "X"
+    assert [r.feature for r in panels.missing_features(spark, wide.columns, ["A", "X"]).collect()] == ["X"]
     assert panels.select_panel_columns(wide, ["B", "X"]).columns == ["entity_id", "B"]
     dense = panels.flag_matrix(wide.select("entity_id"), hits, ["A", "B", "X"])
     assert sorted(map(tuple, dense.collect())) == [(1, 1, 1, 0), (2, 0, 1, 0), (3, 0, 0, 0)]
@@ -352,7 +351,52 @@ def test_published_benchmark_table(spark):
     rows = [(*r[:4], name, *pair) for r in PUBLISHED_CV for name, pair in (("base", r[4:6]), ("full", r[6:8]))]
     cv = spark.createDataFrame(rows, "response_id int, response_name string, n int, n_sensitive int, feature_set string, cv_auc_mean double, cv_auc_std double")
     table = report.ablation(cv, ["response_id", "response_name", "n", "n_sensitive"], "base", "full")
-    lines = [r.line for r in report.benchmark_lines(table, "base", "full").orderBy("line_no").collect()]
+    lines = [r.line for r in report.benchmark_lines(table, "base", "full").orderBy("section", "key").collect()]
     assert "| Olaparib | 424 | 212 | 0.603 ± 0.051 | 0.736 ± 0.050 | +0.132 |" in lines
     assert "| AZD7762 | 424 | 212 | 0.594 ± 0.049 | 0.772 ± 0.036 | +0.178 |" in lines
     assert lines[-3:] == ["**Mean AUC (base): 0.578**", "**Mean AUC (full): 0.731**", "**Mean Δ: +0.153 AUC**"]
+
+
+# ---- definitions at size and at the edges
+
+
+def test_dirty_numbers(spark):
+    texts = ["1d", "7F", "3000000000", " 12 ", "-3.9", "1e3", "NaN", "Infinity", "", None, "x", "1e30", ".5", "5."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.k for r in df.select("i", matrices.to_flag("t").alias("k")).orderBy("i").collect()]
+    assert got == [0, 0, 3000000000, 12, -3, 1000, 0, 0, 0, 0, 0, 0, 0, 5]
+
+
+def test_all_zero_column_is_not_missing(spark):
+    assert panels.missing_features(spark, ["entity_id", "Z"], ["Z", "Y"]).collect()[0].feature == "Y"
+
+
+def test_scales_with_an_offset(spark):
+    rows = [("r", i % 3, 1e9 + i % 3) for i in range(30)] + [("r", i % 3, 1e9 + (i + 1) % 3) for i in range(30)]
+    got = folds.fold_scales(spark.createDataFrame(rows, "response string, fold int, x double"), ["x"]).collect()
+    for r in got:
+        train = [x for _, f, x in rows if f != r.fold]
+        mean = sum(train) / len(train)
+        assert r.scale == pytest.approx((sum((x - mean) ** 2 for x in train) / len(train)) ** 0.5, rel=1e-8)
+
+
+def test_constant_score_has_no_correlation(spark):
+    pairs = spark.createDataFrame([("r", 1.0, float(i)) for i in range(50)] + [("s", float(i), float(i)) for i in range(50)], "response string, score double, y double")
+    got = {r.response: (r.spearman_rho, r.p_value) for r in assoc.spearman(pairs).collect()}
+    assert got["r"] == (None, None) and got["s"][0] == 1.0
+
+
+def test_missing_p_is_kept_outside_its_family(spark):
+    rows = [("a", 0.01), ("a", 0.02), ("a", None), (None, 0.03)]
+    tests = materialise(spark.createDataFrame(rows, "response string, p_value double"), "tests")
+    got = sorted(((r.response, r.p_value, r.p_adjusted) for r in assoc.adjust_fdr(tests).collect()), key=str)
+    assert got == sorted([("a", 0.01, 0.02), ("a", 0.02, 0.02), ("a", None, None), (None, 0.03, 0.03)], key=str)
+
+
+def test_report_order_and_digits(spark):
+    ps = spark.createDataFrame([(0.0123456,), (0.5,), (1.0,), (1.5e-10,), (0.00012345,), (0.0,), (None,)], "p double")
+    got = [r.p for r in ps.select(report.significant(F.col("p")).alias("p")).collect()]
+    assert got == ["0.0123", "0.5", "1", "1.5e-10", "0.000123", "0", "nan"]
+    table = spark.createDataFrame([(5_000_000, "B", 4, 2, *[0.5] * 4, 0.1), (7, "A", 4, 2, *[0.5] * 4, 0.1)], "response_id int, response_name string, n int, n_sensitive int, auc_base double, std_base double, auc_full double, std_full double, delta double")
+    lines = [r.line[:3] for r in report.benchmark_lines(table, "x", "y").orderBy("section", "key").collect()]
+    assert lines == ["| R", "| -", "| A", "| B", "**M", "**M", "**M"]
