@@ -688,3 +688,4 @@ ORACLES["results_persist"] = sql(
     "(SELECT response, model, fold, count(*) AS n FROM scored GROUP BY 1, 2, 3) USING (response, model, fold)",
     MODELS,
 )
+ORACLES["models_persist"] = ORACLES["lr_cv"]

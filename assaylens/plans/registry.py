@@ -427,6 +427,16 @@ def lr_cv(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.mean_metrics(per_fold, ["response"]), 6, *metrics.METRICS)
 
 
+@query
+def models_persist(spark: SparkSession, d: str) -> DataFrame:
+    """The same metrics from the written models, read back and applied to the patterns again."""
+    patterns, _, models = _lr(spark, d)
+    folder = results.write_results(new_path(spark, "models"), models=models)
+    oof = logistic.predict(patterns, results.read_results(spark, folder, "models"), "fold")
+    per_fold = metrics.classification_metrics(oof, ["response", "fold"], n="n")
+    return rounded(metrics.mean_metrics(per_fold, ["response"]), 6, *metrics.METRICS)
+
+
 def _panel_cv(spark: SparkSession, d: str) -> screen.PanelCv:
     return screen.cross_validate_panel(
         _responses(spark, d), materialise(roles.flags(spark, d), "flags"), roles.plan(spark), roles.HR, roles.CONFIG.seed

@@ -17,7 +17,7 @@ from assaylens.config import StudyConfig
 from assaylens.operators import association as assoc
 from assaylens.operators import attribution, boosting, folds, labels, logistic, metrics, panels, report
 from assaylens.session import lookup, materialise, materialise_counted
-from assaylens.sources import results
+from assaylens.sources import matrices, results
 
 LR, GBM = "LR", "GBM"
 
@@ -35,6 +35,7 @@ class Screen:
     effects: DataFrame
     summary: DataFrame
     confusion: DataFrame
+    models: DataFrame | None = None
 
 
 def modelling_table(
@@ -62,9 +63,12 @@ def run_screen(
 ) -> Screen:
     """Cross-validate the models, pick the better one, and rank the biomarkers of each response.
 
-    With ``models=("GBM",)`` this is the biomarker analysis by the boosted model alone.
+    With ``models=("GBM",)`` this is the biomarker analysis by the boosted model alone. Raises
+    ValueError for a configured response that the data lacks, and when no entity is in both tables.
     """
     config.validate()
+    labels.require_responses(responses, config.responses)
+    matrices.require_overlap(labels.drop_missing(responses), flags)
     design, features = modelling_table(responses, flags, config)
     spark = design.sparkSession
     patterns = logistic.training_patterns(design, features, ("fold", "inner_fold"))
@@ -120,6 +124,7 @@ def run_screen(
         effects=effects,
         summary=assoc.biomarker_summary(picked, tests, effects),
         confusion=metrics.confusion(again, ["response", "model"]),
+        models=fitted.withColumn("features", F.array(*[F.lit(f) for f in features])) if LR in models else None,
     )
 
 
@@ -128,7 +133,8 @@ def write_screen(screen: Screen, folder: str) -> str:
     results.write_table(screen.summary, f"{folder}/biomarkers", "csv", partition="response")
     results.write_table(screen.comparison, f"{folder}/model_comparison", "csv")
     results.write_table(screen.confusion, f"{folder}/confusion", "csv")
-    return results.write_results(folder, oof=screen.oof, fold_metrics=screen.fold_metrics)
+    fitted = {} if screen.models is None else {"models": screen.models}
+    return results.write_results(folder, oof=screen.oof, fold_metrics=screen.fold_metrics, **fitted)
 
 
 def evaluate_results(spark, folder: str) -> dict[str, DataFrame]:

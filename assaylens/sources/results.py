@@ -23,7 +23,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: str |
     return path
 
 
-def write_lines(report: DataFrame, order: str, path: str) -> str:
+def write_lines(report: DataFrame, order: str | list[str], path: str) -> str:
     """Write report lines as text, in order."""
     report.orderBy(order).select("line").write.mode("overwrite").text(path)
     return path

@@ -11,6 +11,7 @@ from assaylens.config import BoostingParams
 from assaylens.operators import attribution, boosting, folds, logistic
 from assaylens.plans import roles, screen
 from assaylens.session import new_path
+from assaylens.sources import results
 
 NAMES = ["a", "b", "c"]
 
@@ -156,6 +157,13 @@ def test_screen_on_the_small_tables(spark):
     curves = screen.evaluate_results(spark, folder)
     assert curves["roc_auc"].count() == 4 and curves["comparison"].count() == 20
     assert curves["prevalence"].first().n == 4 * entities
+    models = results.read_results(spark, folder, "models")
+    assert models.count() == 2 * (roles.CONFIG.folds + 1) and len(models.first().features) == len(models.first().coefficients)
+    with pytest.raises(ValueError, match="not found"):
+        screen.run_screen(roles.responses(spark, SMALL), roles.flags(spark, SMALL), replace(config, responses=("nope",)))
+    apart = roles.flags(spark, SMALL).withColumn("entity_id", F.col("entity_id") + 10**9)
+    with pytest.raises(ValueError, match="share no entity"):
+        screen.run_screen(roles.responses(spark, SMALL), apart, config)
     back = spark.read.csv(f"{folder}/biomarkers", header=True)
     assert back.count() == 32 and "response" in back.columns
 
