@@ -78,12 +78,15 @@ def balanced_weights(folded: DataFrame) -> DataFrame:
 def fold_scales(design: DataFrame, features: Sequence[str]) -> DataFrame:
     """Population standard deviation of each feature over the training rows of each fold.
 
-    Means and centred squares are kept for each held-out part and combined over the others, so
-    that a large offset doesn't cancel; a constant feature gets scale 1.
+    Values are taken from the least of their feature, so that a large offset doesn't cancel. Means
+    and centred squares are kept for each held-out part and combined over the others; a constant
+    feature gets scale 1.
     """
-    long = design.select("response", "fold", *[F.col(f"`{f}`").cast("double").alias(f) for f in features]).unpivot(
-        ["response", "fold"], list(features), "feature", "v"
-    )
+    wide = design.select("response", "fold", *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    least = wide.agg(*[F.coalesce(F.min(f"`{f}`"), F.lit(0.0)) for f in features]).first()
+    moved = wide.select("response", "fold", *[(F.col(f"`{f}`") - F.lit(v)).alias(f) for f, v in zip(features, least, strict=True)])
+    long = moved.unpivot(["response", "fold"], list(features), "feature", "v")
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in zip(features, least, strict=True) for x in pair]), F.col("feature"))
     cells = long.groupBy("response", "fold", "feature").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("square")
     )
@@ -107,5 +110,5 @@ def fold_scales(design: DataFrame, features: Sequence[str]) -> DataFrame:
         "fold",
         "feature",
         scale.alias("scale"),
-        (F.col("mean") / scale).alias("mean_scaled_held_out"),
+        ((F.col("mean") + start) / scale).alias("mean_scaled_held_out"),
     )
