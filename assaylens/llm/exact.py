@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylens.llm.common import fresh
+from assaylens.llm.common import fresh, release
 from assaylens.session import materialise, materialise_counted
 
 LEAST, MOST = 256, 4096  # characters of a chunk; the last one may be shorter
@@ -40,7 +40,10 @@ def without(docs: DataFrame, found, tag: str) -> DataFrame:
     row = fresh(docs, "_row")
     rows = with_row(docs, row)
     gone = materialise(found(rows.select(F.col(row).alias("_row"), "doc_id", "text")), tag)
-    return rows.join(gone.select(F.col("_row").alias(row)), row, "left_anti").select(*docs.columns)
+    release(docs.sparkSession)
+    # the rows to drop grow with the table: the same join at every size
+    dropped = gone.select(F.col("_row").alias(row)).hint("merge")
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def recipes(rows: DataFrame, digest=F.xxhash64) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylens.llm.common import fresh
+from assaylens.llm.common import fresh, release
 from assaylens.llm.exact import with_row
 from assaylens.session import materialise
 
@@ -219,7 +219,9 @@ def mask(docs: DataFrame) -> DataFrame:
     rows = with_row(docs, row)
     found = spans(rows.select(F.col(row).alias("_row"), "doc_id", "text"))
     hit = found.select(F.col("_row").alias(row), _sorted(F.col("base"), F.col("added")).alias(held))
-    joined = rows.join(materialise(hit.where(F.size(held) > 0), "hits"), row, "left")
+    hit = materialise(hit.where(F.size(held) > 0), "hits")
+    release(docs.sparkSession)
+    joined = rows.join(hit.hint("merge"), row, "left")
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
 
