@@ -1,9 +1,11 @@
 """Removal of strings repeated across documents, by bounded expansion on a Burrows-Wheeler transform.
 
-Every string of LEAST bytes has an anchor, the 16 bytes of smallest hash in it. Equal strings have
-equal anchors, so anchors of a single document are left aside, and the strings of the others meet
-by anchor. Around an anchor they are one segment; equal segments are folded to their smallest
-doc_id. The segments of many anchors make a text whose suffixes are sorted. Intervals of suffixes
+Every string of LEAST bytes has an anchor, the 16 bytes of smallest hash in it, and holds the 17
+bytes to the left or to the right of it as well. Equal strings have equal anchors and one of these
+sides in common, so anchors whose sides occur in a single document are left aside, and the strings
+of the others meet by anchor. Around an anchor they are one segment; equal segments are folded to
+their smallest doc_id. The segments of many anchors make a text whose suffixes are sorted; a segment
+alone at its anchor has no other to share a string with. Intervals of suffixes
 with a common prefix are extended backwards, breadth first, by one byte each level; an interval of
 one suffix is done, and the search stops at LEAST bytes. What is left are the repeated strings.
 """
@@ -25,19 +27,21 @@ from assaylens.session import materialise
 LEAST = 50
 GRAM = 16
 SPAN = LEAST - GRAM + 1  # grams in a string of LEAST bytes
+SIDE = (LEAST - GRAM) // 2  # a string holds as many bytes left or right of its anchor
 CHARS = 1_000_000
 BLOCK = 1_000_000  # bytes of a transform; more only if one anchor has more
 HOT = 100_000  # different segments of an anchor above which its strings are dealt one by one
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: no other document is larger
 
 
-def anchors(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one anchor: text, hash of the anchor, first and last start of the run."""
+def anchors(data: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one anchor: text, hash of the anchor, first and last start of the run,
+    and the hashes of the anchor with its left and its right side, 0 where the text has none."""
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     a = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
     none = np.zeros(0, np.int64)
     if len(a) < LEAST:
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
     eight = a
     for width in (1, 2, 4):
         eight = eight[:-width] | (eight[width:] << np.uint64(8 * width))
@@ -57,12 +61,22 @@ def anchors(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     start = np.flatnonzero(np.arange(len(at)) + LEAST <= ends[owner])
     at, owner = at[start], owner[start]
     if not len(start):
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
     new = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    begin = (ends - sizes)[owner[first]]
-    return owner[first], gram[at[first]], start[first] - begin, start[last] - begin
+    begin, end, place = (ends - sizes)[owner[first]], ends[owner[first]], at[first]
+
+    def side(where: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Hashes of GRAM + SIDE bytes, 8 at a time, the last 8 overlapping."""
+        where, out = np.where(inside, where, 0), np.zeros(len(where), np.uint64)
+        for step in (*range(0, GRAM + SIDE - 8, 8), GRAM + SIDE - 8):
+            out = mixed(out + eight[where + step] * np.uint64(0x9E3779B97F4A7C15))
+        return np.where(inside, out, np.uint64(0))
+
+    left = side(place - SIDE, place - SIDE >= begin)
+    right = side(place, place + GRAM + SIDE <= end)
+    return owner[first], gram[place], start[first] - begin, start[last] - begin, left, right
 
 
 def _runs(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
@@ -80,21 +94,22 @@ def _runs(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs, data in _runs(batch, "doc"):
-            owner, gram, _, _ = anchors(data)
-            pairs = np.unique(np.stack([np.array(docs, np.int64)[owner], gram.view(np.int64)]), axis=1) if len(owner) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], ["h", "doc"])
+            owner, *_, left, right = anchors(data)
+            doc, sides = np.tile(np.array(docs, np.int64)[owner], 2), np.concatenate([left, right])
+            yield pa.RecordBatch.from_arrays([pa.array(sides[sides != 0].view(np.int64)), pa.array(doc[sides != 0])], ["h", "doc"])
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["_row", "doc", "at", "h", "sid", "segment"]
     for batch in batches:
         for rows, docs, shared, data in _runs(batch, "_row", "doc", "shared"):
-            owner, gram, first, last = anchors(data)
-            gram = gram.view(np.int64)
+            owner, gram, first, last, left, right = anchors(data)
+            gram, left, right = gram.view(np.int64), left.view(np.int64), right.view(np.int64)
             out = []
             edges = np.searchsorted(owner, np.arange(len(data) + 1))
             for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                for j in a + np.flatnonzero(np.isin(gram[a:b], np.array(shared[i], np.int64))):
+                known = np.array(shared[i], np.int64)
+                for j in a + np.flatnonzero(np.isin(left[a:b], known) | np.isin(right[a:b], known)):
                     segment = data[i][first[j] : last[j] + LEAST]
                     sid = int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True)
                     out.append((rows[i], docs[i], first[j], gram[j], sid, segment))
@@ -129,8 +144,11 @@ def repeated(segments: list[bytes], smallest: np.ndarray) -> list[np.ndarray]:
     inside = np.ones(len(text), bool)
     inside[ends - 1] = False  # the marks between segments, which no string may cross
     order, eight = _sorted_suffixes(text)
-    place = np.empty(len(text), np.int64)
-    place[order] = np.arange(len(text))
+    place = np.empty(len(text), np.int32)
+    place[order] = np.arange(len(text), dtype=np.int32)
+    # the transform: the byte before each suffix, whether it is inside, and the suffix it starts
+    before = order - 1
+    byte, step, ok = text[before].astype(np.int64), place[before], inside[before] & (order > 0)
     # first level: intervals of suffixes that begin with the same eight bytes
     crossing = np.cumsum(np.append(0, ~inside))
     clean = np.zeros(len(text), bool)
@@ -142,15 +160,15 @@ def repeated(segments: list[bytes], smallest: np.ndarray) -> list[np.ndarray]:
         at, fresh = _several(at, fresh)
         if not len(at):
             break
-        # one byte to the left: the suffix before each, grouped by interval and byte
-        before = order[at] - 1
-        ok = (before >= 0) & inside[before]
-        interval = np.cumsum(fresh)[ok]
-        before = before[ok]
-        to, byte = place[before], text[before]
-        by = np.argsort(to, kind="stable")
-        at, interval, byte = to[by], interval[by], byte[by]
-        fresh = np.append(True, (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1])) if len(at) else np.zeros(0, bool)
+        # one byte to the left: of each interval, the suffixes with the same byte before them
+        group = np.cumsum(fresh)[ok[at]] << 8
+        at = at[ok[at]]
+        group |= byte[at]
+        at = step[at]
+        if (group[1:] < group[:-1]).any():
+            by = np.argsort(group, kind="stable")
+            at, group = at[by], group[by]
+        fresh = np.append(True, group[1:] != group[:-1]) if len(at) else np.zeros(0, bool)
     at, fresh = _several(at, fresh)
     out = [np.full(max(n - LEAST + 1, 0), s, np.int64) for n, s in zip(sizes, smallest, strict=True)]
     if len(at):
@@ -160,7 +178,8 @@ def repeated(segments: list[bytes], smallest: np.ndarray) -> list[np.ndarray]:
         least = np.minimum.reduceat(smallest[owner], starts)
         value = np.repeat(least, np.diff(np.append(starts, len(at))))
         offset = begin - (ends - sizes - 1)[owner]
-        for i, j, v in zip(owner[value < smallest[owner]], offset[value < smallest[owner]], value[value < smallest[owner]], strict=True):
+        less = value < smallest[owner]
+        for i, j, v in zip(owner[less].tolist(), offset[less].tolist(), value[less].tolist(), strict=True):
             out[i][j] = v
     return out
 
@@ -218,9 +237,14 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _leasts(distinct: DataFrame, hot_segments: int) -> DataFrame:
     """Table of LEASTS for the different segments. Anchors with many are dealt string by string."""
+    of = Window.partitionBy("h")
+    counted = distinct.withColumn("_n", F.count(F.lit(1)).over(of))
+    alone = counted.where((F.col("_n") == 1) & (F.col("least") < F.col("most")))
+    alone = alone.select("h", "sid", F.array(F.lit(0)).alias("starts"), F.array("least").alias("docs"))
+    distinct = materialise(counted.where("_n > 1").drop("_n"), "several")
     hot = materialise(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("h"), "hot")
     cold = distinct.join(hot, "h", "left_anti")
-    out = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_expand, LEASTS)
+    out = alone.union(cold.repartition("h").sortWithinPartitions("h").mapInArrow(_expand, LEASTS))
     if not hot.take(1):
         return out
     fields = "h long, sid long, segment binary, least long, most long"
