@@ -91,9 +91,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
     Spark does so when the driver's JVM collects its garbage; after a large shuffle whose outcome
-    has been written this is worth a call.
+    has been written this is worth a call. The first collection lets go of the plans, the second of
+    what only they referred to.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
