@@ -2,7 +2,9 @@
 
 Fixed forms give the base spans. These seed a graph of patterns (the word before or after) and
 instances (identifier-like tokens). A pattern is as good as the share of its instances that are
-known, an instance as good as its patterns; both are scored in turns. What stands in a pattern of
+known. A mention is as good as the better of its two patterns, so that an ordinary word on one side
+does not speak against the other, and an instance as good as its mentions on average; patterns and
+instances are scored in turns. What stands in a pattern of
 high confidence, is itself scored high and has the digits or the sign of the kind is added.
 """
 
@@ -146,7 +148,11 @@ def discovered(found: DataFrame) -> DataFrame:
     flat = found.select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
     patterns = F.array(F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right"))
     linked = flat.withColumn("pattern", F.explode(F.filter(patterns, lambda p: F.length(p) > 2)))
-    edges = materialise(linked.groupBy("pattern", "value", "ord").agg(F.count(F.lit(1)).alias("n")), "edges")
+    contexts = materialise(linked.groupBy("pattern", "value", "ord", "left", "right").agg(F.count(F.lit(1)).alias("n")), "contexts")
+    edges = materialise(contexts.groupBy("pattern", "value", "ord").agg(F.sum("n").alias("n")), "edges")
+    # mentions without any word beside them say nothing
+    told = flat.where((F.col("ord") < 0) & ((F.col("left") != "") | (F.col("right") != "")))
+    mentioned = materialise(told.groupBy("value").agg(F.count(F.lit(1)).alias("_mentions")), "mentioned")
     names = [f"s_{k}" for k in KINDS]
     # seeds keep their score; a value that is a seed anywhere is one
     seeds = edges.where("ord >= 0").groupBy("value").agg(*[F.max((F.col("ord") == i).cast("double")).alias(n) for i, n in enumerate(names)])
@@ -157,9 +163,12 @@ def discovered(found: DataFrame) -> DataFrame:
         total = F.sum("n") + F.lit(PRIOR)
         confidence = known.groupBy("pattern").agg(*[(F.sum(F.col("n") * F.col(n)) / total).alias(n) for n in names])
         confidence = materialise(confidence.where(F.greatest(*names) > 0), f"patterns{turn}")
-        through = edges.where("ord < 0").join(confidence, "pattern", "left").fillna(0.0, names)
-        instances = through.groupBy("value").agg(*[(F.sum(F.col("n") * F.col(n)) / F.sum("n")).alias(n) for n in names])
-        instances = instances.where(F.greatest(*names) > 0).join(seeds, "value", "left_anti")
+        # the better side of each mention; a side without a pattern here counts 0
+        sides = contexts.where("ord < 0").join(confidence, "pattern")
+        better = sides.groupBy("value", "left", "right").agg(F.first("n").alias("n"), *[F.max(n).alias(n) for n in names])
+        summed = better.groupBy("value").agg(*[F.sum(F.col("n") * F.col(n)).alias(n) for n in names])
+        instances = summed.join(mentioned, "value").withColumns({n: F.col(n) / F.col("_mentions") for n in names})
+        instances = instances.join(seeds, "value", "left_anti")
         scores = materialise(instances.select("value", *names).union(seeds.select("value", *names)), f"instances{turn}")
     sure = materialise(confidence.where(F.greatest(*names) >= CONFIDENT), "confident")
     good = scores.where(F.greatest(*names) >= CONFIDENT)
