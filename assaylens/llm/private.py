@@ -1,15 +1,17 @@
 """Personal data by fixed forms and by bootstrapped contexts, in DataFrame functions only.
 
 Fixed forms give the base spans. These seed a graph of patterns (the word before or after) and
-instances (identifier-like tokens). A pattern is as good as the share of its instances that are
-known. A mention is as good as the better of its two patterns, so that an ordinary word on one side
-does not speak against the other, and an instance as good as its mentions on average; patterns and
-instances are scored in turns. What stands in a pattern of
-high confidence, is itself scored high and has the digits or the sign of the kind is added.
+instances (identifier-like tokens and digit groups). A pattern is as good as the share of its
+instances that are known. A mention is as good as the better of its two patterns, so that an
+ordinary word on one side does not speak against the other, and an instance as good as its mentions
+on average; patterns and instances are scored in turns. What stands in a pattern of high
+confidence, is itself scored high and has the digits or the sign of the kind is added.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ FORMS = {
 #: What a text with a match must have; spares the other texts a search.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
+#: Digit runs joined by blanks, dots, hyphens and parentheses, as phones and cards are often written.
+RUN = r"[0-9]++(?![.-]*+[A-Za-z@_%+])"
+GROUP = rf"(?<![A-Za-z0-9@_%])[+(]{{0,2}}+{RUN}(?:[\x20().-]++{RUN})++"
+BLANK = "\x01"  # stands for a character of a base span; no form or group has it
 #: Loose form of an added span of each kind.
 LOOSE = {
     "email": r"[^@]+@[^@]+",
@@ -123,6 +129,23 @@ def _tokens(text: Column, base: Column) -> Column:
     return F.filter(F.transform(spans, trim), lambda s: ~_overlaps(base, s))
 
 
+def _fits(value: Column) -> Column:
+    return value.rlike(rf"^(?:{'|'.join(LOOSE.values())})$")
+
+
+def _within(s: Column, spans: Column, larger: bool = False) -> Column:
+    """Whether one of *spans* covers *s*; if *larger*, one that is not *s* itself."""
+    longer = (lambda g: g["end"] - g["start"] > s["end"] - s["start"]) if larger else (lambda g: F.lit(True))
+    return F.exists(spans, lambda g: (g["start"] <= s["start"]) & (s["end"] <= g["end"]) & longer(g))
+
+
+def _groups(text: Column, base: Column) -> Column:
+    """Maximal digit groups between the base spans that have the loose form of a kind."""
+    blanked = _replaced(text, base, lambda s, at: F.repeat(F.lit(BLANK), s["end"] - F.greatest(at, s["start"])))
+    between = F.when(F.size(base) > 0, blanked).otherwise(text)
+    return F.filter(_matches(between, GROUP, None, -1), lambda s: _fits(s["value"]))
+
+
 def _word(text: Column, s: Column, before: bool) -> Column:
     """Lower-cased word next to a span; empty at the end of the text."""
     if before:
@@ -135,7 +158,12 @@ def mentions(rows: DataFrame) -> DataFrame:
     """``(_row, doc_id, base, seen)``: base spans, and all mentions with their contexts."""
     spotted = rows.select("_row", "doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     spotted = spotted.withColumn("base", base_spans(F.col("_text")))
-    spotted = spotted.withColumn("_all", F.concat("base", _tokens(F.col("_text"), F.col("base"))))
+    spotted = spotted.withColumn("_groups", _groups(F.col("_text"), F.col("base")))
+    spotted = spotted.withColumn("_tokens", _tokens(F.col("_text"), F.col("base")))
+    # a token that is its own group stands once; parts of a group that fit no kind are no instances
+    alone = F.filter("_tokens", lambda s: _fits(s["value"]) | ~_within(s, F.col("_groups")))
+    wider = F.filter("_groups", lambda g: ~F.exists("_tokens", lambda s: (s["start"] == g["start"]) & (s["end"] == g["end"])))
+    spotted = spotted.withColumn("_all", F.concat("base", alone, wider))
     context = F.transform(
         "_all",
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["ord"].alias("ord"), F.lower(s["value"]).alias("value"), _word(F.col("_text"), s, True).alias("left"), _word(F.col("_text"), s, False).alias("right")),
@@ -179,7 +207,22 @@ def discovered(found: DataFrame) -> DataFrame:
         best = F.when(fits, F.lit(i)).otherwise(best)
     kept = open_.withColumn("ord", best.cast("int")).where("ord is not null")
     spans = kept.groupBy("_row", "start", "end").agg(F.min("ord").alias("ord"), F.first("value").alias("value"))
-    return spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "ord", "value")).alias("added"))
+    added = spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "ord", "value")).alias("added"))
+    return added.select("_row", F.filter("added", lambda s: ~_within(s, F.col("added"), larger=True)).alias("added"))
+
+
+def _replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """*text* with what ``by(span, at)`` gives for each span by start, *at* the end of those before.
+
+    For a span that overlaps an earlier one *by* gives what it adds to that one's, null for nothing.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, by(s, acc["at"]))).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
 
 
 def _told(spans: Column) -> Column:
@@ -192,7 +235,8 @@ def spans(rows: DataFrame) -> DataFrame:
 
     Returns ``_row, doc_id, base, added``: arrays of (start, end, ord, value), in code points with
     the end exclusive, ord the place in KINDS. Null counts as empty, and a text without a match has
-    empty arrays. Spans of different kinds may overlap; added ones never overlap a base span.
+    empty arrays. Spans of different kinds may overlap; added ones never overlap a base span, and of
+    a digit group and a token inside it only the group is added.
     Repeated rows are searched each; contexts count every mention, so copies weigh by their number.
     An empty table gives no rows.
     """
@@ -234,12 +278,7 @@ def mask(docs: DataFrame) -> DataFrame:
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(marks, s["ord"] + 1)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate(held, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    cut = _replaced(text, F.col(held), lambda s, at: F.when(s["start"] >= at, F.element_at(marks, s["ord"] + 1)))
     masked = joined.withColumn("text", F.when(F.col(held).isNull(), text).otherwise(cut))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
