@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaylens.config import BoostingParams
 from assaylens.operators import association as assoc
 from assaylens.operators import attribution, boosting, folds, labels, logistic, metrics, panels, report
 from assaylens.plans import roles, screen
@@ -500,13 +497,11 @@ def top_biomarkers(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- boosting
 
-CONTRACT_TREES = BoostingParams(trees=20)
-
 
 @query
 def gbt_cv(spark: SparkSession, d: str) -> DataFrame:
     table = boosting.assemble(roles.design(spark, d), roles.FEATURES)
-    models = boosting.fit_boosting(table, CONTRACT_TREES, roles.CONFIG.seed, range(roles.CONFIG.folds))
+    models = boosting.fit_boosting(table, roles.CONFIG.boosting, roles.CONFIG.seed, range(roles.CONFIG.folds))
     oof = boosting.predict_boosting(table, models)
     per_fold = metrics.classification_metrics(oof, ["response", "fold"])
     return rounded(metrics.mean_metrics(per_fold, ["response"]), 6, *metrics.METRICS)
@@ -514,7 +509,7 @@ def gbt_cv(spark: SparkSession, d: str) -> DataFrame:
 
 def _boosted(spark: SparkSession, d: str):
     table = boosting.assemble(roles.design(spark, d), roles.FEATURES)
-    return table, boosting.fit_boosting(table, CONTRACT_TREES, roles.CONFIG.seed, [logistic.ALL_ROWS])
+    return table, boosting.fit_boosting(table, roles.CONFIG.boosting, roles.CONFIG.seed, [logistic.ALL_ROWS])
 
 
 @query
@@ -532,8 +527,7 @@ def tree_importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _screen(spark: SparkSession, d: str) -> screen.Screen:
-    config = replace(roles.CONFIG, boosting=BoostingParams(trees=10))
-    return screen.run_screen(roles.responses(spark, d), roles.flags(spark, d), config)
+    return screen.run_screen(roles.responses(spark, d), roles.flags(spark, d), roles.CONFIG)
 
 
 @query
