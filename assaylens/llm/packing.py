@@ -128,8 +128,9 @@ def _exchange(low: Kind, high: Kind, room: int) -> tuple[dict[int, int], dict[in
             if 2 * y >= x:
                 break
             at = bisect.bisect_left(sizes, max(y, x - room - y))
-            if at < len(sizes) and y + sizes[at] < x and (sizes[at] != y or theirs[y] > 1):
-                return {x: 1}, dict(Counter((y, sizes[at])))
+            for z in sizes[at : at + 2]:
+                if y + z < x and (z != y or theirs[y] > 1):
+                    return {x: 1}, dict(Counter((y, z)))
     own = sorted(mine)
     for y in sizes:  # two of low for one of high
         for x in own:
