@@ -102,6 +102,12 @@ def missing_features(spark: SparkSession, available: Sequence[str], requested: S
     return dimension(spark, [(name,) for name in requested if name not in known], "feature string")
 
 
+def absent_features(available: DataFrame, requested: Sequence[str]) -> DataFrame:
+    """Requested features that ``available(feature)`` has no row of."""
+    asked = dimension(available.sparkSession, [(name,) for name in requested], "feature string")
+    return asked.join(available.select("feature").distinct(), "feature", "left_anti")
+
+
 def panel_violations(panels: DataFrame, whole: str) -> DataFrame:
     """Members of the other panels that are missing from the panel called *whole*."""
     allowed = panels.filter(F.col("panel") == whole).select("feature")

@@ -104,9 +104,15 @@ def panel_scores_wide(spark: SparkSession, d: str) -> DataFrame:
     return panels.select_panel_columns(wide, ["Brand#1", "Brand#99", *roles.SCORES])
 
 
+def _absent(spark: SparkSession, d: str, requested: list[str]) -> DataFrame:
+    """Requested brands that no part has; one that nobody bought is there."""
+    brands = roles.table(spark, d, "part").select(F.col("p_brand").alias("feature"))
+    return panels.absent_features(brands, requested)
+
+
 @query
 def panel_missing(spark: SparkSession, d: str) -> DataFrame:
-    return panels.missing_features(spark, roles.flags(spark, d).columns, [*roles.HR, "Brand#98", "Brand#99"])
+    return _absent(spark, d, [*roles.HR, "Brand#98", "Brand#99"])
 
 
 @query
@@ -587,7 +593,10 @@ def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def score_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.score_lines(_hrd(spark, d), _spearman(spark, d), roles.HR, ["Brand#98"])
+    requested = [*roles.HR, "Brand#98"]
+    absent = {r.feature for r in _absent(spark, d, requested).collect()}
+    used, missing = [b for b in requested if b not in absent], [b for b in requested if b in absent]
+    return report.score_lines(_hrd(spark, d), _spearman(spark, d), used, missing)
 
 
 @query
