@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +21,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -87,6 +95,45 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         now = after
 
 
+MEETING_TASKS = 10_000
+
+
+def meetings(
+    index: DataFrame, shards: int, blocks: DataFrame, n_blocks: int, answer: Callable[[dict | None, Iterator[dict]], Iterator[pa.RecordBatch]], schema: str, together: int = 8
+) -> DataFrame:
+    """``answer(row of index, its blocks)`` for every shard and about *together* blocks at a time.
+
+    *index* is a written table with one row for each shard, numbered in its column ``shard`` below
+    *shards*; *blocks* is a written table of query blocks. The row of a shard is sent once for
+    *together* blocks, which stream past it: a task holds one shard and one batch of blocks. A shard
+    without a row is answered as None.
+    """
+    groups = -(-n_blocks // together)
+    spark = index.sparkSession
+    if not shards or not groups:
+        return spark.createDataFrame([], schema)
+    held, asked = F.struct(*index.columns), F.struct(*blocks.columns)
+    left = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), held.alias("held"), F.lit(None).cast(blocks.schema).alias("asked"))
+    group = F.pmod(F.xxhash64(*blocks.columns), F.lit(groups)).cast("int")
+    right = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), group.alias("grp"), F.lit(None).cast(index.schema).alias("held"), asked.alias("asked"))
+    tasks = min(shards * groups, MEETING_TASKS)
+    place = F.pmod(F.col("shard").cast("long") * groups + F.col("grp"), F.lit(tasks)).cast("int")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch.slice(i, 1).to_pylist()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, met in groupby(rows(batches), key=lambda r: (r["shard"], r["grp"])):
+            first = next(met)
+            rest = met if first["held"] is not None else chain([first], met)
+            yield from answer(first["held"], (r["asked"] for r in rest))
+
+    dealt = left.union(right).repartitionById(tasks, place).sortWithinPartitions("shard", "grp", F.col("held").isNull())
+    return dealt.mapInArrow(run, schema)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import bpe, counting, exact, jaccard, language, packing, private, repeats, search, shards
-from assaylens.llm.common import documents
+from assaylens.llm import audit, bpe, counting, exact, graphs, jaccard, language, packing, private, repeats, resample, search, shards
+from assaylens.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,55 @@ p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0)
 SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op11_threshold_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents towards the benchmark's distribution, and ranks of the drawn twentieth."""
+    return resample.draw(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_shard_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty nearest vectors of every vector whose vec_id is divisible by 20."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return graphs.nearest(rows, asked)
+
+
+@query
+def op13_block_index_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and of its terms from the language."""
+    return audit.audit(documents(spark, folder))
+
+
+ORACLES["op13_block_index_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         row_number() OVER () AS nr
+  FROM documents),
+w AS (
+  SELECT nr, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+c AS (SELECT lang, source, t, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, t, count(*) AS all_n FROM w GROUP BY ALL HAVING count(DISTINCT nr) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(all_n) AS lang_n FROM k GROUP BY lang),
+dense AS (SELECT g.lang, g.source, k.t, k.all_n, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, t)),
+tot AS (SELECT lang, source, sum(n) AS total FROM dense GROUP BY ALL),
+p AS (
+  SELECT lang, source, t, n, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v) AS p,
+         1 + (1000000000::HUGEINT * (all_n + 1)) // (lang_n + v) AS lang_p
+  FROM dense JOIN tot USING (lang, source) JOIN v USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+none AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM k)),
+term AS (SELECT lang, source, 'term' AS part, t AS item, (p - lang_p) * (p - lang_p) // lang_p AS value FROM p WHERE n > 0 AND p > lang_p),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM none UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
