@@ -14,8 +14,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from heapq import merge
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,35 +30,39 @@ HEAP = 2_000_000  # postings of runs merged at once; what comes out is merged wi
 SUMS = 1_000_000  # corrections held before they are summed by pair
 SCALE = 1_000_000_000
 
-RUN = "shard int, terms array<binary>, langs array<string>, sources array<string>, counts array<long>, docs array<long>"
+MARK = b"\xff"  # between the parts of a posting's key; no UTF-8 text holds it
+RUN = "shard int, keys array<binary>, counts array<long>, docs array<long>"
 POSTING = "term string, lang string, source string, n long, df long"
-NAMES = ["terms", "langs", "sources", "counts", "docs"]
-KINDS = [pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-
-
-def _spilled(block: dict[tuple[str, str], list[Counter]], shards: int) -> Iterator[pa.RecordBatch]:
-    """The block as rows of RUN: for each shard its postings sorted by term, language, source."""
-    dealt: dict[int, list[tuple]] = {}
-    for (lang, source), (counts, docs) in block.items():
-        salt = zlib.crc32(f"{lang}\0{source}".encode("utf-8", "surrogatepass"))
+NAMES = ["keys", "counts", "docs"]
+KINDS = [pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+Block = dict[tuple[str, str], tuple[Counter, Counter]]
+
+
+def _spilled(block: Block, shards: int) -> Iterator[pa.RecordBatch]:
+    """The block as rows of RUN: for each shard its postings in the order of their keys."""
+    dealt: list[list[tuple[bytes, int, int]]] = [[] for _ in range(shards)]
+    crc32 = zlib.crc32
+    for group, (counts, docs) in block.items():
+        tail = MARK + MARK.join(x.encode("utf-8", "surrogatepass") for x in group)
+        salt = crc32(tail)
         for term, n in counts.items():
-            dealt.setdefault(zlib.crc32(term, salt) % shards, []).append((term, lang, source, n, docs[term]))
+            dealt[crc32(term, salt) % shards].append((term + tail, n, docs[term]))
         # a group is told also where it has no term
-        dealt.setdefault(salt % shards, []).append((b"", lang, source, 0, 0))
-    for shard, postings in dealt.items():
+        dealt[salt % shards].append((tail, 0, 0))
+    for shard, postings in enumerate(dealt):
         postings.sort()
         for at in range(0, len(postings), SPILL):
-            columns = [pa.array([list(c)], t) for c, t in zip(zip(*postings[at : at + SPILL], strict=True), KINDS, strict=True)]
+            columns = [pa.array([c], t) for c, t in zip(zip(*postings[at : at + SPILL], strict=True), KINDS, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *columns], ["shard", *NAMES])
 
 
 def _index(shards: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: dict[tuple[str, str], list[Counter]] = {}
+        block: Block = {}
         held = 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(n).to_pylist() for n in ("lang", "source", "text")), strict=True):
-                counts, docs = block.setdefault((lang, source), [Counter(), Counter()])
+                counts, docs = block.setdefault((lang, source), (Counter(), Counter()))
                 terms = _TERM.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
                 before = len(counts)
                 counts.update(terms)
@@ -79,26 +81,33 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frequencies of a partition of shards: its runs in a heap, HEAP postings at a time."""
 
     def summed(runs: list[list[tuple]]) -> list[tuple]:
-        out = []
-        for key, same in groupby(merge(*runs), key=itemgetter(0, 1, 2)):
-            parts = list(same)
-            out.append((*key, sum(p[3] for p in parts), sum(p[4] for p in parts)))
-        return out
+        out, key, n, df = [], None, 0, 0
+        for k, more, docs in merge(*runs):
+            if k == key:
+                n, df = n + more, df + docs
+                continue
+            out.append((key, n, df))
+            key, n, df = k, more, docs
+        return [*out[1:], (key, n, df)] if runs else []
 
     runs, held = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in NAMES), strict=True):
-            runs.append(list(zip(*row, strict=True)))
-            held += len(row[0])
+        columns = [batch.column(n) for n in NAMES]
+        edges = columns[0].offsets.to_numpy()
+        keys, *numbers = (c.values for c in columns)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            run = [keys.slice(a, b - a).to_pylist(), *(x[a:b].to_numpy().tolist() for x in numbers)]
+            runs.append(list(zip(*run, strict=True)))
+            held += b - a
             if held >= HEAP:
                 runs = [summed(runs)]
                 held = max(0, len(runs[0]) - HEAP // 2)
     found = summed(runs)
     for at in range(0, len(found), 50_000):
-        term, *rest = zip(*found[at : at + 50_000], strict=True)
-        columns = [[t.decode("utf-8", "surrogatepass") for t in term], *rest]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["term", "lang", "source", "n", "df"])
+        key, n, df = zip(*found[at : at + 50_000], strict=True)
+        parts = zip(*(k.split(MARK) for k in key), strict=True)
+        columns = [*(pa.array(p, pa.binary()).cast(pa.string()) for p in parts), pa.array(n, pa.int64()), pa.array(df, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "lang", "source", "n", "df"])
 
 
 def frequencies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -130,7 +139,7 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What terms with postings in both sources add to the closed form, summed by pair."""
 
     def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        p, q = p[:, None], q[None, :]
+        p, q = p[:, :, None], q[:, None, :]
         return (p - q) * (p - q) // q
 
     keys, values, held = [], [], 0
@@ -142,17 +151,22 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(total)], ["a", "b", "more"])
 
     for batch in batches:
-        for posts in batch.column("posts").to_pylist():
-            nr = np.array([x["nr"] for x in posts], np.int64)
-            p, zero = (np.array([x[c] for x in posts], np.int64) for c in ("p", "zero"))
-            more = f(p, p) - f(p, zero) - f(zero, p) + f(zero, zero)
-            a, b = np.nonzero(more)
-            keys.append(np.column_stack([nr[a], nr[b]]))
-            values.append(more[a, b])
-            held += len(a)
-            if held >= SUMS:
-                yield flush()
-                keys, values, held = [], [], 0
+        posts = batch.column("posts")
+        start, size = posts.offsets.to_numpy()[:-1], posts.value_lengths().to_numpy()
+        nr, p, zero = (posts.values.field(c).to_numpy() for c in ("nr", "p", "zero"))
+        # terms of as many postings are worked on together
+        for g in np.unique(size).tolist():
+            terms = start[size == g]
+            for at in range(0, len(terms), max(1, 200_000 // g**2)):
+                of = terms[at : at + max(1, 200_000 // g**2), None] + np.arange(g)
+                more = f(p[of], p[of]) - f(p[of], zero[of]) - f(zero[of], p[of]) + f(zero[of], zero[of])
+                term, a, b = np.nonzero(more)
+                keys.append(np.column_stack([nr[of[term, a]], nr[of[term, b]]]))
+                values.append(more[term, a, b])
+                held += len(a)
+                if held >= SUMS:
+                    yield flush()
+                    keys, values, held = [], [], 0
     if held:
         yield flush()
 
