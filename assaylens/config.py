@@ -38,6 +38,7 @@ class BoostingParams:
     depth: int = 4
     learning_rate: float = 0.1
     subsample: float = 0.8
+    min_split: int = 10
     min_leaf: int = 5
 
 

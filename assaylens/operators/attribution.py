@@ -8,12 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylens.operators.boosting import boosted_margin
 from assaylens.operators.logistic import ALL_ROWS
-from assaylens.session import dimension, materialise, new_path
+from assaylens.session import lookup, materialise
 
 PAIR = ["response", "feature"]
 
@@ -69,7 +69,8 @@ def attribution_rows(labelled: DataFrame, dense: DataFrame, counts: DataFrame, c
     """Attribution of every (response, entity, feature) before it is averaged."""
     size = F.col("n1") + F.col("n0")
     means = counts.groupBy(*PAIR).agg((F.sum(size * F.col("v")) / F.sum(size)).alias("mean_v"))
-    centred = means.join(coefficients.select(*PAIR, "coefficient"), PAIR)
+    # its size decides the join with the whole product
+    centred = materialise(means.join(coefficients.select(*PAIR, "coefficient"), PAIR), "centred")
     return (
         labelled.select("response", "entity_id")
         .join(dense, "entity_id")
@@ -94,46 +95,46 @@ def coefficient_importance(coefficients: DataFrame) -> DataFrame:
     )
 
 
-def tree_importance(spark, models: dict, features: Sequence[str]) -> DataFrame:
-    """Fallback evidence of a boosted model: its impurity importances."""
-    rows = [
-        (response, f, float(v))
-        for (response, fold), model in sorted(models.items())
-        if fold == ALL_ROWS
-        for f, v in zip(features, model.featureImportances.toArray(), strict=True)
-    ]
-    return dimension(spark, rows, "response string, feature string, mean_abs_shap double")
+def tree_importance(models: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Fallback evidence of a boosted model: its impurity importances, which add up to 1.
+
+    A tree counts the gains of its splits over the rows at its root.
+    """
+    names = F.array(*[F.lit(f) for f in features])
+    whole = models.filter((F.col("held_out") == ALL_ROWS) & (F.col("note") == ""))
+    root = F.get("cover", (F.col("i") - F.col("i") % F.col("nodes")).cast("int"))
+    splits = whole.select("response", "nodes", "cover", F.posexplode(F.arrays_zip("feature", "gain")).alias("i", "s"))
+    share = F.when(F.col("s.feature") >= 0, F.col("s.gain") / root).otherwise(0.0)
+    sums = splits.select("response", F.col("s.feature").alias("pos"), share.alias("share")).groupBy("response", "pos").agg(F.sum("share").alias("share"))
+    total = F.sum("share").over(Window.partitionBy("response"))
+    sums = sums.where("pos >= 0").withColumn("share", F.col("share") / total)
+    every = whole.select("response", F.posexplode(names).alias("pos", "feature"))
+    return every.join(sums, ["response", "pos"], "left").select("response", "feature", F.coalesce("share", F.lit(0.0)).alias("mean_abs_shap"))
 
 
-def _leaves(spark: SparkSession, model: GBTClassificationModel) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """Leaves of all trees as (weighted value, [(feature, above, up to, share of rows)]).
+def leaf_paths(nodes: int, feature: Sequence[int], cut: Sequence[float], value: Sequence[float], cover: Sequence[float]) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+    """Leaves of all trees of a model as (value, [(feature, above, up to, share of rows)]).
 
     Splits on one feature along a path merge into one interval; the share is the product of
-    child count / parent count over those splits.
+    child rows / parent rows over those splits.
     """
-    path = new_path(spark, "trees")
-    model.write().save(path)
-    nodes: dict[int, dict[int, object]] = {}
-    for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        nodes.setdefault(row.treeID, {})[row.id] = row
     leaves = []
-    for tree, weight in enumerate(model.treeWeights):
-        table = nodes[tree]
-        stack = [(table[0], {})]
+    for start in range(0, len(feature), nodes):
+        stack = [(0, {})]
         while stack:
-            node, path_so_far = stack.pop()
-            if node.leftChild < 0:
-                leaves.append((weight * node.prediction, [(f, *limits) for f, limits in path_so_far.items()]))
+            i, path = stack.pop()
+            f = feature[start + i]
+            if f < 0:
+                leaves.append((value[start + i], [(g, *limits) for g, limits in path.items()]))
                 continue
-            feature, cut = node.split.featureIndex, node.split.leftCategoriesOrThreshold[0]
-            above, upto, share = path_so_far.get(feature, (-math.inf, math.inf, 1.0))
-            left, right = table[node.leftChild], table[node.rightChild]
-            stack.append((left, {**path_so_far, feature: (above, min(upto, cut), share * left.rawCount / node.rawCount)}))
-            stack.append((right, {**path_so_far, feature: (max(above, cut), upto, share * right.rawCount / node.rawCount)}))
+            c = cut[start + i]
+            above, upto, share = path.get(f, (-math.inf, math.inf, 1.0))
+            for child, limits in ((2 * i + 1, (above, min(upto, c))), (2 * i + 2, (max(above, c), upto))):
+                stack.append((child, {**path, f: (*limits, share * cover[start + child] / cover[start + i])}))
     return leaves
 
 
-def shapley_values(x: np.ndarray, leaves: Sequence, scale: float = 1.0) -> np.ndarray:
+def shapley_values(x: np.ndarray, leaves: Sequence) -> np.ndarray:
     """Exact path-dependent Shapley values of the rows of *x*, summed over all leaves."""
     phi = np.zeros_like(x, dtype=float)
     for value, path in leaves:
@@ -149,30 +150,62 @@ def shapley_values(x: np.ndarray, leaves: Sequence, scale: float = 1.0) -> np.nd
                     for i in others:
                         product = product * (inside[i] if i in known else path[i][3])
                     total += product
-            phi[:, feature] += scale * value * total * (inside[j] - share)
+            phi[:, feature] += value * total * (inside[j] - share)
     return phi
 
 
-def tree_attribution_vectors(patterns: DataFrame, models: dict, features: Sequence[str]) -> DataFrame:
+#: Feature vectors that are attributed by one task.
+VECTORS = 50_000
+
+
+def tree_attribution_vectors(patterns: DataFrame, models: DataFrame, rows: int = VECTORS) -> DataFrame:
     """Shapley values in log-odds for each distinct feature vector of each response.
 
-    *patterns* is ``(response, x, n)``. The boosted margin is half the log-odds, hence the 2.
+    *patterns* is ``(response, x, n)``. The vectors of a response are dealt into parts of about *rows*;
+    its whole-data model goes before each part, and the vectors stream past it. ``base`` is what
+    the model says on average, so ``base`` and the values of ``phi`` add up to the margin. A response
+    whose model was not fitted has no rows.
     """
-    spark = patterns.sparkSession
-    leaves = {response: _leaves(spark, model) for (response, fold), model in models.items() if fold == ALL_ROWS}
-    shared = spark.sparkContext.broadcast(leaves)
+    arrays = ["nodes", "prior", "feature", "cut", "value", "cover"]
+    whole = models.filter((F.col("held_out") == ALL_ROWS) & (F.col("note") == "")).select("response", F.struct(*arrays).alias("model"))
+    vectors = materialise(patterns.groupBy("response", "x").agg(F.sum("n").alias("n")), "vectors")
+    sizes = vectors.groupBy("response").agg(F.count(F.lit(1)).alias("k"))
+    parts = F.ceil(F.col("k") / rows).cast("int")
+    first = whole.join(sizes, "response").select("response", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "model", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("x"))
+    rest = vectors.join(lookup(sizes, "sizes"), "response").select("response", F.pmod(F.xxhash64("x"), parts).cast("int").alias("part"), F.lit(None).cast(first.schema["model"].dataType).alias("model"), "n", "x")
+    tasks = 4 * int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = first.union(rest).repartition(tasks, "response", "part").sortWithinPartitions("response", "part", F.col("model").isNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = leaves = base = None
         for pdf in batches:
-            for response, rows in pdf.groupby("response", sort=False):
-                x = np.array(rows["x"].tolist(), dtype=float)
-                phi = shapley_values(x, shared.value[response], 2.0)
-                yield pd.DataFrame(
-                    {"response": response, "n": rows["n"].to_numpy(), "x": list(x), "phi": list(phi)}
-                )
-
-    vectors = patterns.filter(F.col("response").isin(sorted(leaves))).groupBy("response", "x").agg(F.sum("n").alias("n"))
-    return vectors.mapInPandas(run, "response string, n long, x array<double>, phi array<double>")
+            for key, group in pdf.groupby(["response", "part"], sort=False):
+                if key != known:
+                    model, known = group["model"].iloc[0], key
+                    leaves = None
+                    if pd.isna(group["n"].iloc[0]):
+                        leaves = leaf_paths(int(model["nodes"]), *([*model[c]] for c in ("feature", "cut", "value", "cover")))
+                        base = model["prior"] + sum(v * math.prod(p[3] for p in path) for v, path in leaves)
+                        group = group.iloc[1:]
+                if leaves is None or not len(group):
+                    continue
+                x = np.array(group["x"].tolist(), dtype=float)
+                yield pd.DataFrame({"response": key[0], "n": group["n"].astype("int64").to_numpy(), "x": list(x), "base": base, "phi": list(shapley_values(x, leaves))})
+
+    return met.mapInPandas(run, "response string, n long, x array<double>, base double, phi array<double>")
+
+
+def tree_local_accuracy(patterns: DataFrame, models: DataFrame, depth: int, tolerance: float = 1e-9, rows: int = VECTORS) -> DataFrame:
+    """How many feature vectors of each response have attributions that miss the margin.
+
+    Returns ``response, n_vectors, n_off``: the margin is walked through the trees, the attributions
+    come from the paths to their leaves.
+    """
+    vectors = tree_attribution_vectors(patterns, models, rows)
+    whole = models.filter(F.col("held_out") == ALL_ROWS).select("response", "prior", "feature", "cut", "value")
+    told = F.col("base") + F.aggregate("phi", F.lit(0.0), lambda total, part: total + part)
+    off = F.abs(told - boosted_margin(F.col("x"), depth)) > tolerance
+    return vectors.join(whole, "response").groupBy("response").agg(F.count(F.lit(1)).alias("n_vectors"), F.count_if(off).alias("n_off"))
 
 
 def tree_attribution(vectors: DataFrame, features: Sequence[str]) -> DataFrame:

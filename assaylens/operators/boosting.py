@@ -1,75 +1,273 @@
-"""Gradient-boosted trees with the same held-out folds as the logistic models."""
+"""Gradient-boosted trees for all responses and held-out folds together.
+
+Log-loss boosting of regression trees: least-squares splits of the residuals, Newton leaf values. Rows
+are first collapsed to distinct (response, fold, part, label, feature vector) patterns with counts;
+parts are PARTS hash classes of the entities, and each tree leaves some of them out as its
+subsample. Features are cut into bins. While the patterns of a response are few, each (response,
+fold) is one group and grows all of its trees there. Beyond that, no group is gathered: every level
+of the next tree of all models is one aggregation keyed (model, node, feature, bin), and margins,
+trees and models stay in tables. Both plans give the same trees.
+
+A model is one row of flat arrays: node i of tree t stands at t * nodes + i, its children at 2i + 1
+and 2i + 2; its feature is -1 where it is a leaf, and a value above ``cut`` goes to the right.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+from math import gcd
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylens.config import BoostingParams
 from assaylens.operators.logistic import ALL_ROWS
-from assaylens.session import materialise
+from assaylens.session import delete_path, materialise, new_path
+
+PARTS = 10
+BINS = 256
+#: Most patterns of a response that one task may hold; more are fitted in shared passes.
+GROUP_PATTERNS = 200_000
+LEAST_GAIN = 1e-9
+DIGITS = 9  # gains are compared rounded, so that the order of a sum can't decide between equal ones
+MODEL = "response string, held_out int, note string, prior double, nodes int, feature array<int>, cut array<double>, value array<double>, cover array<double>, gain array<double>"
+MODEL_KEY = ["response", "held_out"]
+
+
+def boosting_patterns(design: DataFrame, features: Sequence[str], seed: int, fold: str = "fold") -> DataFrame:
+    """Distinct (response, fold, part, label, x) with counts ``n``, materialised."""
+    digest = F.md5(F.concat_ws("#", F.lit("part"), F.lit(str(seed)), F.col("entity_id").cast("string")).cast("binary"))
+    part = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % PARTS).cast("int")
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    return materialise(
+        design.groupBy("response", F.col(fold).alias("fold"), part.alias("part"), "label", x.alias("x")).agg(F.count(F.lit(1)).alias("n")), "boosting"
+    )
+
+
+def left_out(tree: int, subsample: float) -> list[int]:
+    """Parts that a tree does not see; over the trees all sets of two come up equally often."""
+    first, size = tree % PARTS, round((1 - subsample) * PARTS)
+    steps = range(1, PARTS) if size <= 2 else [s for s in range(1, PARTS) if gcd(s, PARTS) == 1]
+    return sorted({(first + i * steps[tree // PARTS % len(steps)]) % PARTS for i in range(size)})
+
 
-Models = dict[tuple[str, int], GBTClassificationModel]
+def bin_edges(patterns: DataFrame, bins: int = BINS) -> list[list[float]]:
+    """Ascending cut values of each feature: all of its distinct values but the largest, *bins* at most.
 
+    A feature of more values is cut at approximate quantiles.
+    """
+    cells = patterns.select(F.posexplode("x").alias("pos", "v"), "n")
+    sizes = cells.groupBy("pos").agg(F.approx_count_distinct("v").alias("k"))
+    few = cells.join(sizes.where(F.col("k") <= bins), "pos").groupBy("pos").agg(F.array_sort(F.collect_set("v")).alias("v"))
+    share = [i / bins for i in range(1, bins + 1)]
+    many = cells.join(sizes.where(F.col("k") > bins), "pos").groupBy("pos").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", share, 100 * bins))).alias("v"))
+    # as many rows as features, each of about *bins* numbers
+    return [list(r["v"][:-1]) for r in few.union(many).orderBy("pos").collect()]
+
+
+def _ratio(s: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.divide(s, h, out=np.zeros_like(s), where=h > 1e-150)
 
-def assemble(design: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Written training table with a feature vector; every fit reads its own part of it."""
-    vector = VectorAssembler(inputCols=list(features), outputCol="features")
-    return materialise(vector.transform(design).drop(*features), "boosting")
 
+def _grow(bins: np.ndarray, label: np.ndarray, n: np.ndarray, part: np.ndarray, edges: list[list[float]], params: BoostingParams) -> tuple[float, dict]:
+    """Prior and flat arrays of all trees of one model."""
+    nodes, width = 2 ** (params.depth + 1) - 1, bins.shape[1]
+    size = max(map(len, edges), default=0) + 1
+    total, positive = n.sum(), (n * label).sum()
+    prior = float(np.log(positive / (total - positive)))
+    margin = np.full(len(n), prior)
+    trees = {"feature": np.full((params.trees, nodes), -1), **{k: np.zeros((params.trees, nodes)) for k in ("cut", "value", "cover", "gain")}}
+    offset = np.arange(width) * size
+    for t in range(params.trees):
+        feature, cut, value, cover, gain = (trees[k][t] for k in ("feature", "cut", "value", "cover", "gain"))
+        prob = 1 / (1 + np.exp(-margin))
+        w = np.where(np.isin(part, left_out(t, params.subsample)), 0.0, n)
+        parts = (w, w * (label - prob), w * prob * (1 - prob))
+        cover[0], value[0] = parts[0].sum(), params.learning_rate * float(_ratio(*(np.array([p.sum()]) for p in parts[1:]))[0])
+        node = np.zeros(len(n), np.int64)
+        for level in range(params.depth):
+            first = 2**level - 1
+            rows = np.flatnonzero(node >= first)
+            if not len(rows):
+                break
+            key = ((node[rows] - first)[:, None] * width * size + offset + bins[rows]).ravel()
+            upto = [np.bincount(key, np.repeat(p[rows], width), (first + 1) * width * size).reshape(first + 1, width, size).cumsum(axis=2) for p in parts]
+            whole = [u[:, :1, -1:] for u in upto]
+            (nl, sl, hl), (nr, sr, hr) = upto, [a - u for a, u in zip(whole, upto, strict=True)]
+            able = (nl >= params.min_leaf) & (nr >= params.min_leaf) & (whole[0] >= params.min_split)
+            better = np.full(nl.shape, -np.inf)
+            np.divide(sl**2, nl, out=better, where=able)
+            better[able] += (sr**2 / np.where(able, nr, 1) - whole[1] ** 2 / np.where(able, whole[0], 1))[able]
+            better = np.where(able, np.round(better, DIGITS), -np.inf).reshape(first + 1, -1)
+            best = better.argmax(axis=1)  # of equal gains the lower feature, then the lower cut
+            for i in np.flatnonzero(better.max(axis=1) > LEAST_GAIN):
+                f, b = divmod(int(best[i]), size)
+                at = first + i
+                feature[at], cut[at], gain[at] = f, edges[f][b], better[i, best[i]]
+                for child, c, s, h in ((2 * at + 1, nl, sl, hl), (2 * at + 2, nr, sr, hr)):
+                    cover[child] = c[i, f, b]
+                    value[child] = params.learning_rate * float(_ratio(s[i, f, b][None], h[i, f, b][None])[0])
+                own = rows[node[rows] == at]
+                node[own] = 2 * at + 1 + (bins[own, f] > b)
+        margin += value[node]
+    return prior, {k: v.ravel().tolist() for k, v in trees.items()}
 
-def fit_boosting(
-    table: DataFrame,
-    params: BoostingParams,
-    seed: int,
-    held_out: Sequence[int],
-    parallelism: int = 8,
-) -> Models:
-    """One model for each response and held-out fold; -1 leaves nothing out.
 
-    Fits are submitted from a few threads, since the many short jobs of one boosting run leave
-    most of a cluster idle.
+def fit_boosting(patterns: DataFrame, params: BoostingParams, held_out: Sequence[int], group_patterns: int = GROUP_PATTERNS) -> DataFrame:
+    """Written MODEL rows: one for each response and held-out fold; -1 leaves nothing out.
+
+    A model whose training rows hold one class has the note 'one class' and nulls.
     """
-    learner = GBTClassifier(
-        maxIter=params.trees,
-        maxDepth=params.depth,
-        stepSize=params.learning_rate,
-        subsamplingRate=params.subsample,
-        minInstancesPerNode=params.min_leaf,
-        seed=seed,
-        labelCol="label",
+    largest = patterns.groupBy("response").count().agg(F.max("count")).first()[0] or 0
+    edges = bin_edges(patterns)
+    if largest > group_patterns:
+        return _fit_shared(patterns, params, held_out, edges)
+    nodes = 2 ** (params.depth + 1) - 1
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row = {"response": key[0], "held_out": key[1], "note": "", "prior": None, "nodes": nodes, **dict.fromkeys(("feature", "cut", "value", "cover", "gain"))}
+        train = pdf[pdf["fold"] != key[1]]
+        if train["label"].nunique() < 2:
+            row["note"] = "one class"
+        else:
+            x = np.array(train["x"].tolist(), float)
+            bins = np.column_stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(x.shape[1])])
+            row["prior"], trees = _grow(bins, *(train[c].to_numpy(float) for c in ("label", "n")), train["part"].to_numpy(), edges, params)
+            row |= trees
+        return pd.DataFrame([row])
+
+    each = patterns.withColumn("held_out", F.explode(F.array(*[F.lit(int(h)) for h in held_out])))
+    # a number of partitions, as small ones would be joined although their work is long
+    tasks = 4 * int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(each.repartition(tasks, *MODEL_KEY).groupBy(*MODEL_KEY).applyInPandas(fit, MODEL), "boosted")
+
+
+def _walk(x: Column, feature: Column, cut: Column, depth: int, start: Column | int = 0) -> Column:
+    """Node that *x* reaches in the tree whose node 0 stands at *start*."""
+
+    def down(i: Column, _: Column) -> Column:
+        f = F.get(feature, start + i)
+        return F.when(f < 0, i).otherwise(2 * i + 1 + F.when(F.get(x, f) > F.get(cut, start + i), 1).otherwise(0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
+
+
+def _fit_shared(patterns: DataFrame, params: BoostingParams, held_out: Sequence[int], edges: list[list[float]]) -> DataFrame:
+    """The same models in passes over all of them; only paths of written tables stay in the driver."""
+    spark = patterns.sparkSession
+    nodes = 2 ** (params.depth + 1) - 1
+    cells = patterns.groupBy("response", "fold").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("pos"))
+    models = cells.withColumn("held_out", F.explode(F.array(*[F.lit(int(h)) for h in held_out])))
+    train = F.col("fold") != F.col("held_out")
+    models = models.groupBy(*MODEL_KEY).agg(F.sum(F.when(train, F.col("n"))).alias("n"), F.sum(F.when(train, F.col("pos"))).alias("pos"))
+    lone = F.coalesce((F.col("pos") == 0) | (F.col("pos") == F.col("n")), F.lit(True))
+    models = models.select(*MODEL_KEY, F.when(lone, "one class").otherwise("").alias("note"), F.when(~lone, F.ln(F.col("pos") / (F.col("n") - F.col("pos")))).alias("prior"))
+    models = materialise(models, "priors")
+    cuts = F.array(*[F.array(*[F.lit(float(e)) for e in es]).cast("array<double>") for es in edges])
+    binned = F.zip_with("x", cuts, lambda v, es: F.size(F.filter(es, lambda e: e < v)))
+    state = patterns.select("response", "fold", "part", "label", "n", binned.alias("x")).join(models.where("note = ''").drop("note"), "response")
+    state = state.select(*MODEL_KEY, (F.col("fold") != F.col("held_out")).alias("trains"), "part", "label", "n", "x", F.col("prior").alias("margin"))
+    path = new_path(spark, "margins")
+    state.write.parquet(path)
+    grown = []
+    none = F.sequence(F.lit(0), F.lit(nodes - 1))
+    blank = models.where("note = ''").select(*MODEL_KEY, F.transform(none, lambda i: F.lit(-1)).alias("feature"), *[F.transform(none, lambda i: F.lit(0.0)).alias(k) for k in ("cut", "value", "cover", "gain")])
+    for t in range(params.trees):
+        state = spark.read.parquet(path)
+        seen = state.where(F.col("trains") & ~F.col("part").isin(left_out(t, params.subsample)))
+        prob = 1 / (1 + F.exp(-F.col("margin")))
+        seen = seen.select(*MODEL_KEY, "x", F.col("n").cast("double").alias("w"), (F.col("n") * (F.col("label") - prob)).alias("s"), (F.col("n") * prob * (1 - prob)).alias("h"))
+        tree = blank
+        for level in range(params.depth):
+            tree = materialise(_level(seen, tree, level, params), "tree")
+        grown_path = new_path(spark, "grown")
+        tree.withColumn("t", F.lit(t)).write.parquet(grown_path)
+        grown.append(grown_path)
+        last, path = path, new_path(spark, "margins")
+        leaf = F.get("value", _walk(F.col("x"), F.col("feature"), F.col("cut"), params.depth))
+        state.join(tree, MODEL_KEY).withColumn("margin", F.col("margin") + leaf).select(*state.columns).write.parquet(path)
+        delete_path(spark, last)
+    trees = spark.read.parquet(*grown) if grown else blank.withColumn("t", F.lit(0)).limit(0)
+    names = ("feature", "cut", "value", "cover", "gain")
+    # as many trees as configured
+    flat = trees.groupBy(*MODEL_KEY).agg(F.array_sort(F.collect_list(F.struct("t", *names))).alias("all"))
+    value = F.transform("feature", lambda f, i: F.when(f < 0, 0.0).otherwise(F.get(F.get(cuts, f), F.get("cut", i).cast("int"))))
+    flat = flat.select(*MODEL_KEY, *[F.flatten(F.col(f"all.{k}")).alias(k) for k in names]).withColumn("cut", value)
+    return materialise(models.join(flat, MODEL_KEY, "left").select(*MODEL_KEY, "note", "prior", F.lit(nodes).alias("nodes"), *names), "boosted")
+
+
+def _level(seen: DataFrame, tree: DataFrame, level: int, params: BoostingParams) -> DataFrame:
+    """*tree* with the splits of one level: its cuts are bins here."""
+    first = 2**level - 1
+    node = _walk(F.col("x"), F.col("feature"), F.col("cut"), params.depth)
+    at = seen.join(tree.select(*MODEL_KEY, "feature", "cut"), MODEL_KEY).withColumn("node", node).where(F.col("node") >= first)
+    key = [*MODEL_KEY, "node", "pos"]
+    sums = at.select(*MODEL_KEY, "node", F.posexplode("x").alias("pos", "bin"), "w", "s", "h").groupBy(*key, "bin").agg(*[F.sum(c).alias(c) for c in "wsh"])
+    upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*key)
+    cut = sums.select(*key, "bin", *[F.sum(c).over(upto).alias(f"{c}l") for c in "wsh"], *[F.sum(c).over(whole).alias(c) for c in "wsh"])
+    cut = cut.withColumns({f"{c}r": F.col(c) - F.col(f"{c}l") for c in "wsh"})
+    able = (F.col("wl") >= params.min_leaf) & (F.col("wr") >= params.min_leaf) & (F.col("w") >= params.min_split)
+    gain = F.when(able, F.round(F.col("sl") ** 2 / F.col("wl") + F.col("sr") ** 2 / F.col("wr") - F.col("s") ** 2 / F.col("w"), DIGITS))
+    gain = F.when(gain > LEAST_GAIN, gain)
+    # the largest gain, then the lower feature, then the lower cut; the sums of a node come along
+    best = F.max(F.struct(F.coalesce(gain, F.lit(-1.0)).alias("gain"), (-F.col("pos")).alias("pos"), (-F.col("bin")).alias("bin"), *[f"{c}{e}" for c in "wsh" for e in "lr"], "w", "s", "h")).alias("b")
+    found = cut.groupBy(*MODEL_KEY, "node").agg(best)
+    splits = found.groupBy(*MODEL_KEY).agg(F.map_from_entries(F.collect_list(F.struct("node", "b"))).alias("splits"))
+
+    def newton(s: Column, h: Column) -> Column:
+        return params.learning_rate * F.when(h > 1e-150, s / h).otherwise(0.0)
+
+    def told(name: str, split, root) -> Column:
+        """Array *name* with what the splits say of their own node and of their children."""
+
+        def of(old: Column, i: Column) -> Column:
+            own = F.element_at("splits", i)
+            parent = F.element_at("splits", ((i - 1) / 2).cast("int"))
+            child = parent["gain"] > 0
+            out = F.when(own["gain"] > 0, split(own)).otherwise(old) if split else old
+            if root:
+                out = F.when((i > 0) & child, root(parent, i % 2 == 1)).otherwise(out)
+                out = F.when((i == 0) & own.isNotNull(), root(own, None)).otherwise(out) if level == 0 else out
+            return out
+
+        return F.transform(name, of).alias(name)
+
+    def side(s: Column, left: Column | None, c: str) -> Column:
+        return s[c] if left is None else F.when(left, s[f"{c}l"]).otherwise(s[f"{c}r"])
+
+    empty = F.coalesce("splits", F.create_map().cast(splits.schema["splits"].dataType))
+    joined = tree.join(splits, MODEL_KEY, "left").withColumn("splits", empty)
+    return joined.select(
+        *MODEL_KEY,
+        told("feature", lambda b: -b["pos"], None),
+        told("cut", lambda b: (-b["bin"]).cast("double"), None),
+        told("value", None, lambda b, left: newton(side(b, left, "s"), side(b, left, "h"))),
+        told("cover", None, lambda b, left: side(b, left, "w")),
+        told("gain", lambda b: b["gain"], None),
     )
-    responses = sorted(row.response for row in table.select("response").distinct().collect())
-
-    def fit(job: tuple[str, int]):
-        response, fold = job
-        rows = table.filter(F.col("response") == response)
-        if fold != ALL_ROWS:
-            rows = rows.filter(F.col("fold") != fold)
-        return job, learner.fit(rows.select("features", F.col("label").cast("double").alias("label")))
-
-    jobs = [(response, fold) for response in responses for fold in held_out]
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        return dict(pool.map(fit, jobs, chunksize=1))
-
-
-def predict_boosting(table: DataFrame, models: Models) -> DataFrame:
-    """Each row's probability by the model that left its fold out (or by the whole-data model)."""
-    parts = []
-    for (response, fold), model in sorted(models.items()):
-        rows = table.filter(F.col("response") == response)
-        if fold != ALL_ROWS:
-            rows = rows.filter(F.col("fold") == fold)
-        parts.append(
-            model.transform(rows)
-            .withColumn("prob", vector_to_array("probability")[1])
-            .drop("rawPrediction", "probability", "prediction", "features")
-        )
-    return reduce(DataFrame.unionByName, parts)
+
+
+def boosted_margin(x: Column, depth: int) -> Column:
+    """Log-odds of *x* by the flat arrays of a model beside it; walks the nodes inside the JVM."""
+    nodes = 2 ** (depth + 1) - 1
+    feature, cut, value = F.col("feature"), F.col("cut"), F.col("value")
+    starts = F.sequence(F.lit(0), F.size(feature) - 1, F.lit(nodes))
+
+    def plus(total: Column, start: Column) -> Column:
+        return total + F.get(value, start + _walk(x, feature, cut, depth, start))
+
+    return F.when(F.size(feature) > 0, F.aggregate(starts, F.col("prior"), plus)).otherwise(F.col("prior"))
+
+
+def predict_boosting(rows: DataFrame, models: DataFrame, depth: int, split: str | None) -> DataFrame:
+    """Add ``prob`` to ``rows(response, x)`` by the model that left the fold out, or by the whole-data model."""
+    fitted = models.where("note = ''").drop("note", "nodes", "cover", "gain")
+    if split is None:
+        paired = rows.join(fitted.filter(F.col("held_out") == ALL_ROWS).drop("held_out"), "response")
+    else:
+        paired = rows.join(fitted.withColumnRenamed("held_out", split), ["response", split])
+    prob = 1 / (1 + F.exp(-boosted_margin(F.col("x"), depth)))
+    return paired.withColumn("prob", prob).drop("prior", "feature", "cut", "value")

@@ -689,3 +689,8 @@ ORACLES["results_persist"] = sql(
     MODELS,
 )
 ORACLES["models_persist"] = ORACLES["lr_cv"]
+ORACLES["tree_local_accuracy"] = sql(
+    "SELECT response, count(*) AS n_vectors, 0::BIGINT AS n_off FROM (SELECT DISTINCT l.response, v.x FROM lab l JOIN vec16 v USING (entity_id)) GROUP BY 1",
+    f"\nvec16 AS (SELECT f.entity_id, [{_ALL}] AS x FROM feat f GROUP BY 1)",
+)
+ORACLES["boosted_persist"] = sql("SELECT response, count(*) AS n, 0::BIGINT AS n_off FROM lab GROUP BY 1")

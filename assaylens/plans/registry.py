@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -504,32 +503,53 @@ def top_biomarkers(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- boosting
 
 
+def _boosting_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return boosting.boosting_patterns(roles.design(spark, d), roles.FEATURES, roles.CONFIG.seed)
+
+
 @query
 def gbt_cv(spark: SparkSession, d: str) -> DataFrame:
-    table = boosting.assemble(roles.design(spark, d), roles.FEATURES)
-    models = boosting.fit_boosting(table, roles.CONFIG.boosting, roles.CONFIG.seed, range(roles.CONFIG.folds))
-    oof = boosting.predict_boosting(table, models)
-    per_fold = metrics.classification_metrics(oof, ["response", "fold"])
+    patterns, params = _boosting_patterns(spark, d), roles.CONFIG.boosting
+    models = boosting.fit_boosting(patterns, params, range(roles.CONFIG.folds))
+    oof = boosting.predict_boosting(patterns, models, params.depth, "fold")
+    per_fold = metrics.classification_metrics(oof, ["response", "fold"], n="n")
     return rounded(metrics.mean_metrics(per_fold, ["response"]), 6, *metrics.METRICS)
 
 
-def _boosted(spark: SparkSession, d: str):
-    table = boosting.assemble(roles.design(spark, d), roles.FEATURES)
-    return table, boosting.fit_boosting(table, roles.CONFIG.boosting, roles.CONFIG.seed, [logistic.ALL_ROWS])
+def _boosted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    patterns = _boosting_patterns(spark, d)
+    return patterns, boosting.fit_boosting(patterns, roles.CONFIG.boosting, [logistic.ALL_ROWS])
 
 
 @query
 def tree_attribution(spark: SparkSession, d: str) -> DataFrame:
-    table, models = _boosted(spark, d)
-    patterns = table.groupBy("response", vector_to_array("features").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    vectors = attribution.tree_attribution_vectors(patterns, models, roles.FEATURES)
+    vectors = attribution.tree_attribution_vectors(*_boosted(spark, d))
     return rounded(attribution.tree_attribution(vectors, roles.FEATURES), 6, "mean_abs_shap", "mean_signed_shap")
 
 
+@query
+def tree_local_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Feature vectors whose attributions don't add up to the margin within 1e-9: none."""
+    return attribution.tree_local_accuracy(*_boosted(spark, d), roles.CONFIG.boosting.depth)
+
+
 @query
 def tree_importance(spark: SparkSession, d: str) -> DataFrame:
     _, models = _boosted(spark, d)
-    return rounded(attribution.tree_importance(spark, models, roles.FEATURES), 6, "mean_abs_shap")
+    return rounded(attribution.tree_importance(models, roles.FEATURES), 6, "mean_abs_shap")
+
+
+@query
+def boosted_persist(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose probability by the written, reread boosted models differs: none."""
+    patterns, models = _boosted(spark, d)
+    folder = results.write_results(new_path(spark, "models"), models=models)
+    depth = roles.CONFIG.boosting.depth
+    again = boosting.predict_boosting(patterns, results.read_results(spark, folder, "models"), depth, None)
+    key = ["response", "fold", "part", "label", "x"]
+    now = boosting.predict_boosting(patterns, models, depth, None).withColumnRenamed("prob", "now")
+    both = again.join(now.select(*key, "now"), key)
+    return both.groupBy("response").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("prob") == F.col("now"), 0).otherwise(F.col("n"))).alias("n_off"))
 
 
 def _screen(spark: SparkSession, d: str) -> screen.Screen:

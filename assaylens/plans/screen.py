@@ -1,7 +1,6 @@
 """End-to-end flows over any response and feature tables.
 
-Every step answers all responses at once; nothing loops over responses except the boosted
-fits, which MLlib makes one at a time and which are submitted in parallel.
+Every step answers all responses at once; nothing loops over responses.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,25 +74,22 @@ def run_screen(
     held_out, attributions, refit = [], [], []
     keep = ["response", "model", "entity_id", "fold", "label", "prob"]
     counts = assoc.counts_from_patterns(patterns, features)
+    x = design.select("response", "entity_id", "fold", "label", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("x"))
 
     if LR in models:
         grid = logistic.inner_cv(patterns, "inner_fold", width, config.c_values)
         chosen = {row.response: row.c for row in logistic.select_c(grid).collect()}
         _, fitted = logistic.cross_validate(patterns, width, chosen)
-        x = design.select("response", "entity_id", "fold", "label", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("x"))
         held_out.append(logistic.predict(x, fitted, "fold").withColumn("model", F.lit(LR)).select(*keep))
         refit.append(logistic.predict(x, fitted, None).withColumn("model", F.lit(LR)).select(*keep))
         linear = attribution.linear_attribution(counts, attribution.long_coefficients(fitted, features))
         attributions.append(linear.withColumn("model", F.lit(LR)))
     if GBM in models:
-        table = boosting.assemble(design, features)
-        trees = boosting.fit_boosting(table, config.boosting, config.seed, [*range(config.folds), logistic.ALL_ROWS])
-        whole = {k: m for k, m in trees.items() if k[1] == logistic.ALL_ROWS}
-        outer = {k: m for k, m in trees.items() if k[1] != logistic.ALL_ROWS}
-        held_out.append(boosting.predict_boosting(table, outer).withColumn("model", F.lit(GBM)).select(*keep))
-        refit.append(boosting.predict_boosting(table, whole).withColumn("model", F.lit(GBM)).select(*keep))
-        vectors = table.groupBy("response", vector_to_array("features").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-        tree = attribution.tree_attribution(attribution.tree_attribution_vectors(vectors, whole, features), features)
+        rows = boosting.boosting_patterns(design, features, config.seed)
+        trees = boosting.fit_boosting(rows, config.boosting, [*range(config.folds), logistic.ALL_ROWS])
+        held_out.append(boosting.predict_boosting(x, trees, config.boosting.depth, "fold").withColumn("model", F.lit(GBM)).select(*keep))
+        refit.append(boosting.predict_boosting(x, trees, config.boosting.depth, None).withColumn("model", F.lit(GBM)).select(*keep))
+        tree = attribution.tree_attribution(attribution.tree_attribution_vectors(rows, trees), features)
         attributions.append(tree.withColumn("model", F.lit(GBM)))
 
     def stacked(parts: list[DataFrame]) -> DataFrame:

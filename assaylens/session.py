@@ -78,6 +78,12 @@ def drop_materialised(spark: SparkSession) -> None:
     fs.delete(path, True)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete one written table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small table made of *rows*, broadcast up to ``DIMENSION_BYTES`` of their values as text.
 

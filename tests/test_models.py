@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dataclasses import replace
 
 from assaylens.config import BoostingParams
-from assaylens.operators import attribution, boosting, folds, logistic
+from assaylens.operators import folds, logistic
 from assaylens.plans import roles, screen
 from assaylens.session import new_path
 from assaylens.sources import results
@@ -92,55 +92,6 @@ def test_smaller_c_wins_ties(spark):
     assert logistic.select_c(grid).first().c == 0.1
 
 
-@pytest.fixture(scope="module")
-def boosted(spark, design):
-    table = boosting.assemble(design, NAMES)
-    params = BoostingParams(trees=5, depth=3)
-    return table, boosting.fit_boosting(table, params, 42, [0, logistic.ALL_ROWS], parallelism=4)
-
-
-def test_boosting_finds_the_signal(spark, boosted):
-    table, models = boosted
-    assert set(models) == {(r, f) for r in "rs" for f in (0, -1)}
-    whole = {k: m for k, m in models.items() if k[1] == -1}
-    scored = boosting.predict_boosting(table, whole)
-    assert scored.count() == 320
-    importance = attribution.tree_importance(spark, models, NAMES).collect()
-    best = {}
-    for row in importance:
-        if row.mean_abs_shap > best.get(row.response, ("", -1))[1]:
-            best[row.response] = (row.feature, row.mean_abs_shap)
-    assert best["r"][0] == best["s"][0] == "a"
-
-
-def test_tree_attributions_add_up_to_the_margin(spark, boosted):
-    table, models = boosted
-    from pyspark.ml.functions import vector_to_array
-
-    patterns = table.groupBy("response", vector_to_array("features").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    vectors = attribution.tree_attribution_vectors(patterns, models, NAMES).collect()
-    scored = boosting.predict_boosting(table, {k: m for k, m in models.items() if k[1] == -1})
-    prob = {
-        (r.response, r.a, r.b, r.c): r.prob
-        for r in scored.join(
-            table.select("response", "entity_id", vector_to_array("features").alias("x")).select(
-                "response", "entity_id", *[F.col("x")[i].alias(f) for i, f in enumerate(NAMES)]
-            ),
-            ["response", "entity_id"],
-        ).collect()
-    }
-    for response in "rs":
-        gaps = [
-            np.log(p / (1 - p)) - sum(v.phi)
-            for v in vectors
-            if v.response == response
-            for p in [prob[(response, *v.x)]]
-        ]
-        assert np.ptp(gaps) < 1e-9
-    features = attribution.tree_attribution(spark.createDataFrame(vectors), NAMES)
-    assert features.count() == 6
-
-
 def test_screen_on_the_small_tables(spark):
     config = replace(roles.CONFIG, boosting=BoostingParams(trees=2, depth=2), responses=roles.RESPONSES[:2], c_values=(0.1, 1.0))
     run = screen.run_screen(roles.responses(spark, SMALL), roles.flags(spark, SMALL), config)

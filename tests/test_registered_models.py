@@ -8,12 +8,12 @@ class _Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["gbt_cv", "tree_attribution", "tree_importance", "screen_summary"])
+@pytest.mark.parametrize("name", ["gbt_cv", "tree_attribution", "tree_importance", "tree_local_accuracy", "boosted_persist", "screen_summary"])
 def test_boosted_queries_fit_the_configured_model(monkeypatch, name):
     def asked(*args, **kwargs):
         raise _Asked(*[getattr(a, "boosting", a) for a in args])
 
-    for owner, made in ((registry.roles, "design"), (registry.roles, "responses"), (registry.roles, "flags"), (registry.boosting, "assemble")):
+    for owner, made in ((registry.roles, "design"), (registry.roles, "responses"), (registry.roles, "flags"), (registry.boosting, "boosting_patterns")):
         monkeypatch.setattr(owner, made, lambda *a, **k: None)
     monkeypatch.setattr(registry.boosting, "fit_boosting", asked)
     monkeypatch.setattr(registry.screen, "run_screen", asked)
