@@ -119,10 +119,16 @@ def meetings(
     tasks = min(shards * groups, MEETING_TASKS)
     place = F.pmod(F.col("shard").cast("long") * groups + F.col("grp"), F.lit(tasks)).cast("int")
 
+    def plain(row: pa.StructScalar) -> dict | None:
+        """Values of a row; arrays stay numpy arrays."""
+        if not row.is_valid:
+            return None
+        return {k: v.values.to_numpy(zero_copy_only=False) if isinstance(v, pa.ListScalar) else v.as_py() for k, v in row.items()}
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield batch.slice(i, 1).to_pylist()[0]
+                yield {k: batch.column(k)[i].as_py() for k in ("shard", "grp")} | {k: plain(batch.column(k)[i]) for k in ("held", "asked")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, met in groupby(rows(batches), key=lambda r: (r["shard"], r["grp"])):

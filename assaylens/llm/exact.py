@@ -7,6 +7,7 @@ list of chunk identifiers, and only these lists are grouped and joined.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +26,44 @@ def normalised(text: Column) -> Column:
 
 
 def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """*docs* with ``_row``, the place of the row in the table that is scanned.
+    """*docs* with ``_row``, which tells repeated rows apart within one scan.
 
-    It tells repeated rows apart. *docs* must be a table scan, so that every scan counts alike.
+    Another scan may number otherwise, since splits follow the cores at hand; see ``with_place``.
     """
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+FILES = 1_000_000  # most files of a table whose list is broadcast
+
+
+def with_place(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """*docs* with ``_row``: the number of the row's file and its place in that file.
+
+    The same in every scan, however the files are split. A table that doesn't come from files is
+    written once with numbers, and read back.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        files = docs.select(meta["file_path"].alias("file")).distinct()
+    except AnalysisException:
+        return materialise(with_row(docs, name), "numbered")
+    nr = F.row_number().over(Window.orderBy("file")).cast("long")
+    # one row for each file
+    listed, n = materialise_counted(files.select("file", nr.alias("nr")), "files")
+    file, at = fresh(docs, "_file"), fresh(docs, "_at")
+    named = listed.select(F.col("file").alias(file), F.col("nr").alias(name))
+    placed = docs.select("*", meta["file_path"].alias(file), meta["row_index"].alias(at))
+    joined = placed.join(F.broadcast(named) if n <= FILES else named, file)
+    return joined.select(*docs.columns, (F.shiftleft(F.col(name), 40) + F.col(at)).alias(name))
+
+
 def without(docs: DataFrame, found, tag: str) -> DataFrame:
     """*docs* without the rows that ``found(rows)`` names by ``_row``; same columns.
 
     *found* gets ``_row, doc_id, text``. Columns of *docs* may have any other names.
     """
     row = fresh(docs, "_row")
-    rows = with_row(docs, row)
+    rows = with_place(docs, row)
     gone = materialise(found(rows.select(F.col(row).alias("_row"), "doc_id", "text")), tag)
     release(docs.sparkSession)
     # the rows to drop grow with the table: the same join at every size
@@ -100,5 +125,5 @@ def duplicates(rows: DataFrame, digest=F.xxhash64) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts; same columns. *docs* must be a table scan."""
+    """One row of each group of equal texts; same columns. *docs* is read more than once."""
     return without(docs, lambda rows: duplicates(rows).where("not kept"), "copies")

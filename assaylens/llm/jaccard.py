@@ -289,5 +289,5 @@ def classes(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """One document of each component, that of smallest doc_id; same columns. A table scan."""
+    """One document of each component, that of smallest doc_id; same columns."""
     return without(docs, lambda rows: classes(rows, rule or Rule()).where("_row <> first_row"), "near")

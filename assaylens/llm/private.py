@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylens.llm.common import fresh, release
-from assaylens.llm.exact import with_row
+from assaylens.llm.exact import with_place
 from assaylens.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -263,13 +263,13 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """*docs* with every span replaced by its kind, as ``[EMAIL]``; same columns. A table scan.
+    """*docs* with every span replaced by its kind, as ``[EMAIL]``; same columns.
 
     Overlapping spans become one mark, of the first kind. Where there is a column n_chars and a
     mark was set, it gets the new length; texts without a span stay as they are, null too.
     """
     row, held = fresh(docs, "_row"), fresh(docs, "_spans")
-    rows = with_row(docs, row)
+    rows = with_place(docs, row)
     found = spans(rows.select(F.col(row).alias("_row"), "doc_id", "text"))
     hit = found.select(F.col("_row").alias(row), _sorted(F.col("base"), F.col("added")).alias(held))
     hit = materialise(hit.where(F.size(held) > 0), "hits")

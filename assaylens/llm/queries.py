@@ -31,7 +31,7 @@ def op1_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
     """Group of equal texts of every document, by chunk recipes."""
-    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    rows = exact.with_place(documents(spark, folder).select("doc_id", "text"))
     return exact.duplicates(rows).drop("_row")
 
 
@@ -51,7 +51,7 @@ FROM n JOIN g USING (text_sha256)
 @query
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document: sets of four-word shingles, similarity 0.85 or more."""
-    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    rows = exact.with_place(documents(spark, folder).select("doc_id", "text"))
     return jaccard.classes(rows, jaccard.Rule(words=4, percent=85)).drop("_row", "first_row")
 
 
@@ -110,14 +110,14 @@ def op6_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_digest_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every text through a cache that starts empty."""
-    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    rows = exact.with_place(documents(spark, folder).select("doc_id", "text"))
     return counting.counts(rows, "piece_bpe_32k.model")
 
 
 @query
 def op5_bounded_expansion(spark: SparkSession, folder: str) -> DataFrame:
     """Every text without the bytes that strings of smaller documents cover."""
-    rows = exact.with_row(documents(spark, folder).select("doc_id", "text"))
+    rows = exact.with_place(documents(spark, folder).select("doc_id", "text"))
     cut = repeats.without_repeats(rows)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
