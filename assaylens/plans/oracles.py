@@ -163,50 +163,6 @@ ranked AS (
 corrs AS (SELECT response, count(*) AS n, corr(CAST(rs AS DOUBLE), CAST(ry AS DOUBLE)) AS rho FROM ranked GROUP BY 1),{SPEARMAN_T}"""
 
 
-MODELS = """
-panel_prob AS (
-  SELECT entity_id, 'HR' AS model, hrd_score / 2.0::DOUBLE AS prob FROM score
-  UNION ALL SELECT entity_id, 'burden', ddr_burden / 4.0::DOUBLE FROM score),
-scored AS (SELECT f.*, p.model, p.prob FROM fold f JOIN panel_prob p USING (entity_id)),
-tally AS (
-  SELECT response, model, fold, prob, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY 1, 2, 3, 4),
-fold_auc AS (
-  SELECT a.response, a.model, a.fold,
-         sum(a.pos * b.neg * CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0.0 END)::DOUBLE
-         / (any_value(w.p) * any_value(w.n)) AS auc
-  FROM tally a JOIN tally b ON a.response = b.response AND a.model = b.model AND a.fold = b.fold
-  JOIN (SELECT response, model, fold, sum(pos)::DOUBLE AS p, sum(neg)::DOUBLE AS n FROM tally GROUP BY 1, 2, 3) w
-    ON a.response = w.response AND a.model = w.model AND a.fold = w.fold
-  GROUP BY 1, 2, 3),
-hit AS (
-  SELECT response, model, fold,
-         count(*) FILTER (WHERE label = 1 AND prob > 0.5)::DOUBLE AS tp,
-         count(*) FILTER (WHERE label = 0 AND prob > 0.5)::DOUBLE AS fp,
-         count(*) FILTER (WHERE label = 1 AND prob <= 0.5)::DOUBLE AS fn,
-         count(*) FILTER (WHERE label = 0 AND prob <= 0.5)::DOUBLE AS tn
-  FROM scored GROUP BY 1, 2, 3),
-per_fold AS (
-  SELECT h.response, h.model, h.fold, coalesce(a.auc, 0.5) AS auc,
-         (tp + tn) / (tp + fp + fn + tn) AS accuracy,
-         coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
-         coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
-         coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1
-  FROM hit h JOIN fold_auc a USING (response, model, fold)),
-compared AS (
-  SELECT response, model, round_even(avg(auc), 4) AS auc, round_even(avg(accuracy), 4) AS accuracy,
-         round_even(avg(precision), 4) AS precision, round_even(avg(recall), 4) AS recall, round_even(avg(f1), 4) AS f1
-  FROM per_fold GROUP BY 1, 2)"""
-
-ABLATION = MODELS + """,
-cv AS (SELECT response, model, avg(auc) AS m, stddev_pop(auc) AS s FROM fold_auc GROUP BY 1, 2),
-abl AS (
-  SELECT p.response_id, p.response_name, l.n, l.n_sensitive, a.m AS auc_base, a.s AS std_base,
-         b.m AS auc_full, b.s AS std_full, b.m - a.m AS delta
-  FROM planned p JOIN cv a ON a.response = p.response AND a.model = 'HR'
-  JOIN cv b ON b.response = p.response AND b.model = 'burden'
-  JOIN (SELECT response, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_sensitive FROM lab GROUP BY 1) l
-    ON l.response = p.response)"""
-
 QUALITY = """
 docs AS (SELECT n_chars AS score, quality AS label FROM documents JOIN labels USING (doc_id)),
 pts AS (
@@ -246,10 +202,6 @@ summ AS (
     (SELECT count(*) FROM ev o WHERE o.response = ev.response AND o.ad > ev.ad)
       + ((SELECT count(*) FROM ev o WHERE o.response = ev.response AND o.ad = ev.ad) + 1) / 2.0 AS effect_rank
   FROM ev)"""
-FLAG_CELLS = "\nflag_cells AS (SELECT * FROM cells WHERE feature IN (SELECT feature FROM brands))"
-SUMMARY = FLAG_CELLS + "," + rank_sum_cte("flag_cells", "response, feature") + "," + BH + "," + EFFECT.replace(
-    "FROM lab l JOIN feat f USING (entity_id)", "FROM lab l JOIN feat f USING (entity_id) WHERE f.feature IN (SELECT feature FROM brands)"
-) + "," + CLOSED + "," + RANKS
 
 # Penalised balanced logistic regression on the six HR flags, scaled per training fold, for each
 # held-out fold and for all rows (-1): cyclic coordinate descent, one coordinate per recursion.
@@ -327,7 +279,7 @@ def bounded(
     return f"""
 {name}_train AS (
   SELECT q.response, h.held, q.label, v.x, count(*)::DOUBLE AS n
-  FROM {rows} q JOIN {vec} v USING (entity_id) JOIN (SELECT DISTINCT {split} AS held FROM {rows}) h ON q.{split} <> h.held
+  FROM {rows} q JOIN {vec} v USING (entity_id) JOIN (SELECT DISTINCT {split} AS held FROM {rows} UNION SELECT -1) h ON q.{split} <> h.held
   GROUP BY 1, 2, 3, 4),
 {name}_cls AS (
   SELECT response, held, label, sum(n) AS c, sum(sum(n)) OVER (PARTITION BY response, held) AS t FROM {name}_train GROUP BY 1, 2, 3),
@@ -383,13 +335,74 @@ cgrid AS (SELECT DISTINCT response, c FROM lab CROSS JOIN (VALUES (0.01::DOUBLE)
 chosen AS (
   SELECT response, c, auc FROM (SELECT response, c, round(avg(auc), 12) AS auc FROM inn_auc GROUP BY 1, 2)
   QUALIFY row_number() OVER (PARTITION BY response ORDER BY auc DESC, c) = 1)"""
-LR_CV = SELECT_C + "," + bounded("outr", "fold", "chosen") + """,
+LR_CV = SELECT_C + "," + bounded("outr", "fold", "chosen", 25) + """,
 lr_hit AS (
   SELECT response, held,
          count(*) FILTER (WHERE label = 1 AND z > 0)::DOUBLE AS tp, count(*) FILTER (WHERE label = 0 AND z > 0)::DOUBLE AS fp,
          count(*) FILTER (WHERE label = 1 AND z <= 0)::DOUBLE AS fn, count(*) FILTER (WHERE label = 0 AND z <= 0)::DOUBLE AS tn
   FROM outr_z GROUP BY 1, 2)"""
 
+_NARROW = ", ".join(f"max(CASE WHEN f.feature = '{b}' THEN f.v ELSE 0 END)::DOUBLE" for b in roles.HR)
+MODELS = f"""
+vec16 AS (SELECT f.entity_id, [1.0::DOUBLE, {_ALL}] AS x FROM feat f GROUP BY 1),
+vec6 AS (SELECT f.entity_id, [1.0::DOUBLE, {_NARROW}] AS x FROM feat f GROUP BY 1),
+at17(i) AS (SELECT unnest(range(1, {_P + 1}))),
+at7(i) AS (SELECT unnest(range(1, 8))),
+unit AS (SELECT DISTINCT response, 1.0::DOUBLE AS c FROM lab),""" + bounded("few", "fold", "unit", 25, "fold", "vec6", "at7") + "," + bounded(
+    "every", "fold", "unit", 25, "fold", "vec16", "at17"
+) + """,
+scored AS (
+  SELECT response, 'HR' AS model, held AS fold, label, 1 / (1 + exp(-z)) AS prob FROM few_z
+  UNION ALL SELECT response, 'full', held, label, 1 / (1 + exp(-z)) FROM every_z),
+tally AS (
+  SELECT response, model, fold, prob, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY 1, 2, 3, 4),
+fold_auc AS (
+  SELECT a.response, a.model, a.fold,
+         sum(a.pos * b.neg * CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0.0 END)::DOUBLE
+         / (any_value(w.p) * any_value(w.n)) AS auc
+  FROM tally a JOIN tally b ON a.response = b.response AND a.model = b.model AND a.fold = b.fold
+  JOIN (SELECT response, model, fold, sum(pos)::DOUBLE AS p, sum(neg)::DOUBLE AS n FROM tally GROUP BY 1, 2, 3) w
+    ON a.response = w.response AND a.model = w.model AND a.fold = w.fold
+  GROUP BY 1, 2, 3),
+hit AS (
+  SELECT response, model, fold,
+         count(*) FILTER (WHERE label = 1 AND prob > 0.5)::DOUBLE AS tp,
+         count(*) FILTER (WHERE label = 0 AND prob > 0.5)::DOUBLE AS fp,
+         count(*) FILTER (WHERE label = 1 AND prob <= 0.5)::DOUBLE AS fn,
+         count(*) FILTER (WHERE label = 0 AND prob <= 0.5)::DOUBLE AS tn
+  FROM scored GROUP BY 1, 2, 3),
+per_fold AS (
+  SELECT h.response, h.model, h.fold, coalesce(a.auc, 0.5) AS auc,
+         (tp + tn) / (tp + fp + fn + tn) AS accuracy,
+         coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+         coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+         coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1
+  FROM hit h JOIN fold_auc a USING (response, model, fold)),
+compared AS (
+  SELECT response, model, round_even(avg(auc), 4) AS auc, round_even(avg(accuracy), 4) AS accuracy,
+         round_even(avg(precision), 4) AS precision, round_even(avg(recall), 4) AS recall, round_even(avg(f1), 4) AS f1
+  FROM per_fold GROUP BY 1, 2)"""
+
+ABLATION = MODELS + """,
+cv AS (SELECT response, model, avg(auc) AS m, stddev_pop(auc) AS s FROM fold_auc GROUP BY 1, 2),
+abl AS (
+  SELECT p.response_id, p.response_name, l.n, l.n_sensitive, a.m AS auc_base, a.s AS std_base,
+         b.m AS auc_full, b.s AS std_full, b.m - a.m AS delta
+  FROM planned p JOIN cv a ON a.response = p.response AND a.model = 'HR'
+  JOIN cv b ON b.response = p.response AND b.model = 'full'
+  JOIN (SELECT response, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_sensitive FROM lab GROUP BY 1) l
+    ON l.response = p.response)"""
+
+
+SUMMARY = LR_CV + f""",
+place(feature, j) AS (VALUES {_values([(f, i) for i, f in enumerate(roles.FEATURES, 2)])}),
+lin AS (
+  SELECT l.response, f.feature, avg(abs(m.b[p.j] * (f.v - a.mv))) AS mean_abs_shap
+  FROM lab l JOIN feat f USING (entity_id) JOIN place p ON p.feature = f.feature
+  JOIN (SELECT l.response, f.feature, avg(f.v) AS mv FROM lab l JOIN feat f USING (entity_id) GROUP BY 1, 2) a
+    ON a.response = l.response AND a.feature = f.feature
+  JOIN outr m ON m.response = l.response AND m.held = -1 GROUP BY 1, 2),""" + rank_sum_cte("cells", "response, feature") + "," + BH + "," + EFFECT + "," + RANKS
+
 _FLAGS = ", ".join(f"max(CASE WHEN f.feature = '{b}' THEN f.v ELSE 0 END)::DOUBLE" for b in roles.FULL)
 _CONTEXT = ", ".join(f"max(CASE WHEN e.context = '{c}' THEN 1 ELSE 0 END)::DOUBLE" for c in roles.CONTEXTS)
 SETS = f"""
@@ -563,32 +576,36 @@ line AS (
   SELECT tp / p AS r, tp / (tp + fp) AS pr, lag(tp / p, 1, 0.0) OVER (ORDER BY score DESC) AS r_before,
          lag(tp / (tp + fp), 1, 1.0) OVER (ORDER BY score DESC) AS pr_before FROM pts, tot)
 SELECT 'n_chars' AS model, round(sum((r - r_before) * (pr + pr_before) / 2), 9) AS pr_auc_trapezoid FROM line"""
-ORACLES["prevalence"] = sql("SELECT count(*) AS n, round(avg(label), 9) AS prevalence FROM scored", MODELS)
+ORACLES["prevalence"] = sql("SELECT count(*) AS n, round(avg(label), 9) AS prevalence FROM scored", MODELS, recursive=True)
 ORACLES["confusion"] = sql(
     "SELECT m.response, m.model, a.v AS actual, b.v AS predicted, count(s.label) AS n "
     "FROM (SELECT DISTINCT response, model FROM scored) m CROSS JOIN (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) b(v) "
     "LEFT JOIN scored s ON s.response = m.response AND s.model = m.model AND s.label = a.v AND (s.prob > 0.5) = (b.v = 1) GROUP BY 1, 2, 3, 4",
     MODELS,
+    recursive=True,
 )
 ORACLES["classification_metrics"] = sql(
     "SELECT response, model, fold, round(auc, 9) AS auc, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, "
     "round(recall, 9) AS recall, round(f1, 9) AS f1 FROM per_fold",
     MODELS,
+    recursive=True,
 )
-ORACLES["model_comparison"] = sql("SELECT * FROM compared", MODELS)
+ORACLES["model_comparison"] = sql("SELECT * FROM compared", MODELS, recursive=True)
 ORACLES["best_model"] = sql(
     "SELECT response, model, "
     + ", ".join(f"round({m}, 9) AS {m}" for m in ("auc", "accuracy", "precision", "recall", "f1"))
     + " FROM (SELECT response, model, "
     + ", ".join(f"avg({m}) AS {m}" for m in ("auc", "accuracy", "precision", "recall", "f1"))
-    + " FROM per_fold GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY response ORDER BY auc DESC, model = 'burden') = 1",
+    + " FROM per_fold GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY response ORDER BY auc DESC, model = 'full') = 1",
     MODELS,
+    recursive=True,
 )
 ORACLES["comparison_long"] = sql(
     " UNION ALL ".join(
         f"SELECT response, model, '{m}' AS metric, {m} AS value FROM compared" for m in ("auc", "accuracy", "precision", "recall", "f1")
     ),
     MODELS,
+    recursive=True,
 )
 ORACLES["lr_closed_form"] = sql(
     "SELECT response, feature, round(intercept, 9) AS intercept, round(coefficient, 9) AS coefficient FROM closed", CLOSED
@@ -601,17 +618,19 @@ ORACLES["attribution_rows"] = sql(
     CLOSED,
 )
 ORACLES["biomarker_summary"] = sql(
-    "SELECT response, feature, round(shap, 9) AS mean_abs_shap, u_statistic, round(p_value, 9) AS p_value, "
+    "SELECT response, feature, round(shap, 6) AS mean_abs_shap, u_statistic, round(p_value, 9) AS p_value, "
     "round(p_adjusted, 9) AS p_adjusted, round(d, 9) AS cohens_d, round(abs(d), 9) AS abs_cohens_d, "
     "shap_rank::DOUBLE AS shap_rank, pval_rank::DOUBLE AS pval_rank, effect_rank::DOUBLE AS effect_rank, "
     "(shap_rank + pval_rank + effect_rank)::DOUBLE AS composite_rank FROM summ",
     SUMMARY,
+    recursive=True,
 )
 ORACLES["top_biomarkers"] = sql(
     "SELECT response, CAST(place AS INTEGER) AS place, feature, composite_rank FROM ("
     "SELECT response, feature, (shap_rank + pval_rank + effect_rank)::DOUBLE AS composite_rank, "
     "row_number() OVER (PARTITION BY response ORDER BY shap_rank + pval_rank + effect_rank, feature) AS place FROM summ) WHERE place <= 5",
     SUMMARY,
+    recursive=True,
 )
 ORACLES["per_response_cv_auc"] = sql(
     "SELECT CAST(response_id AS INTEGER) AS response_id, response_name, coalesce(n, 0) AS n, coalesce(k, 0) AS n_sensitive, "
@@ -662,16 +681,18 @@ ORACLES["score_ablation"] = sql(
     "SELECT CAST(response_id AS INTEGER) AS response_id, response_name, n, n_sensitive, round(auc_base, 9) AS auc_base, "
     "round(std_base, 9) AS std_base, round(auc_full, 9) AS auc_full, round(std_full, 9) AS std_full, round(delta, 9) AS delta FROM abl",
     ABLATION,
+    recursive=True,
 )
 ORACLES["benchmark_report"] = sql(
     """SELECT 1 AS section, CAST(response_id AS BIGINT) AS key, printf('| %s | %d | %d | %.3f ± %.3f | %.3f ± %.3f | %+.3f |',
          response_name, n, n_sensitive, auc_base, std_base, auc_full, std_full, delta) AS line FROM abl
-       UNION ALL SELECT 0, 0, '| Response | n | n_sens | AUC (HR) | AUC (burden) | Δ AUC |'
+       UNION ALL SELECT 0, 0, '| Response | n | n_sens | AUC (HR) | AUC (full) | Δ AUC |'
        UNION ALL SELECT 0, 1, '| --- | ---: | ---: | ---: | ---: | ---: |'
        UNION ALL SELECT 2, 2, printf('**Mean AUC (HR): %.3f**', avg(auc_base)) FROM abl
-       UNION ALL SELECT 2, 3, printf('**Mean AUC (burden): %.3f**', avg(auc_full)) FROM abl
+       UNION ALL SELECT 2, 3, printf('**Mean AUC (full): %.3f**', avg(auc_full)) FROM abl
        UNION ALL SELECT 2, 4, printf('**Mean Δ: %+.3f AUC**', avg(auc_full) - avg(auc_base)) FROM abl""",
     ABLATION,
+    recursive=True,
 )
 ORACLES["score_report"] = sql(
     f"""SELECT 0 AS section, CAST(0 AS BIGINT) AS key, printf('Entities analysed (N): %d', count(DISTINCT entity_id)) AS line FROM score
@@ -687,6 +708,7 @@ ORACLES["results_persist"] = sql(
     "SELECT response, model, fold, n, round(accuracy, 9) AS accuracy FROM per_fold JOIN "
     "(SELECT response, model, fold, count(*) AS n FROM scored GROUP BY 1, 2, 3) USING (response, model, fold)",
     MODELS,
+    recursive=True,
 )
 ORACLES["models_persist"] = ORACLES["lr_cv"]
 ORACLES["tree_local_accuracy"] = sql(
@@ -694,3 +716,18 @@ ORACLES["tree_local_accuracy"] = sql(
     f"\nvec16 AS (SELECT f.entity_id, [{_ALL}] AS x FROM feat f GROUP BY 1)",
 )
 ORACLES["boosted_persist"] = sql("SELECT response, count(*) AS n, 0::BIGINT AS n_off FROM lab GROUP BY 1")
+_CELLS = "(SELECT DISTINCT response FROM lab) r CROSS JOIN (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) b(v)"
+ORACLES["oof_confusion"] = sql(
+    f"SELECT r.response, a.v AS actual, b.v AS predicted, count(s.label) AS n FROM {_CELLS} "
+    "LEFT JOIN outr_z s ON s.response = r.response AND s.label = a.v AND (s.z > 0) = (b.v = 1) GROUP BY 1, 2, 3",
+    LR_CV,
+    recursive=True,
+)
+ORACLES["resubstitution_confusion"] = sql(
+    f"SELECT r.response, a.v AS actual, b.v AS predicted, count(s.label) AS n FROM {_CELLS} LEFT JOIN ("
+    "SELECT q.response, q.label, list_dot_product(v.x, m.b) AS z FROM dealt q JOIN vec16 v USING (entity_id) "
+    "JOIN outr m ON m.response = q.response AND m.held = -1) s "
+    "ON s.response = r.response AND s.label = a.v AND (s.z > 0) = (b.v = 1) GROUP BY 1, 2, 3",
+    LR_CV,
+    recursive=True,
+)

@@ -334,40 +334,40 @@ def pr_auc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.pr_auc(_quality_counts(spark, d), ["model"]), 9, "pr_auc_trapezoid")
 
 
-def _panel_models(spark: SparkSession, d: str) -> DataFrame:
-    """Two simple models, a panel score over a constant, scored on every labelled row."""
-    scores = roles.scored_flags(spark, d)
-    probs = scores.select(
-        "entity_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit("HR").alias("model"), (F.col("hrd_score") / 2.0).alias("prob")),
-                F.struct(F.lit("burden").alias("model"), (F.col("ddr_burden") / 4.0).alias("prob")),
-            )
-        ).alias("m"),
-    ).select("entity_id", "m.model", "m.prob")
-    return stratified_folds(spark, d).join(probs, "entity_id")
+#: Models that are compared: name and features of each, both with C = 1.
+COMPARED = {"HR": roles.HR, "full": roles.FEATURES}
+
+
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out probabilities of the models under comparison, as patterns with counts ``n``."""
+    design = materialise(roles.design(spark, d), "design")
+    parts = []
+    for name, features in COMPARED.items():
+        patterns = logistic.training_patterns(design, features)
+        oof, _ = logistic.cross_validate(patterns, len(features) + 1, [1.0])
+        parts.append(oof.select("response", F.lit(name).alias("model"), "fold", "label", "prob", "n"))
+    return materialise(parts[0].union(parts[1]), "oof")
 
 
 @query
 def prevalence(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.prevalence(_panel_models(spark, d)), 9, "prevalence")
+    return rounded(metrics.prevalence(_held_out(spark, d), n="n"), 9, "prevalence")
 
 
 @query
 def confusion(spark: SparkSession, d: str) -> DataFrame:
-    scored = _panel_models(spark, d).withColumn("predicted", (F.col("prob") > 0.5).cast("int"))
-    return metrics.confusion(scored, ["response", "model"])
+    scored = _held_out(spark, d).withColumn("predicted", (F.col("prob") > 0.5).cast("int"))
+    return metrics.confusion(scored, ["response", "model"], n="n")
 
 
 @query
 def classification_metrics(spark: SparkSession, d: str) -> DataFrame:
-    table = metrics.classification_metrics(_panel_models(spark, d), ["response", "model", "fold"])
+    table = metrics.classification_metrics(_held_out(spark, d), ["response", "model", "fold"], n="n")
     return rounded(table, 9, *metrics.METRICS)
 
 
 def _panel_comparison(spark: SparkSession, d: str) -> DataFrame:
-    per_fold = metrics.classification_metrics(_panel_models(spark, d), ["response", "model", "fold"])
+    per_fold = metrics.classification_metrics(_held_out(spark, d), ["response", "model", "fold"], n="n")
     return metrics.compare_models(per_fold, ["response", "model"])
 
 
@@ -378,9 +378,9 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def best_model(spark: SparkSession, d: str) -> DataFrame:
-    per_fold = metrics.classification_metrics(_panel_models(spark, d), ["response", "model", "fold"])
+    per_fold = metrics.classification_metrics(_held_out(spark, d), ["response", "model", "fold"], n="n")
     means = metrics.mean_metrics(per_fold, ["response", "model"])
-    return rounded(metrics.best_model(means, {"HR": 0, "burden": 1}), 9, *metrics.METRICS)
+    return rounded(metrics.best_model(means, {name: i for i, name in enumerate(COMPARED)}), 9, *metrics.METRICS)
 
 
 @query
@@ -483,10 +483,27 @@ def importance_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def biomarker_summary(spark: SparkSession, d: str) -> DataFrame:
-    counts = _flag_counts(spark, d)
-    linear = attribution.linear_attribution(counts, attribution.closed_form_logit(counts))
+    """Evidence on every feature of the model; attributions are those of the refit on all rows."""
+    patterns, _, models = _lr(spark, d)
+    counts = assoc.counts_from_patterns(patterns, roles.FEATURES)
+    linear = attribution.linear_attribution(counts, attribution.long_coefficients(models, roles.FEATURES))
     table = assoc.biomarker_summary(linear, assoc.tests_from_counts(counts), assoc.effect_sizes(counts))
-    return rounded(table, 9, "mean_abs_shap", "p_value", "p_adjusted", "cohens_d", "abs_cohens_d")
+    return rounded(rounded(table, 6, "mean_abs_shap"), 9, "p_value", "p_adjusted", "cohens_d", "abs_cohens_d")
+
+
+@query
+def resubstitution_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion of the regression refitted on all rows, on those rows."""
+    patterns, _, models = _lr(spark, d)
+    again = logistic.predict(patterns, models, None).withColumn("predicted", (F.col("prob") > 0.5).cast("int"))
+    return metrics.confusion(again, ["response"], n="n")
+
+
+@query
+def oof_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion of the same regression on the rows it had not seen."""
+    _, oof, _ = _lr(spark, d)
+    return metrics.confusion(oof.withColumn("predicted", (F.col("prob") > 0.5).cast("int")), ["response"], n="n")
 
 
 @query
@@ -591,14 +608,14 @@ def feature_set_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _score_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Fold AUCs of the narrow and the broad panel score, side by side for each response."""
-    scored = _panel_models(spark, d)
+    """Fold AUCs of the models on the narrow and on the full feature set, side by side for each response."""
+    scored = _held_out(spark, d)
     keys = ["response", "model", "fold"]
-    per_fold = metrics.roc_auc(metrics.score_counts(scored, keys, "prob"), keys)
+    per_fold = metrics.roc_auc(metrics.score_counts(scored, keys, "prob", n="n"), keys)
     cv = metrics.auc_summary(per_fold, ["response", "model"]).withColumnRenamed("model", "feature_set")
     sizes = labels.class_balance(roles.labelled(spark, d)).select("response", "n", "n_sensitive")
     keys = ["response_id", "response_name", "n", "n_sensitive"]
-    return report.ablation(cv.join(sizes, "response").join(roles.plan(spark), "response"), keys, "HR", "burden")
+    return report.ablation(cv.join(sizes, "response").join(roles.plan(spark), "response"), keys, "HR", "full")
 
 
 @query
@@ -608,7 +625,7 @@ def score_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.benchmark_lines(_score_ablation(spark, d), "HR", "burden")
+    return report.benchmark_lines(_score_ablation(spark, d), "HR", "full")
 
 
 @query
@@ -621,9 +638,9 @@ def score_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def results_persist(spark: SparkSession, d: str) -> DataFrame:
-    scored = _panel_models(spark, d)
-    per_fold = metrics.classification_metrics(scored, ["response", "model", "fold"])
+    scored = _held_out(spark, d)
+    per_fold = metrics.classification_metrics(scored, ["response", "model", "fold"], n="n")
     folder = results.write_results(new_path(spark, "results"), oof=scored, fold_metrics=per_fold)
-    oof = results.read_results(spark, folder, "oof").groupBy("response", "model", "fold").agg(F.count(F.lit(1)).alias("n"))
+    oof = results.read_results(spark, folder, "oof").groupBy("response", "model", "fold").agg(F.sum("n").alias("n"))
     kept = results.read_results(spark, folder, "fold_metrics").select("response", "model", "fold", "accuracy")
     return rounded(oof.join(kept, ["response", "model", "fold"]), 9, "accuracy")

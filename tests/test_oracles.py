@@ -34,4 +34,4 @@ def test_query_matches_sql_with_cut_groups(spark, con, tiny_groups, name):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).count() == 65
+    assert contract.entry(spark).count() == 80
