@@ -42,7 +42,7 @@ def long_coefficients(models: DataFrame, features: Sequence[str], column: str =
     """Coefficients of the whole-data models as (response, feature, coefficient)."""
     names = F.array(*[F.lit(f) for f in features])
     return (
-        models.filter(F.col("held_out") == ALL_ROWS)
+        models.filter((F.col("held_out") == ALL_ROWS) & (F.col("note") == ""))
         .select("response", F.explode(F.arrays_zip(names.alias("feature"), F.col(column).alias("coefficient"))).alias("e"))
         .select("response", "e.feature", "e.coefficient")
     )

@@ -2,46 +2,32 @@
 
 A screen needs (grid + folds + 1) fits for each response; one Spark job sequence per fit would
 be all overhead. Here rows are first collapsed to distinct (response, folds, label, feature
-vector) patterns with counts. Each Newton pass then reads the patterns once and returns, for
-all models, the summed gradient and curvature; the driver solves one small system per model.
+vector) patterns with counts. The fits are planned as a table. Each Newton pass reads the patterns once
+and sums gradient and curvature of all models; the small systems are solved on the executors, too.
+Models are fitted in groups, so that what a pass sends stays bounded, and appended to a written table.
 Objective: 1/2 |beta|^2 + C * sum(weight * log-loss), the intercept not penalised.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylens.operators.metrics import roc_auc, score_counts
-from assaylens.session import dimension, materialise
+from assaylens.session import materialise, new_path
 
-# all model states of one pass travel to the tasks and back: bound their total size
+# the state of a group of models travels to the tasks and back in each pass: bounds its total size
 STATE_DOUBLES = 4_000_000
 PASSES = 60
 # Newton steps converge quadratically: after a step this small the error is its square
 TOLERANCE = 1e-6
 ALL_ROWS = -1
-
-
-@dataclass
-class Fit:
-    """One model: its response, the fold column and fold it leaves out, and its state."""
-
-    response: str
-    split: str
-    held_out: int
-    c: float
-    weights: tuple[float, float]
-    scale: np.ndarray
-    beta: np.ndarray
-    previous: np.ndarray | None = None
-    loss: float = float("inf")
-    done: bool = False
+#: Fitted models; ``held`` is the fold left out of each split, ``note`` says why a fit has no coefficients.
+MODELS = "response string, held array<int>, held_out int, c double, note string, intercept double, coefficients array<double>, scaled array<double>"
 
 
 def training_patterns(design: DataFrame, features: Sequence[str], splits: Sequence[str] = ("fold",)) -> DataFrame:
@@ -55,196 +41,235 @@ def training_patterns(design: DataFrame, features: Sequence[str], splits: Sequen
     )
 
 
-def fit_many(patterns: DataFrame, splits: Sequence[str], fits: Sequence[Fit], width: int) -> list[Fit]:
-    """Fit all models, in groups whose state stays below ``STATE_DOUBLES``."""
-    stats = width * width + width + 1
-    step = max(1, STATE_DOUBLES // stats)
-    fitted: list[Fit] = []
-    for start in range(0, len(fits), step):
-        group = list(fits[start : start + step])
-        wanted = patterns.filter(F.col("response").isin(sorted({f.response for f in group})))
-        _newton(wanted, list(splits), group, width)
-        fitted.extend(group)
-    return fitted
+def plan_fits(
+    patterns: DataFrame, splits: Sequence[str], width: int, cs: Sequence[float] | DataFrame, whole: bool = False, scaled: bool = False
+) -> DataFrame:
+    """Written table of the fits: one for each response, C and set of held-out folds.
+
+    With one split a fold is left out at a time, with two a pair of folds; *whole* adds a fit on all
+    rows. *cs* is the grid, or a table of the chosen ``c`` by response, or by response and held_out.
+    With *scaled* the features are divided by their standard deviation over the training rows.
+    ``weights`` balance the classes; a fit without both classes has the note 'one class'.
+    """
+    cells = patterns.groupBy("response", *splits).agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).cast("double").alias(f"n{c}") for c in (0, 1)])
+    cells = materialise(cells, "cells")
+    # as many as pairs of folds
+    held = [list(r) for r in cells.select(*splits).distinct().orderBy(*splits).collect()] + ([[ALL_ROWS] * len(splits)] if whole else [])
+    each = F.explode(F.array(*[F.array(*[F.lit(int(h)) for h in hs]) for hs in held])) if held else F.lit(None).cast("array<int>")
+
+    def training(rows: DataFrame) -> DataFrame:
+        """Each cell with the sets of held-out folds it is not in."""
+        out = rows.withColumn("held", each)
+        for i, split in enumerate(splits):
+            out = out.where((F.col("held")[i] == ALL_ROWS) | (F.col("held")[i] != F.col(split)))
+        return out
+
+    key = ["response", "held"]
+    sizes = training(cells).groupBy(*key).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    scale = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.lit(1.0))
+    if scaled:
+        # squares are taken from the least value of each feature, so that an offset doesn't cancel
+        long = patterns.select("response", *splits, "n", F.posexplode("x").alias("pos", "v"))
+        least = long.groupBy("pos").agg(F.min("v").alias("least"))
+        moved = long.join(materialise(least, "least"), "pos").withColumn("v", F.col("v") - F.col("least"))
+        moments = moved.groupBy("response", *splits, "pos").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("v") ** 2).alias("q"))
+        variance = F.sum("q") / F.sum("n") - (F.sum("s") / F.sum("n")) ** 2
+        scales = training(moments).groupBy(*key, "pos").agg(F.when(variance > 0, F.sqrt(variance)).otherwise(1.0).alias("scale"))
+        scales = scales.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "scale"))).alias("scales"))
+        sizes = sizes.join(scales, key)
+        scale = F.concat(F.array(F.lit(1.0)), F.col("scales.scale"))
+    total = F.col("n0") + F.col("n1")
+    lone = (F.col("n0") == 0) | (F.col("n1") == 0)
+    weights = F.array(*[F.try_divide(total, 2 * F.col(c)) for c in ("n0", "n1")])
+    fits = sizes.select(*key, F.col("held")[0].alias("held_out"), F.when(lone, "one class").otherwise("").alias("note"), weights.alias("weights"), scale.alias("scale"))
+    if isinstance(cs, DataFrame):
+        fits = fits.join(cs.select(*[c for c in ("response", "held_out", "c") if c in cs.columns]), [c for c in ("response", "held_out") if c in cs.columns])
+    else:
+        fits = fits.withColumn("c", F.explode(F.array(*[F.lit(float(c)) for c in cs])))
+    return materialise(fits.withColumn("model", F.monotonically_increasing_id()), "fits")
+
 
+def fit_many(patterns: DataFrame, splits: Sequence[str], fits: DataFrame, width: int) -> DataFrame:
+    """Table of MODELS of all planned fits, in groups of responses whose state stays near ``STATE_DOUBLES``.
 
-def _newton(patterns: DataFrame, splits: list[str], fits: list[Fit], width: int) -> None:
+    ``coefficients`` are for the features as they are, so predictions need no scaling step;
+    ``scaled`` are for the features divided by their scale. A fit that fails keeps a row with the
+    reason as its note and without coefficients; the others go on.
+    """
     spark = patterns.sparkSession
-    penalty = np.ones(width)
-    penalty[0] = 0.0
+    groups = -(-fits.count() * (width * width + width + 1) // STATE_DOUBLES) or 1
+    path = new_path(spark, "models")
+
+    def group(rows: DataFrame, g: int) -> DataFrame:
+        return rows if groups == 1 else rows.filter(F.pmod(F.xxhash64("response"), F.lit(groups)) == g)
+
+    for g in range(groups):
+        _newton(group(patterns, g), list(splits), group(fits, g), width).write.mode("append").parquet(path)
+    return spark.read.schema(MODELS).parquet(path)
+
+
+def _newton(patterns: DataFrame, splits: list[str], fits: DataFrame, width: int) -> DataFrame:
+    """MODELS of one group; its state, and nothing of the other groups, is in the driver."""
+    spark = patterns.sparkSession
+    rows = {r["model"]: r.asDict() for r in fits.collect()}
+    for r in rows.values():
+        r |= {"beta": np.zeros(width), "previous": None, "loss": float("inf"), "scale": np.array(r["scale"]), "open": not r["note"]}
     for _ in range(PASSES):
-        open_fits = [(i, f) for i, f in enumerate(fits) if not f.done]
-        if not open_fits:
-            return
         by_response: dict[str, list] = {}
-        for i, f in open_fits:
-            by_response.setdefault(f.response, []).append((i, f.split, f.held_out, f.c, f.weights, f.scale, f.beta))
+        for m, r in rows.items():
+            if r["open"]:
+                by_response.setdefault(r["response"], []).append({"model": m} | {k: r[k] for k in ("held", "c", "weights", "scale", "beta", "previous", "loss")})
+        if not by_response:
+            break
         state = spark.sparkContext.broadcast(by_response)
-        parts = patterns.mapInPandas(_pass_over(state, splits, width), "model int, j int, s double")
-        sums = parts.groupBy("model", "j").agg(F.sum("s").alias("s")).toPandas()
+        parts = patterns.mapInPandas(_pass_over(state, splits, width), "response string, model long, j int, s double")
+        sums = parts.groupBy("response", "model", "j").agg(F.sum("s").alias("s"))
+        sums = sums.groupBy("response", "model").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda e: e["s"]).alias("sums"))
+        moved = sums.mapInPandas(_step(state, width), "model long, beta array<double>, previous array<double>, loss double, open boolean, note string")
+        for r in moved.collect():
+            told = {"beta": np.array(r["beta"]), "previous": None if r["previous"] is None else np.array(r["previous"])}
+            rows[r["model"]] |= told | {k: r[k] for k in ("loss", "open", "note")}
         state.destroy()
-        table = np.zeros((len(fits), width * width + width + 1))
-        table[sums["model"].to_numpy(), sums["j"].to_numpy()] = sums["s"].to_numpy()
-        for i, f in open_fits:
-            curve = table[i, : width * width].reshape(width, width) + np.diag(penalty)
-            slope = table[i, width * width : -1] + penalty * f.beta
-            loss = table[i, -1] + 0.5 * float(np.sum(penalty * f.beta**2))
-            if f.previous is not None and loss > f.loss + 1e-9 * abs(f.loss):
-                f.beta = (f.beta + f.previous) / 2
-                continue
-            move = np.linalg.lstsq(curve, slope, rcond=None)[0]
-            f.previous, f.loss = f.beta, loss
-            f.done = float(np.max(np.abs(move))) < TOLERANCE
-            f.beta = f.beta - move
-    late = sorted({f.response for f in fits if not f.done})
-    if late:
-        raise ArithmeticError(f"no convergence in {PASSES} passes: {', '.join(late)}")
+    out = []
+    for r in rows.values():
+        note = f"no convergence in {PASSES} passes" if r["open"] else r["note"]
+        fitted = (None, None, None) if note else (float(r["beta"][0]), (r["beta"][1:] / r["scale"][1:]).tolist(), r["beta"][1:].tolist())
+        out.append((r["response"], r["held"], r["held_out"], r["c"], note, *fitted))
+    return spark.createDataFrame(out, MODELS)
 
 
 def _pass_over(state, splits: list[str], width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for pdf in batches:
             for response, rows in pdf.groupby("response", sort=False):
                 raw = np.column_stack([np.ones(len(rows)), np.array(rows["x"].tolist(), dtype=float)])
                 label = rows["label"].to_numpy(dtype=float)
                 n = rows["n"].to_numpy(dtype=float)
-                parts = {s: rows[s].to_numpy() for s in splits}
-                for model, split, held_out, c, weights, scale, beta in state.value.get(response, ()):
-                    x = raw / scale
-                    w = c * n * np.where(label == 1, weights[1], weights[0])
-                    if held_out != ALL_ROWS:
-                        w = w * (parts[split] != held_out)
-                    z = x @ beta
+                parts = [rows[s].to_numpy() for s in splits]
+                for fit in state.value.get(response, ()):
+                    x = raw / fit["scale"]
+                    w = fit["c"] * n * np.where(label == 1, fit["weights"][1], fit["weights"][0])
+                    for part, held in zip(parts, fit["held"], strict=True):
+                        if held != ALL_ROWS:
+                            w = w * (part != held)
+                    z = x @ fit["beta"]
                     prob = 1.0 / (1.0 + np.exp(-z))
                     curve = (x * (w * prob * (1 - prob))[:, None]).T @ x
                     slope = x.T @ (w * (prob - label))
                     loss = np.sum(w * (np.logaddexp(0.0, z) - label * z))
                     both = np.concatenate([curve.ravel(), slope, [loss]])
-                    sums[model] = sums[model] + both if model in sums else both
-        for model, s in sums.items():
-            yield pd.DataFrame({"model": np.int32(model), "j": np.arange(len(s), dtype=np.int32), "s": s})
+                    key = response, fit["model"]
+                    sums[key] = sums[key] + both if key in sums else both
+        for (response, model), s in sums.items():
+            yield pd.DataFrame({"response": response, "model": model, "j": np.arange(len(s), dtype=np.int32), "s": s})
 
     return run
 
 
-def _fold_moments(patterns: DataFrame, split: str, width: int, scaled: bool) -> dict[str, dict[int, np.ndarray]]:
-    """Class sizes of each (response, fold) and, if *scaled*, sums and squares of each feature."""
-    parts = [
-        F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).cast("double").alias(f"n{c}") for c in (0, 1)
-    ]
-    features = range(width - 1 if scaled else 0)
-    # squares are taken from the least value of each feature, so that an offset doesn't cancel
-    least = patterns.agg(*[F.min(F.col("x")[j]) for j in features]).first() if features else ()
-    for j in features:
-        x = F.col("x")[j] - F.lit(least[j])
-        parts += [F.sum(F.col("n") * x).alias(f"s{j}"), F.sum(F.col("n") * x * x).alias(f"q{j}")]
-    moments: dict[str, dict[int, np.ndarray]] = {}
-    for response, fold, *values in patterns.groupBy("response", split).agg(*parts).collect():
-        moments.setdefault(response, {})[fold] = np.array(values, dtype=float)
-    return moments
+def _step(state, width: int):
+    """The Newton step of each model from its sums; half a step back where the loss rose."""
+    penalty = np.ones(width)
+    penalty[0] = 0.0
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {f["model"]: f for fits in state.value.values() for f in fits}
+        for pdf in batches:
+            out = []
+            for model, sums in zip(pdf["model"], pdf["sums"], strict=True):
+                f, sums = known[model], np.array(sums, float)
+                beta, previous = f["beta"], f["previous"]
+                curve = sums[: width * width].reshape(width, width) + np.diag(penalty)
+                slope = sums[width * width : -1] + penalty * beta
+                loss = sums[-1] + 0.5 * float(np.sum(penalty * beta**2))
+                if not np.isfinite(sums).all():
+                    out.append((model, beta, previous, f["loss"], False, "sums are not finite"))
+                elif previous is not None and loss > f["loss"] + 1e-9 * abs(f["loss"]):
+                    out.append((model, (beta + previous) / 2, previous, f["loss"], True, ""))
+                else:
+                    move = np.linalg.lstsq(curve, slope, rcond=None)[0]
+                    out.append((model, beta - move, beta, loss, bool(np.max(np.abs(move)) >= TOLERANCE), ""))
+            yield pd.DataFrame(out, columns=["model", "beta", "previous", "loss", "open", "note"])
 
-def _balanced(sizes: np.ndarray) -> tuple[float, float]:
-    total = sizes.sum()
-    return tuple(total / (2 * c) if c > 0 else 0.0 for c in sizes)
+    return run
 
 
-def _scales(train: np.ndarray, width: int) -> np.ndarray:
-    """Population standard deviations, 1 for the intercept and for constant features."""
-    scale = np.ones(width)
-    if len(train) > 2:
-        n = train[0] + train[1]
-        variance = train[3::2] / n - (train[2::2] / n) ** 2
-        scale[1:] = np.where(variance > 0, np.sqrt(np.maximum(variance, 0.0)), 1.0)
-    return scale
+def _probability(x: str) -> Column:
+    margin = F.col("intercept") + F.aggregate(
+        F.zip_with(x, "coefficients", lambda a, b: a * b), F.lit(0.0), lambda total, part: total + part
+    )
+    return 1.0 / (1.0 + F.exp(-margin))
 
 
-def plan_fits(
-    patterns: DataFrame,
-    split: str,
-    width: int,
-    cs: Sequence[float] | dict[str, float],
-    whole: bool = False,
-    scaled: bool = False,
-) -> list[Fit]:
-    """One fit for each response, C and held-out fold; with *whole* also one on all rows.
-
-    *cs* is the grid, or the chosen C of each response. With *scaled* the features are divided
-    by their standard deviation over the training rows.
-    """
-    fits = []
-    for response, folds in sorted(_fold_moments(patterns, split, width, scaled).items()):
-        total = sum(folds.values())
-        grid = [cs[response]] if isinstance(cs, dict) else list(cs)
-        for c in grid:
-            for held_out in [*sorted(folds), *([ALL_ROWS] if whole else [])]:
-                train = total if held_out == ALL_ROWS else total - folds[held_out]
-                fits.append(
-                    Fit(response, split, held_out, c, _balanced(train[:2]), _scales(train, width), np.zeros(width))
-                )
-    return fits
-
-
-def coefficient_table(spark, fits: Sequence[Fit]) -> DataFrame:
-    """Fitted models as ``(response, held_out, c, intercept, coefficients, scaled)``.
+def predict(rows: DataFrame, models: DataFrame, split: str | None, x: str = "x") -> DataFrame:
+    """Add ``prob`` by the model that left the row's fold out, or by the whole-data model.
 
-    ``coefficients`` are for the features as they are, so predictions need no scaling step;
-    ``scaled`` are for the features divided by their scale.
+    Rows whose model was not fitted are left out.
     """
-    rows = [
-        (
-            f.response,
-            f.held_out,
-            f.c,
-            float(f.beta[0]),
-            [float(b) for b in f.beta[1:] / f.scale[1:]],
-            [float(b) for b in f.beta[1:]],
-        )
-        for f in fits
-    ]
-    schema = "response string, held_out int, c double, intercept double, coefficients array<double>, scaled array<double>"
-    return dimension(spark, rows, schema)
-
-
-def predict(rows: DataFrame, models: DataFrame, split: str | None, x: str = "x") -> DataFrame:
-    """Add ``prob`` by the model that left the row's fold out, or by the whole-data model."""
+    fitted = models.filter("note = ''").drop("note", "held", "scaled")
     if split is None:
-        paired = rows.join(models.filter(F.col("held_out") == ALL_ROWS), "response")
+        paired = rows.join(fitted.filter(F.col("held_out") == ALL_ROWS), "response")
     else:
-        paired = rows.join(models.withColumnRenamed("held_out", split), ["response", split])
-    margin = F.col("intercept") + F.aggregate(
-        F.zip_with(x, "coefficients", lambda a, b: a * b), F.lit(0.0), lambda total, part: total + part
-    )
-    return paired.withColumn("prob", 1.0 / (1.0 + F.exp(-margin))).drop("intercept", "coefficients", "scaled")
+        paired = rows.join(fitted.withColumnRenamed("held_out", split), ["response", split])
+    return paired.withColumn("prob", _probability(x)).drop("intercept", "coefficients")
+
+
+def fit_errors(models: DataFrame) -> DataFrame:
+    """``response, error`` of the responses with a fit that failed; the first reason in alphabetical order."""
+    return models.filter("note <> ''").groupBy("response").agg(F.min("note").alias("error"))
+
+
+def _mean_auc(scored: DataFrame, keys: list[str], split: str) -> DataFrame:
+    """Mean AUC over the folds of *split*, rounded so that the order of a sum can't decide between equal ones."""
+    per_fold = roc_auc(score_counts(scored, [*keys, split], "prob", n="n"), [*keys, split])
+    return per_fold.groupBy(*keys).agg(F.round(F.coalesce(F.avg("auc"), F.lit(0.0)), 12).alias("auc"))
 
 
 def inner_cv(patterns: DataFrame, split: str, width: int, cs: Sequence[float]) -> DataFrame:
     """Mean held-out AUC of each C on the inner folds, for each response.
 
-    Folds with one class only are left out; without any valid fold the mean is 0. Means are
-    rounded at twelve digits, so that the order of a sum cannot decide between equal ones.
+    Folds with one class only are left out; without any valid fold the mean is 0.
+    """
+    models = fit_many(patterns, [split], plan_fits(patterns, [split], width, cs), width)
+    return _mean_auc(predict(patterns, models, split), ["response", "c"], split)
+
+
+def nested_cv(patterns: DataFrame, outer: str, inner: str, width: int, cs: Sequence[float]) -> DataFrame:
+    """Mean AUC of each C for each response and outer fold, which takes no part in it.
+
+    Every pair of an outer and an inner fold is held out together, all pairs and C in the same passes;
+    a model is scored on the rows of its inner fold outside its outer one.
     """
-    fits = fit_many(patterns, [split], plan_fits(patterns, split, width, cs), width)
-    scored = predict(patterns, coefficient_table(patterns.sparkSession, fits), split)
-    per_fold = roc_auc(score_counts(scored, ["response", "c", split], "prob", n="n"), ["response", "c", split])
-    return per_fold.groupBy("response", "c").agg(F.round(F.coalesce(F.avg("auc"), F.lit(0.0)), 12).alias("auc"))
+    models = fit_many(patterns, [outer, inner], plan_fits(patterns, [outer, inner], width, cs), width)
+    fitted = models.filter("note = ''").select("response", "held_out", F.col("held")[1].alias(inner), "c", "intercept", "coefficients")
+    scored = patterns.join(fitted, ["response", inner]).filter(F.col(outer) != F.col("held_out")).withColumn("prob", _probability("x"))
+    return _mean_auc(scored, ["response", "held_out", "c"], inner)
 
 
 def select_c(grid_auc: DataFrame) -> DataFrame:
-    """The C with the highest mean AUC of each response; ties go to the smaller C."""
-    return grid_auc.groupBy("response").agg(
-        F.max_by("c", F.struct("auc", -F.col("c"))).alias("c"), F.max("auc").alias("auc")
-    )
+    """The C with the highest mean AUC of each response (and held_out); ties go to the smaller C."""
+    keys = [c for c in ("response", "held_out") if c in grid_auc.columns]
+    return grid_auc.groupBy(*keys).agg(F.max_by("c", F.struct("auc", -F.col("c"))).alias("c"), F.max("auc").alias("auc"))
 
 
 def cross_validate(
-    patterns: DataFrame, width: int, cs: Sequence[float] | dict[str, float], scaled: bool = False
+    patterns: DataFrame, width: int, cs: Sequence[float] | DataFrame, scaled: bool = False, whole: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit all held-out folds and the whole data.
+    """Fit all held-out folds and, with *whole*, the whole data.
 
-    Returns the held-out predictions on the patterns and the coefficient table.
+    Returns the held-out predictions on the patterns and the models.
     """
-    fits = fit_many(patterns, ["fold"], plan_fits(patterns, "fold", width, cs, True, scaled), width)
-    models = coefficient_table(patterns.sparkSession, fits)
+    models = fit_many(patterns, ["fold"], plan_fits(patterns, ["fold"], width, cs, whole, scaled), width)
     return predict(patterns, models, "fold"), models
+
+
+def cross_validate_selected(patterns: DataFrame, width: int, cs: Sequence[float], nested: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cross-validation with C chosen by inner folds: over all rows, or *nested* inside each outer fold.
+
+    Nested, the held-out rows of a fold have no say in its C, and there is no fit on all rows.
+    """
+    if nested:
+        chosen = select_c(nested_cv(patterns, "fold", "inner_fold", width, cs))
+        return cross_validate(patterns, width, materialise(chosen, "chosen"), whole=False)
+    chosen = select_c(inner_cv(patterns, "inner_fold", width, cs))
+    return cross_validate(patterns, width, materialise(chosen, "chosen"))

@@ -411,15 +411,17 @@ def lr_select_c(spark: SparkSession, d: str) -> DataFrame:
     return rounded(logistic.select_c(grid), 6, "auc")
 
 
-def _chosen_c(patterns: DataFrame, width: int) -> dict[str, float]:
-    grid = logistic.inner_cv(patterns, "inner_fold", width, roles.CONFIG.c_values)
-    return {row.response: row.c for row in logistic.select_c(grid).collect()}
-
-
 def _lr(spark: SparkSession, d: str):
     patterns = _patterns(spark, d)
-    width = len(roles.FEATURES) + 1
-    return patterns, *logistic.cross_validate(patterns, width, _chosen_c(patterns, width))
+    return patterns, *logistic.cross_validate_selected(patterns, len(roles.FEATURES) + 1, roles.CONFIG.c_values)
+
+
+@query
+def lr_nested_cv(spark: SparkSession, d: str) -> DataFrame:
+    """The same metrics with C chosen inside each outer fold."""
+    oof, _ = logistic.cross_validate_selected(_patterns(spark, d), len(roles.FEATURES) + 1, roles.CONFIG.c_values, nested=True)
+    per_fold = metrics.classification_metrics(oof, ["response", "fold"], n="n")
+    return rounded(metrics.mean_metrics(per_fold, ["response"]), 6, *metrics.METRICS)
 
 
 @query

@@ -77,9 +77,7 @@ def run_screen(
     x = design.select("response", "entity_id", "fold", "label", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("x"))
 
     if LR in models:
-        grid = logistic.inner_cv(patterns, "inner_fold", width, config.c_values)
-        chosen = {row.response: row.c for row in logistic.select_c(grid).collect()}
-        _, fitted = logistic.cross_validate(patterns, width, chosen)
+        _, fitted = logistic.cross_validate_selected(patterns, width, config.c_values)
         held_out.append(logistic.predict(x, fitted, "fold").withColumn("model", F.lit(LR)).select(*keep))
         refit.append(logistic.predict(x, fitted, None).withColumn("model", F.lit(LR)).select(*keep))
         linear = attribution.linear_attribution(counts, attribution.long_coefficients(fitted, features))
@@ -162,7 +160,8 @@ def cross_validate_panel(
 ) -> PanelCv:
     """Fold AUCs of the scaled regression on the panel for every planned response.
 
-    Responses without enough rows or classes keep a status row and are not modelled.
+    Responses without enough rows or classes keep a status row and are not modelled; a response with a
+    fit that fails gets a note 'cv error: ...' and no AUC, the others go on.
     *responses* and *flags* are materialised.
     """
     joined = labels.joined_responses(responses, flags)
@@ -173,8 +172,12 @@ def cross_validate_panel(
     usable = rows.join(status.filter("note = ''").select("response"), "response", "left_semi")
     folded = folds.stratified_folds(usable, {"fold": k}, seed)
     fold_auc, patterns, models = scaled_cv(folded.join(flags.select("entity_id", *panel), "entity_id"), panel)
-    cv = status.join(metrics.auc_summary(fold_auc, ["response"]), "response", "left").select(
-        "response_id", "response", "response_name", "n", "n_sensitive", "cv_auc_mean", "cv_auc_std", "note"
+    summary = status.join(metrics.auc_summary(fold_auc, ["response"]), "response", "left").join(logistic.fit_errors(models), "response", "left")
+    failed = F.col("error").isNotNull()
+    cv = summary.select(
+        "response_id", "response", "response_name", "n", "n_sensitive",
+        *[F.when(~failed, F.col(c)).alias(c) for c in ("cv_auc_mean", "cv_auc_std")],
+        F.when(failed, F.concat(F.lit("cv error: "), F.col("error"))).otherwise(F.col("note")).alias("note"),
     )
     return PanelCv(cv, patterns, models)
 
