@@ -403,6 +403,28 @@ lin AS (
     ON a.response = l.response AND a.feature = f.feature
   JOIN outr m ON m.response = l.response AND m.held = -1 GROUP BY 1, 2),""" + rank_sum_cte("cells", "response, feature") + "," + BH + "," + EFFECT + "," + RANKS
 
+# nested: each outer fold is a response of its own, made of the rows outside that fold
+NESTED = SELECT_C[: SELECT_C.index("cgrid AS")].rstrip() + """
+parts AS (SELECT DISTINCT fold AS o FROM fold),
+nest AS (SELECT d.response || '#' || o AS response, label, entity_id, inner_fold FROM dealt d JOIN parts ON d.fold <> o),
+ngrid AS (SELECT DISTINCT response, c FROM nest CROSS JOIN (VALUES (0.01::DOUBLE), (0.1), (1.0), (10.0)) g(c)),""" + bounded(
+    "nin", "inner_fold", "ngrid", rows="nest"
+) + """,
+nchosen AS (
+  SELECT response, c FROM (SELECT response, c, round(avg(auc), 12) AS auc FROM nin_auc GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY response ORDER BY auc DESC, c) = 1),
+nz AS (
+  SELECT d.response, d.fold, d.label, list_dot_product(v.x, m.b) AS z
+  FROM dealt d JOIN vec16 v USING (entity_id) JOIN nchosen k ON k.response = d.response || '#' || d.fold
+  JOIN nin m ON m.response = k.response AND m.c = k.c AND m.held = -1),
+nauc AS (
+  SELECT a.response, a.fold, avg(CASE WHEN a.z > b.z THEN 1.0 WHEN a.z = b.z THEN 0.5 ELSE 0.0 END) AS auc
+  FROM nz a JOIN nz b ON a.response = b.response AND a.fold = b.fold AND a.label = 1 AND b.label = 0 GROUP BY 1, 2),
+nhit AS (
+  SELECT response, fold,
+         count(*) FILTER (WHERE label = 1 AND z > 0)::DOUBLE AS tp, count(*) FILTER (WHERE label = 0 AND z > 0)::DOUBLE AS fp,
+         count(*) FILTER (WHERE label = 1 AND z <= 0)::DOUBLE AS fn, count(*) FILTER (WHERE label = 0 AND z <= 0)::DOUBLE AS tn
+  FROM nz GROUP BY 1, 2)"""
 _FLAGS = ", ".join(f"max(CASE WHEN f.feature = '{b}' THEN f.v ELSE 0 END)::DOUBLE" for b in roles.FULL)
 _CONTEXT = ", ".join(f"max(CASE WHEN e.context = '{c}' THEN 1 ELSE 0 END)::DOUBLE" for c in roles.CONTEXTS)
 SETS = f"""
@@ -731,3 +753,4 @@ ORACLES["resubstitution_confusion"] = sql(
     LR_CV,
     recursive=True,
 )
+ORACLES["lr_nested_cv"] = ORACLES["lr_cv"].replace(LR_CV, NESTED).replace("FROM lr_hit JOIN outr_auc USING (response, held)", "FROM nhit JOIN nauc USING (response, fold)")
