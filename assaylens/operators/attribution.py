@@ -112,6 +112,22 @@ def tree_importance(models: DataFrame, features: Sequence[str]) -> DataFrame:
     return every.join(sums, ["response", "pos"], "left").select("response", "feature", F.coalesce("share", F.lit(0.0)).alias("mean_abs_shap"))
 
 
+def with_fallback(attribution: DataFrame, importance: DataFrame) -> DataFrame:
+    """*attribution* with the responses that lack one filled from *importance*, and a ``note``.
+
+    A response fails as a whole: where it has no attribution, or one that is missing or not finite,
+    all of its rows are the importances, with note 'importance fallback' unless *importance* has notes of
+    its own, and without a signed value. The others keep their rows, with an empty note.
+    """
+    fine = F.coalesce(F.abs("mean_abs_shap") < float("inf"), F.lit(False)) & ~F.coalesce(F.isnan("mean_abs_shap"), F.lit(True))
+    status = lookup(attribution.groupBy("response").agg(F.min(fine.cast("int")).alias("fine")), "status")
+    ok = status.filter("fine = 1").select("response")
+    note = F.col("note") if "note" in importance.columns else F.lit("importance fallback")
+    kept = attribution.join(ok, "response", "left_semi").select(*PAIR, "mean_abs_shap", "mean_signed_shap", F.lit("").alias("note"))
+    filled = importance.join(ok, "response", "left_anti").select(*PAIR, "mean_abs_shap", F.lit(None).cast("double").alias("mean_signed_shap"), note.alias("note"))
+    return kept.unionByName(filled)
+
+
 def leaf_paths(nodes: int, feature: Sequence[int], cut: Sequence[float], value: Sequence[float], cover: Sequence[float]) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """Leaves of all trees of a model as (value, [(feature, above, up to, share of rows)]).
 
@@ -164,7 +180,7 @@ def tree_attribution_vectors(patterns: DataFrame, models: DataFrame, rows: int =
     *patterns* is ``(response, x, n)``. The vectors of a response are dealt into parts of about *rows*;
     its whole-data model goes before each part, and the vectors stream past it. ``base`` is what
     the model says on average, so ``base`` and the values of ``phi`` add up to the margin. A response
-    whose model was not fitted has no rows.
+    whose model was not fitted, or has trees that can't be attributed, has no rows.
     """
     arrays = ["nodes", "prior", "feature", "cut", "value", "cover"]
     whole = models.filter((F.col("held_out") == ALL_ROWS) & (F.col("note") == "")).select("response", F.struct(*arrays).alias("model"))
@@ -184,8 +200,12 @@ def tree_attribution_vectors(patterns: DataFrame, models: DataFrame, rows: int =
                     model, known = group["model"].iloc[0], key
                     leaves = None
                     if pd.isna(group["n"].iloc[0]):
-                        leaves = leaf_paths(int(model["nodes"]), *([*model[c]] for c in ("feature", "cut", "value", "cover")))
-                        base = model["prior"] + sum(v * math.prod(p[3] for p in path) for v, path in leaves)
+                        try:
+                            leaves = leaf_paths(int(model["nodes"]), *([*model[c]] for c in ("feature", "cut", "value", "cover")))
+                        except (ArithmeticError, LookupError):
+                            leaves = None  # shares of an empty node, a node that isn't there
+                        else:
+                            base = model["prior"] + sum(v * math.prod(p[3] for p in path) for v, path in leaves)
                         group = group.iloc[1:]
                 if leaves is None or not len(group):
                     continue

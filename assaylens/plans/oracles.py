@@ -425,20 +425,23 @@ nhit AS (
          count(*) FILTER (WHERE label = 1 AND z > 0)::DOUBLE AS tp, count(*) FILTER (WHERE label = 0 AND z > 0)::DOUBLE AS fp,
          count(*) FILTER (WHERE label = 1 AND z <= 0)::DOUBLE AS fn, count(*) FILTER (WHERE label = 0 AND z <= 0)::DOUBLE AS tn
   FROM nz GROUP BY 1, 2)"""
-_FLAGS = ", ".join(f"max(CASE WHEN f.feature = '{b}' THEN f.v ELSE 0 END)::DOUBLE" for b in roles.FULL)
+_FLAGS = ", ".join(f"max(CASE WHEN f.feature = '{b}' THEN f.v ELSE 0 END)::DOUBLE" for b in (*roles.FULL, "msi_status"))
 _CONTEXT = ", ".join(f"max(CASE WHEN e.context = '{c}' THEN 1 ELSE 0 END)::DOUBLE" for c in roles.CONTEXTS)
 SETS = f"""
+outer_quarters AS (
+  SELECT p.response, p.entity_id, CASE WHEN p.y <= c.low THEN 1 ELSE 0 END AS label
+  FROM pres p JOIN cut c USING (response) WHERE p.y <= c.low OR p.y >= c.high),
 qfold AS (
   SELECT response, label, entity_id,
          CAST((row_number() OVER (PARTITION BY response, label
-           ORDER BY md5('42#' || entity_id), entity_id) - 1) % 5 AS INTEGER) AS fold FROM quart),
-vec13 AS (SELECT f.entity_id, [1.0::DOUBLE, {_FLAGS}] AS x FROM flag f GROUP BY 1),
-vec18 AS (SELECT f.entity_id, [1.0::DOUBLE, {_FLAGS}, {_CONTEXT}] AS x FROM flag f JOIN ent e USING (entity_id) GROUP BY 1),
-at14(i) AS (SELECT unnest(range(1, 15))),
-at19(i) AS (SELECT unnest(range(1, 20))),
-unit AS (SELECT DISTINCT response, 1.0::DOUBLE AS c FROM quart),""" + bounded(
-    "base", "fold", "unit", 40, "qfold", "vec13", "at14", True
-) + "," + bounded("wide", "fold", "unit", 80, "qfold", "vec18", "at19", True)
+           ORDER BY md5('42#' || entity_id), entity_id) - 1) % 5 AS INTEGER) AS fold FROM outer_quarters),
+vec14 AS (SELECT f.entity_id, [1.0::DOUBLE, {_FLAGS}] AS x FROM feat f GROUP BY 1),
+vec19 AS (SELECT f.entity_id, [1.0::DOUBLE, {_FLAGS}, {_CONTEXT}] AS x FROM feat f JOIN ent e USING (entity_id) GROUP BY 1),
+at15(i) AS (SELECT unnest(range(1, 16))),
+at20(i) AS (SELECT unnest(range(1, 21))),
+unit AS (SELECT DISTINCT response, 1.0::DOUBLE AS c FROM outer_quarters),""" + bounded(
+    "base", "fold", "unit", 40, "qfold", "vec14", "at15", True
+) + "," + bounded("wide", "fold", "unit", 80, "qfold", "vec19", "at20", True)
 
 _wide_resp = ", ".join(f"round(max(y) FILTER (WHERE response = '{r}'), 9) AS {{{i}}}" for i, r in enumerate(roles.RESPONSES))
 
@@ -692,7 +695,7 @@ ORACLES["feature_set_ablation"] = sql(
     "round(m2, 6) AS auc_full, round(s2, 6) AS std_full, round(m2 - m1, 6) AS delta FROM planned "
     "JOIN (SELECT response, avg(auc) AS m1, stddev_pop(auc) AS s1 FROM base_auc GROUP BY 1) USING (response) "
     "JOIN (SELECT response, avg(auc) AS m2, stddev_pop(auc) AS s2 FROM wide_auc GROUP BY 1) USING (response) "
-    "JOIN (SELECT response, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_sensitive FROM quart GROUP BY 1) USING (response)",
+    "JOIN (SELECT response, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_sensitive FROM outer_quarters GROUP BY 1) USING (response)",
     SETS,
     recursive=True,
 )
@@ -754,3 +757,4 @@ ORACLES["resubstitution_confusion"] = sql(
     recursive=True,
 )
 ORACLES["lr_nested_cv"] = ORACLES["lr_cv"].replace(LR_CV, NESTED).replace("FROM lr_hit JOIN outr_auc USING (response, held)", "FROM nhit JOIN nauc USING (response, fold)")
+ORACLES["ablation_csv_report"] = ORACLES["benchmark_report"]

@@ -593,11 +593,13 @@ BASE_SET, FULL_SET = "flags", "flags + context"
 
 
 def _ablation(spark: SparkSession, d: str) -> DataFrame:
-    design = roles.quartile_design(spark, d)
+    """Fold AUCs on extreme quartiles: flags and the instability flag, without and with the context."""
+    design = roles.quartile_design(spark, d, extreme=True)
     sizes = labels.class_balance(design).select("response", "n", "n_sensitive").join(roles.plan(spark), "response")
     context = tuple(f"context_{c}" for c in roles.CONTEXTS)
+    base = (*roles.FULL, "msi_status")
     runs = []
-    for name, features in ((BASE_SET, roles.FULL), (FULL_SET, (*roles.FULL, *context))):
+    for name, features in ((BASE_SET, base), (FULL_SET, (*base, *context))):
         fold_auc, _, _ = screen.scaled_cv(design, features)
         runs.append(metrics.auc_summary(fold_auc, ["response"]).withColumn("feature_set", F.lit(name)))
     keys = ["response_id", "response_name", "n", "n_sensitive"]
@@ -630,6 +632,15 @@ def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
     return report.benchmark_lines(_score_ablation(spark, d), "HR", "full")
 
 
+@query
+def ablation_csv_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ablation written as CSV, read again by its schema, and printed as a report."""
+    path = results.write_table(_score_ablation(spark, d), new_path(spark, "ablation"), "csv")
+    schema = "response_id int, response_name string, n long, n_sensitive long, auc_base double, std_base double, auc_full double, std_full double, delta double"
+    good, _ = results.read_csv_result(spark, path, schema)
+    return report.benchmark_lines(good, "HR", "full")
+
+
 @query
 def score_report(spark: SparkSession, d: str) -> DataFrame:
     requested = [*roles.HR, "Brand#98"]

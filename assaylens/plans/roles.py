@@ -138,13 +138,17 @@ def design(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(scored_flags(spark, folder), "entity_id")
 
 
-def quartile_design(spark: SparkSession, folder: str) -> DataFrame:
-    """Quantile labels with folds, flags and the context one-hots; materialised."""
+def quartile_design(spark: SparkSession, folder: str, extreme: bool = False) -> DataFrame:
+    """Quantile labels with folds, flags, scores and the context one-hots; materialised.
+
+    With *extreme* the middle half of each response is left out.
+    """
     present = materialise(labels.drop_missing(responses(spark, folder)), "responses")
-    rows = materialise(labels.quantile_labels(present).select("response", "entity_id", "label"), "labels")
+    label = labels.extreme_labels if extreme else labels.quantile_labels
+    rows = materialise(label(present).select("response", "entity_id", "label"), "labels")
     rows = folds.stratified_folds(rows, {"fold": CONFIG.folds}, CONFIG.seed)
     context = report.context_onehot(entities(spark, folder), CONTEXTS)
-    return materialise(rows.join(flags(spark, folder), "entity_id").join(context, "entity_id"), "design")
+    return materialise(rows.join(scored_flags(spark, folder), "entity_id").join(context, "entity_id"), "design")
 
 
 def plan(spark: SparkSession) -> DataFrame:

@@ -34,6 +34,7 @@ class Screen:
     summary: DataFrame
     confusion: DataFrame
     models: DataFrame | None = None
+    boosted: DataFrame | None = None
 
 
 def modelling_table(
@@ -81,6 +82,7 @@ def run_screen(
         held_out.append(logistic.predict(x, fitted, "fold").withColumn("model", F.lit(LR)).select(*keep))
         refit.append(logistic.predict(x, fitted, None).withColumn("model", F.lit(LR)).select(*keep))
         linear = attribution.linear_attribution(counts, attribution.long_coefficients(fitted, features))
+        linear = attribution.with_fallback(linear, attribution.coefficient_importance(attribution.long_coefficients(fitted, features, "scaled")))
         attributions.append(linear.withColumn("model", F.lit(LR)))
     if GBM in models:
         rows = boosting.boosting_patterns(design, features, config.seed)
@@ -88,6 +90,7 @@ def run_screen(
         held_out.append(boosting.predict_boosting(x, trees, config.boosting.depth, "fold").withColumn("model", F.lit(GBM)).select(*keep))
         refit.append(boosting.predict_boosting(x, trees, config.boosting.depth, None).withColumn("model", F.lit(GBM)).select(*keep))
         tree = attribution.tree_attribution(attribution.tree_attribution_vectors(rows, trees), features)
+        tree = attribution.with_fallback(materialise(tree, "tree-attribution"), attribution.tree_importance(trees, features))
         attributions.append(tree.withColumn("model", F.lit(GBM)))
 
     def stacked(parts: list[DataFrame]) -> DataFrame:
@@ -118,6 +121,7 @@ def run_screen(
         summary=assoc.biomarker_summary(picked, tests, effects),
         confusion=metrics.confusion(again, ["response", "model"]),
         models=fitted.withColumn("features", F.array(*[F.lit(f) for f in features])) if LR in models else None,
+        boosted=trees.withColumn("features", F.array(*[F.lit(f) for f in features])) if GBM in models else None,
     )
 
 
@@ -126,7 +130,7 @@ def write_screen(screen: Screen, folder: str) -> str:
     results.write_table(screen.summary, f"{folder}/biomarkers", "csv", partition="response")
     results.write_table(screen.comparison, f"{folder}/model_comparison", "csv")
     results.write_table(screen.confusion, f"{folder}/confusion", "csv")
-    fitted = {} if screen.models is None else {"models": screen.models}
+    fitted = {k: v for k, v in (("models", screen.models), ("boosted", screen.boosted)) if v is not None}
     return results.write_results(folder, oof=screen.oof, fold_metrics=screen.fold_metrics, **fitted)
 
 

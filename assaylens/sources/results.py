@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assaylens.session import materialise
 from assaylens.sources.matrices import path_exists
 
-TABLES = ("oof", "fold_metrics", "models")
+TABLES = ("oof", "fold_metrics", "models", "boosted")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: str | None = None, compression: str | None = None) -> str:
@@ -23,6 +25,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: str |
     return path
 
 
+def read_csv_result(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV result under *schema*, and the lines that don't fit it as ``line``.
+
+    A line with too few or too many fields, or with a field of another type, is set aside whole.
+    """
+    read = spark.read.schema(f"{schema}, _line string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+    table = materialise(read.csv(path), "csv-result")
+    return table.filter("_line IS NULL").drop("_line"), table.filter("_line IS NOT NULL").select(F.col("_line").alias("line"))
+
+
 def write_lines(report: DataFrame, order: str | list[str], path: str) -> str:
     """Write report lines as text, in order."""
     report.orderBy(order).select("line").write.mode("overwrite").text(path)

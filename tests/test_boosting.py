@@ -142,3 +142,22 @@ def test_importances_and_reload(spark, patterns, design, models):
     assert all(sum(x for x, _ in v) == pytest.approx(1) for v in best.values())
     folder = results.write_results(new_path(spark, "models"), models=models)
     assert _margins(design, results.read_results(spark, folder, "models"), 0) == _margins(design, models, 0)
+
+
+def test_a_response_that_fails_gets_its_importances(spark, patterns, models):
+    """The trees of one response have an empty node, which leaves no shares."""
+    broken = models.withColumn("cover", F.when(F.col("response") == "s", F.transform("cover", lambda c: F.lit(0.0))).otherwise(F.col("cover")))
+    tree = attribution.tree_attribution(attribution.tree_attribution_vectors(patterns, broken), NAMES)
+    told = attribution.with_fallback(tree, attribution.tree_importance(models, NAMES)).collect()
+    assert {(r.response, r.note) for r in told} == {("r", ""), ("s", "importance fallback")} and len(told) == 6
+    assert all((r.mean_signed_shap is None) == (r.response == "s") for r in told)
+    odd = spark.createDataFrame([("r", "a", 1.0, 1.0), ("r", "b", float("nan"), 0.0)], "response string, feature string, mean_abs_shap double, mean_signed_shap double")
+    assert {r.note for r in attribution.with_fallback(odd, attribution.tree_importance(models, NAMES)).collect()} == {"importance fallback"}
+
+
+def test_bad_lines_of_a_result_are_set_aside(spark):
+    path = results.write_table(spark.createDataFrame([(1, "x", 0.5), (2, "y", None)], "id int, name string, v double"), new_path(spark, "table"), "csv")
+    spark.createDataFrame([("id,name,v",), ("3,z,0.25",), ("4,w,not a number",), ("5,too,1.0,many",), ("6",)], "value string").coalesce(1).write.mode("append").text(path)
+    good, bad = results.read_csv_result(spark, path, "id int, name string, v double")
+    assert sorted(tuple(r) for r in good.collect()) == [(1, "x", 0.5), (2, "y", None), (3, "z", 0.25)]
+    assert sorted(r.line for r in bad.collect()) == ["4,w,not a number", "5,too,1.0,many", "6"]
