@@ -27,7 +27,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 600_000  # postings that a task holds before it spills a run
 SPILL = 10_000  # postings of a row of a run
 HEAP = 2_000_000  # postings of runs merged at once; what comes out is merged with the next
-SUMS = 1_000_000  # corrections held before they are summed by pair
+SUMS = 4_000_000  # pairs of groups that are summed in one array; more are summed as they come
 SCALE = 1_000_000_000
 
 MARK = b"\xff"  # between the parts of a posting's key; no UTF-8 text holds it
@@ -140,35 +140,35 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         p, q = p[:, :, None], q[:, None, :]
-        return (p - q) * (p - q) // q
+        return ((p - q) ** 2).view(np.uint64) // q.view(np.uint64)
 
-    keys, values, held = [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        pair, place = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
-        total = np.zeros(len(pair), np.int64)
-        np.add.at(total, place.ravel(), np.concatenate(values))
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(total)], ["a", "b", "more"])
+    def told(code: np.ndarray, total: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        a, b = names[code // len(names)], names[code % len(names)]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total)], ["a", "b", "more"])
 
     for batch in batches:
         posts = batch.column("posts")
         start, size = posts.offsets.to_numpy()[:-1], posts.value_lengths().to_numpy()
         nr, p, zero = (posts.values.field(c).to_numpy() for c in ("nr", "p", "zero"))
+        names, local = np.unique(nr, return_inverse=True)
+        dense = np.zeros(len(names) ** 2, np.int64) if len(names) ** 2 <= SUMS else None
         # terms of as many postings are worked on together
         for g in np.unique(size).tolist():
-            terms = start[size == g]
-            for at in range(0, len(terms), max(1, 200_000 // g**2)):
-                of = terms[at : at + max(1, 200_000 // g**2), None] + np.arange(g)
-                more = f(p[of], p[of]) - f(p[of], zero[of]) - f(zero[of], p[of]) + f(zero[of], zero[of])
-                term, a, b = np.nonzero(more)
-                keys.append(np.column_stack([nr[of[term, a]], nr[of[term, b]]]))
-                values.append(more[term, a, b])
-                held += len(a)
-                if held >= SUMS:
-                    yield flush()
-                    keys, values, held = [], [], 0
-    if held:
-        yield flush()
+            terms, step = start[size == g], max(1, 200_000 // g**2)
+            for at in range(0, len(terms), step):
+                of = terms[at : at + step, None] + np.arange(g)
+                more = (f(p[of], p[of]) - f(p[of], zero[of]) - f(zero[of], p[of]) + f(zero[of], zero[of])).view(np.int64)
+                code = local[of][:, :, None] * len(names) + local[of][:, None, :]
+                if dense is not None:
+                    np.add.at(dense, code.ravel(), more.ravel())
+                    continue
+                pair, place = np.unique(code.ravel(), return_inverse=True)
+                total = np.zeros(len(pair), np.int64)
+                np.add.at(total, place, more.ravel())
+                yield told(pair, total, names)
+        if dense is not None:
+            pair = np.flatnonzero(dense)
+            yield told(pair, dense[pair], names)
 
 
 def audit(docs: DataFrame, least_docs: int = 3, ranks: int = 200, block: int = BLOCK) -> DataFrame:
