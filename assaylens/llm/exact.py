@@ -44,10 +44,11 @@ def with_place(docs: DataFrame, name: str = "_row") -> DataFrame:
     """
     try:
         meta = docs.metadataColumn("_metadata")
-        files = docs.select(meta["file_path"].alias("file")).distinct()
+        files = docs.select(meta["file_path"].alias("file"), meta["file_size"].alias("size")).distinct()
     except AnalysisException:
         return materialise(with_row(docs, name), "numbered")
-    nr = F.row_number().over(Window.orderBy("file")).cast("long")
+    # the largest first, which is the order of a scan of whole files
+    nr = F.row_number().over(Window.orderBy(F.desc("size"), "file")).cast("long")
     # one row for each file
     listed, n = materialise_counted(files.select("file", nr.alias("nr")), "files")
     file, at = fresh(docs, "_file"), fresh(docs, "_at")
