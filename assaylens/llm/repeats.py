@@ -1,10 +1,10 @@
 """Removal of strings repeated across documents, by bounded expansion on a Burrows-Wheeler transform.
 
 Every string of LEAST bytes has an anchor, the 16 bytes of smallest hash in it, and holds the 17
-bytes to the left or to the right of it as well. Equal strings have equal anchors and one of these
-sides in common, so anchors whose sides occur in a single document are left aside, and the strings
-of the others meet by anchor. Around an anchor they are one segment; equal segments are folded to
-their smallest doc_id. The segments of many anchors make a text whose suffixes are sorted; a segment
+bytes to the left of it or, where the anchor begins too early for that, those to the right. Equal
+strings have equal anchors and the same one of these sides, so strings whose side occurs in a single
+document are left aside, and the others meet by anchor. Around an anchor they are one segment; equal
+segments are folded to their smallest doc_id. The segments of many anchors make a text whose suffixes are sorted; a segment
 alone at its anchor has no other to share a string with. Intervals of suffixes
 with a common prefix are extended backwards, breadth first, by one byte each level; an interval of
 one suffix is done, and the search stops at LEAST bytes. What is left are the repeated strings.
@@ -13,6 +13,7 @@ one suffix is done, and the search stops at LEAST bytes. What is left are the re
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,49 +35,81 @@ HOT = 100_000  # different segments of an anchor above which its strings are dea
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: no other document is larger
 
 
+MUL = np.uint64(0x9E3779B97F4A7C15)
+PLACE = np.uint64(31)  # low bits that give way to the place of a gram; the same in every batch
+
+
+def _eights(a: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number."""
+    eight = a.astype(np.uint64)
+    for width in (1, 2, 4):
+        eight = eight[:-width] | (eight[width:] << np.uint64(8 * width))
+    return eight
+
+
 def anchors(data: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one anchor: text, hash of the anchor, first and last start of the run,
-    and the hashes of the anchor with its left and its right side, 0 where the text has none."""
+    """Runs of strings with one anchor: text, hash of the anchor, its place, first and last start of
+    the run, and the hashes of the anchor with its left and its right side, 0 where no string of the
+    run needs that side. A string needs the left one if it holds that, else the right one."""
     sizes = np.fromiter(map(len, data), np.int64, len(data))
-    a = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-    none = np.zeros(0, np.int64)
+    a = np.frombuffer(b"".join(data), np.uint8)
+    none, nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(a) < LEAST:
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
-    eight = a
-    for width in (1, 2, 4):
-        eight = eight[:-width] | (eight[width:] << np.uint64(8 * width))
-    gram = mixed(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + mixed(eight[8:]))
-    place = np.arange(len(gram), dtype=np.uint64)
-    bits = np.uint64(len(gram).bit_length())
-    least = ((gram >> bits) << bits) | place  # leftmost of equal grams
+        return none, nothing, none, none, none, nothing, nothing
+    eight = _eights(a)
+    gram = mixed(eight[:-8] * MUL + mixed(eight[8:]))
+    least = ((gram >> PLACE) << PLACE) | np.arange(len(gram), dtype=np.uint64)  # leftmost of equal grams
     width = 1
     while 2 * width <= SPAN:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < SPAN:
         least = np.minimum(least[: len(least) - (SPAN - width)], least[SPAN - width :])
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(data)), sizes)[: len(at)]
     start = np.flatnonzero(np.arange(len(at)) + LEAST <= ends[owner])
     at, owner = at[start], owner[start]
     if not len(start):
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, nothing, none, none, none, nothing, nothing
     new = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    begin, end, place = (ends - sizes)[owner[first]], ends[owner[first]], at[first]
+    owner, place = owner[first], at[first]
+    first, last = start[first], start[last]
 
-    def side(where: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    def side(where: np.ndarray, needed: np.ndarray) -> np.ndarray:
         """Hashes of GRAM + SIDE bytes, 8 at a time, the last 8 overlapping."""
-        where, out = np.where(inside, where, 0), np.zeros(len(where), np.uint64)
+        where, out = np.where(needed, where, 0), np.zeros(len(where), np.uint64)
         for step in (*range(0, GRAM + SIDE - 8, 8), GRAM + SIDE - 8):
-            out = mixed(out + eight[where + step] * np.uint64(0x9E3779B97F4A7C15))
-        return np.where(inside, out, np.uint64(0))
+            out = mixed(out + eight[where + step] * MUL)
+        return np.where(needed, np.maximum(out, np.uint64(1)), np.uint64(0))
+
+    left = side(place - SIDE, place - first >= SIDE)
+    right = side(place, place - last < SIDE)
+    begin = (ends - sizes)[owner]
+    return owner, gram[place], place - begin, first - begin, last - begin, left, right
+
+
+def _digests(a: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for the *size* bytes of *a* from each *begin* on, of their bytes alone."""
+    mul = np.full(len(a), MUL)
+    mul[0] = 1
+    back = np.full(len(a), np.uint64(pow(int(MUL), -1, 1 << 64)))
+    back[0] = 1
+    power, back = np.multiply.accumulate(mul), np.multiply.accumulate(back)
+    eight = mixed(_eights(a))
+    total = np.append(np.uint64(0), np.cumsum(eight * power[: len(eight)], dtype=np.uint64))
+    inside = (total[begin + size - 7] - total[begin]) * back[begin]
+    return mixed(inside + mixed(size.astype(np.uint64)))
 
-    left = side(place - SIDE, place - SIDE >= begin)
-    right = side(place, place + GRAM + SIDE <= end)
-    return owner[first], gram[place], start[first] - begin, start[last] - begin, left, right
+
+def _pasted(a: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The *size* bytes of *a* from each *begin* on, as binary values."""
+    ends = np.cumsum(size)
+    where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(a[where])])
 
 
 def _runs(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
@@ -93,29 +126,35 @@ def _runs(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for docs, data in _runs(batch, "doc"):
+        for docs, nulls, data in _runs(batch, "doc", "null_row"):
             owner, *_, left, right = anchors(data)
-            doc, sides = np.tile(np.array(docs, np.int64)[owner], 2), np.concatenate([left, right])
-            yield pa.RecordBatch.from_arrays([pa.array(sides[sides != 0].view(np.int64)), pa.array(doc[sides != 0])], ["h", "doc"])
+            owner, sides = np.tile(owner, 2), np.concatenate([left, right])
+            owner, sides = owner[sides != 0], sides[sides != 0]
+            columns = [pa.array(sides.view(np.int64)), *(pa.array(np.array(c, np.int64)[owner]) for c in (docs, nulls))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc", "null_row"])
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["_row", "doc", "at", "h", "sid", "segment"]
     for batch in batches:
-        for rows, docs, shared, data in _runs(batch, "_row", "doc", "shared"):
-            owner, gram, first, last, left, right = anchors(data)
-            gram, left, right = gram.view(np.int64), left.view(np.int64), right.view(np.int64)
-            out = []
-            edges = np.searchsorted(owner, np.arange(len(data) + 1))
-            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                known = np.array(shared[i], np.int64)
-                for j in a + np.flatnonzero(np.isin(left[a:b], known) | np.isin(right[a:b], known)):
-                    segment = data[i][first[j] : last[j] + LEAST]
-                    sid = int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True)
-                    out.append((rows[i], docs[i], first[j], gram[j], sid, segment))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        # what is shared is so in every document that has it
+        known = np.unique(batch.column("shared").flatten().to_numpy(zero_copy_only=False))
+        for rows, docs, data in _runs(batch, "_row", "doc"):
+            owner, gram, place, first, last, left, right = anchors(data)
+            left, right = np.isin(left.view(np.int64), known), np.isin(right.view(np.int64), known)
+            keep = np.flatnonzero(left | right)
+            if not len(keep):
+                continue
+            owner, gram, place, first, last, left, right = (x[keep] for x in (owner, gram, place, first, last, left, right))
+            # only the strings that need a shared side
+            first = np.where(left, first, np.maximum(first, place - SIDE + 1))
+            last = np.where(right, last, np.minimum(last, place - SIDE))
+            size = last - first + LEAST
+            a = np.frombuffer(b"".join(data), np.uint8)
+            sizes = np.fromiter(map(len, data), np.int64, len(data))
+            begin = (np.cumsum(sizes) - sizes)[owner] + first
+            columns = [np.array(rows, np.int64)[owner], np.array(docs, np.int64)[owner], first.astype(np.int32), gram.view(np.int64), _digests(a, begin, size).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _pasted(a, begin, size)], names)
 
 
 def _sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +178,14 @@ def _sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated(segments: list[bytes], smallest: np.ndarray) -> list[np.ndarray]:
     """For each start of LEAST bytes in each segment, the least of *smallest* over equal strings."""
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-    text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.uint64)
+    values = _repeated(np.frombuffer(b"".join(segments), np.uint8), sizes, smallest)
+    return np.split(values, np.cumsum(np.maximum(sizes - LEAST + 1, 0))[:-1])
+
+
+def _repeated(data: np.ndarray, sizes: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """:func:`repeated` for segments of *sizes* that lie one after the other in *data*, in one array."""
+    text = np.zeros(len(data) + len(sizes), np.uint64)
+    text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
     ends = np.cumsum(sizes + 1)
     inside = np.ones(len(text), bool)
     inside[ends - 1] = False  # the marks between segments, which no string may cross
@@ -170,17 +216,15 @@ def repeated(segments: list[bytes], smallest: np.ndarray) -> list[np.ndarray]:
             at, group = at[by], group[by]
         fresh = np.append(True, group[1:] != group[:-1]) if len(at) else np.zeros(0, bool)
     at, fresh = _several(at, fresh)
-    out = [np.full(max(n - LEAST + 1, 0), s, np.int64) for n, s in zip(sizes, smallest, strict=True)]
+    starts_in = np.maximum(sizes - LEAST + 1, 0)
+    out = np.repeat(smallest, starts_in)
     if len(at):
         begin = order[at]
         owner = np.searchsorted(ends, begin, side="right")
         starts = np.flatnonzero(fresh)
         least = np.minimum.reduceat(smallest[owner], starts)
         value = np.repeat(least, np.diff(np.append(starts, len(at))))
-        offset = begin - (ends - sizes - 1)[owner]
-        less = value < smallest[owner]
-        for i, j, v in zip(owner[less].tolist(), offset[less].tolist(), value[less].tolist(), strict=True):
-            out[i][j] = v
+        out[(np.cumsum(starts_in) - starts_in)[owner] + begin - (ends - sizes - 1)[owner]] = value
     return out
 
 
@@ -194,32 +238,46 @@ def _several(at: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 LEASTS = "h long, sid long, starts array<int>, docs array<long>"
 
 
+def _least_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Runs of starts with one least document, for the segments that have another's strings."""
+    h, sid, least, most = (batch.column(n).to_numpy() for n in ("h", "sid", "least", "most"))
+    segments = batch.column("segment")
+    offsets = np.frombuffer(segments.buffers()[1], np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
+    sizes = np.diff(offsets)
+    values = _repeated(np.frombuffer(segments.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], sizes, least)
+    starts_in = sizes - LEAST + 1
+    owner = np.repeat(np.arange(len(sizes)), starts_in)
+    cut = np.flatnonzero(np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])))
+    of, doc = owner[cut], values[cut]
+    runs = np.bincount(of, minlength=len(sizes))
+    # strings of a single document stay behind
+    keep = (runs > 1) | (least != most) | (doc[np.cumsum(runs) - runs] != least)
+    start = (cut - (np.cumsum(starts_in) - starts_in)[of])[keep[of]].astype(np.int32)
+    lists = pa.array(np.append(0, np.cumsum(runs[keep])).astype(np.int32))
+    columns = [pa.array(h[keep]), pa.array(sid[keep]), pa.ListArray.from_arrays(lists, pa.array(start)), pa.ListArray.from_arrays(lists, pa.array(doc[keep[of]]))]
+    return pa.RecordBatch.from_arrays(columns, ["h", "sid", "starts", "docs"])
+
+
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Transforms over sorted ``(h, sid, segment, least, most)``, cut between anchors."""
-    rows: list[tuple] = []
+    held: list[pa.RecordBatch] = []
     size = 0
-
-    def flush() -> pa.RecordBatch:
-        leasts = repeated([r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
-        out = []
-        for (h, sid, _, least, most), values in zip(rows, leasts, strict=True):
-            if least == most and (values == least).all():
-                continue  # strings of a single document
-            cut = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-            out.append((h, sid, cut.tolist(), values[cut].tolist()))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "sid", "starts", "docs"])
-
-    for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("h", "sid", "segment", "least", "most")), strict=True):
-            if size > BLOCK and row[0] != rows[-1][0]:
-                yield flush()
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[2]) + 1
-    if rows:
-        yield flush()
+    batches = (b.select(["h", "sid", "segment", "least", "most"]) for b in batches if len(b))
+    for batch, end in itertools.chain(((b, False) for b in batches), [(None, True)]):
+        if not end:
+            h = batch.column("h").to_numpy()
+            new = np.flatnonzero(np.append(not held or held[-1].column("h")[-1].as_py() != h[0], h[1:] != h[:-1]))
+            size += batch.column("segment").nbytes
+            # up to the last anchor, which may go on
+            if size <= BLOCK or not len(new) or (not held and new[-1] == 0):
+                held.append(batch)
+                continue
+            full, rest = [*held, batch.slice(0, new[-1])], batch.slice(new[-1])
+            held, size = [rest], rest.column("segment").nbytes
+        else:
+            full = held
+        if full:
+            yield _least_rows(pa.Table.from_batches(full).combine_chunks().to_batches()[0])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,14 +328,16 @@ def removed(rows: DataFrame, hot_segments: int = HOT) -> DataFrame:
     of a row may overlap. Texts are read whole, and matches never cross documents.
     """
     spark = rows.sparkSession
-    known = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), "text")
-    found = known.select("doc", "text").mapInArrow(_anchor_rows, "h long, doc long")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
+    # rows of null doc_id are told one by one
+    known = rows.select("_row", doc.alias("doc"), F.when(F.col("doc_id").isNull(), F.col("_row")).otherwise(-1).alias("null_row"), "text")
+    found = known.select("doc", "null_row", "text").mapInArrow(_anchor_rows, "h long, doc long, null_row long")
     of = Window.partitionBy("h")
-    several = found.select("h", "doc", F.min("doc").over(of).alias("least"), F.max("doc").over(of).alias("most")).where("least < most")
-    shared = materialise(several.groupBy("doc").agg(F.collect_set("h").alias("shared")), "shared")
+    several = found.select("h", "doc", "null_row", F.min("doc").over(of).alias("least"), F.max("doc").over(of).alias("most")).where("least < most")
+    shared = materialise(several.groupBy("doc", "null_row").agg(F.collect_set("h").alias("shared")), "shared")
     del found, several
     release(spark)
-    met = known.join(shared, "doc").select("_row", "doc", "shared", "text")
+    met = known.join(shared, ["doc", "null_row"]).select("_row", "doc", "shared", "text")
     segments = materialise(met.mapInArrow(_segment_rows, "_row long, doc long, at int, h long, sid long, segment binary"), "segments")
     del met
     release(spark)
