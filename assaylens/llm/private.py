@@ -4,8 +4,12 @@ Fixed forms give the base spans. These seed a graph of patterns (the word before
 instances (identifier-like tokens and digit groups). A pattern is as good as the share of its
 instances that are known. A mention is as good as the better of its two patterns, so that an
 ordinary word on one side does not speak against the other, and an instance as good as its mentions
-on average; patterns and instances are scored in turns. What stands in a pattern of high
-confidence, is itself scored high and has the digits or the sign of the kind is added.
+on average; patterns and instances are scored in turns until no score changes. What stands in a
+pattern of high confidence, is itself scored high and has the digits or the sign of the kind is added.
+
+Scores are whole thousandths, rounded down. They only rise from turn to turn, so the turns end, and
+no sum depends on the order of its rows. An instance below a half counts as unknown in its patterns;
+else a pattern of few seeds would vouch for its unknown instances, which would then vouch for it.
 """
 
 from __future__ import annotations
@@ -42,10 +46,16 @@ LOOSE = {
     "card": r"(?:[^0-9]*[0-9]){12,19}[^0-9]*",
     "phone": r"(?:[^0-9@]*[0-9]){7,15}[^0-9@]*",
 }
-CONTEXT = 64  # characters searched for the word before and after
-ROUNDS = 3
-PRIOR = 2.0  # unknown instances that every pattern counts besides its own
-CONFIDENT = 0.8
+#: Characters searched for the neighbouring word, the whole text last; a longer search follows only
+#: where a shorter one does not hold the whole word. Words longer than the first go by their digest.
+SEARCHED = (64, 1024, 16_384)
+PRIOR = 2  # unknown instances that every pattern counts besides its own
+# Scores in thousandths.
+CERTAIN = 1000
+LIKELY = 500
+CONFIDENT = 800
+#: Parts into which the rows of one pattern or value are dealt in joins.
+SALTS = 16
 
 SPAN = "array<struct<start:int,end:int,ord:int,value:string>>"
 
@@ -147,11 +157,22 @@ def _groups(text: Column, base: Column) -> Column:
 
 
 def _word(text: Column, s: Column, before: bool) -> Column:
-    """Lower-cased word next to a span; empty at the end of the text."""
-    if before:
-        start = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        return F.lower(F.regexp_extract(F.substring(text, start + 1, s["start"] - start), r"(?<!\S)(\S+)\s*$", 1))
-    return F.lower(F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), r"^\s*(\S+)", 1))
+    """Lower-cased whole word next to a span, long ones as digests; empty at the end of the text."""
+    word, whole = (r"(?<!\S)(\S+)\s*$", r"\s\S+\s*$") if before else (r"^\s*(\S+)", r"^\s*\S+\s")
+    size = F.char_length(text)
+
+    def part(width: int | None) -> Column:
+        if before:
+            start = F.greatest(s["start"] - width, F.lit(0)) if width else F.lit(0)
+            return F.substring(text, start + 1, s["start"] - start)
+        return F.substring(text, s["end"] + 1, F.lit(width) if width else size)
+
+    found = F.regexp_extract(part(None), word, 1)
+    for width in reversed(SEARCHED):
+        all_of_it = s["start"] <= width if before else size - s["end"] <= width
+        found = F.when(all_of_it | part(width).rlike(whole), F.regexp_extract(part(width), word, 1)).otherwise(found)
+    lower = F.lower(found)
+    return F.when(F.char_length(lower) > SEARCHED[0], F.sha2(lower, 256)).otherwise(lower)
 
 
 def mentions(rows: DataFrame) -> DataFrame:
@@ -171,6 +192,13 @@ def mentions(rows: DataFrame) -> DataFrame:
     return spotted.select("_row", "doc_id", "base", context.alias("seen"))
 
 
+def _dealt(large: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Join in which the rows of one key of *large* are dealt by *by*; *small* stands in every part."""
+    left = large.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def discovered(found: DataFrame) -> DataFrame:
     """``(_row, added)``: spans that confident contexts add to the rows of :func:`mentions`."""
     flat = found.select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
@@ -183,30 +211,38 @@ def discovered(found: DataFrame) -> DataFrame:
     mentioned = materialise(told.groupBy("value").agg(F.count(F.lit(1)).alias("_mentions")), "mentioned")
     names = [f"s_{k}" for k in KINDS]
     # seeds keep their score; a value that is a seed anywhere is one
-    seeds = edges.where("ord >= 0").groupBy("value").agg(*[F.max((F.col("ord") == i).cast("double")).alias(n) for i, n in enumerate(names)])
-    seeds = materialise(seeds, "seeds")
-    scores = seeds
-    for turn in range(ROUNDS):
-        known = edges.join(scores, "value", "left").fillna(0.0, names)
-        total = F.sum("n") + F.lit(PRIOR)
-        confidence = known.groupBy("pattern").agg(*[(F.sum(F.col("n") * F.col(n)) / total).alias(n) for n in names])
-        confidence = materialise(confidence.where(F.greatest(*names) > 0), f"patterns{turn}")
+    marks = [F.max(F.when(F.col("ord") == i, CERTAIN).otherwise(0)).cast("long").alias(n) for i, n in enumerate(names)]
+    seeds = materialise(edges.where("ord >= 0").groupBy("value").agg(*marks), "seeds")
+    scores, totals, turn = seeds, None, 0
+    while True:
+        counted = scores.select("value", *[F.when(F.col(n) >= LIKELY, F.col(n)).otherwise(0).alias(n) for n in names])
+        known = _dealt(edges, counted.where(F.greatest(*names) > 0), ["value"], ["pattern"], "left").fillna(0, names)
+        shares = [F.expr(f"sum(n * {n}) div (sum(n) + {PRIOR})").alias(n) for n in names]
+        confidence = materialise(known.groupBy("pattern").agg(*shares).where(F.greatest(*names) > 0), f"patterns{turn}")
         # the better side of each mention; a side without a pattern here counts 0
-        sides = contexts.where("ord < 0").join(confidence, "pattern")
+        sides = _dealt(contexts.where("ord < 0"), confidence, ["pattern"], ["value"])
         better = sides.groupBy("value", "left", "right").agg(F.first("n").alias("n"), *[F.max(n).alias(n) for n in names])
         summed = better.groupBy("value").agg(*[F.sum(F.col("n") * F.col(n)).alias(n) for n in names])
-        instances = summed.join(mentioned, "value").withColumns({n: F.col(n) / F.col("_mentions") for n in names})
-        instances = instances.join(seeds, "value", "left_anti")
-        scores = materialise(instances.select("value", *names).union(seeds.select("value", *names)), f"instances{turn}")
-    sure = materialise(confidence.where(F.greatest(*names) >= CONFIDENT), "confident")
+        instances = summed.join(mentioned, "value").select("value", *[F.expr(f"{n} div _mentions").alias(n) for n in names])
+        instances = instances.where(F.greatest(*names) >= LIKELY).join(seeds, "value", "left_anti")
+        scores = materialise(instances.union(seeds.select("value", *names)), f"instances{turn}")
+        # scores only rise: equal sums are equal scores
+        before, totals = totals, tuple(scores.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first())
+        if totals == before or (turn == 0 and not scores.join(seeds, "value", "left_anti").take(1)):
+            break
+        turn += 1
+    sure = confidence.where(F.greatest(*names) >= CONFIDENT)
     good = scores.where(F.greatest(*names) >= CONFIDENT)
-    open_ = linked.where("ord < 0").join(sure, "pattern").join(good.select("value", *[F.col(n).alias(f"v{n}") for n in names]), "value")
+    open_ = _dealt(edges.where("ord < 0").select("pattern", "value"), sure, ["pattern"], ["value"])
+    open_ = open_.join(good.select("value", *[F.col(n).alias(f"v{n}") for n in names]), "value")
     best = F.lit(None)
     for i, kind in reversed(list(enumerate(KINDS))):
         fits = (F.col(names[i]) >= CONFIDENT) & (F.col(f"v{names[i]}") >= CONFIDENT) & F.col("value").rlike(rf"^(?:{LOOSE[kind]})$")
         best = F.when(fits, F.lit(i)).otherwise(best)
-    kept = open_.withColumn("ord", best.cast("int")).where("ord is not null")
-    spans = kept.groupBy("_row", "start", "end").agg(F.min("ord").alias("ord"), F.first("value").alias("value"))
+    # decided once for each pattern and value, then told to all their mentions
+    chosen = materialise(open_.select("pattern", "value", best.cast("int").alias("_ord")).where("_ord is not null"), "confident")
+    kept = _dealt(linked.where("ord < 0"), chosen, ["pattern", "value"], ["_row", "start"])
+    spans = kept.groupBy("_row", "start", "end").agg(F.min("_ord").alias("ord"), F.first("value").alias("value"))
     added = spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "ord", "value")).alias("added"))
     return added.select("_row", F.filter("added", lambda s: ~_within(s, F.col("added"), larger=True)).alias("added"))
 

@@ -66,28 +66,28 @@ def _plain(texts):
         tokens = {(a, b) for a, b in tokens if not any(x < b and a < y for x, y, _ in base)}
         tokens = {(a, b) for a, b in tokens if fits(a, b) or not any(x <= a and b <= y for x, y in groups)}
         for a, b, kind in base + [(a, b, None) for a, b in tokens | groups]:
-            left = re.search(r"(?<!\S)(\S+)\s*$", text[max(0, a - 64) : a], re.ASCII)
-            right = re.match(r"\s*(\S+)", text[b : b + 64], re.ASCII)
+            left = re.search(r"(?<!\S)(\S+)\s*$", text[:a], re.ASCII)
+            right = re.match(r"\s*(\S+)", text[b:], re.ASCII)
             patterns = [side + m[1].lower() for side, m in (("<", left), (">", right)) if m]
             mentions.append((i, a, b, kind, text[a:b].lower(), patterns))
     seeds = {(m[4], m[3]) for m in mentions if m[3] and m[5]}
     seeded, sure = {v for v, _ in seeds}, {}
-    score = dict.fromkeys(seeds, 1.0)
-    for _ in range(private.ROUNDS):
+    score, before = dict.fromkeys(seeds, 1000), None
+    while score != before:
         total, known = Counter(), Counter()
         for *_, value, patterns in mentions:
             for p in patterns:
                 total[p] += 1
                 for k in private.KINDS:
                     known[p, k] += score.get((value, k), 0)
-        sure = {(p, k): n / (total[p] + private.PRIOR) for (p, k), n in known.items()}
+        sure = {(p, k): n // (total[p] + private.PRIOR) for (p, k), n in known.items()}
         seen, found = Counter(), Counter()
         for *_, kind, value, patterns in mentions:
             if patterns and kind is None and value not in seeded:
                 seen[value] += 1
                 for k in private.KINDS:
                     found[value, k] += max(sure[p, k] for p in patterns)
-        score = dict.fromkeys(seeds, 1.0) | {(v, k): n / seen[v] for (v, k), n in found.items()}
+        before, score = score, dict.fromkeys(seeds, 1000) | {(v, k): n // seen[v] for (v, k), n in found.items() if n // seen[v] >= private.LIKELY}
     out = [[] for _ in texts]
     for i, a, b, kind, value, patterns in mentions:
         if kind is None and any(p.fullmatch(value) and score.get((value, k), 0) >= private.CONFIDENT and any(sure[x, k] >= private.CONFIDENT for x in patterns) for k, p in loose.items()):
@@ -109,3 +109,38 @@ def test_spaced_spellings(added):
     got = added(texts)
     assert got[first:] == [[x] for x in planted + cards]
     assert got == _plain(texts)
+
+
+def test_until_nothing_changes(added):
+    """Numbers known only through numbers that are themselves known only through others."""
+    texts = [f"dial +1 (555) 010-{1000 + i} x{i}y" for i in range(300)]
+    first = len(texts)
+    texts += [f"dial 555-867-{1000 + i} beta" for i in range(100)]
+    texts += [f"gamma 555-868-{1000 + i} beta" for i in range(30)]
+    texts += [f"gamma 555-869-{1000 + i} delta" for i in range(12)]
+    got = added(texts)
+    assert got == _plain(texts)
+    assert all(len(g) == 1 for g in got[first:]) and not any(got[:first])
+
+
+def test_few_seeds_among_many(added):
+    """Unknown numbers under a word with few seeds don't vouch for each other."""
+    texts = [f"item +1 (555) 010-{1000 + i} x{i}y" for i in range(30)]
+    texts += [f"item 555-{1000 + i}-1 z{i}y" for i in range(300)]
+    assert added(texts) == _plain(texts) == [[]] * len(texts)
+
+
+def test_long_neighbours(added):
+    """Neighbours of 200 and 20,000 characters and runs of 200 blanks: whole words count, not their ends."""
+    long, other = "w" * 200, "v" * 136 + "w" * 64
+    far, near = "ü" * 20_000, "ü" * 19_999
+    gap = " " * 200
+    texts = []
+    for word in (long, far):
+        texts += [f"{word} +1 (555) 010-{1000 + i} x{i}y" for i in range(40)]
+    texts += [f"call{gap}+1 (555) 020-{1000 + i}{gap}x{i}y" for i in range(40)]
+    first = len(texts)
+    texts += [f"{long} 555-867-5309", f"{other} 555-867-5308", f"{far} 555-867-5307", f"{near} 555-867-5306", f"call{gap}555-867-5305{gap}z"]
+    got = added(texts)
+    assert got[first:] == [["555-867-5309"], [], ["555-867-5307"], [], ["555-867-5305"]]
+    assert got == _plain(texts)
