@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylens.session import dimension
@@ -22,6 +22,39 @@ def select_panel(features: DataFrame, panel: Sequence[str]) -> DataFrame:
     return features.filter(F.col("feature").isin(list(panel)))
 
 
+def panel_table(spark: SparkSession, panels: Panels) -> DataFrame:
+    """The panels as rows ``(panel, feature)``, each member once."""
+    rows = [(name, feature) for name, panel in panels.items() for feature in dict.fromkeys(panel)]
+    return dimension(spark, rows, "panel string, feature string")
+
+
+def panel_rows(features: DataFrame, members: DataFrame) -> DataFrame:
+    """Long rows of every panel of ``members(panel, feature)`` at once; features in no panel are left out."""
+    return features.join(members, "feature")
+
+
+def panel_score_rows(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """``entity_id, panel, score, hit`` for each entity and panel with a stored feature.
+
+    score is the sum, hit whether any value is not 0. Panels and features are rows of *members*, so
+    the plan is the same for any number of them; pairs without a row score 0.
+    """
+    rows = panel_rows(hits, members.select("panel", "feature").distinct())
+    return rows.groupBy("entity_id", "panel").agg(
+        F.coalesce(F.sum("v"), F.lit(0)).cast("double").alias("score"),
+        F.coalesce(F.bool_or(F.col("v") != 0), F.lit(False)).alias("hit"),
+    )
+
+
+def panel_summary(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """One row for each panel: its members, the entities it is hit in, their summed and largest score."""
+    scored = panel_score_rows(hits, members).groupBy("panel").agg(
+        F.count_if("hit").alias("entities"), F.sum("score").alias("total"), F.max("score").alias("most")
+    )
+    sizes = members.groupBy("panel").agg(F.count_distinct("feature").alias("features"))
+    return sizes.join(scored, "panel", "left").fillna(0, ["entities", "total", "most"])
+
+
 def select_panel_columns(wide: DataFrame, panel: Sequence[str]) -> DataFrame:
     """Wide columns of the panel's features, in panel order; absent names are ignored."""
     return wide.select("entity_id", *[name for name in panel if name in wide.columns])

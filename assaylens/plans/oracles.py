@@ -470,6 +470,24 @@ ORACLES["panel_scores"] = sql(
     f"CAST(sum(v) FILTER (WHERE feature IN ({_list(roles.NARROW)})) AS INTEGER) AS narrow, "
     f"CAST(sum(v) FILTER (WHERE feature IN ({_list(roles.FULL[:11])})) AS INTEGER) AS broad FROM flag GROUP BY 1) n USING (entity_id)"
 )
+_CHOSEN = {**roles.PANELS, "narrow": roles.NARROW, "broad": roles.FULL[:11]}
+ORACLES["panel_score_rows"] = sql(f"""
+SELECT h.entity_id, m.panel, CAST(count(*) AS DOUBLE) AS score, true AS hit
+FROM hits h JOIN (VALUES {_values([(n, f) for n, fs in _CHOSEN.items() for f in fs])}) m(panel, feature)
+  ON m.feature = h.feature
+GROUP BY 1, 2""")
+
+ORACLES["size_panel_summary"] = sql("""
+SELECT panel, count(DISTINCT m.feature) AS features, count(DISTINCT entity_id) AS entities,
+       CAST(coalesce(sum(score) FILTER (WHERE nth = 1), 0) AS DOUBLE) AS total,
+       CAST(coalesce(max(score), 0) AS DOUBLE) AS most
+FROM (
+  SELECT m.panel, m.feature, b.entity_id, count(b.entity_id) OVER (PARTITION BY m.panel, b.entity_id) AS score,
+         row_number() OVER (PARTITION BY m.panel, b.entity_id ORDER BY m.feature) AS nth
+  FROM (SELECT DISTINCT 'size ' || p_size AS panel, p_brand AS feature FROM part) m
+  LEFT JOIN brand_lines b ON b.feature = m.feature AND b.lines >= 4) m
+GROUP BY 1""")
+
 ORACLES["panel_scores_wide"] = sql(
     "SELECT s.*, f.v AS \"Brand#1\" FROM score s JOIN flag f USING (entity_id) WHERE f.feature = 'Brand#1'"
 )

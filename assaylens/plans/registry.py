@@ -97,6 +97,17 @@ def panel_scores(spark: SparkSession, d: str) -> DataFrame:
     return panels.composite_scores(roles.entities(spark, d), roles.hits(spark, d), chosen, flags=("msi_status",))
 
 
+@query
+def panel_score_rows(spark: SparkSession, d: str) -> DataFrame:
+    chosen = panels.panel_table(spark, {**roles.PANELS, "narrow": roles.NARROW, "broad": roles.FULL[:11]})
+    return panels.panel_score_rows(roles.hits(spark, d), chosen)
+
+
+@query
+def size_panel_summary(spark: SparkSession, d: str) -> DataFrame:
+    return panels.panel_summary(roles.all_brand_hits(spark, d), roles.size_panels(spark, d))
+
+
 @query
 def panel_scores_wide(spark: SparkSession, d: str) -> DataFrame:
     wide = roles.scored_flags(spark, d)

@@ -97,6 +97,24 @@ def brand_matrix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def all_brand_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse long features over every brand of the data, not only the panel's."""
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
+    counted = (
+        lines.join(orders, "l_orderkey")
+        .groupBy(F.col("o_custkey").alias("entity_id"), F.col("p_brand").alias("feature"))
+        .agg(F.count(F.lit(1)).alias("lines"))
+    )
+    return counted.filter(F.col("lines") >= LINES_FOR_HIT).select("entity_id", "feature", F.lit(1).alias("v"))
+
+
+def size_panels(spark: SparkSession, folder: str) -> DataFrame:
+    """One panel for each size of part: the brands made in it."""
+    return table(spark, folder, "part").select(F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("panel"), F.col("p_brand").alias("feature")).distinct()
+
+
 def hits(spark: SparkSession, folder: str) -> DataFrame:
     """Sparse long features: one row for each (entity, brand) hit."""
     cells = matrices.to_long(brand_matrix(spark, folder), "feature", "v", FULL)

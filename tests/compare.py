@@ -13,6 +13,7 @@ TABLES = (
 
 # DuckDB type names that a Spark type may meet
 ALIKE = {
+    "boolean": {"BOOLEAN"},
     "bigint": {"BIGINT"},
     "int": {"INTEGER"},
     "double": {"DOUBLE"},
