@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylens.operators.boosting import boosted_margin
+from assaylens.operators.boosting import VECTORS, boosted_margin, deal
 from assaylens.operators.logistic import ALL_ROWS
 from assaylens.session import lookup, materialise
 
@@ -170,10 +170,6 @@ def shapley_values(x: np.ndarray, leaves: Sequence) -> np.ndarray:
     return phi
 
 
-#: Feature vectors that are attributed by one task.
-VECTORS = 50_000
-
-
 def tree_attribution_vectors(patterns: DataFrame, models: DataFrame, rows: int = VECTORS) -> DataFrame:
     """Shapley values in log-odds for each distinct feature vector of each response.
 
@@ -183,14 +179,9 @@ def tree_attribution_vectors(patterns: DataFrame, models: DataFrame, rows: int =
     whose model was not fitted, or has trees that can't be attributed, has no rows.
     """
     arrays = ["nodes", "prior", "feature", "cut", "value", "cover"]
-    whole = models.filter((F.col("held_out") == ALL_ROWS) & (F.col("note") == "")).select("response", F.struct(*arrays).alias("model"))
+    whole = models.filter((F.col("held_out") == ALL_ROWS) & (F.col("note") == "")).select("response", *arrays)
     vectors = materialise(patterns.groupBy("response", "x").agg(F.sum("n").alias("n")), "vectors")
-    sizes = vectors.groupBy("response").agg(F.count(F.lit(1)).alias("k"))
-    parts = F.ceil(F.col("k") / rows).cast("int")
-    first = whole.join(sizes, "response").select("response", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "model", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("x"))
-    rest = vectors.join(lookup(sizes, "sizes"), "response").select("response", F.pmod(F.xxhash64("x"), parts).cast("int").alias("part"), F.lit(None).cast(first.schema["model"].dataType).alias("model"), "n", "x")
-    tasks = 4 * int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = first.union(rest).repartition(tasks, "response", "part").sortWithinPartitions("response", "part", F.col("model").isNull())
+    met = deal(vectors, whole, ["response"], rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = leaves = base = None

@@ -3,10 +3,14 @@
 Log-loss boosting of regression trees: least-squares splits of the residuals, Newton leaf values. Rows
 are first collapsed to distinct (response, fold, part, label, feature vector) patterns with counts;
 parts are PARTS hash classes of the entities, and each tree leaves some of them out as its
-subsample. Features are cut into bins. While the patterns of a response are few, each (response,
-fold) is one group and grows all of its trees there. Beyond that, no group is gathered: every level
-of the next tree of all models is one aggregation keyed (model, node, feature, bin), and margins,
-trees and models stay in tables. Both plans give the same trees.
+subsample. Equal vectors of a model always share a margin, so it is fitted on its distinct vectors, each
+with its rows and positives by part. Features are cut into bins. While the vectors of a response are
+few, each (response, fold) is one group and grows all of its trees there. Beyond that, no group is
+gathered: every level of the next tree of all models is one aggregation keyed (model, node, feature,
+bin), and margins, trees and models stay in tables. Both plans give the same trees.
+
+A model is far larger than a row, so no join puts it beside every row: distinct vectors are dealt into
+parts, and each part streams past one copy of its model.
 
 A model is one row of flat arrays: node i of tree t stands at t * nodes + i, its children at 2i + 1
 and 2i + 2; its feature is -1 where it is a leaf, and a value above ``cut`` goes to the right.
@@ -14,22 +18,26 @@ and 2i + 2; its feature is -1 where it is a leaf, and a value above ``cut`` goes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from math import gcd
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaylens.config import BoostingParams
 from assaylens.operators.logistic import ALL_ROWS
-from assaylens.session import delete_path, materialise, new_path
+from assaylens.session import delete_path, lookup, materialise, new_path
 
 PARTS = 10
 BINS = 256
-#: Most patterns of a response that one task may hold; more are fitted in shared passes.
+#: Most feature vectors of a response that one task may hold; more are fitted in shared passes.
 GROUP_PATTERNS = 200_000
+#: Feature vectors that stream past one copy of their model.
+VECTORS = 50_000
 LEAST_GAIN = 1e-9
 DIGITS = 9  # gains are compared rounded, so that the order of a sum can't decide between equal ones
 MODEL = "response string, held_out int, note string, prior double, nodes int, feature array<int>, cut array<double>, value array<double>, cover array<double>, gain array<double>"
@@ -71,11 +79,29 @@ def _ratio(s: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.divide(s, h, out=np.zeros_like(s), where=h > 1e-150)
 
 
-def _grow(bins: np.ndarray, label: np.ndarray, n: np.ndarray, part: np.ndarray, edges: list[list[float]], params: BoostingParams) -> tuple[float, dict]:
-    """Prior and flat arrays of all trees of one model."""
+def part_counts(patterns: DataFrame, held_out: Sequence[int]) -> DataFrame:
+    """Training rows ``n`` and positives ``pos`` by part, for each (response, held_out, x).
+
+    Vectors that only the held-out fold has are there with zeros.
+    """
+    parts = range(PARTS)
+
+    def arrays(of) -> list[Column]:
+        sums = [[F.coalesce(F.sum(of(c, p)), F.lit(0)) for p in parts] for c in ("n", "pos")]
+        return [F.array(*s).alias(c) for s, c in zip(sums, ("n", "pos"), strict=True)]
+
+    rows = patterns.select("response", "fold", "part", "x", "n", (F.col("n") * F.col("label")).alias("pos"))
+    cells = materialise(rows.groupBy("response", "fold", "x").agg(*arrays(lambda c, p: F.when(F.col("part") == p, F.col(c)))), "cells")
+    each = cells.withColumn("held_out", F.explode(F.array(*[F.lit(int(h)) for h in held_out])))
+    trains = ~F.col("fold").eqNullSafe(F.col("held_out"))
+    return each.groupBy(*MODEL_KEY, "x").agg(*arrays(lambda c, p: F.when(trains, F.get(c, F.lit(p)))))
+
+
+def _grow(bins: np.ndarray, n: np.ndarray, pos: np.ndarray, edges: list[list[float]], params: BoostingParams) -> tuple[float, dict]:
+    """Prior and flat arrays of all trees of one model; *n* and *pos* have a column for each part."""
     nodes, width = 2 ** (params.depth + 1) - 1, bins.shape[1]
     size = max(map(len, edges), default=0) + 1
-    total, positive = n.sum(), (n * label).sum()
+    total, positive = n.sum(), pos.sum()
     prior = float(np.log(positive / (total - positive)))
     margin = np.full(len(n), prior)
     trees = {"feature": np.full((params.trees, nodes), -1), **{k: np.zeros((params.trees, nodes)) for k in ("cut", "value", "cover", "gain")}}
@@ -83,8 +109,9 @@ def _grow(bins: np.ndarray, label: np.ndarray, n: np.ndarray, part: np.ndarray,
     for t in range(params.trees):
         feature, cut, value, cover, gain = (trees[k][t] for k in ("feature", "cut", "value", "cover", "gain"))
         prob = 1 / (1 + np.exp(-margin))
-        w = np.where(np.isin(part, left_out(t, params.subsample)), 0.0, n)
-        parts = (w, w * (label - prob), w * prob * (1 - prob))
+        seen = np.setdiff1d(np.arange(PARTS), left_out(t, params.subsample))
+        w = n[:, seen].sum(axis=1)
+        parts = (w, pos[:, seen].sum(axis=1) - w * prob, w * prob * (1 - prob))
         cover[0], value[0] = parts[0].sum(), params.learning_rate * float(_ratio(*(np.array([p.sum()]) for p in parts[1:]))[0])
         node = np.zeros(len(n), np.int64)
         for level in range(params.depth):
@@ -120,28 +147,29 @@ def fit_boosting(patterns: DataFrame, params: BoostingParams, held_out: Sequence
 
     A model whose training rows hold one class has the note 'one class' and nulls.
     """
-    largest = patterns.groupBy("response").count().agg(F.max("count")).first()[0] or 0
+    counts = materialise(part_counts(patterns, held_out), "counts")
+    largest = counts.groupBy(*MODEL_KEY).count().agg(F.max("count")).first()[0] or 0
     edges = bin_edges(patterns)
     if largest > group_patterns:
-        return _fit_shared(patterns, params, held_out, edges)
+        return _fit_shared(patterns, counts, params, held_out, edges)
     nodes = 2 ** (params.depth + 1) - 1
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = {"response": key[0], "held_out": key[1], "note": "", "prior": None, "nodes": nodes, **dict.fromkeys(("feature", "cut", "value", "cover", "gain"))}
-        train = pdf[pdf["fold"] != key[1]]
-        if train["label"].nunique() < 2:
+        n, pos = (np.array(pdf[c].tolist(), float) for c in ("n", "pos"))
+        if pos.sum() in (0, n.sum()):
             row["note"] = "one class"
         else:
-            x = np.array(train["x"].tolist(), float)
+            trains = n.any(axis=1)
+            x = np.array(pdf["x"].tolist(), float)[trains]
             bins = np.column_stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(x.shape[1])])
-            row["prior"], trees = _grow(bins, *(train[c].to_numpy(float) for c in ("label", "n")), train["part"].to_numpy(), edges, params)
+            row["prior"], trees = _grow(bins, n[trains], pos[trains], edges, params)
             row |= trees
         return pd.DataFrame([row])
 
-    each = patterns.withColumn("held_out", F.explode(F.array(*[F.lit(int(h)) for h in held_out])))
     # a number of partitions, as small ones would be joined although their work is long
     tasks = 4 * int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(each.repartition(tasks, *MODEL_KEY).groupBy(*MODEL_KEY).applyInPandas(fit, MODEL), "boosted")
+    return materialise(counts.repartition(tasks, *MODEL_KEY).groupBy(*MODEL_KEY).applyInPandas(fit, MODEL), "boosted")
 
 
 def _walk(x: Column, feature: Column, cut: Column, depth: int, start: Column | int = 0) -> Column:
@@ -154,7 +182,7 @@ def _walk(x: Column, feature: Column, cut: Column, depth: int, start: Column | i
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
 
 
-def _fit_shared(patterns: DataFrame, params: BoostingParams, held_out: Sequence[int], edges: list[list[float]]) -> DataFrame:
+def _fit_shared(patterns: DataFrame, counts: DataFrame, params: BoostingParams, held_out: Sequence[int], edges: list[list[float]]) -> DataFrame:
     """The same models in passes over all of them; only paths of written tables stay in the driver."""
     spark = patterns.sparkSession
     nodes = 2 ** (params.depth + 1) - 1
@@ -167,8 +195,8 @@ def _fit_shared(patterns: DataFrame, params: BoostingParams, held_out: Sequence[
     models = materialise(models, "priors")
     cuts = F.array(*[F.array(*[F.lit(float(e)) for e in es]).cast("array<double>") for es in edges])
     binned = F.zip_with("x", cuts, lambda v, es: F.size(F.filter(es, lambda e: e < v)))
-    state = patterns.select("response", "fold", "part", "label", "n", binned.alias("x")).join(models.where("note = ''").drop("note"), "response")
-    state = state.select(*MODEL_KEY, (F.col("fold") != F.col("held_out")).alias("trains"), "part", "label", "n", "x", F.col("prior").alias("margin"))
+    trained = counts.where(F.exists("n", lambda n: n > 0)).select(*MODEL_KEY, binned.alias("x"), "n", "pos")
+    state = trained.join(models.where("note = ''").drop("note"), MODEL_KEY).select(*MODEL_KEY, "x", "n", "pos", F.col("prior").alias("margin"))
     path = new_path(spark, "margins")
     state.write.parquet(path)
     grown = []
@@ -176,9 +204,10 @@ def _fit_shared(patterns: DataFrame, params: BoostingParams, held_out: Sequence[
     blank = models.where("note = ''").select(*MODEL_KEY, F.transform(none, lambda i: F.lit(-1)).alias("feature"), *[F.transform(none, lambda i: F.lit(0.0)).alias(k) for k in ("cut", "value", "cover", "gain")])
     for t in range(params.trees):
         state = spark.read.parquet(path)
-        seen = state.where(F.col("trains") & ~F.col("part").isin(left_out(t, params.subsample)))
+        kept = [p for p in range(PARTS) if p not in left_out(t, params.subsample)]
+        w, pos = (reduce(lambda a, b: a + b, [F.get(c, F.lit(p)) for p in kept]).cast("double") for c in ("n", "pos"))
         prob = 1 / (1 + F.exp(-F.col("margin")))
-        seen = seen.select(*MODEL_KEY, "x", F.col("n").cast("double").alias("w"), (F.col("n") * (F.col("label") - prob)).alias("s"), (F.col("n") * prob * (1 - prob)).alias("h"))
+        seen = state.where(w > 0).select(*MODEL_KEY, "x", w.alias("w"), (pos - w * prob).alias("s"), (w * prob * (1 - prob)).alias("h"))
         tree = blank
         for level in range(params.depth):
             tree = materialise(_level(seen, tree, level, params), "tree")
@@ -262,12 +291,65 @@ def boosted_margin(x: Column, depth: int) -> Column:
     return F.when(F.size(feature) > 0, F.aggregate(starts, F.col("prior"), plus)).otherwise(F.col("prior"))
 
 
+def deal(vectors: DataFrame, models: DataFrame, key: Sequence[str], rows: int = VECTORS) -> DataFrame:
+    """Vectors in parts of about *rows*, each part behind a row with its ``model``, all else null.
+
+    *models* has one row for each *key*; ``vectors(*key, x, ...)`` is read twice. Vectors without a model come too.
+    """
+    sizes = lookup(vectors.groupBy(*key).agg(F.count(F.lit(1)).alias("k")), "sizes")
+    parts = F.ceil(F.col("k") / rows).cast("int")
+    model = F.struct(*[c for c in models.columns if c not in key]).alias("model")
+    others = [f for f in vectors.schema.fields if f.name not in key]
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in others]
+    first = models.select(*key, model).join(sizes, list(key)).select(*key, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "model", *blank)
+    rest = vectors.join(sizes, list(key)).select(*key, F.pmod(F.xxhash64("x"), parts).cast("int").alias("part"), F.lit(None).cast(first.schema["model"].dataType).alias("model"), *[f.name for f in others])
+    tasks = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return first.union(rest).repartition(tasks, *key, "part").sortWithinPartitions(*key, "part", F.col("model").isNull())
+
+
+def walk_trees(x: np.ndarray, prior: float, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
+    """Log-odds of the rows of *x*: the trees are added one after the other, as in :func:`boosted_margin`."""
+    margin, at, nodes = np.full(len(x), prior), np.arange(len(x)), 2 ** (depth + 1) - 1
+    for f, c, v in zip(*(a.reshape(-1, nodes) for a in (feature, cut, value)), strict=True):
+        node = np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            own = f[node]
+            node = np.where(own < 0, node, 2 * node + 1 + (x[at, own] > c[node]))
+        margin += v[node]
+    return margin
+
+
 def predict_boosting(rows: DataFrame, models: DataFrame, depth: int, split: str | None) -> DataFrame:
-    """Add ``prob`` to ``rows(response, x)`` by the model that left the fold out, or by the whole-data model."""
+    """Add ``prob`` to ``rows(response, x)`` by the model that left the fold out, or by the whole-data model.
+
+    Each distinct vector of a model is scored once; rows find their probability by vector.
+    """
     fitted = models.where("note = ''").drop("note", "nodes", "cover", "gain")
     if split is None:
-        paired = rows.join(fitted.filter(F.col("held_out") == ALL_ROWS).drop("held_out"), "response")
+        key, fitted = ["response"], fitted.filter(F.col("held_out") == ALL_ROWS).drop("held_out")
     else:
-        paired = rows.join(fitted.withColumnRenamed("held_out", split), ["response", split])
-    prob = 1 / (1 + F.exp(-boosted_margin(F.col("x"), depth)))
-    return paired.withColumn("prob", prob).drop("prior", "feature", "cut", "value")
+        key, fitted = ["response", split], fitted.withColumnRenamed("held_out", split)
+    # a missing value goes to the left and NaN to the right, whatever the cut
+    x = F.transform("x", lambda v: F.when(v.isNull(), float("-inf")).when(F.isnan(v), float("inf")).otherwise(v))
+    rows = rows.withColumn("_x", x)
+    vectors = materialise(rows.select(*key, F.col("_x").alias("x")).distinct(), "vectors")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = model = None
+        for pdf in batches:
+            for at, group in pdf.groupby([*key, "part"], sort=False):
+                if at != known:
+                    known, model = at, None
+                    if group["x"].iloc[0] is None:
+                        first = group["model"].iloc[0]
+                        model = [first["prior"], *(np.array(first[c]) for c in ("feature", "cut", "value"))]
+                        group = group.iloc[1:]
+                if model is None or not len(group):
+                    continue
+                yield group[[*key, "x"]].assign(margin=walk_trees(np.array(group["x"].tolist(), float), *model, depth))
+
+    schema = T.StructType([*vectors.schema.fields, T.StructField("margin", T.DoubleType())])
+    scored = deal(vectors, fitted, key).mapInPandas(run, schema)
+    prob = 1 / (1 + F.exp(-F.col("margin")))
+    scored = materialise(scored.select(*key, F.col("x").alias("_x"), prob.alias("prob")), "scored")
+    return rows.join(scored, [*key, "_x"]).drop("_x")

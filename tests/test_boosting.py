@@ -161,3 +161,28 @@ def test_bad_lines_of_a_result_are_set_aside(spark):
     good, bad = results.read_csv_result(spark, path, "id int, name string, v double")
     assert sorted(tuple(r) for r in good.collect()) == [(1, "x", 0.5), (2, "y", None), (3, "z", 0.25)]
     assert sorted(r.line for r in bad.collect()) == ["4,w,not a number", "5,too,1.0,many", "6"]
+
+
+def test_predictions_keep_the_models_out_of_the_rows(spark, patterns, models):
+    """A join of rows with models copied a model of all trees for each row of the table that is streamed."""
+    odd = patterns.union(patterns.limit(9).withColumn("x", F.transform("x", lambda v, i: F.when(i == 2, float("nan")).when(i == 1, v))))
+    for split in (None, "fold"):
+        got = boosting.predict_boosting(odd, models.where("held_out = -1") if split is None else models, PARAMS.depth, split)
+        assert "feature#" not in got._jdf.queryExecution().optimizedPlan().toString()
+        held = F.lit(ALL_ROWS) if split is None else F.col("fold")
+        walked = odd.withColumn("held_out", held).join(models.where("note = ''"), ["response", "held_out"])
+        walked = walked.select(*odd.columns, (1 / (1 + F.exp(-boosting.boosted_margin(F.col("x"), PARAMS.depth)))).alias("prob"))
+        assert got.columns == (["response"] if split is None else ["response", "fold"]) + [c for c in odd.columns if c not in ("response", split)] + ["prob"]
+        want = sorted(map(str, walked.collect()))
+        assert sorted(map(str, got.select(*walked.columns).collect())) == want and want
+
+
+def test_equal_vectors_are_fitted_as_one(spark, monkeypatch):
+    """Forty patterns of two vectors are a group of two."""
+    monkeypatch.setattr(boosting, "_fit_shared", None)
+    rows = [("r", f, p, y, [float(p % 2)], 3) for f in (0, 1) for p in range(10) for y in (0, 1)]
+    table = spark.createDataFrame(rows, "response string, fold int, part int, label int, x array<double>, n long")
+    got = boosting.fit_boosting(table, PARAMS, [0, 2, ALL_ROWS], 2).collect()
+    assert {(r.held_out, r.note, r.cover[0]) for r in got} == {(0, "", 48.0), (2, "", 96.0), (-1, "", 96.0)}
+    lone = boosting.fit_boosting(table.where("fold = 0"), PARAMS, [0], 2).collect()
+    assert [r.note for r in lone] == ["one class"]
