@@ -12,9 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.session import dimension
+from assaylens.session import dimension, materialise
 
 Panels = dict[str, Sequence[str]]
+#: Most rows of entity, panel and feature, on average, that one task folds into scores.
+TASK_ROWS = 500_000
 
 
 def select_panel(features: DataFrame, panel: Sequence[str]) -> DataFrame:
@@ -37,9 +39,13 @@ def panel_score_rows(hits: DataFrame, members: DataFrame) -> DataFrame:
     """``entity_id, panel, score, hit`` for each entity and panel with a stored feature.
 
     score is the sum, hit whether any value is not 0. Panels and features are rows of *members*, so
-    the plan is the same for any number of them; pairs without a row score 0.
+    the plan is the same for any number of them; pairs without a row score 0. A hit makes a row for
+    each of its panels: entities are dealt before that, into as many tasks as these rows need.
     """
-    rows = panel_rows(hits, members.select("panel", "feature").distinct())
+    hits, members = materialise(hits, "hits"), materialise(members.select("panel", "feature").distinct(), "members")
+    made = hits.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).join(members, "feature").agg(F.sum("n")).first()[0] or 0
+    tasks = max(-(-made // TASK_ROWS), hits.sparkSession.sparkContext.defaultParallelism)
+    rows = panel_rows(hits.repartition(tasks, "entity_id"), members)
     return rows.groupBy("entity_id", "panel").agg(
         F.coalesce(F.sum("v"), F.lit(0)).cast("double").alias("score"),
         F.coalesce(F.bool_or(F.col("v") != 0), F.lit(False)).alias("hit"),

@@ -32,3 +32,15 @@ def test_edges(spark):
     assert told == {"p": (1, 1, 5.0, 5.0), "q": (2, 2, 6.0, 5.0), "r": (1, 0, 0.0, 0.0)}
     empty = panels.panel_summary(table.limit(0), members)
     assert sorted(r.entities for r in empty.collect()) == [0, 0, 0]
+
+
+def test_tasks_grow_with_the_pairs(spark, monkeypatch):
+    """Pairs of entity and panel were folded by the tasks that had counted the hits, however many they were."""
+    monkeypatch.setattr(panels, "TASK_ROWS", 50)
+    hits = [(e, f"f{e % 3}", 1) for e in range(300)]
+    table = spark.createDataFrame(hits, "entity_id int, feature string, v int").coalesce(2)
+    members = panels.panel_table(spark, {f"p{i}": ["f0", "f1", "f2"] for i in range(10)})
+    got = panels.panel_score_rows(table, members)
+    assert "REPARTITION_BY_NUM" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "(entity_id#" in plan
+    assert got.rdd.getNumPartitions() == 60
+    assert {(r.entity_id, r.panel): r.score for r in got.collect()} == {(e, f"p{i}"): 1.0 for e in range(300) for i in range(10)}
