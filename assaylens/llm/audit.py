@@ -2,28 +2,28 @@
 
 Indexing is single-pass and in memory: a task keeps a block of postings (term, language, source) until
 the block is full, then spills it as a run sorted by term, cut by the hash of the posting. The runs of
-a hash shard are merged by a heap into frequencies. Scores follow from frequencies alone. A source
+a hash shard are merged in order into frequencies, in Arrow arrays. Scores follow from frequencies alone. A source
 pair is scored in the closed form over the terms that one of the two lacks, by the number of terms
 of each count; what shared terms add to that is streamed over the postings of each term.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from heapq import merge
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylens.session import materialise
 
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A-Z lower-cased; what belongs to no term is a blank.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 BLOCK = 600_000  # postings that a task holds before it spills a run
 SPILL = 10_000  # postings of a row of a run
 HEAP = 2_000_000  # postings of runs merged at once; what comes out is merged with the next
@@ -34,26 +34,32 @@ MARK = b"\xff"  # between the parts of a posting's key; no UTF-8 text holds it
 RUN = "shard int, keys array<binary>, counts array<long>, docs array<long>"
 POSTING = "term string, lang string, source string, n long, df long"
 NAMES = ["keys", "counts", "docs"]
-KINDS = [pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 Block = dict[tuple[str, str], tuple[Counter, Counter]]
+#: Keys of postings, and their occurrences and documents.
+Postings = tuple[pa.BinaryArray, np.ndarray, np.ndarray]
 
 
 def _spilled(block: Block, shards: int) -> Iterator[pa.RecordBatch]:
     """The block as rows of RUN: for each shard its postings in the order of their keys."""
-    dealt: list[list[tuple[bytes, int, int]]] = [[] for _ in range(shards)]
-    crc32 = zlib.crc32
-    for group, (counts, docs) in block.items():
+    keys, counts, docs, dealt = [], [], [], []
+    for group, (n, df) in block.items():
         tail = MARK + MARK.join(x.encode("utf-8", "surrogatepass") for x in group)
-        salt = crc32(tail)
-        for term, n in counts.items():
-            dealt[crc32(term, salt) % shards].append((term + tail, n, docs[term]))
         # a group is told also where it has no term
-        dealt[salt % shards].append((tail, 0, 0))
-    for shard, postings in enumerate(dealt):
-        postings.sort()
-        for at in range(0, len(postings), SPILL):
-            columns = [pa.array([c], t) for c, t in zip(zip(*postings[at : at + SPILL], strict=True), KINDS, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *columns], ["shard", *NAMES])
+        terms = [b"", *n]
+        keys.append(pc.binary_join_element_wise(pa.array(terms, pa.binary()), pa.scalar(tail, pa.binary()), pa.scalar(b"", pa.binary())))
+        counts.append(np.fromiter(chain([0], n.values()), np.int64, len(terms)))
+        docs.append(np.fromiter(chain([0], map(df.__getitem__, n)), np.int64, len(terms)))
+        dealt.append(np.fromiter(map(zlib.crc32, terms, repeat(zlib.crc32(tail))), np.int64, len(terms)) % shards)
+    key, n, df, shard = pa.concat_arrays(keys), *map(np.concatenate, (counts, docs, dealt))
+    order = pc.sort_indices(key).to_numpy()
+    order = order[np.argsort(shard[order], kind="stable")]
+    ends = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+    for of, (start, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        for at in range(start, end, SPILL):
+            rows = order[at : min(at + SPILL, end)]
+            columns = (key.take(pa.array(rows)), pa.array(n[rows]), pa.array(df[rows]))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), c) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), *lists], ["shard", *NAMES])
 
 
 def _index(shards: int, most: int):
@@ -63,7 +69,7 @@ def _index(shards: int, most: int):
         for batch in batches:
             for lang, source, text in zip(*(batch.column(n).to_pylist() for n in ("lang", "source", "text")), strict=True):
                 counts, docs = block.setdefault((lang, source), (Counter(), Counter()))
-                terms = _TERM.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+                terms = text.encode("utf-8", "surrogatepass").translate(_BYTES).split()
                 before = len(counts)
                 counts.update(terms)
                 docs.update(set(terms))
@@ -77,36 +83,36 @@ def _index(shards: int, most: int):
     return run
 
 
+def _summed(runs: list[Postings]) -> Postings:
+    """The runs merged in the order of their keys, equal keys added up."""
+    key, n, df = pa.concat_arrays([r[0] for r in runs]), *(np.concatenate([r[i] for r in runs]) for i in (1, 2))
+    order = pc.sort_indices(key)
+    key, n, df = key.take(order), n[order.to_numpy()], df[order.to_numpy()]
+    new = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.append(True, new))
+    return key.take(pa.array(first)), np.add.reduceat(n, first), np.add.reduceat(df, first)
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frequencies of a partition of shards: its runs in a heap, HEAP postings at a time."""
-
-    def summed(runs: list[list[tuple]]) -> list[tuple]:
-        out, key, n, df = [], None, 0, 0
-        for k, more, docs in merge(*runs):
-            if k == key:
-                n, df = n + more, df + docs
-                continue
-            out.append((key, n, df))
-            key, n, df = k, more, docs
-        return [*out[1:], (key, n, df)] if runs else []
-
-    runs, held = [], 0
+    """Frequencies of a partition of shards: its runs, HEAP postings at a time."""
+    runs: list[Postings] = []
+    held = 0
     for batch in batches:
         columns = [batch.column(n) for n in NAMES]
         edges = columns[0].offsets.to_numpy()
         keys, *numbers = (c.values for c in columns)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            run = [keys.slice(a, b - a).to_pylist(), *(x[a:b].to_numpy().tolist() for x in numbers)]
-            runs.append(list(zip(*run, strict=True)))
+            runs.append((keys.slice(a, b - a), *(x[a:b].to_numpy() for x in numbers)))
             held += b - a
             if held >= HEAP:
-                runs = [summed(runs)]
-                held = max(0, len(runs[0]) - HEAP // 2)
-    found = summed(runs)
-    for at in range(0, len(found), 50_000):
-        key, n, df = zip(*found[at : at + 50_000], strict=True)
-        parts = zip(*(k.split(MARK) for k in key), strict=True)
-        columns = [*(pa.array(p, pa.binary()).cast(pa.string()) for p in parts), pa.array(n, pa.int64()), pa.array(df, pa.int64())]
+                runs = [_summed(runs)]
+                held = max(0, len(runs[0][0]) - HEAP // 2)
+    if not runs:
+        return
+    key, n, df = _summed(runs)
+    for at in range(0, len(key), 50_000):
+        parts = pc.split_pattern(key[at : at + 50_000], MARK).flatten()
+        columns = [*(parts[i::3].cast(pa.string()) for i in range(3)), pa.array(n[at : at + 50_000]), pa.array(df[at : at + 50_000])]
         yield pa.RecordBatch.from_arrays(columns, ["term", "lang", "source", "n", "df"])
 
 
