@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylens.llm import vocab
 from assaylens.llm.common import components, numbered, release
 from assaylens.llm.exact import without
 from assaylens.llm.shingles import mixed, shingle_sets
 from assaylens.session import materialise
 
-CHARS = 2_000_000  # characters shingled at once; a longer text is worked on alone
+CHARS = 250_000  # characters shingled at once; a longer text is worked on alone
 SEEN = 1_000_000  # set ids a task remembers, not to send the keys of equal sets again
 GROUP = 200_000  # shingles of small components that share a task
 BLOCK = 2_000_000  # shingles of a component compared at once: 16 MB for each side of a tile
@@ -106,6 +107,7 @@ def profiles(rows: DataFrame, rule: Rule, seed: int) -> DataFrame:
     """One row of PROFILE for each of ``rows(_row, doc_id, text)``; set_id is null for no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         seen: set[int] = set()
         for batch in batches:
             for row, doc, texts in _parts(batch, "_row", "doc_id"):
@@ -261,6 +263,7 @@ def classes(rows: DataFrame, rule: Rule) -> DataFrame:
     tiles = materialise(_tiles(candidates, rule), "tiles")
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         for batch in batches:
             names = ["grp", "i", "j", "block_of", "block", "set_id"]
             for *columns, texts in _parts(batch, *names):

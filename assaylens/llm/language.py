@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylens.llm import vocab
 from assaylens.llm.common import fresh
 
 UNDETERMINED = "und"
 FEATURES = 1 << 14  # trigram buckets
 MOST_LANGUAGES = 500  # a model of 500 languages is 32 MB; more is an error
-CHARS = 1_000_000  # characters worked on at once; longer texts are one piece
+CHARS = 200_000  # characters worked on at once; longer texts are one piece
 ROUNDS = 20  # of expectation-maximisation
 PENALTY = 4.0  # for each language, times the log of the trigrams
 
@@ -77,6 +78,7 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    vocab.forget()
     sums: dict[str, np.ndarray] = {}
     for pdf in batches:
         for lang, group in pdf.groupby("lang", sort=False):
@@ -169,6 +171,7 @@ def mixture(text: Column, model: LanguageModel) -> Column:
 
     @F.pandas_udf(MIXTURE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocab.forget()
         names = np.array([*model.languages, UNDETERMINED], object)
         for series in batches:
             texts = ["" if t is None else t for t in series]

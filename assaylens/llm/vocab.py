@@ -82,3 +82,8 @@ class WordIds:
 def word_ids(name: str) -> WordIds:
     """One for each worker process."""
     return WordIds(name)
+
+
+def forget() -> None:
+    """Let go of the words: workers go on with tasks of other stages, which don't need them."""
+    word_ids.cache_clear()
