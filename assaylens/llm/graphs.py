@@ -362,6 +362,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = queries.where(F.col("query_id").isNotNull() & usable(F.col("vector")))
     asked = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), F.monotonically_increasing_id().alias("nr"))
     blocks, n_blocks = materialise_counted(asked.mapInArrow(_blocks, "dim int, nrs binary, query_ids binary, asked binary"), "queries")
-    found = meetings(graphs, shards, blocks, n_blocks, _answer(k), "nr long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("nr").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    return meetings(graphs, shards, blocks, n_blocks, _answer(k), "nr long, query_id long, vec_id long, score double", best)
