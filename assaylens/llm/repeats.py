@@ -4,10 +4,10 @@ Every string of LEAST bytes has an anchor, the 16 bytes of smallest hash in it,
 bytes to the left of it or, where the anchor begins too early for that, those to the right. Equal
 strings have equal anchors and the same one of these sides, so strings whose side occurs in a single
 document are left aside, and the others meet by anchor. Around an anchor they are one segment; equal
-segments are folded to their smallest doc_id. The segments of many anchors make a text whose suffixes are sorted; a segment
-alone at its anchor has no other to share a string with. Intervals of suffixes
-with a common prefix are extended backwards, breadth first, by one byte each level; an interval of
-one suffix is done, and the search stops at LEAST bytes. What is left are the repeated strings.
+segments are folded to their smallest doc_id. The segments of many anchors make a text whose suffixes are sorted by
+their first eight bytes, the symbols of the transform; a segment alone at its anchor has no other to share
+a string with. Intervals of suffixes with a common prefix are extended backwards, breadth first, by the symbol before
+each suffix; an interval of one suffix is done, and the search stops at LEAST bytes. What is left are the repeated strings.
 """
 
 from __future__ import annotations
@@ -18,18 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylens.llm.common import release
 from assaylens.llm.shingles import mixed
-from assaylens.session import materialise
+from assaylens.session import delete_path, materialise, materialise_at, materialise_counted
 
 LEAST = 50
 GRAM = 16
 SPAN = LEAST - GRAM + 1  # grams in a string of LEAST bytes
 SIDE = (LEAST - GRAM) // 2  # a string holds as many bytes left or right of its anchor
-CHARS = 1_000_000
+CHARS = 100_000  # bytes of text worked on at once, so that arrays stay in the cache; a longer text is worked on alone
+EIGHT = 8  # bytes of a symbol
 BLOCK = 1_000_000  # bytes of a transform; more only if one anchor has more
 HOT = 100_000  # different segments of an anchor above which its strings are dealt one by one
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: no other document is larger
@@ -114,7 +116,7 @@ def _pasted(a: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
 
 def _runs(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
     """Columns and UTF-8 bytes of whole rows, about CHARS bytes at once; null counts as empty."""
-    texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+    texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
     columns = [batch.column(n).to_pylist() for n in names]
     at, size = 0, 0
     for i, text in enumerate(texts):
@@ -138,10 +140,10 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     names = ["_row", "doc", "at", "h", "sid", "segment"]
     for batch in batches:
         # what is shared is so in every document that has it
-        known = np.unique(batch.column("shared").flatten().to_numpy(zero_copy_only=False))
+        known = np.unique(batch.column("shared").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
         for rows, docs, data in _runs(batch, "_row", "doc"):
             owner, gram, place, first, last, left, right = anchors(data)
-            left, right = np.isin(left.view(np.int64), known), np.isin(right.view(np.int64), known)
+            left, right = (known[np.minimum(np.searchsorted(known, side), len(known) - 1)] == side for side in (left, right))
             keep = np.flatnonzero(left | right)
             if not len(keep):
                 continue
@@ -157,24 +159,6 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _pasted(a, begin, size)], names)
 
 
-def _sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first 64 bytes, and the eight bytes each begins with."""
-    n = len(text)
-    eight = np.append(text, np.zeros(8, np.uint64))
-    eight = eight[:n] << np.uint64(56)
-    for i in range(1, 8):
-        eight |= np.append(text[i:], np.zeros(i, np.uint64)) << np.uint64(56 - 8 * i)
-    rank = np.unique(eight, return_inverse=True)[1].astype(np.int64)
-    for width in (8, 16, 32):
-        key = rank * (n + 1)
-        key[:-width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
-        step = np.append(0, np.diff(key[order]) != 0)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
-    return order, eight
-
-
 def repeated(segments: list[bytes], smallest: np.ndarray) -> list[np.ndarray]:
     """For each start of LEAST bytes in each segment, the least of *smallest* over equal strings."""
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -184,47 +168,46 @@ def repeated(segments: list[bytes], smallest: np.ndarray) -> list[np.ndarray]:
 
 def _repeated(data: np.ndarray, sizes: np.ndarray, smallest: np.ndarray) -> np.ndarray:
     """:func:`repeated` for segments of *sizes* that lie one after the other in *data*, in one array."""
-    text = np.zeros(len(data) + len(sizes), np.uint64)
+    text = np.zeros(len(data) + len(sizes) + EIGHT - 1, np.uint8)
     text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
     ends = np.cumsum(sizes + 1)
     inside = np.ones(len(text), bool)
     inside[ends - 1] = False  # the marks between segments, which no string may cross
-    order, eight = _sorted_suffixes(text)
-    place = np.empty(len(text), np.int32)
-    place[order] = np.arange(len(text), dtype=np.int32)
-    # the transform: the byte before each suffix, whether it is inside, and the suffix it starts
-    before = order - 1
-    byte, step, ok = text[before].astype(np.int64), place[before], inside[before] & (order > 0)
-    # first level: intervals of suffixes that begin with the same eight bytes
-    crossing = np.cumsum(np.append(0, ~inside))
-    clean = np.zeros(len(text), bool)
-    clean[: len(text) - 7] = crossing[8:] == crossing[:-8]
-    at = np.flatnonzero(clean[order])
-    same = eight[order[at]]
-    fresh = np.append(True, same[1:] != same[:-1]) if len(at) else np.zeros(0, bool)
-    for _ in range(8, LEAST):
+    inside[len(data) + len(sizes) :] = False
+    outside = np.cumsum(np.append(0, ~inside))
+    clean = outside[EIGHT:] == outside[:-EIGHT]
+    # suffixes in the order of their first eight bytes, which are the symbols of the transform
+    eight = _eights(text)
+    at = np.flatnonzero(clean)
+    at = at[np.argsort(eight[at])]
+    fresh = np.append(True, eight[at[1:]] != eight[at[:-1]]) if len(at) else np.zeros(0, bool)
+    symbol = np.full(len(eight), -1, np.int64)
+    symbol[at] = np.cumsum(fresh)
+    size = EIGHT
+    while size < LEAST:
         at, fresh = _several(at, fresh)
         if not len(at):
             break
-        # one byte to the left: of each interval, the suffixes with the same byte before them
-        group = np.cumsum(fresh)[ok[at]] << 8
-        at = at[ok[at]]
-        group |= byte[at]
-        at = step[at]
+        # one symbol to the left, the last one in part: of each interval, the suffixes with the same one before them
+        step = min(EIGHT, LEAST - size)
+        size += step
+        before = np.maximum(at - step, 0)
+        ok = (at >= step) & (symbol[before] > 0)
+        at, group = before[ok], np.cumsum(fresh)[ok]
+        group = (group << 32) | symbol[at]
         if (group[1:] < group[:-1]).any():
-            by = np.argsort(group, kind="stable")
+            by = np.argsort(group)
             at, group = at[by], group[by]
         fresh = np.append(True, group[1:] != group[:-1]) if len(at) else np.zeros(0, bool)
     at, fresh = _several(at, fresh)
     starts_in = np.maximum(sizes - LEAST + 1, 0)
     out = np.repeat(smallest, starts_in)
     if len(at):
-        begin = order[at]
-        owner = np.searchsorted(ends, begin, side="right")
+        owner = np.searchsorted(ends, at, side="right")
         starts = np.flatnonzero(fresh)
         least = np.minimum.reduceat(smallest[owner], starts)
         value = np.repeat(least, np.diff(np.append(starts, len(at))))
-        out[(np.cumsum(starts_in) - starts_in)[owner] + begin - (ends - sizes - 1)[owner]] = value
+        out[(np.cumsum(starts_in) - starts_in)[owner] + at - (ends - sizes - 1)[owner]] = value
     return out
 
 
@@ -235,27 +218,40 @@ def _several(at: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[keep], fresh[keep]
 
 
-LEASTS = "h long, sid long, starts array<int>, docs array<long>"
+LEASTS = "h long, sid long, a int, b int, least long"
 
 
 def _least_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Runs of starts with one least document, for the segments that have another's strings."""
+    """Runs of starts with one least document, from a to before b, for the segments that have another's strings."""
     h, sid, least, most = (batch.column(n).to_numpy() for n in ("h", "sid", "least", "most"))
     segments = batch.column("segment")
-    offsets = np.frombuffer(segments.buffers()[1], np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
+    new = np.append(True, h[1:] != h[:-1])
+    met = ~(new & np.append(new[1:], True))  # not alone at its anchor
+    held = segments if met.all() else segments.filter(pa.array(met))
+    offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
     sizes = np.diff(offsets)
-    values = _repeated(np.frombuffer(segments.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], sizes, least)
+    values = _repeated(np.frombuffer(held.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], sizes, least[met])
     starts_in = sizes - LEAST + 1
     owner = np.repeat(np.arange(len(sizes)), starts_in)
-    cut = np.flatnonzero(np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])))
+    cut = np.flatnonzero(np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))[: len(values)])
     of, doc = owner[cut], values[cut]
     runs = np.bincount(of, minlength=len(sizes))
     # strings of a single document stay behind
-    keep = (runs > 1) | (least != most) | (doc[np.cumsum(runs) - runs] != least)
-    start = (cut - (np.cumsum(starts_in) - starts_in)[of])[keep[of]].astype(np.int32)
-    lists = pa.array(np.append(0, np.cumsum(runs[keep])).astype(np.int32))
-    columns = [pa.array(h[keep]), pa.array(sid[keep]), pa.ListArray.from_arrays(lists, pa.array(start)), pa.ListArray.from_arrays(lists, pa.array(doc[keep[of]]))]
-    return pa.RecordBatch.from_arrays(columns, ["h", "sid", "starts", "docs"])
+    keep = (runs > 1) | (least[met] != most[met])
+    keep |= doc[np.cumsum(runs) - runs] != least[met] if len(doc) else False
+    begin = cut - (np.cumsum(starts_in) - starts_in)[of]
+    end = np.append(cut[1:], len(values)) - (np.cumsum(starts_in) - starts_in)[of]
+    told = keep[of]
+    alone = ~met & (least < most)
+    whole = pc.binary_length(segments).to_numpy()[alone] - LEAST + 1
+    columns = [
+        np.append(h[met][of[told]], h[alone]),
+        np.append(sid[met][of[told]], sid[alone]),
+        np.append(begin[told], np.zeros(len(whole), np.int64)).astype(np.int32),
+        np.append(end[told], whole).astype(np.int32),
+        np.append(doc[told], least[alone]),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "sid", "a", "b", "least"])
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,34 +285,28 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in strings]
             n = len(strings)
             columns = [keys, keys, strings, [least] * n, [most] * n, [h] * n, [sid] * n, list(range(n))]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
 def _leasts(distinct: DataFrame, hot_segments: int) -> DataFrame:
     """Table of LEASTS for the different segments. Anchors with many are dealt string by string."""
-    of = Window.partitionBy("h")
-    counted = distinct.withColumn("_n", F.count(F.lit(1)).over(of))
-    alone = counted.where((F.col("_n") == 1) & (F.col("least") < F.col("most")))
-    alone = alone.select("h", "sid", F.array(F.lit(0)).alias("starts"), F.array("least").alias("docs"))
-    distinct = materialise(counted.where("_n > 1").drop("_n"), "several")
-    hot = materialise(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("h"), "hot")
+    hot = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("h")
+    hot, n_hot = materialise_counted(hot, "hot")
+    if not n_hot:
+        return distinct.repartition("h").sortWithinPartitions("h").mapInArrow(_expand, LEASTS)
     cold = distinct.join(hot, "h", "left_anti")
-    out = alone.union(cold.repartition("h").sortWithinPartitions("h").mapInArrow(_expand, LEASTS))
-    if not hot.take(1):
-        return out
+    out = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_expand, LEASTS)
     fields = "h long, sid long, segment binary, least long, most long"
-    single = materialise(distinct.join(hot, "h", "left_semi").mapInArrow(_strings, f"{fields}, of_h long, of_sid long, of_at long"), "strings")
+    single = materialise(distinct.join(hot, "h", "left_semi").mapInArrow(_strings, f"{fields}, of_h long, of_sid long, of_at int"), "strings")
     folded = single.groupBy("h", "sid", "segment").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     found = folded.repartition("h").sortWithinPartitions("h").mapInArrow(_expand, LEASTS)
-    back = single.select("h", "sid", "of_h", "of_sid", "of_at").join(found, ["h", "sid"])
-    pair = F.struct(F.col("of_at").cast("int").alias("at"), F.col("docs")[0].alias("doc"), F.lit(1).alias("n"))
-    told = back.groupBy("of_h", "of_sid").agg(F.array_sort(F.collect_list(pair)).alias("p"))
-    # a start without an entry belongs to one document; it stands between the entries as LAST
-    filled = F.flatten(F.transform("p", lambda x: F.array(F.struct(x["at"].alias("at"), x["doc"].alias("doc")), F.struct((x["at"] + 1).alias("at"), F.lit(int(LAST)).alias("doc")))))
-    kept = F.filter(filled, lambda x: (x["doc"] != LAST) | ~F.exists("p", lambda y: y["at"] == x["at"]))
-    told = told.withColumn("p", kept)
-    return out.union(told.select("of_h", "of_sid", F.col("p.at"), F.col("p.doc")))
+    back = single.select("h", "sid", "of_h", "of_sid", "of_at").join(found.select("h", "sid", F.col("least").alias("doc")), ["h", "sid"])
+    # strings that follow one another are a run
+    place = F.row_number().over(Window.partitionBy("of_h", "of_sid", "doc").orderBy("of_at"))
+    runs = back.withColumn("run", F.col("of_at") - place).groupBy("of_h", "of_sid", "doc", "run")
+    told = runs.agg(F.min("of_at").alias("a"), (F.max("of_at") + 1).alias("b"))
+    return out.union(told.select("of_h", "of_sid", "a", "b", "doc"))
 
 
 def removed(rows: DataFrame, hot_segments: int = HOT) -> DataFrame:
@@ -334,47 +324,65 @@ def removed(rows: DataFrame, hot_segments: int = HOT) -> DataFrame:
     found = known.select("doc", "null_row", "text").mapInArrow(_anchor_rows, "h long, doc long, null_row long")
     of = Window.partitionBy("h")
     several = found.select("h", "doc", "null_row", F.min("doc").over(of).alias("least"), F.max("doc").over(of).alias("most")).where("least < most")
-    shared = materialise(several.groupBy("doc", "null_row").agg(F.collect_set("h").alias("shared")), "shared")
+    shared, shared_path = materialise_at(several.groupBy("doc", "null_row").agg(F.collect_set("h").alias("shared")), "shared")
     del found, several
     release(spark)
     met = known.join(shared, ["doc", "null_row"]).select("_row", "doc", "shared", "text")
-    segments = materialise(met.mapInArrow(_segment_rows, "_row long, doc long, at int, h long, sid long, segment binary"), "segments")
+    segments, segments_path = materialise_at(met.mapInArrow(_segment_rows, "_row long, doc long, at int, h long, sid long, segment binary"), "segments")
     del met
+    delete_path(spark, shared_path)
     release(spark)
     distinct = segments.groupBy("h", "sid", "segment").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    distinct = materialise(distinct, "distinct")
+    distinct, distinct_path = materialise_at(distinct, "distinct")
     release(spark)
-    leasts = materialise(_leasts(distinct, hot_segments), "leasts")
+    leasts, leasts_path = materialise_at(_leasts(distinct, hot_segments), "leasts")
+    delete_path(spark, distinct_path)
     release(spark)
-    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.lit(None).cast("int")))
-    zipped = F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"), F.col("docs").alias("d"))
-    told = segments.select("_row", "doc", "at", "h", "sid", (F.length("segment") - LEAST + 1).alias("n")).join(leasts, ["h", "sid"])
-    smaller = F.filter(zipped, lambda z: z["d"] < F.col("doc"))
-    part = F.transform(smaller, lambda z: F.struct((F.col("at") + z["a"]).alias("from"), (F.col("at") + F.coalesce(z["b"], F.col("n")) + (LEAST - 1)).alias("to")))
-    parts = told.select("_row", part.alias("parts")).where(F.size("parts") > 0)
-    out = materialise(parts.groupBy("_row").agg(F.flatten(F.collect_list("parts")).alias("parts")), "parts")
+    told = segments.select("_row", "doc", "at", "h", "sid").join(leasts, ["h", "sid"]).where("least < doc")
+    part = F.struct((F.col("at") + F.col("a")).alias("from"), (F.col("at") + F.col("b") + (LEAST - 1)).alias("to"))
+    out = materialise(told.groupBy("_row").agg(F.collect_list(part).alias("parts")), "parts")
+    del told
+    delete_path(spark, segments_path)
+    delete_path(spark, leasts_path)
     release(spark)
     return out
 
 
+def _spans(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the maximal ranges that the ranges in each row of *parts* make up."""
+    flat, rows = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+    begin, end = (flat.field(n).to_numpy().astype(np.int64) for n in ("from", "to"))
+    by = np.lexsort((begin, rows))
+    rows, begin, end = rows[by], begin[by], end[by]
+    # rows lie one after the other on a line
+    far = end.max(initial=0) + 1
+    begin, end = begin + rows * far, end + rows * far
+    reach = np.maximum.accumulate(end)
+    new = np.append(True, begin[1:] > reach[:-1])[: len(begin)]
+    last = np.append(new[1:], True)[: len(begin)]
+    rows = rows[new]
+    return rows, begin[new] - rows * far, reach[last] - rows * far
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
     for batch in batches:
-        for docs, parts, data in _runs(batch, "doc_id", "parts"):
-            out = []
-            for doc, ranges, raw in zip(docs, parts, data, strict=True):
-                spans: list[list[int]] = []
-                for a, b in sorted((p["from"], p["to"]) for p in ranges or ()):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
-                edges = [0, *(x for s in spans for x in s), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(raw), len(raw) - len(kept), spans, kept))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        rows, begin, end = _spans(batch.column("parts"))
+        first = np.searchsorted(rows, np.arange(len(sizes) + 1))
+        n_removed = np.zeros(len(sizes), np.int64)
+        np.add.at(n_removed, rows, end - begin)
+        kept = []
+        edges = np.column_stack([begin, end]).ravel()
+        between = edges.tolist()
+        for text, a, b in zip(texts, (2 * first[:-1]).tolist(), (2 * first[1:]).tolist(), strict=True):
+            cuts = [0, *between[a:b], len(text)]
+            kept.append(b"".join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)))
+        pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(edges) + 1, 2), pa.int32()), pa.array(edges))
+        spans = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pairs)
+        columns = [batch.column("doc_id"), pa.array(sizes), pa.array(n_removed), spans, pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def without_repeats(rows: DataFrame, hot_segments: int = HOT) -> DataFrame:
