@@ -21,21 +21,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylens.llm.common import numbered
-from assaylens.llm.vocab import word_ids
+from assaylens.llm.vocab import CACHED, word_ids
 from assaylens.session import materialise
 
 LENGTH = 2048
 END = b"\0\0\0\0"  # id 0 after each document
-CHARS = 4_000_000
+CHARS = 1_000_000  # characters encoded at once; a longer text is worked on alone
 
 Kind = tuple[tuple[int, int], ...]  # (length, how often), by falling length
 
 
-def pieces(rows: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
-    """``(_row, doc_id, piece, start, length, ids_crc32)``: ids of ``rows(_row, doc_id, text)``, cut."""
+def pieces(rows: DataFrame, vocabulary: str, length: int = LENGTH, cached: int = CACHED) -> DataFrame:
+    """``(_row, doc_id, piece, start, length, ids_crc32)``: ids of ``rows(_row, doc_id, text)``, cut.
+
+    *cached* is the number of words in each of the two generations that a worker remembers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(vocabulary)
+        encoder = word_ids(vocabulary, cached)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             row, doc = batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist()
@@ -199,16 +202,17 @@ def plan(counts: dict[int, int], capacity: int = LENGTH) -> pd.DataFrame:
     return runs.sort_values(["length", "first"], ignore_index=True)
 
 
-def pack(rows: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
+def pack(rows: DataFrame, vocabulary: str, length: int = LENGTH, cached: int = CACHED) -> DataFrame:
     """Sequences for every one of ``rows(_row, doc_id, text)``.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. A document is its ids
     and id 0; only one longer than *length* is cut, into pieces of that length and a last one. Null
     counts as empty: one piece, the id 0. Repeated rows are packed each. Pieces of a sequence stand
     without gaps from 0. An empty table gives no rows. The driver sees at most *length* counts;
-    pieces of one length, however many, are numbered over ranges.
+    pieces of one length, however many, are numbered over ranges. Fewer *cached* words spare memory
+    and cost time, the rows stay the same.
     """
-    table = materialise(pieces(rows, vocabulary, length), "pieces")
+    table = materialise(pieces(rows, vocabulary, length, cached), "pieces")
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).limit(length).collect()}
     runs = plan(counts, length)
     order = [F.col("length"), F.col("_row"), F.col("piece")]

@@ -25,15 +25,19 @@ def path(name: str) -> str:
 
 
 class WordIds:
-    """Ids of words, for tokenizers that drop white space and never join what it parts."""
+    """Ids of words, for tokenizers that drop white space and never join what it parts.
 
-    def __init__(self, name: str):
+    Remembers about twice *cached* words, with 200 bytes for each.
+    """
+
+    def __init__(self, name: str, cached: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.cached = cached
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -64,7 +68,7 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added."""
-        if len(self.young) > CACHED:
+        if len(self.young) > self.cached:
             self.old, self.young = self.young, {}
         parts = [[w for w in _SPLIT.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
         found = [list(map(self.young.get, words)) for words in parts]
@@ -79,9 +83,9 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(name: str) -> WordIds:
+def word_ids(name: str, cached: int = CACHED) -> WordIds:
     """One for each worker process."""
-    return WordIds(name)
+    return WordIds(name, cached)
 
 
 def forget() -> None:

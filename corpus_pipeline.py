@@ -13,6 +13,10 @@ from assaylens.llm.common import documents, prepare
 from assaylens.session import new_path
 
 
+#: Words that packing remembers, in each of two generations: the executors still hold the memory of the stages before.
+WORDS = 150_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those mostly in no learned language."""
     prepare(spark)
@@ -40,7 +44,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token ids of the documents into sequences of 2048."""
     prepare(spark)
-    return packing.pack(exact.with_row(docs.select("doc_id", "text")), "word_bpe_49k.json")
+    return packing.pack(exact.with_row(docs.select("doc_id", "text")), "word_bpe_49k.json", cached=WORDS)
 
 
 STAGES = [
