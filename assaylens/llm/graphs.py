@@ -318,9 +318,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answer(k: int):
-    def run(index: dict | None, blocks: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-        if index is None:
-            return
+    def run(index: dict, blocks: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         graph, vectors, ids, edges = _loaded(index)
         for block in blocks:
             if block["dim"] != index["dim"]:
